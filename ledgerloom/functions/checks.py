@@ -1,7 +1,8 @@
 """Invoice document: parsing, required fields, arithmetic checks, and declarative table rules.
 
-Numbers inside the document are read as VARIANT, because whether an amount was written as a whole number,
-a decimal string or a float decides if it is acceptable.
+Numbers are read as the text they were written as. Whether one was a float (not acceptable for money), a
+decimal string or NULL rather than absent is looked up in a VARIANT parse, which only documents whose text
+shows a fraction, an exponent or a null in such a field pay for.
 """
 
 from __future__ import annotations
@@ -16,18 +17,25 @@ LINE_NUMBERS = ("quantity", "unit_price_paise", "taxable_value_paise", "gst_rate
 SUMMARY_NUMBERS = ("subtotal_paise", "total_tax_paise", "total_igst_paise", "total_cgst_paise", "total_sgst_paise",
                    "tds_deduction_paise", "other_charges_paise", "discount_paise", "rounding_adjustment_paise",
                    "grand_total_paise")
-DOCUMENT_SCHEMA = (
-    f"metadata map<string,string>, supplier_details {PARTY}, buyer_details {PARTY},"
-    " reference_data struct<invoice_number:string,document_type_code:string,po_number:string,grn_number:string,"
-    "document_date:string,due_date:string,irn:string>,"
-    " banking_details struct<bank_name:string,account_number:string,ifsc:string,upi_id:string,"
-    "account_number_masked:string>,"
-    " line_items array<struct<line_number:string,description:string,hsn_sac_code:string,unit:string,"
-    + ",".join(f"{n}:variant" for n in LINE_NUMBERS) + ">>,"
-    " financial_summary struct<" + ",".join(f"{n}:variant" for n in SUMMARY_NUMBERS) + ">")
+
+
+def _schema(number: str) -> str:
+    return (
+        f"metadata map<string,string>, supplier_details {PARTY}, buyer_details {PARTY},"
+        " reference_data struct<invoice_number:string,document_type_code:string,po_number:string,grn_number:string,"
+        "document_date:string,due_date:string,irn:string>,"
+        " banking_details struct<bank_name:string,account_number:string,ifsc:string,upi_id:string,"
+        "account_number_masked:string>,"
+        " line_items array<struct<line_number:string,description:string,hsn_sac_code:string,unit:string,"
+        + ",".join(f"{n}:{number}" for n in LINE_NUMBERS) + ">>,"
+        " financial_summary struct<" + ",".join(f"{n}:{number}" for n in SUMMARY_NUMBERS) + ">")
+
+
+DOCUMENT_SCHEMA = _schema("string")
+KIND_SCHEMA = _schema("variant")
+SUSPECT_NUMBER = r'":\s*+(?:null|-?[0-9]++[.eE])|"\s++:'
 
 # Fields a document must carry.
-REQUIRED_LINE_NUMBERS = ("quantity", "unit_price_paise", "taxable_value_paise", "gst_rate", "total_paise")
 REQUIRED_SUMMARY_NUMBERS = ("subtotal_paise", "total_tax_paise", "grand_total_paise")
 CHECKED_LINE_NUMBERS = ("quantity", "unit_price_paise", "taxable_value_paise", "igst_paise", "cgst_paise",
                         "sgst_paise", "total_paise")
@@ -45,23 +53,46 @@ def unfence(raw: Column) -> Column:
     return F.when(text.startswith("```"), F.trim(body)).otherwise(text)
 
 
-def parse_document(raw: Column) -> Column:
-    """The document struct, NULL when the text is no JSON object."""
-    text = unfence(raw)
-    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, DOCUMENT_SCHEMA, {"mode": "PERMISSIVE"}))
+def with_document(df: DataFrame, text_column: str = "raw_text", out: str = "doc") -> DataFrame:
+    """Adds ``struct(body, floats, nulls)`` of the document text, NULL when it is no JSON object.
+
+    ``floats`` and ``nulls`` name the number fields written as floats or as null: for each line and, last,
+    for the summary. They are NULL for a document without any. The document comes out of ``explode``: a later
+    filter on it is then evaluated after parsing, and is not pushed below and parsed once more per use.
+    """
+    text, body = F.col("__text"), F.col("__body")
+    kinds = F.from_json(text, KIND_SCHEMA, {"mode": "PERMISSIVE"})
+
+    def named(test):
+        def of(x: Column, fields) -> Column:
+            return F.array_compact(F.array(*[F.when(~x[n].isNull() & test(x[n]), F.lit(n)) for n in fields]))
+        return F.when(F.col("__suspect"), F.array_append(
+            F.transform(F.coalesce(kinds["line_items"], F.array()), lambda x: of(x, LINE_NUMBERS)),
+            of(kinds["financial_summary"], SUMMARY_NUMBERS)))
 
+    def float_kind(v: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(v).rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
 
-def _is_float(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+    parsed = F.when(text.startswith("{") & body.isNotNull(), F.struct(
+        body.alias("body"), named(float_kind).alias("floats"), named(F.is_variant_null).alias("nulls")))
+    return (df.withColumn("__text", unfence(F.col(text_column)))
+            .withColumn("__body", F.from_json(text, DOCUMENT_SCHEMA, {"mode": "PERMISSIVE"}))
+            .withColumn("__suspect", text.rlike(SUSPECT_NUMBER))
+            .select(*df.columns, F.explode(F.array(parsed)).alias(out)))
 
 
-def _amount(v: Column, kind: str = "decimal(20,4)") -> Column:
+def _listed(names: Column, position: Column, field: str) -> Column:
+    """Whether ``field`` is in the name list at ``position``."""
+    return F.coalesce(F.array_contains(F.get(names, position), field), F.lit(False))
+
+
+def _amount(text: Column, kind: str = "decimal(20,4)") -> Column:
     """Exact value; a missing field counts as 0, anything unreadable is NULL."""
-    return F.when(v.isNull(), F.lit(0).cast(kind)).otherwise(F.try_variant_get(v, "$", kind))
+    return F.when(text.isNull(), F.lit(0).cast(kind)).otherwise(text.try_cast(kind))
 
 
-def _text(v: Column) -> Column:
-    return F.when(v.isNull(), "0").otherwise(F.try_variant_get(v, "$", "string"))
+def _text(text: Column) -> Column:
+    return F.coalesce(text, F.lit("0"))
 
 
 def _plain(amount: Column) -> Column:
@@ -69,23 +100,23 @@ def _plain(amount: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(amount.cast("string"), r"(\.[0-9]*?)0+\z", "$1"), r"\.\z", "")
 
 
-def paise(v: Column) -> Column:
+def paise(text: Column, is_float: Column) -> Column:
     """Paise as the tables store them: whole numbers and whole-number strings as they are, floats cut off."""
-    cut = F.try_variant_get(v, "$", "decimal(38,6)")
-    return F.when(v.isNull(), F.lit(0).cast("bigint")).otherwise(
-        F.when(_is_float(v), (F.signum(cut) * F.floor(F.abs(cut))).cast("bigint"))
-        .otherwise(F.try_variant_get(v, "$", "bigint")))
+    cut = text.try_cast("decimal(38,6)")
+    return (F.when(text.isNull(), F.lit(0).cast("bigint"))
+            .when(is_float, (F.signum(cut) * F.floor(F.abs(cut))).cast("bigint"))
+            .when(text.rlike(r"\A\s*[+-]?[0-9]+\s*\z"), text.try_cast("bigint")))
 
 
-def line_errors(line_items: Column) -> Column:
+def line_errors(doc: Column) -> Column:
     """One message per failed sum of a line; a float or unreadable amount is the only message of its line."""
+    line_items = doc["body"]["line_items"]
 
-    def of_line(x: Column) -> Column:
+    def of_line(x: Column, i: Column) -> Column:
         label = F.concat(F.lit("Line "), F.coalesce(x["line_number"], F.lit("?")), F.lit(": "))
-        bad = F.coalesce(*[F.when(
-            ~x[n].isNull() & (_is_float(x[n]) | _amount(x[n]).isNull()), _text(x[n])) for n in CHECKED_LINE_NUMBERS])
-        any_bad = F.array_contains(F.array(*[
-            ~x[n].isNull() & (_is_float(x[n]) | _amount(x[n]).isNull()) for n in CHECKED_LINE_NUMBERS]), True)
+        bad = F.array_compact(F.array(*[
+            F.when(_listed(doc["nulls"], i, n), F.lit("null"))
+            .when(_listed(doc["floats"], i, n) | _amount(x[n]).isNull(), x[n]) for n in CHECKED_LINE_NUMBERS]))
         want = F.round(_amount(x["unit_price_paise"], "decimal(19,4)") * _amount(x["quantity"], "decimal(18,6)"), 0)
         total = (_amount(x["taxable_value_paise"]) + _amount(x["igst_paise"]) + _amount(x["cgst_paise"])
                  + _amount(x["sgst_paise"]))
@@ -96,8 +127,7 @@ def line_errors(line_items: Column) -> Column:
             label, F.lit("total_paise "), _text(x["total_paise"]), F.lit(" != taxable("),
             _text(x["taxable_value_paise"]), F.lit(") + igst("), _text(x["igst_paise"]), F.lit(") + cgst("),
             _text(x["cgst_paise"]), F.lit(") + sgst("), _text(x["sgst_paise"]), F.lit(") = "), _plain(total)))
-        return F.when(any_bad, F.array(F.concat(
-            label, F.lit("Invalid decimal value - "), F.coalesce(bad, F.lit("null")))))\
+        return F.when(F.size(bad) > 0, F.array(F.concat(label, F.lit("Invalid decimal value - "), bad[0])))\
             .otherwise(F.array_compact(F.array(taxable_error, total_error)))
 
     return F.flatten(F.transform(line_items, of_line))
@@ -114,11 +144,14 @@ def _line_sum(line_items: Column, *fields: str) -> Column:
     return F.aggregate(line_items, zero, add)
 
 
-def summary_errors(summary: Column, line_items: Column) -> Column:
+def summary_errors(doc: Column) -> Column:
     """Messages of the summary sums against the lines and against each other."""
-    bad = F.array_compact(F.array(*[F.when(
-        ~summary[n].isNull() & (_is_float(summary[n]) | _amount(summary[n]).isNull()),
-        F.concat(F.lit(n + " "), F.coalesce(_text(summary[n]), F.lit("null")))) for n in SUMMARY_NUMBERS]))
+    summary, line_items = doc["body"]["financial_summary"], doc["body"]["line_items"]
+    last = F.size(line_items)
+    bad = F.array_compact(F.array(*[
+        F.when(_listed(doc["nulls"], last, n), F.lit(n + " null"))
+        .when(_listed(doc["floats"], last, n) | _amount(summary[n]).isNull(), F.concat(F.lit(n + " "), summary[n]))
+        for n in SUMMARY_NUMBERS]))
 
     def s(name: str) -> Column:
         return _amount(summary[name])
@@ -155,10 +188,9 @@ def summary_errors(summary: Column, line_items: Column) -> Column:
 
 def checksum_errors(doc: Column) -> Column:
     """All arithmetic messages of a document; without lines that is the one message."""
-    lines = doc["line_items"]
+    lines = doc["body"]["line_items"]
     none = lines.isNull() | (F.size(lines) == 0)
-    return F.when(none, F.array(F.lit(NO_LINES))).otherwise(
-        F.concat(line_errors(lines), summary_errors(doc["financial_summary"], lines)))
+    return F.when(none, F.array(F.lit(NO_LINES))).otherwise(F.concat(line_errors(doc), summary_errors(doc)))
 
 
 def schema_errors(doc: Column) -> Column:
@@ -166,31 +198,36 @@ def schema_errors(doc: Column) -> Column:
     def need(ok: Column, path: str) -> Column:
         return F.when(~F.coalesce(ok, F.lit(False)), F.lit(path))
 
-    ref, lines, summary = doc["reference_data"], doc["line_items"], doc["financial_summary"]
+    body = doc["body"]
+    ref, lines, summary = body["reference_data"], body["line_items"], body["financial_summary"]
+    last = F.coalesce(F.size(lines), F.lit(0))
+
+    def whole(x: Column, i: Column, n: str) -> Column:
+        return paise(x[n], _listed(doc["floats"], i, n)).isNotNull() & ~_listed(doc["nulls"], i, n)
 
-    def line_ok(x: Column) -> Column:
+    def line_ok(x: Column, i: Column) -> Column:
         ok = x["line_number"].try_cast("int").isNotNull() & x["description"].isNotNull() & x["unit"].isNotNull()
         for n in ("quantity", "gst_rate"):
-            ok = ok & F.try_variant_get(x[n], "$", "decimal(18,6)").isNotNull()
+            ok = ok & x[n].try_cast("decimal(18,6)").isNotNull()
         for n in ("unit_price_paise", "taxable_value_paise", "total_paise"):
-            ok = ok & ~x[n].isNull() & paise(x[n]).isNotNull()
+            ok = ok & x[n].isNotNull() & whole(x, i, n)
         for n in ("igst_paise", "cgst_paise", "sgst_paise"):
-            ok = ok & paise(x[n]).isNotNull()
+            ok = ok & whole(x, i, n)
         return F.coalesce(ok, F.lit(False))
 
     found = F.array_compact(F.array(
-        need(doc["supplier_details"]["legal_name"].isNotNull(), "supplier_details.legal_name"),
-        need(doc["buyer_details"].isNotNull(), "buyer_details"),
+        need(body["supplier_details"]["legal_name"].isNotNull(), "supplier_details.legal_name"),
+        need(body["buyer_details"].isNotNull(), "buyer_details"),
         need(ref["invoice_number"].isNotNull(), "reference_data.invoice_number"),
         need(ref["document_type_code"].isNotNull(), "reference_data.document_type_code"),
         need(ref["document_date"].try_cast("date").isNotNull(), "reference_data.document_date"),
         need(ref["due_date"].isNull() | ref["due_date"].try_cast("date").isNotNull(), "reference_data.due_date"),
-        need(doc["banking_details"].isNotNull(), "banking_details"),
+        need(body["banking_details"].isNotNull(), "banking_details"),
         need(lines.isNotNull(), "line_items"),
-        need(lines.isNull() | F.forall(lines, line_ok), "line_items[]"),
-        *[need(~summary[n].isNull() & paise(summary[n]).isNotNull(), f"financial_summary.{n}")
+        need(lines.isNull() | F.forall(F.transform(lines, line_ok), lambda ok: ok), "line_items[]"),
+        *[need(summary[n].isNotNull() & whole(summary, last, n), f"financial_summary.{n}")
           for n in REQUIRED_SUMMARY_NUMBERS],
-        *[need(paise(summary[n]).isNotNull(), f"financial_summary.{n}")
+        *[need(whole(summary, last, n), f"financial_summary.{n}")
           for n in SUMMARY_NUMBERS if n not in REQUIRED_SUMMARY_NUMBERS]))
     return F.when(doc.isNull(), F.array(F.lit("not a JSON object"))).otherwise(found)
 
@@ -202,8 +239,14 @@ def extraction_status(checksum: Column, schema: Column) -> Column:
 
 def flatten_document(doc: Column) -> list[Column]:
     """Searchable columns of a document."""
-    ref, summary, sup, buy = (doc[n] for n in ("reference_data", "financial_summary", "supplier_details",
-                                               "buyer_details"))
+    body = doc["body"]
+    ref, summary, sup, buy = (body[n] for n in ("reference_data", "financial_summary", "supplier_details",
+                                                "buyer_details"))
+    last = F.coalesce(F.size(body["line_items"]), F.lit(0))
+
+    def total(name: str) -> Column:
+        return F.coalesce(paise(summary[name], _listed(doc["floats"], last, name)), F.lit(0)).alias(name)
+
     return [
         ref["invoice_number"].alias("invoice_number"),
         F.coalesce(ref["document_type_code"], F.lit(DEFAULT_DOCUMENT_TYPE)).alias("document_type_code"),
@@ -214,8 +257,7 @@ def flatten_document(doc: Column) -> list[Column]:
         sup["pan"].alias("supplier_pan"),
         buy["legal_name"].alias("buyer_legal_name"), buy["gstin"].alias("buyer_gstin"),
         F.lit("INR").alias("currency_code"),
-        F.coalesce(paise(summary["grand_total_paise"]), F.lit(0)).alias("grand_total_paise"),
-        F.coalesce(paise(summary["tds_deduction_paise"]), F.lit(0)).alias("tds_deduction_paise")]
+        total("grand_total_paise"), total("tds_deduction_paise")]
 
 
 # -- rules on tables ------------------------------------------------------------------------------
