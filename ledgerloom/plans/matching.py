@@ -1 +1,185 @@
-"""Queries."""
+"""Subset search and the three-phase decision."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import linking, matching, reads
+from ledgerloom.operators.subsets import find_subsets
+from ledgerloom.plans.registry import query
+from ledgerloom.plans.textsql import narration_sql, score_sql, source_sql
+
+
+def _pool(fx, coarse=False):
+    net = F.col("coarse_net_paise") if coarse else reads.net_paise()
+    return fx.open_invoices(named=True).withColumn("net_paise", net)
+
+
+def _credits(fx, coarse=False):
+    return reads.unmatched_credits(fx.bank(named=True, coarse=coarse), fx.reconciliations())
+
+
+def subsets_sql(net: str, amount: str, max_size: int | None = None) -> str:
+    """CTE ``subs`` with every set of open invoices adding up to a credit amount, by recursion."""
+    bound = f" AND len(s.path) < {max_size}" if max_size else ""
+    return f"""
+pool AS (SELECT vendor_code, invoice_number AS no, {net} AS net, document_date, supplier_legal_name FROM open_inv),
+target AS (SELECT DISTINCT vendor_code, {amount} AS amount FROM credits),
+step AS (
+  SELECT vendor_code, amount, amount AS rest, []::struct(net bigint, no varchar)[] AS path, []::date[] AS dates,
+    NULL::varchar AS supplier FROM target WHERE amount <> 0
+  UNION ALL
+  SELECT s.vendor_code, s.amount, s.rest - p.net, list_append(s.path, {{'net': p.net, 'no': p.no}}),
+    list_append(s.dates, p.document_date), CASE WHEN len(s.path) = 0 THEN p.supplier_legal_name END
+  FROM step s JOIN pool p ON p.vendor_code = s.vendor_code
+    AND (len(s.path) = 0 OR (p.net, p.no) > (s.path[-1].net, s.path[-1].no)) AND (p.net = s.rest OR 2 * p.net <= s.rest)
+  WHERE s.rest <> 0{bound}),
+subs AS (SELECT vendor_code, amount, path, dates, supplier, list_sort(list_transform(path, lambda m: m.no)) AS members
+  FROM step WHERE rest = 0 QUALIFY row_number() OVER (PARTITION BY vendor_code, amount ORDER BY path) <= 250)"""
+
+
+@query("c9_k1_subsets_up_to_three", needs=["open_inv", "credits"], sql=subsets_sql(
+    "grand_total_paise - tds_deduction_paise", "amount_paise", 3) + """
+SELECT vendor_code, amount AS amount_paise, len(members)::int AS size, array_to_string(members, ',') AS members FROM subs""")
+def _(fx):
+    return find_subsets(_credits(fx), _pool(fx), max_size=3).select(
+        "vendor_code", "amount_paise", "size", F.array_join("members", ",").alias("members"))
+
+
+@query("f6_k1_subsets_any_size", needs=["open_inv", "credits"], sql=subsets_sql(
+    "coarse_net_paise", "coarse_amount_paise") + """
+SELECT vendor_code, amount AS amount_paise, len(members)::int AS size, array_to_string(members, ',') AS members FROM subs""")
+def _(fx):
+    return find_subsets(_credits(fx, True), _pool(fx, True), salts=2).select(
+        "vendor_code", "amount_paise", "size", F.array_join("members", ",").alias("members"))
+
+
+@query("d17_collision_statistics", needs=["open_inv", "credits"], sql=subsets_sql(
+    "coarse_net_paise", "coarse_amount_paise", 2) + """,
+n AS (SELECT vendor_code, amount, count(*) AS subsets FROM subs GROUP BY 1, 2)
+SELECT coalesce(subsets, 0) AS subsets, count(*) AS credits FROM credits LEFT JOIN n
+  ON n.vendor_code = credits.vendor_code AND n.amount = coarse_amount_paise GROUP BY 1""")
+def _(fx):
+    credits = _credits(fx, True)
+    n = find_subsets(credits, _pool(fx, True), max_size=2).groupBy("vendor_code", "amount_paise").agg(
+        F.count(F.lit(1)).alias("subsets"))
+    return credits.join(n, ["vendor_code", "amount_paise"], "left").groupBy(
+        F.coalesce("subsets", F.lit(0)).alias("subsets")).agg(F.count(F.lit(1)).alias("credits"))
+
+
+# Options of each request, scored and dated; then the decision. ``req`` is (vendor_code, rutr, rpaise).
+_DECIDE = f"""
+unit AS (SELECT r.vendor_code, r.rutr, r.rpaise, c.transaction_id, c.utr_number, c.transaction_date, c.narration, s.*
+    EXCLUDE (vendor_code)
+  FROM req r JOIN cr c ON c.vendor_code = r.vendor_code AND CASE WHEN r.rutr IS NULL THEN c.amt = r.rpaise
+    ELSE c.utr_number = r.rutr END
+  JOIN subs s ON s.vendor_code = r.vendor_code AND s.amount = c.amt),
+pr0 AS (SELECT DISTINCT supplier, narration FROM unit WHERE len(members) = 1),
+pr AS (SELECT {{'s': supplier, 'n': narration}} AS id, {source_sql('supplier')} AS a, {narration_sql('narration')} AS b FROM pr0),
+{score_sql('pr')},
+u AS (SELECT unit.*, CASE WHEN len(members) = 1 AND score >= 0.85 THEN score ELSE 0 END AS score,
+    list_min(list_transform(dates, lambda d: abs(datediff('day', d, transaction_date)))) AS delta
+  FROM unit LEFT JOIN scored ON len(members) = 1 AND scored.id = {{'s': supplier, 'n': narration}}),
+u2 AS (SELECT *, CASE WHEN delta <= 7 THEN delta END AS near FROM u),
+u3 AS (SELECT *, count(*) OVER w AS options, max(score) OVER w AS top, min(near) OVER w AS closest FROM u2
+  WINDOW w AS (PARTITION BY vendor_code, rutr, rpaise)),
+u4 AS (SELECT *, count(*) FILTER (score = top) OVER w AS n_top, count(*) FILTER (near = closest) OVER w AS n_near FROM u3
+  WINDOW w AS (PARTITION BY vendor_code, rutr, rpaise)),
+u5 AS (SELECT *, CASE WHEN options = 1 THEN 1 WHEN top >= 0.85 AND n_top = 1 THEN 2 WHEN n_near = 1 THEN 3 END AS phase,
+  CASE WHEN options = 1 THEN true WHEN top >= 0.85 AND n_top = 1 THEN score = top WHEN n_near = 1 THEN near = closest
+    ELSE false END AS wins FROM u4),
+verdict AS (SELECT vendor_code, rutr, rpaise, max(phase) AS phase, max(options) AS options,
+    max(array_to_string(members, ',')) FILTER (wins) AS members, max(utr_number) FILTER (wins) AS utr,
+    max(transaction_id) FILTER (wins) AS transaction_id, max(amount) FILTER (wins) AS proof_paise FROM u5 GROUP BY ALL),
+final AS (SELECT req.vendor_code, req.rutr, req.rpaise, CASE WHEN options IS NULL THEN 'NO_MATCH' WHEN phase IS NULL THEN
+    'AMBIGUOUS_COLLISION' ELSE 'SUBSET_MATCHED' END AS status, phase, coalesce(options, 0) AS options, members, utr,
+    transaction_id, proof_paise
+  FROM req LEFT JOIN verdict v ON v.vendor_code = req.vendor_code AND v.rutr IS NOT DISTINCT FROM req.rutr
+    AND v.rpaise IS NOT DISTINCT FROM req.rpaise)"""
+
+_BEST = """best AS (SELECT * FROM settle WHERE status = 'processed' QUALIFY row_number() OVER (
+  PARTITION BY vendor_code, reference_id ORDER BY ingested_epoch DESC, payout_id DESC) = 1)"""
+
+
+def asked_sql(net: str) -> str:
+    return f"""{_BEST},
+ask AS (SELECT o.*, b.payout_id AS anchor_payout_id, b.utr AS rutr, CASE WHEN b.utr IS NULL THEN greatest(0, {net}) END AS rpaise
+  FROM open_inv o LEFT JOIN best b ON b.vendor_code = o.vendor_code AND b.reference_id = o.invoice_number),
+req AS (SELECT DISTINCT vendor_code, rutr, rpaise FROM ask)"""
+
+
+@query("k2_e8_c11_three_phases", needs=["open_inv", "credits"], sql=subsets_sql(
+    "coarse_net_paise", "coarse_amount_paise", 2) + """,
+cr AS (SELECT *, coarse_amount_paise AS amt FROM credits),
+req AS (SELECT DISTINCT vendor_code, NULL::varchar AS rutr, coarse_net_paise AS rpaise FROM open_inv),
+""" + _DECIDE + """
+SELECT vendor_code, rpaise AS request_paise, status AS subset_status, phase::int AS phase, options,
+  members AS matched_invoices, transaction_id FROM final""")
+def _(fx):
+    pool = _pool(fx, True)
+    requests = pool.select("vendor_code", F.lit(None).cast("string").alias("request_utr"),
+                           F.col("net_paise").alias("request_paise"))
+    return matching.match_requests(requests, _credits(fx, True), pool, max_size=2).select(
+        "vendor_code", "request_paise", "subset_status", "phase", "options",
+        F.array_join("matched_invoices", ",").alias("matched_invoices"), "transaction_id")
+
+
+@query("k3_k4_b17_b21_fast_path", needs=["open_inv", "credits", "settle"], sql=subsets_sql(
+    "grand_total_paise - tds_deduction_paise", "amount_paise", 3) + """,
+cr AS (SELECT *, amount_paise AS amt FROM credits),
+""" + asked_sql("grand_total_paise - tds_deduction_paise") + "," + _DECIDE + """
+SELECT ask.document_id, ask.invoice_number, anchor_payout_id, phase::int AS phase, f.utr AS matched_utr, proof_paise,
+  status = 'SUBSET_MATCHED' AND list_contains(string_split(members, ','), ask.invoice_number) AS committable,
+  CASE WHEN status = 'SUBSET_MATCHED' AND NOT list_contains(string_split(members, ','), ask.invoice_number)
+    THEN 'NO_MATCH' ELSE status END AS subset_status
+FROM ask JOIN final f ON f.vendor_code = ask.vendor_code AND f.rutr IS NOT DISTINCT FROM ask.rutr
+  AND f.rpaise IS NOT DISTINCT FROM ask.rpaise""")
+def _(fx):
+    return matching.fast_path(_pool(fx), fx.settlements(named=True), _credits(fx), max_size=3).select(
+        "document_id", "invoice_number", "anchor_payout_id", "phase", "matched_utr", "proof_paise", "committable",
+        "subset_status")
+
+
+_FUZZY = f"""
+top20 AS (SELECT * FROM settle WHERE utr IS NOT NULL AND narration <> '' QUALIFY row_number() OVER (
+  PARTITION BY vendor_code ORDER BY ingested_epoch DESC, payout_id DESC) <= 20),
+fp AS (SELECT DISTINCT o.vendor_code, o.supplier_legal_name, t.payout_id, t.utr, t.amount_paise, t.ingested_epoch, t.narration
+  FROM (SELECT DISTINCT vendor_code, supplier_legal_name FROM {{names}}) o JOIN top20 t USING (vendor_code)),
+fpr AS (SELECT DISTINCT {{{{'s': supplier_legal_name, 'n': narration}}}} AS id, {source_sql('supplier_legal_name')} AS a,
+  {narration_sql('narration')} AS b FROM fp),
+{score_sql('fpr', 'f_').replace('{', '{{').replace('}', '}}')},
+fz AS (SELECT fp.*, s.score FROM fp JOIN f_scored s ON s.id = {{{{'s': supplier_legal_name, 'n': narration}}}}
+  WHERE s.score >= 0.85 QUALIFY row_number() OVER (PARTITION BY vendor_code, supplier_legal_name
+  ORDER BY s.score DESC, ingested_epoch DESC, payout_id DESC) = 1)"""
+
+
+@query("c10_best_settlement", needs=["open_inv", "settle"], sql=_FUZZY.format(names="open_inv") + """
+SELECT vendor_code, supplier_legal_name, payout_id AS fuzzy_payout_id, utr AS fuzzy_utr, score AS fuzzy_score FROM fz""")
+def _(fx):
+    return linking.best_settlement(_pool(fx), fx.settlements(named=True)).select(
+        "vendor_code", "supplier_legal_name", "fuzzy_payout_id", "fuzzy_utr", "fuzzy_score")
+
+
+@query("k5_b18_b19_exception_resolution", needs=["open_inv", "credits", "settle"], sql=subsets_sql(
+    "grand_total_paise - tds_deduction_paise", "amount_paise", 2) + """,
+cr AS (SELECT *, amount_paise AS amt FROM credits),
+""" + _BEST + """,
+unres AS (SELECT o.* FROM open_inv o LEFT JOIN best b ON b.vendor_code = o.vendor_code AND b.reference_id = o.invoice_number
+  WHERE b.utr IS NULL),
+""" + _FUZZY.format(names="unres") + """,
+ask AS (SELECT u.*, fz.utr AS rutr, NULL::bigint AS rpaise, fz.payout_id AS fuzzy_payout_id FROM unres u
+  LEFT JOIN fz ON fz.vendor_code = u.vendor_code AND fz.supplier_legal_name = u.supplier_legal_name),
+req AS (SELECT DISTINCT vendor_code, rutr, rpaise FROM ask WHERE rutr IS NOT NULL),
+""" + _DECIDE + """,
+joined AS (SELECT ask.document_id, fuzzy_payout_id, ask.rutr, coalesce(status = 'SUBSET_MATCHED'
+    AND list_contains(string_split(members, ','), ask.invoice_number), false) AS committable, status
+  FROM ask LEFT JOIN final f ON f.vendor_code = ask.vendor_code AND f.rutr = ask.rutr)
+SELECT document_id, fuzzy_payout_id, committable, CASE WHEN rutr IS NULL THEN 'ENTITY_MISMATCH' ELSE 'ENTITY_RESOLVED' END AS fuzzy_status,
+  CASE WHEN committable THEN NULL WHEN status = 'AMBIGUOUS_COLLISION' THEN 'AMBIGUOUS_COLLISION' ELSE 'NO_MATCH' END AS review_reason
+FROM joined""")
+def _(fx):
+    pool, settlements = _pool(fx), fx.settlements(named=True)
+    unresolved = reads.with_anchor(pool, settlements).filter("anchor_utr IS NULL").withColumn(
+        "subset_status", F.lit(matching.NO_MATCH))
+    return matching.resolve_exceptions(unresolved, settlements, _credits(fx), pool, max_size=2).select(
+        "document_id", "fuzzy_payout_id", "committable", "fuzzy_status", "review_reason")
