@@ -9,19 +9,6 @@ from pyspark.sql import SparkSession
 
 from ledgerloom.functions import text
 
-_LETTERS, _DIGITS = text.SOUNDEX_LETTERS, text.SOUNDEX_DIGITS
-
-
-def _nysiis_body() -> str:
-    s = r"regexp_replace(regexp_replace(lower(w), r'\Amac', 'mc'), r'\Apf', '')"
-    s = rf"regexp_replace(regexp_replace({s}, r'ey\z', 'y'), r'e\z', '')"
-    for old, new in text.NYSIIS_GROUPS:
-        s = f"replace({s}, '{old}', '{new}')"
-    s = f"concat(substring({s}, 1, 1), translate(substring({s}, 2), '{text.NYSIIS_FROM}', '{text.NYSIIS_TO}'))"
-    s = rf"regexp_replace(regexp_replace({s}, r'(.)\1+', '$1'), r'(?<=.)s\z', '')"
-    return rf"CASE WHEN NOT lower(w) RLIKE r'\A(pf)?e?\z' THEN rpad({s}, 6, 'a') END"
-
-
 def _words(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -41,11 +28,10 @@ def definitions() -> dict[str, str]:
         "ll_narration_tokens(s STRING) RETURNS ARRAY<STRING>":
             "filter(split(lower(s), '[^a-z0-9]+'), t -> t <> '' AND t NOT IN "
             f"({_words(text.CORPORATE_NOISE + text.BANK_NOISE)}) AND NOT t RLIKE r'\\A[0-9]+\\z')",
-        "ll_soundex(w STRING) RETURNS STRING":
-            f"CASE WHEN w = '' THEN '' ELSE rpad(concat(upper(substring(w, 1, 1)), substring(regexp_replace(translate("
-            f"regexp_replace(lower(w), '[^{_LETTERS}]', ''), '{_LETTERS}', '{_DIGITS}'), r'(.)\\1+', '$1'), "
-            f"CASE WHEN lower(substring(w, 1, 1)) RLIKE '[{_LETTERS}]' THEN 2 ELSE 1 END)), 4, '0') END",
-        "ll_nysiis(w STRING) RETURNS STRING": _nysiis_body(),
+        "ll_soundex(w STRING) RETURNS STRING": f"CASE WHEN w = '' THEN '' ELSE {text.soundex_sql('w')} END",
+        "ll_nysiis(w STRING) RETURNS STRING": text.nysiis_sql("w"),
+        "ll_token_set_match(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS STRUCT<score: DOUBLE, phonetic: BOOLEAN>":
+            text.token_set_sql("a", "b"),
         "ll_edit_within(a STRING, b STRING, n INT) RETURNS BOOLEAN": "levenshtein(a, b) <= n",
     }
 

@@ -135,36 +135,76 @@ def token_synonym(a: Column | str, b: Column | str) -> Column:
             .when(_edit(x, y), F.lit("edit")))
 
 
-def token_set_match(left: Column | str, right: Column | str) -> Column:
-    """``struct(score, phonetic)`` of two token arrays.
+def soundex_sql(w: str) -> str:
+    """:func:`soundex_code` as SQL text, for use inside lambdas."""
+    return (f"rpad(concat(upper(substring({w}, 1, 1)), substring(regexp_replace(translate(regexp_replace(lower({w}), "
+            f"'[^{SOUNDEX_LETTERS}]', ''), '{SOUNDEX_LETTERS}', '{SOUNDEX_DIGITS}'), r'(.)\\1+', '$1'), "
+            f"CASE WHEN lower(substring({w}, 1, 1)) RLIKE '[{SOUNDEX_LETTERS}]' THEN 2 ELSE 1 END)), 4, '0')")
+
+
+def nysiis_sql(w: str) -> str:
+    """:func:`nysiis_code` as SQL text."""
+    s = rf"regexp_replace(regexp_replace(lower({w}), r'\Amac', 'mc'), r'\Apf', '')"
+    s = rf"regexp_replace(regexp_replace({s}, r'ey\z', 'y'), r'e\z', '')"
+    for old, new in NYSIIS_GROUPS:
+        s = f"replace({s}, '{old}', '{new}')"
+    s = f"concat(substring({s}, 1, 1), translate(substring({s}, 2), '{NYSIIS_FROM}', '{NYSIIS_TO}'))"
+    s = rf"regexp_replace(regexp_replace({s}, r'(.)\1+', '$1'), r'(?<=.)s\z', '')"
+    return rf"CASE WHEN NOT lower({w}) RLIKE r'\A(pf)?e?\z' THEN rpad({s}, 6, 'a') END"
+
+
+def _sound_sql(x: str, y: str) -> str:
+    return (f"(({x}.s = {y}.s AND {x}.s NOT IN ('', '0000')) OR "
+            f"coalesce({x}.n = {y}.n AND {x}.n NOT IN ('', 'aaaaaa'), false))")
+
+
+def _prefix_sql(x: str, y: str) -> str:
+    return (f"(length({x}.t) >= {PREFIX_MIN_LENGTH} AND length({y}.t) >= {PREFIX_MIN_LENGTH} AND "
+            f"(startswith({x}.t, {y}.t) OR startswith({y}.t, {x}.t)))")
+
+
+def _edit_sql(x: str, y: str) -> str:
+    return (f"(length({x}.t) >= {EDIT_MIN_LENGTH} AND length({y}.t) >= {EDIT_MIN_LENGTH} AND "
+            f"levenshtein({x}.t, {y}.t, {EDIT_MAX_DISTANCE}) >= 0)")
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is then evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def token_set_sql(left: str, right: str) -> str:
+    """SQL text of the token-set score of two token arrays, ``struct<score, phonetic>``.
 
     One side containing the other scores smaller / larger. Otherwise every word found on one side only
     must pair with a free synonym on the other (left words in order, first free synonym wins); any word
     left over makes the score 0. With nothing left over the sides have equal size and the score is 1.
     """
-    a, b = F.array_distinct(_c(left)), F.array_distinct(_c(right))
-    only_a, only_b = F.array_except(a, b), F.array_except(b, a)
-
-    def pair(acc: Column, x: Column) -> Column:
-        hits = F.filter(acc["free"], lambda y: _phonetic(x, y) | _prefix(x, y) | _edit(x, y))
-        hit = F.get(hits, F.lit(0))
-        by_sound = _phonetic(x, hit) | (~_prefix(x, hit) & _edit(x, hit))
-        return F.struct(
-            F.filter(acc["free"], lambda y: hit.isNull() | (y["t"] != hit["t"])).alias("free"),
-            (acc["paired"] + F.when(hit.isNull(), 0).otherwise(1)).alias("paired"),
-            (acc["phonetic"] | F.coalesce(by_sound, F.lit(False))).alias("phonetic"))
-
-    start = F.struct(F.transform(only_b, _coded).alias("free"), F.lit(0).alias("paired"),
-                     F.lit(False).alias("phonetic"))
-    paired = F.aggregate(F.transform(only_a, _coded), start, pair)
-    complete = (F.size(paired["free"]) == 0) & (paired["paired"] == F.size(only_a))
-    contained = F.round(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)), 4)
-    no = F.lit(False)
-
-    def verdict(score: Column, phonetic: Column) -> Column:
-        return F.struct(score.cast("double").alias("score"), phonetic.alias("phonetic"))
-
-    return (F.when((F.size(a) == 0) & (F.size(b) == 0), verdict(F.lit(1.0), no))
-            .when((F.size(a) == 0) | (F.size(b) == 0), verdict(F.lit(0.0), no))
-            .when((F.size(only_a) == 0) | (F.size(only_b) == 0), verdict(contained, no))
-            .otherwise(verdict(F.when(complete, 1.0).otherwise(0.0), paired["phonetic"])))
+    def coded(words: str) -> str:
+        return f"transform({words}, t -> named_struct('t', t, 's', {soundex_sql('t')}, 'n', {nysiis_sql('t')}))"
+
+    def verdict(score: str, phonetic: str) -> str:
+        return f"named_struct('score', {score}, 'phonetic', {phonetic})"
+
+    synonym = f"({_sound_sql('x', 'y')} OR {_prefix_sql('x', 'y')} OR {_edit_sql('x', 'y')})"
+    heard = f"coalesce({_sound_sql('x', 'h')} OR (NOT {_prefix_sql('x', 'h')} AND {_edit_sql('x', 'h')}), false)"
+    step = _let("h", f"get(filter(acc.free, y -> {synonym}), 0)",
+                "named_struct('free', CASE WHEN h IS NULL THEN acc.free ELSE filter(acc.free, y -> y.t <> h.t) END, "
+                f"'paired', acc.paired + CASE WHEN h IS NULL THEN 0 ELSE 1 END, 'phonetic', acc.phonetic OR {heard})")
+    pairing = (f"aggregate(u.oa, named_struct('free', u.ob, 'paired', 0, 'phonetic', false), (acc, x) -> {step}, acc -> "
+               + verdict("CASE WHEN size(acc.free) = 0 AND acc.paired = size(u.oa) THEN 1.0D ELSE 0.0D END",
+                         "acc.phonetic") + ")")
+    choice = (f"CASE WHEN u.na = 0 AND u.nb = 0 THEN {verdict('1.0D', 'false')} "
+              f"WHEN u.na = 0 OR u.nb = 0 THEN {verdict('0.0D', 'false')} "
+              "WHEN size(u.oa) = 0 OR size(u.ob) = 0 THEN "
+              + verdict("cast(round(least(u.na, u.nb) / greatest(u.na, u.nb), 4) AS double)", "false")
+              + f" ELSE {pairing} END")
+    sides = ("named_struct('na', size(v.a), 'nb', size(v.b), "
+             f"'oa', {coded('array_except(v.a, v.b)')}, 'ob', {coded('array_except(v.b, v.a)')})")
+    return _let("v", f"named_struct('a', array_distinct({left}), 'b', array_distinct({right}))",
+                _let("u", sides, choice))
+
+
+def token_set_match(left: str, right: str) -> Column:
+    """``struct(score, phonetic)`` of two token-array columns, given by name."""
+    return F.expr(token_set_sql(left, right))

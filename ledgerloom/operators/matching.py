@@ -11,6 +11,7 @@ from ledgerloom.functions.text import MATCH_THRESHOLD, narration_tokens, source_
 from ledgerloom.operators.linking import MISMATCH, RESOLVED, best_settlement, score_distinct_pairs
 from ledgerloom.operators.reads import with_anchor
 from ledgerloom.operators.subsets import find_subsets
+from ledgerloom.scale import cut_lineage, spread_nulls
 
 # Outcomes of a matching request, and the default date tolerance.
 MATCHED, NO_MATCH, AMBIGUOUS = "SUBSET_MATCHED", "NO_MATCH", "AMBIGUOUS_COLLISION"
@@ -26,20 +27,23 @@ def request_of(invoices: DataFrame) -> DataFrame:
         "request_paise": F.when(F.col("anchor_utr").isNull(), F.col("target_paise"))})
 
 
-def _same(left: str, right: str) -> Column:
-    return F.col(left).eqNullSafe(F.col(right))
+def _key(utr: str, paise: str) -> Column:
+    """One join key for both kinds of request; NULL when it asks for nothing."""
+    return F.coalesce(F.concat(F.lit("utr:"), F.col(utr)), F.concat(F.lit("paise:"), F.col(paise).cast("string")))
 
 
 def requested_credits(requests: DataFrame, credits: DataFrame) -> DataFrame:
-    """Credits of each distinct request: those with its UTR, whatever the amount; or those with its amount."""
-    by_utr = requests.filter("request_utr IS NOT NULL").select("vendor_code", "request_utr").distinct()
-    by_amount = requests.filter("request_utr IS NULL").select("vendor_code", "request_paise").distinct()
-    rows = credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "narration", "amount_paise")
-    anchored = rows.withColumn("request_utr", F.col("utr_number")).filter("utr_number IS NOT NULL").join(
-        by_utr, ["vendor_code", "request_utr"]).withColumn("request_paise", F.lit(None).cast("long"))
-    open_ended = rows.withColumn("request_paise", F.col("amount_paise")).join(
-        by_amount, ["vendor_code", "request_paise"]).withColumn("request_utr", F.lit(None).cast("string"))
-    return anchored.unionByName(open_ended)
+    """Credits of each distinct request: those with its UTR, whatever the amount; or those with its amount.
+
+    A credit answers under up to two keys, so one join over one read of each side serves both kinds.
+    """
+    wanted = requests.select(*REQUEST, _key("request_utr", "request_paise").alias("key")).filter(
+        "key IS NOT NULL").distinct()
+    keys = F.array_compact(F.array(F.concat(F.lit("utr:"), F.col("utr_number")),
+                                   F.concat(F.lit("paise:"), F.col("amount_paise").cast("string"))))
+    rows = credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "narration", "amount_paise",
+                          F.explode(keys).alias("key"))
+    return rows.join(wanted, ["vendor_code", "key"])
 
 
 def matching_units(requests: DataFrame, credits: DataFrame, invoices: DataFrame, max_size: int | None = None,
@@ -54,6 +58,7 @@ def matching_units(requests: DataFrame, credits: DataFrame, invoices: DataFrame,
     groups = wanted.groupBy(*REQUEST, "amount_paise", "transaction_date", "__b").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("transaction_id", "utr_number")).alias("credit"))
     if subsets is None:
+        groups = cut_lineage(groups)
         subsets = find_subsets(groups.select("vendor_code", "amount_paise"), invoices, max_size, salts)
     return groups.join(subsets, ["vendor_code", "amount_paise"])
 
@@ -104,25 +109,21 @@ def decide(scored: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
 def match_requests(requests: DataFrame, credits: DataFrame, invoices: DataFrame,
                    tolerance_days: int = TOLERANCE_DAYS, max_size: int | None = None, salts: int = 1,
                    subsets: DataFrame | None = None) -> DataFrame:
-    """Verdict for every distinct request; one without any option is NO_MATCH."""
+    """``requests`` rows with the verdict of their request; one without any option is NO_MATCH."""
     units = matching_units(requests, credits, invoices, max_size, salts, subsets)
-    verdicts = decide(scored_units(units, tolerance_days))
-    distinct = requests.select(*REQUEST).distinct()
-    renamed = verdicts.withColumnsRenamed({k: f"v_{k}" for k in REQUEST})
-    on = _same("request_utr", "v_request_utr") & _same("request_paise", "v_request_paise") & (
-        F.col("vendor_code") == F.col("v_vendor_code"))
-    return distinct.join(renamed, on, "left").drop(*[f"v_{k}" for k in REQUEST]).withColumns({
+    verdicts = decide(scored_units(units, tolerance_days)).withColumn(
+        "key", _key("request_utr", "request_paise")).drop("request_utr", "request_paise")
+    # A request for nothing gets a key of its own row, so that such rows do not meet in one partition.
+    row = F.col("document_id" if "document_id" in requests.columns else "vendor_code")
+    keyed = requests.withColumn("key", spread_nulls(_key("request_utr", "request_paise"), row))
+    return keyed.join(verdicts, ["vendor_code", "key"], "left").drop("key").withColumns({
         "subset_status": F.coalesce("subset_status", F.lit(NO_MATCH)), "options": F.coalesce("options", F.lit(0))})
 
 
-def _per_invoice(invoices: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Each invoice with its request's verdict; a proof that leaves the invoice out reads as NO_MATCH for it."""
-    renamed = verdicts.withColumnsRenamed({k: f"v_{k}" for k in REQUEST})
-    on = _same("request_utr", "v_request_utr") & _same("request_paise", "v_request_paise") & (
-        F.col("vendor_code") == F.col("v_vendor_code"))
-    joined = invoices.join(renamed, on, "left").drop(*[f"v_{k}" for k in REQUEST])
+def _membership(verdicts: DataFrame) -> DataFrame:
+    """A proof that leaves the invoice out reads as NO_MATCH for it."""
     member = F.coalesce(F.array_contains("matched_invoices", F.col("invoice_number")), F.lit(False))
-    return joined.withColumn("committable", (F.col("subset_status") == MATCHED) & member).withColumn(
+    return verdicts.withColumn("committable", (F.col("subset_status") == MATCHED) & member).withColumn(
         "subset_status", F.when((F.col("subset_status") == MATCHED) & ~member, NO_MATCH).otherwise(F.col("subset_status")))
 
 
@@ -133,8 +134,7 @@ def fast_path(invoices: DataFrame, settlements: DataFrame, credits: DataFrame, p
     ``committable`` invoices carry a proof naming them; all others go to :func:`resolve_exceptions`.
     """
     asked = request_of(with_anchor(invoices, settlements))
-    verdicts = match_requests(asked, credits, pool if pool is not None else invoices, **options)
-    return _per_invoice(asked, verdicts)
+    return _membership(match_requests(asked, credits, pool if pool is not None else invoices, **options))
 
 
 def resolve_exceptions(unresolved: DataFrame, settlements: DataFrame, credits: DataFrame, pool: DataFrame,
@@ -148,14 +148,11 @@ def resolve_exceptions(unresolved: DataFrame, settlements: DataFrame, credits: D
         "subset_status", "phase", "options", "matched_invoices", "matched_utr", "transaction_id", "bank_date",
         "proof_paise", "committable", "request_utr", "request_paise")]
     first = unresolved.select(*keep, F.col("subset_status").alias("first_status"))
-    linked = first.join(best_settlement(first, settlements), ["vendor_code", "supplier_legal_name"], "left")
+    # Links feed both the requests and the result; the residue is small, and is linked once.
+    linked = cut_lineage(first.join(best_settlement(first, settlements), ["vendor_code", "supplier_legal_name"], "left"))
     asked = linked.withColumns({"request_utr": F.col("fuzzy_utr"), "request_paise": F.lit(None).cast("long")})
-    again = asked.filter("fuzzy_utr IS NOT NULL")
-    resolved = _per_invoice(again, match_requests(again, credits, pool, **options))
-    hopeless = asked.filter("fuzzy_utr IS NULL")
-    done = resolved.unionByName(hopeless, allowMissingColumns=True).withColumns({
-        "committable": F.coalesce("committable", F.lit(False)),
-        "subset_status": F.coalesce("subset_status", "first_status"),
+    done = _membership(match_requests(asked, credits, pool, **options)).withColumns({
+        "subset_status": F.when(F.col("fuzzy_utr").isNull(), F.col("first_status")).otherwise(F.col("subset_status")),
         "fuzzy_status": F.when(F.col("fuzzy_utr").isNull(), MISMATCH).otherwise(RESOLVED)})
     return done.withColumn("review_reason", F.when(~F.col("committable"), exception_reason(
         F.col("subset_status"), F.col("fuzzy_status"), F.lit(None).cast("string"))))

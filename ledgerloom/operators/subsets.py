@@ -69,10 +69,13 @@ def find_subsets(targets: DataFrame, invoices: DataFrame, max_size: int | None =
     """Sets per (vendor_code, amount_paise) of ``targets``, the first ``cap`` in search order.
 
     Columns: vendor_code, amount_paise, size, members (sorted), dates, supplier (single-member sets only).
-    ``max_size=None`` goes on until no partial set is left; each level is then written to the checkpoint
-    folder. A bound makes it one lazy plan, complete only for sets up to that size.
+    ``max_size=None`` goes on until no partial set is left; with a bound the result is complete only for
+    sets up to that size. Partial sets are written to the checkpoint folder level by level: each feeds both
+    the sets it closes and the next level, and is computed once.
     """
     pool, start = _pool(invoices, salts), _start(targets)
+    if max_size != 1:
+        start = cut_lineage(start)
     found = start.filter("amount_paise = 0").select(*_SETS)
     state = start.filter("amount_paise <> 0")
     size = 1
@@ -80,11 +83,9 @@ def find_subsets(targets: DataFrame, invoices: DataFrame, max_size: int | None =
         found = found.unionByName(_close(state, pool))
         if max_size is not None and size >= max_size:
             break
-        state = _grow(state, pool, salts)
-        if max_size is None:
-            state = cut_lineage(state)
-            if state.isEmpty():
-                break
+        state = cut_lineage(_grow(state, pool, salts))
+        if max_size is None and state.isEmpty():
+            break
         size += 1
     kept = first_per_key(found, ["vendor_code", "amount_paise"], [F.asc("path")], cap)
     return kept.select("vendor_code", "amount_paise", F.size("members").alias("size"),

@@ -118,7 +118,7 @@ SELECT vendor_code, rpaise AS request_paise, status AS subset_status, phase::int
 def _(fx):
     pool = _pool(fx, True)
     requests = pool.select("vendor_code", F.lit(None).cast("string").alias("request_utr"),
-                           F.col("net_paise").alias("request_paise"))
+                           F.col("net_paise").alias("request_paise")).distinct()
     return matching.match_requests(requests, _credits(fx, True), pool, max_size=2).select(
         "vendor_code", "request_paise", "subset_status", "phase", "options",
         F.array_join("matched_invoices", ",").alias("matched_invoices"), "transaction_id")

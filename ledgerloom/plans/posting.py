@@ -1 +1,222 @@
-"""Queries."""
+"""Posting, ledger and review queue."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import envelopes, money
+from ledgerloom.operators import exceptions, posting, reads
+from ledgerloom.plans.registry import query
+
+
+def _nets(fx):
+    return fx.invoices().withColumn("net_paise", reads.net_paise())
+
+
+@query("b15_g4_ledger_guard", needs=["open_inv"], sql="""
+SELECT document_id, CASE WHEN k % 10 = 1 THEN 'NOT_MATCHED' WHEN k % 10 = 2 THEN 'UTR_DIFFERS' WHEN k % 10 = 3 THEN 'INVOICES_DIFFER'
+  WHEN k % 10 = 4 THEN 'INVOICE_NOT_IN_PROOF' WHEN k % 10 = 5 THEN 'INVALID_PAISE_CASTING' WHEN k % 10 = 6 THEN 'AMOUNT_DIFFERS' END AS guard_reason
+FROM open_inv""")
+def _(fx):
+    rows = fx.open_invoices().withColumn("net_paise", reads.net_paise()).selectExpr(
+        "document_id", "CASE WHEN k % 10 = 4 THEN 'INV-X' ELSE invoice_number END AS invoice_number",
+        "CASE WHEN k % 10 = 1 THEN 'NO_MATCH' ELSE 'SUBSET_MATCHED' END AS subset_status",
+        "'U1' AS matched_utr", "CASE WHEN k % 10 = 2 THEN 'U2' ELSE 'U1' END AS request_utr",
+        "array(invoice_number, 'INV-OTHER') AS matched_invoices",
+        "CASE WHEN k % 10 = 3 THEN array(invoice_number) ELSE array('INV-OTHER', invoice_number, 'INV-OTHER') END AS request_invoices",
+        "net_paise AS proof_paise", "k", "net_paise")
+    rows = rows.withColumn("request_amount", F.when(F.expr("k % 10 = 5"), "1,000").when(
+        F.expr("k % 10 = 6"), money.paise_to_rupees(F.col("net_paise") + 1)).otherwise(money.paise_to_rupees("net_paise")))
+    return posting.ledger_guard(rows).select("document_id", "guard_reason")
+
+
+@query("b16_amounts_guard", needs=["inv"], sql="""
+SELECT document_id, CASE WHEN k % 7 = 1 THEN 'INVOICE_DIFFERS' WHEN k % 7 IN (2, 3) THEN 'AMOUNTS_DIFFER' END AS guard_reason FROM inv""")
+def _(fx):
+    rows = fx.invoices().withColumns({
+        "claimed_invoice": F.expr("CASE WHEN k % 7 = 1 THEN 'INV-X' ELSE invoice_number END"),
+        "claimed_grand_total": money.paise_to_rupees(F.expr("grand_total_paise + CASE WHEN k % 7 = 2 THEN 1 ELSE 0 END")),
+        "claimed_tds": money.paise_to_rupees(F.expr("tds_deduction_paise + CASE WHEN k % 7 = 3 THEN 1 ELSE 0 END"))})
+    return posting.amounts_guard(rows).select("document_id", "guard_reason")
+
+
+def _proofs(fx):
+    """One proof per open invoice pair (k, k + 15) of a vendor bucket; every fifth total is wrong, every 13th lacks a UTR."""
+    inv = _nets(fx).filter("k % 5 <> 4").selectExpr(
+        "concat('proof_', custkey, '_', k % 2) AS proof_id", "vendor_code", "custkey", "k % 2 AS half", "invoice_number", "net_paise")
+    pick = inv.groupBy("proof_id", "vendor_code", "custkey", "half").agg(
+        F.min(F.struct("invoice_number", "net_paise")).alias("lo"), F.max(F.struct("invoice_number", "net_paise")).alias("hi"))
+    return pick.selectExpr(
+        "proof_id", "vendor_code", "array_distinct(array(lo.invoice_number, hi.invoice_number)) AS matched_invoices",
+        "CASE WHEN custkey % 13 <> 0 THEN concat('U', custkey) END AS matched_utr", "concat('pout_', custkey) AS payout_id",
+        "CASE WHEN lo.invoice_number = hi.invoice_number THEN lo.net_paise ELSE lo.net_paise + hi.net_paise END"
+        " + CASE WHEN custkey % 5 = 0 THEN 1 ELSE 0 END AS proof_paise")
+
+
+_PROOFS = """
+pk AS (SELECT vendor_code, custkey, k % 2 AS half, min((invoice_number, document_id, n, k)) AS lo, max((invoice_number, document_id, n, k)) AS hi
+  FROM (SELECT *, grand_total_paise - tds_deduction_paise AS n FROM inv WHERE k % 5 <> 4) GROUP BY 1, 2, 3),
+pf AS (SELECT *, 'proof_' || custkey || '_' || half AS proof_id, CASE WHEN custkey % 13 = 0 OR custkey % 5 = 0 THEN 'PREREQUISITE_FAILED'
+  WHEN lo[2] IN (SELECT document_id FROM recs) OR hi[2] IN (SELECT document_id FROM recs) THEN 'DUPLICATE_EVENT' ELSE 'LEDGER_COMMITTED' END AS status FROM pk),
+pd AS (SELECT proof_id, vendor_code, custkey, unnest(CASE WHEN lo[1] = hi[1] THEN [lo] ELSE [lo, hi] END) AS m FROM pf WHERE status = 'LEDGER_COMMITTED')
+"""
+
+
+@query("k6_c14_posting", needs=["inv", "recs"], sql=_PROOFS + """
+SELECT 'evt_' || sha256(m[2] || '|' || 'U' || custkey) AS idempotency_event_id, m[2] AS document_id, m[1] AS invoice_number, vendor_code,
+  'U' || custkey AS utr_number, 'pout_' || custkey AS payout_id, m[3] AS net_settled_amount_paise FROM pd""")
+def _(fx):
+    posted, _ = posting.post_matches(_proofs(fx), _nets(fx), fx.reconciliations(), F.col("proof_id"))
+    return posted
+
+
+@query("k6_posting_status", needs=["inv", "recs"], sql=_PROOFS + "SELECT proof_id, status AS posting_status FROM pf")
+def _(fx):
+    _, statuses = posting.post_matches(_proofs(fx), _nets(fx), fx.reconciliations(), F.col("proof_id"))
+    return statuses.select("proof_id", "posting_status")
+
+
+@query("h24_completed_events", needs=["inv", "recs"], sql=_PROOFS + """
+SELECT 'reconciliation.completed.events' AS topic, vendor_code AS key,
+  '{"specversion":"1.0","type":"invoice.reconciled","source":"/layer2/agent","id":"evt_' || sha256(m[2] || '|' || 'U' || custkey) ||
+  '","time":null,"data":{"vendor_code":"' || vendor_code || '","matched_invoices":["' || m[1] || '"],"razorpay_payout_id":"pout_' || custkey ||
+  '","bank_utr_number":"U' || custkey || '","total_reconciled_amount":"' || (m[3] // 100) || '.' || lpad((m[3] % 100)::varchar, 2, '0') || '"}}' AS value
+FROM pd""")
+def _(fx):
+    posted, _ = posting.post_matches(_proofs(fx), _nets(fx), fx.reconciliations(), F.col("proof_id"))
+    return posting.completed_events(posted)
+
+
+def _completed(fx):
+    """Completed events for the reconciliations, some broken, every seventh delivered twice."""
+    r = fx.reconciliations()
+    broken = r.withColumns({
+        "vendor": F.expr("CASE WHEN k % 20 = 1 THEN '' ELSE vendor_code END"),
+        "list": F.expr("CASE WHEN k % 20 = 2 THEN array() WHEN k % 20 = 3 THEN array(invoice_number, '') ELSE array(invoice_number) END"),
+        "total": F.expr("CASE WHEN k % 20 = 4 THEN 'x' END"),
+        "debit": F.expr("CASE WHEN k % 20 = 5 THEN '9.00' END")})
+    data = F.struct(F.col("vendor").alias("vendor_code"), F.col("list").alias("matched_invoices"),
+                    F.col("payout_id").alias("razorpay_payout_id"), F.col("utr_number").alias("bank_utr_number"),
+                    F.coalesce("total", money.paise_to_rupees("net_settled_amount_paise")).alias("total_reconciled_amount"),
+                    F.col("debit").alias("debit_amount"))
+    text = broken.select("k", F.to_json(F.struct(F.lit("/layer2/agent").alias("source"),
+                                                 F.col("idempotency_event_id").alias("id"), data.alias("data"))).alias("value"))
+    return text.unionByName(text.filter("k % 7 = 0"))
+
+
+_PARSED = """
+pe AS (SELECT *, CASE WHEN utr_number IS NULL OR k % 20 IN (1, 2, 3) THEN 'MALFORMED_PAYLOAD' WHEN k % 20 = 4 THEN 'INVALID_PAISE_CASTING'
+  WHEN k % 20 = 5 THEN 'ORPHANED_DEBIT_CREDIT_MISMATCH' END AS error_code FROM recs),
+good AS (SELECT * FROM pe WHERE error_code IS NULL AND k % 9 <> 0)
+"""
+
+
+def _records(fx):
+    parsed = posting.parse_completed(_completed(fx))
+    processed = fx.reconciliations().filter("k % 9 = 0").select(F.col("idempotency_event_id").alias("event_id"))
+    return posting.new_records(parsed, processed)
+
+
+@query("b14_completed_validation", needs=["recs"], sql=_PARSED + """
+SELECT idempotency_event_id AS event_id, error_code, count(*) * CASE WHEN k % 7 = 0 THEN 2 ELSE 1 END AS deliveries FROM pe GROUP BY 1, 2, k""")
+def _(fx):
+    return posting.parse_completed(_completed(fx)).groupBy("event_id", "error_code").agg(F.count(F.lit(1)).alias("deliveries"))
+
+
+@query("h32_g1_ledger_lines", needs=["recs"], sql=_PARSED + """
+SELECT sha256(idempotency_event_id) AS batch_id, t.account_type, CASE WHEN t.entry_type = 'DEBIT' THEN t.account_name || vendor_code ELSE t.account_name END AS account_name,
+  t.entry_type, net_settled_amount_paise AS amount_paise, utr_number, invoice_number AS cleared FROM good,
+  (VALUES ('LIABILITY', 'Accounts Payable - ', 'DEBIT'), ('ASSET', 'HDFC Corporate Current Account', 'CREDIT')) t(account_type, account_name, entry_type)""")
+def _(fx):
+    return posting.ledger_lines(_records(fx)).select(
+        "batch_id", "account_type", "account_name", "entry_type", "amount_paise", "utr_number",
+        F.array_join("cleared_invoice_ids", ",").alias("cleared"))
+
+
+@query("c13_d9_headers_with_lines", needs=["recs"], sql=_PARSED + """
+SELECT sha256(idempotency_event_id) AS batch_id, vendor_code, net_settled_amount_paise AS total_reconciled_amount_paise, net_settled_amount_paise AS debit_paise,
+  net_settled_amount_paise AS credit_paise, 0::bigint AS imbalance_paise, 2::int AS n_lines FROM good""")
+def _(fx):
+    records = _records(fx)
+    return posting.headers_with_lines(posting.ledger_headers(records), posting.ledger_lines(records)).select(
+        "batch_id", "vendor_code", "total_reconciled_amount_paise", "debit_paise", "credit_paise", "imbalance_paise",
+        F.size("lines").alias("n_lines"))
+
+
+@query("d10_ledger_totals", needs=["recs"], sql=_PARSED + """
+SELECT count(*) AS batches, sum(net_settled_amount_paise)::bigint AS debit_paise, sum(net_settled_amount_paise)::bigint AS credit_paise, 0::bigint AS imbalance_paise FROM good""")
+def _(fx):
+    records = _records(fx)
+    return posting.ledger_totals(posting.headers_with_lines(posting.ledger_headers(records), posting.ledger_lines(records)))
+
+
+@query("f2_newest_headers", needs=["recs"], sql=_PARSED + """
+SELECT sha256(idempotency_event_id) AS batch_id, vendor_code, utr_number, reconciled_epoch AS created_epoch FROM good
+ORDER BY created_epoch DESC, batch_id LIMIT 50""")
+def _(fx):
+    headers = posting.ledger_headers(_records(fx)).join(
+        fx.reconciliations().select("idempotency_event_id", F.col("reconciled_epoch").alias("created_epoch")), "idempotency_event_id")
+    return reads.newest_headers(headers).select("batch_id", "vendor_code", "utr_number", "created_epoch")
+
+
+@query("a9_fatal_side_output", needs=["recs"], sql=_PARSED + """
+SELECT error_code, count(*) AS n FROM pe WHERE error_code IS NOT NULL GROUP BY 1""")
+def _(fx):
+    parsed = posting.parse_completed(_completed(fx).dropDuplicates(["value"]))
+    return posting.fatal_events(parsed).groupBy(F.get_json_object("value", "$.data.error_code").alias("error_code")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _reviews(fx):
+    return fx.open_invoices().withColumn("utr", fx._utr()).selectExpr(
+        "k", "vendor_code", "document_id", "invoice_number", "utr",
+        "element_at(array('NO_MATCH', 'AMBIGUOUS_COLLISION', '  '), cast(k % 3 + 1 AS int)) AS review_reason",
+        "CASE k % 4 WHEN 0 THEN concat(k, '.5') WHEN 1 THEN 'garbage' WHEN 2 THEN '-5' END AS variance",
+        "CASE WHEN k % 6 <> 0 THEN concat('review ', invoice_number) END AS message")
+
+
+_TICKETS = """
+rv AS (SELECT *, CASE k % 3 WHEN 0 THEN 'NO_MATCH' WHEN 1 THEN 'AMBIGUOUS_COLLISION' ELSE 'REASON_UNSPECIFIED' END AS reason FROM open_inv)
+"""
+
+
+@query("k7_h26_tickets_from_review", needs=["open_inv"], sql=_TICKETS + """
+SELECT 'evt_' || sha256(document_id || '|' || reason) AS source_event_id, vendor_code, utr AS bank_utr_number, invoice_number AS flagged,
+  reason AS exception_reason, CASE WHEN k % 4 = 0 THEN k * 100 + 50 END AS variance_delta_paise,
+  CASE WHEN k % 6 <> 0 THEN 'review ' || invoice_number ELSE 'No message provided.' END AS human_readable_message
+FROM rv WHERE k % 9 <> 0""")
+def _(fx):
+    events = exceptions.exception_events(_reviews(fx))
+    replay = events.unionByName(events.filter("length(value) % 2 = 0"))
+    done = _reviews(fx).filter("k % 9 = 0").select(envelopes.event_id(
+        F.col("document_id"), F.coalesce(F.nullif(F.trim("review_reason"), F.lit("")), F.lit("REASON_UNSPECIFIED"))).alias("event_id"))
+    return exceptions.new_tickets(exceptions.tickets_from_dlq(replay), done).select(
+        "source_event_id", "vendor_code", "bank_utr_number", F.array_join("flagged_invoice_ids", ",").alias("flagged"),
+        "exception_reason", "variance_delta_paise", "human_readable_message")
+
+
+@query("g2_tickets_both_sources", needs=["open_inv", "recs"], sql=_PARSED.rstrip() + "," + _TICKETS + """
+SELECT source_topic, exception_reason, count(*) AS n, sum(variance)::bigint AS variance_paise FROM (
+  SELECT 'reconciliation.dlq.events' AS source_topic, reason AS exception_reason, CASE WHEN k % 4 = 0 THEN k * 100 + 50 END AS variance FROM rv
+  UNION ALL SELECT 'reconciliation.completed.events', error_code, CASE WHEN error_code LIKE 'ORPHANED%' THEN 900 - net_settled_amount_paise END
+  FROM pe WHERE error_code IS NOT NULL) GROUP BY 1, 2""")
+def _(fx):
+    fatal = exceptions.tickets_from_fatal(posting.parse_completed(_completed(fx)))
+    both = exceptions.tickets_from_dlq(exceptions.exception_events(_reviews(fx))).unionByName(fatal)
+    none = fx.spark.createDataFrame([], "event_id string")
+    return exceptions.new_tickets(both, none).groupBy("source_topic", "exception_reason").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("variance_delta_paise").alias("variance_paise"))
+
+
+@query("b22_ticket_moves", needs=["tickets"], sql="""
+m AS (SELECT *, CASE WHEN k % 5 <> 4 THEN ['OPEN', 'IN_REVIEW', 'RESOLVED', 'CLOSED'][k // 4 % 4 + 1] END AS new_status FROM tickets),
+j AS (SELECT *, coalesce((status = 'OPEN' AND new_status = 'IN_REVIEW') OR (status = 'IN_REVIEW' AND new_status IN ('RESOLVED', 'CLOSED')), false) AS ok FROM m)
+SELECT ticket_id, CASE WHEN ok THEN new_status ELSE status END AS status,
+  CASE WHEN new_status IS NOT NULL THEN CASE WHEN ok THEN 'allowed' ELSE 'rejected' END END AS move_result,
+  CASE WHEN ok AND new_status IN ('RESOLVED', 'CLOSED') THEN 'user_' || k END AS resolved_by FROM j""")
+def _(fx):
+    t = fx.tickets()
+    moves = t.filter("k % 5 <> 4").selectExpr(
+        "ticket_id", "element_at(array('OPEN', 'IN_REVIEW', 'RESOLVED', 'CLOSED'), cast(k div 4 % 4 + 1 AS int)) AS new_status",
+        "concat('user_', k) AS moved_by", "created_epoch + 60 AS moved_epoch")
+    return exceptions.move_tickets(t, moves).select("ticket_id", "status", "move_result", "resolved_by")
