@@ -1 +1,58 @@
-"""Queries."""
+"""Page grouping and page text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import pages
+from ledgerloom.plans.registry import query
+
+_SIG = """
+sig AS (SELECT batch_id, page_index, regexp_matches(text, '\\b(invoice|bill\\s+to)\\b', 'i') AS kw,
+  nullif(regexp_extract(text, '(?:invoice|inv|bill)\\s+(?:no|number|#|num)\\s*[:.\\-]?\\s*([A-Z0-9][\\w\\-/]{2,30})', 1, 'i'), '') AS number,
+  regexp_matches(text, '\\b(grand\\s+total|total\\s+amount|amount\\s+due|balance\\s+due|net\\s+payable|total\\s+payable|invoice\\s+total)\\b', 'i') AS total,
+  regexp_matches(text, '\\b(bank\\s+name|account\\s+no|account\\s+number|ifsc|swift|upi|neft|rtgs|micr|bank\\s+details|payment\\s+details)\\b', 'i') AS bank,
+  nullif(regexp_extract(text, '\\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9]Z[A-Z0-9]\\b'), '') AS tax_id,
+  regexp_matches(text, '\\b(authorized\\s+signatory|signature|sign\\s+here|stamp|seal|date\\s*:\\s*|for\\s+and\\s+on\\s+behalf)\\b', 'i') AS signed,
+  len(list_filter(['cover sheet', 'summary', 'email', 'from:', 'to:', 'subject:', 're:', 'forwarded', 'printed from', 'page 1 of', 'confidential'],
+    lambda m: contains(lower(text), m))) > 0 AS cover, trim(text) = '' AS blank FROM page_text),
+typed AS (SELECT *, CASE WHEN blank THEN 'unrelated' WHEN cover THEN 'cover' WHEN kw THEN 'header' WHEN total OR bank THEN 'body' ELSE 'continuation' END AS page_type,
+  CASE WHEN blank THEN 0.9 WHEN cover THEN 0.85 WHEN kw AND number IS NOT NULL THEN 0.95 WHEN kw THEN 0.7 WHEN total AND signed THEN 0.8
+    WHEN total THEN 0.6 WHEN bank THEN 0.5 ELSE 0.4 END::double AS page_confidence FROM sig),
+flag AS (SELECT *, row_number() OVER w = 1 AS is_first, page_type IN ('header', 'cover') OR coalesce(tax_id <> lag(tax_id) OVER w, false) AS opens
+  FROM typed WINDOW w AS (PARTITION BY batch_id ORDER BY page_index)),
+grp AS (SELECT *, is_first OR opens AS is_owner, sum(CASE WHEN is_first THEN 0 WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id ORDER BY page_index)::bigint AS invoice_index FROM flag)
+"""
+
+
+@query("h22_h23_page_signals", needs=["page_text"], sql=_SIG + """
+SELECT batch_id, page_index, number AS invoice_number, tax_id, page_type, page_confidence FROM typed""")
+def _(fx):
+    return pages.with_page_signals(fx.page_text()).select(
+        "batch_id", "page_index", "invoice_number", "tax_id", "page_type", "page_confidence")
+
+
+@query("e1_e2_page_groups", needs=["page_text"], sql=_SIG + "SELECT batch_id, page_index, invoice_index, is_owner FROM grp")
+def _(fx):
+    return pages.group_pages(pages.with_page_signals(fx.page_text())).select("batch_id", "page_index", "invoice_index", "is_owner")
+
+
+@query("d13_group_summary", needs=["page_text"], sql=_SIG + """,
+g AS (SELECT batch_id, invoice_index, count(*) AS pages, min(page_index) AS first_page,
+  first(number ORDER BY page_index) FILTER (number IS NOT NULL) AS number, round(avg(page_confidence), 4) AS confidence FROM grp GROUP BY 1, 2),
+s AS (SELECT *, sum(pages) OVER (PARTITION BY batch_id) = 1 AS alone FROM g)
+SELECT batch_id, invoice_index, pages, first_page, CASE WHEN NOT alone THEN number END AS invoice_number,
+  CASE WHEN alone THEN 1.0 ELSE confidence END AS confidence, NOT alone AND (confidence < 0.5 OR number IS NULL) AS needs_review FROM s""")
+def _(fx):
+    return pages.invoice_groups(pages.group_pages(pages.with_page_signals(fx.page_text())))
+
+
+@query("d12_words_to_page_text", sql="""
+w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS position FROM documents),
+c AS (SELECT *, (length(word) * 13 + position) % 100 - 9 AS confidence FROM w)
+SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY position) FILTER (confidence > 0), '') AS text,
+  round(coalesce(avg(confidence) FILTER (confidence > 0), 0), 6) AS mean_confidence FROM c GROUP BY 1""")
+def _(fx):
+    words = fx.table("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("position", "word")).withColumn(
+        "confidence", ((F.length("word") * 13 + F.col("position")) % 100 - 9).cast("double"))
+    return pages.page_text_from_words(words, ["doc_id"]).withColumn("mean_confidence", F.round("mean_confidence", 6))
