@@ -120,7 +120,7 @@ def match_requests(requests: DataFrame, credits: DataFrame, invoices: DataFrame,
         "subset_status": F.coalesce("subset_status", F.lit(NO_MATCH)), "options": F.coalesce("options", F.lit(0))})
 
 
-def _membership(verdicts: DataFrame) -> DataFrame:
+def settle(verdicts: DataFrame) -> DataFrame:
     """A proof that leaves the invoice out reads as NO_MATCH for it."""
     member = F.coalesce(F.array_contains("matched_invoices", F.col("invoice_number")), F.lit(False))
     return verdicts.withColumn("committable", (F.col("subset_status") == MATCHED) & member).withColumn(
@@ -134,7 +134,7 @@ def fast_path(invoices: DataFrame, settlements: DataFrame, credits: DataFrame, p
     ``committable`` invoices carry a proof naming them; all others go to :func:`resolve_exceptions`.
     """
     asked = request_of(with_anchor(invoices, settlements))
-    return _membership(match_requests(asked, credits, pool if pool is not None else invoices, **options))
+    return settle(match_requests(asked, credits, pool if pool is not None else invoices, **options))
 
 
 def resolve_exceptions(unresolved: DataFrame, settlements: DataFrame, credits: DataFrame, pool: DataFrame,
@@ -151,7 +151,7 @@ def resolve_exceptions(unresolved: DataFrame, settlements: DataFrame, credits: D
     # Links feed both the requests and the result; the residue is small, and is linked once.
     linked = cut_lineage(first.join(best_settlement(first, settlements), ["vendor_code", "supplier_legal_name"], "left"))
     asked = linked.withColumns({"request_utr": F.col("fuzzy_utr"), "request_paise": F.lit(None).cast("long")})
-    done = _membership(match_requests(asked, credits, pool, **options)).withColumns({
+    done = settle(match_requests(asked, credits, pool, **options)).withColumns({
         "subset_status": F.when(F.col("fuzzy_utr").isNull(), F.col("first_status")).otherwise(F.col("subset_status")),
         "fuzzy_status": F.when(F.col("fuzzy_utr").isNull(), MISMATCH).otherwise(RESOLVED)})
     return done.withColumn("review_reason", F.when(~F.col("committable"), exception_reason(

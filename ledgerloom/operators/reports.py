@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.dates import expected_bank_date, midnight_epoch
 from ledgerloom.functions.labels import (SUBSET_MESSAGE_CAP, TERMINAL_DETAIL_CAP, cleared_text, exception_text)
 from ledgerloom.functions.money import format_inr
-from ledgerloom.scale import first_per_key, ordinal, ordinal_from_end, running_sum
+from ledgerloom.scale import first_per_key, ordinal, ordinal_from_end, running_sum, spread_nulls
 
 # Terminal states, texts that tell a deterministic note from an answer, and report sizes.
 COMMITTED_STATES = ("LEDGER_COMMITTED", "ALREADY_COMMITTED")
@@ -40,10 +40,18 @@ def invoice_telemetry(items: DataFrame, invoices: DataFrame, reconciliations: Da
     inv = invoices.select("document_id", "processing_status",
                           (F.col("grand_total_paise") - F.col("tds_deduction_paise")).alias("net_paise"))
     rec = reconciliations.select("document_id", "utr_number", "payout_id", "net_settled_amount_paise")
-    rows = items.join(inv, "document_id", "left").join(rec, "document_id", "left").join(
-        reasons, ["batch_id", "invoice_number"], "left")
-    return rows.join(paths, "document_id", "left") if paths is not None else rows.withColumn(
-        "path", F.lit(None).cast("string"))
+    # Failed items have no document; each gets a key of its own, so that they do not meet in one partition.
+    item = [F.col("batch_id"), F.col("row_number").cast("string")]
+    keyed = items.withColumns({"__doc": spread_nulls(F.col("document_id"), *item),
+                               "__number": spread_nulls(F.col("invoice_number"), *item)})
+    facts = inv.join(rec, "document_id", "left")
+    if paths is not None:
+        facts = facts.join(paths, "document_id", "left")
+    else:
+        facts = facts.withColumn("path", F.lit(None).cast("string"))
+    return (keyed.join(facts.withColumnRenamed("document_id", "__doc"), "__doc", "left")
+            .join(reasons.withColumnRenamed("invoice_number", "__number"), ["batch_id", "__number"], "left")
+            .drop("__doc", "__number"))
 
 
 def _set(name: str) -> Column:

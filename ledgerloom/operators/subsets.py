@@ -65,10 +65,11 @@ def _grow(state: DataFrame, pool: DataFrame, salts: int) -> DataFrame:
 
 
 def find_subsets(targets: DataFrame, invoices: DataFrame, max_size: int | None = None, salts: int = 1,
-                 cap: int = MAX_SUBSETS) -> DataFrame:
+                 cap: int | None = MAX_SUBSETS) -> DataFrame:
     """Sets per (vendor_code, amount_paise) of ``targets``, the first ``cap`` in search order.
 
-    Columns: vendor_code, amount_paise, size, members (sorted), dates, supplier (single-member sets only).
+    Columns: vendor_code, amount_paise, size, members (sorted), dates, supplier (single-member sets only) and
+    path, the members with their nets in search order. ``cap=None`` keeps all sets.
     ``max_size=None`` goes on until no partial set is left; with a bound the result is complete only for
     sets up to that size. Partial sets are written to the checkpoint folder level by level: each feeds both
     the sets it closes and the next level, and is computed once.
@@ -87,6 +88,14 @@ def find_subsets(targets: DataFrame, invoices: DataFrame, max_size: int | None =
         if max_size is None and state.isEmpty():
             break
         size += 1
-    kept = first_per_key(found, ["vendor_code", "amount_paise"], [F.asc("path")], cap)
-    return kept.select("vendor_code", "amount_paise", F.size("members").alias("size"),
-                       F.array_sort("members").alias("members"), "dates", "supplier")
+    return _shown(first_in_search_order(found, cap)) if cap else _shown(found)
+
+
+def first_in_search_order(found: DataFrame, cap: int = MAX_SUBSETS) -> DataFrame:
+    """The first ``cap`` sets per amount, in the order the search meets them."""
+    return first_per_key(found, ["vendor_code", "amount_paise"], [F.asc("path")], cap)
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("vendor_code", "amount_paise", F.size("members").alias("size"),
+                        F.array_sort("members").alias("members"), "dates", "supplier", "path")

@@ -183,3 +183,12 @@ def _(fx):
         "subset_status", F.lit(matching.NO_MATCH))
     return matching.resolve_exceptions(unresolved, settlements, _credits(fx), pool, max_size=2).select(
         "document_id", "fuzzy_payout_id", "committable", "fuzzy_status", "review_reason")
+
+
+@query("k8_batch_in_order")
+def _(fx):
+    from ledgerloom.operators.batchrun import reconcile_in_order
+    order = fx.items().select(F.col("k"), "row_number", "batch_id")
+    pool = _pool(fx).join(order, "k").withColumn("run_order", F.struct("row_number", "document_id"))
+    outcomes, _ = reconcile_in_order(pool, fx.settlements(named=True), _credits(fx))
+    return outcomes.select("document_id", "terminal", "subset_status", "phase", "utr")
