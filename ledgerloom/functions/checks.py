@@ -39,6 +39,7 @@ SUSPECT_NUMBER = r'":\s*+(?:null|-?[0-9]++[.eE])|"\s++:'
 REQUIRED_SUMMARY_NUMBERS = ("subtotal_paise", "total_tax_paise", "grand_total_paise")
 CHECKED_LINE_NUMBERS = ("quantity", "unit_price_paise", "taxable_value_paise", "igst_paise", "cgst_paise",
                         "sgst_paise", "total_paise")
+SUMMED_LINE_NUMBERS = ("taxable_value_paise", "igst_paise", "cgst_paise", "sgst_paise")
 
 # States and the default document type.
 VALIDATED, FLAGGED, FAILED = "VALIDATED", "EXCEPTION_FLAGGED", "FAILED"
@@ -152,6 +153,10 @@ def summary_errors(doc: Column) -> Column:
         F.when(_listed(doc["nulls"], last, n), F.lit(n + " null"))
         .when(_listed(doc["floats"], last, n) | _amount(summary[n]).isNull(), F.concat(F.lit(n + " "), summary[n]))
         for n in SUMMARY_NUMBERS]))
+    # An amount of a line that cannot be summed stops the summary check in the same way.
+    bad_lines = F.filter(F.transform(line_items, lambda x, i: F.array_contains(F.array(*[
+        _listed(doc["nulls"], i, n) | _listed(doc["floats"], i, n) | _amount(x[n]).isNull() for n in SUMMED_LINE_NUMBERS]), True)),
+        lambda b: b)
 
     def s(name: str) -> Column:
         return _amount(summary[name])
@@ -182,8 +187,8 @@ def summary_errors(doc: Column) -> Column:
         F.when((s("tds_deduction_paise") > s("subtotal_paise")) & (s("subtotal_paise") > 0), F.concat(
             F.lit("tds_deduction_paise "), t("tds_deduction_paise"), F.lit(" exceeds subtotal "),
             t("subtotal_paise")))))
-    return F.when(F.size(bad) > 0, F.array(F.concat(
-        F.lit("Financial summary validation error: "), bad[0]))).otherwise(found)
+    return F.when((F.size(bad) > 0) | (F.size(bad_lines) > 0), F.array(F.concat(
+        F.lit("Financial summary validation error: "), F.coalesce(F.get(bad, F.lit(0)), F.lit("line item amount"))))).otherwise(found)
 
 
 def checksum_errors(doc: Column) -> Column:

@@ -192,3 +192,10 @@ def _(fx):
     pool = _pool(fx).join(order, "k").withColumn("run_order", F.struct("row_number", "document_id"))
     outcomes, _ = reconcile_in_order(pool, fx.settlements(named=True), _credits(fx))
     return outcomes.select("document_id", "terminal", "subset_status", "phase", "utr")
+
+
+@query("j1_tools_one_pass")
+def _(fx):
+    from ledgerloom.tools import reconcile_snapshot
+    _, outcomes = reconcile_snapshot(_pool(fx), fx.settlements(named=True), _credits(fx), fx.reconciliations(), max_size=3)
+    return outcomes.select("document_id", "terminal", "utr", "review_reason")

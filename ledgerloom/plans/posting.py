@@ -220,3 +220,25 @@ def _(fx):
         "ticket_id", "element_at(array('OPEN', 'IN_REVIEW', 'RESOLVED', 'CLOSED'), cast(k div 4 % 4 + 1 AS int)) AS new_status",
         "concat('user_', k) AS moved_by", "created_epoch + 60 AS moved_epoch")
     return exceptions.move_tickets(t, moves).select("ticket_id", "status", "move_result", "resolved_by")
+
+
+@query("b18_exception_guard", needs=["open_inv"], sql="""
+SELECT k % 4 = 0 AS refused, count(*) AS n FROM open_inv GROUP BY 1""")
+def _(fx):
+    from ledgerloom.tools import route
+    reviews = _reviews(fx).withColumn("subset_status", F.expr("CASE WHEN k % 4 = 0 THEN 'SUBSET_MATCHED' ELSE 'NO_MATCH' END"))
+    events, refused = route(reviews)
+    return events.select(F.lit(False).alias("refused")).unionByName(refused.select(F.lit(True).alias("refused"))).groupBy(
+        "refused").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b19_exception_reason", needs=["inv"], sql="""
+SELECT document_id, CASE WHEN k % 5 = 0 THEN 'NO_MATCH' WHEN k % 5 = 1 THEN 'AMBIGUOUS_COLLISION' WHEN k % 3 = 0 THEN 'ENTITY_MISMATCH'
+  WHEN k % 2 = 0 THEN 'NEGATIVE_NET_SETTLEMENT' ELSE 'REASON_UNSPECIFIED' END AS reason FROM inv""")
+def _(fx):
+    from ledgerloom.functions.labels import exception_reason
+    rows = fx.invoices().selectExpr(
+        "document_id", "CASE k % 5 WHEN 0 THEN 'NO_MATCH' WHEN 1 THEN 'AMBIGUOUS_COLLISION' WHEN 2 THEN 'SUBSET_MATCHED' END AS s",
+        "CASE WHEN k % 3 = 0 THEN 'ENTITY_MISMATCH' WHEN k % 3 = 1 THEN 'ENTITY_RESOLVED' END AS f",
+        "CASE WHEN k % 2 = 0 THEN 'NEGATIVE_NET_SETTLEMENT' WHEN k % 7 = 0 THEN 'WATERFALL_CALCULATED' END AS w")
+    return rows.select("document_id", exception_reason(F.col("s"), F.col("f"), F.col("w")).alias("reason"))

@@ -59,7 +59,8 @@ def _(fx):
     return _to_table(fx, jobs.dedupe_events(twice, "60 days")).select(F.col("event_id").cast("long"), "batch_id")
 
 
-@query("i2_fan_in_seal")
+@query("i2_fan_in_seal", sql="""
+SELECT user_id::varchar AS batch_id, 'sealed' AS outcome, count(*) AS inputs, max(user_id % 2) AS shortfall FROM events GROUP BY user_id""")
 def _(fx):
     e = StreamFixtures(fx, "events").table("events").selectExpr("cast(user_id AS string) AS batch_id", "cast(ts AS timestamp) AS event_time")
     totals = fx.table("events").groupBy(F.col("user_id").cast("string").alias("batch_id")).agg(
