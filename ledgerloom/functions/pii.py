@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.scale import ordinal
+from ledgerloom.scale import cut_lineage, ordinal
 
 # Pattern, placeholder and token label per entity, highest score first. Case is ignored.
 ENTITIES = {
@@ -97,9 +97,9 @@ def document_findings(docs: DataFrame) -> DataFrame:
 
 
 def text_findings(spans: DataFrame) -> DataFrame:
-    hits = F.filter("spans", lambda s: s["entity"].isNotNull())
-    return spans.select("run_id", "doc_order", F.explode(hits).alias("f")).select(
-        "run_id", "doc_order", F.col("f.start").alias("position"), F.col("f.entity").alias("entity"), F.col("f.value").alias("value"))
+    """Found identifiers of texts with ``spans``, with their place ``i`` among the spans."""
+    return spans.select("run_id", "doc_order", F.posexplode("spans").alias("i", "f")).filter("f.entity IS NOT NULL").select(
+        "run_id", "doc_order", "i", F.col("f.start").alias("position"), F.col("f.entity").alias("entity"), F.col("f.value").alias("value"))
 
 
 def run_vault(findings: DataFrame, bucket: Column) -> DataFrame:
@@ -117,16 +117,26 @@ def run_vault(findings: DataFrame, bucket: Column) -> DataFrame:
         F.lit("["), "label", F.lit("_TOKEN_"), F.col("n").cast("string"), F.lit("]")).alias("token"))
 
 
-def tokenize_text(spans: DataFrame, vault: DataFrame) -> DataFrame:
+def tokenize_text(spans: DataFrame, findings: DataFrame, vault: DataFrame) -> DataFrame:
     """Texts with every found identifier replaced by its run token: (run_id, doc_order, text)."""
-    hits = spans.select("run_id", "doc_order", F.posexplode("spans").alias("i", "s")).select(
-        "run_id", "doc_order", "i", F.col("s.entity").alias("entity"), F.col("s.value").alias("value")).filter("entity IS NOT NULL")
-    tokens = hits.join(vault, ["run_id", "entity", "value"]).groupBy("run_id", "doc_order").agg(
+    tokens = findings.join(vault, ["run_id", "entity", "value"]).groupBy("run_id", "doc_order").agg(
         F.map_from_entries(F.collect_list(F.struct("i", "token"))).alias("tokens"))
     return spans.join(tokens, ["run_id", "doc_order"], "left").select(
         "run_id", "doc_order", _rebuilt("coalesce(try_element_at(tokens, i), s.value)").alias("text"))
 
 
+def tokenize_run(texts: DataFrame, bucket: Column) -> tuple[DataFrame, DataFrame]:
+    """(tokenized texts, vault) for texts (run_id, doc_order, text).
+
+    The findings are few and narrow next to the texts; they are written out once, so that the texts are
+    searched once for them and once for the replacement.
+    """
+    spans = with_spans(texts)
+    findings = cut_lineage(text_findings(spans))
+    vault = run_vault(findings, bucket)
+    return tokenize_text(spans, findings, vault), vault
+
+
 def rehydrate_text(texts: DataFrame, vault: DataFrame) -> DataFrame:
     """Texts with known tokens turned back into their values; unknown tokens stay."""
     parts = texts.withColumns({"spans": F.transform(F.regexp_extract_all(F.col("text"), F.lit(TOKEN_PATTERN), 0),

@@ -59,7 +59,7 @@ def _option_edges(asked: DataFrame, credits: DataFrame, subsets: DataFrame) -> D
 
 def reconcile_in_order(invoices: DataFrame, settlements: DataFrame, credits: DataFrame,
                        tolerance_days: int = matching.TOLERANCE_DAYS, max_size: int | None = None,
-                       salts: int = 1) -> tuple[DataFrame, DataFrame]:
+                       salts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(outcomes, posted) of open ``invoices`` taken in ``run_order``, a sortable column without ties.
 
     Outcomes: document_id, terminal, subset_status, phase, utr. Posted: one row per invoice cleared, with

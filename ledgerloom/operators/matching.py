@@ -32,31 +32,39 @@ def _key(utr: str, paise: str) -> Column:
     return F.coalesce(F.concat(F.lit("utr:"), F.col(utr)), F.concat(F.lit("paise:"), F.col(paise).cast("string")))
 
 
+def _with_keys(credits: DataFrame) -> DataFrame:
+    """Each credit under the keys it answers to: its UTR and its amount."""
+    keys = F.array_compact(F.array(F.concat(F.lit("utr:"), F.col("utr_number")),
+                                   F.concat(F.lit("paise:"), F.col("amount_paise").cast("string"))))
+    return credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "narration", "amount_paise",
+                          F.explode(keys).alias("key"))
+
+
+def _wanted(requests: DataFrame) -> DataFrame:
+    return requests.select(*REQUEST, _key("request_utr", "request_paise").alias("key")).filter("key IS NOT NULL").distinct()
+
+
 def requested_credits(requests: DataFrame, credits: DataFrame) -> DataFrame:
     """Credits of each distinct request: those with its UTR, whatever the amount; or those with its amount.
 
     A credit answers under up to two keys, so one join over one read of each side serves both kinds.
     """
-    wanted = requests.select(*REQUEST, _key("request_utr", "request_paise").alias("key")).filter(
-        "key IS NOT NULL").distinct()
-    keys = F.array_compact(F.array(F.concat(F.lit("utr:"), F.col("utr_number")),
-                                   F.concat(F.lit("paise:"), F.col("amount_paise").cast("string"))))
-    rows = credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "narration", "amount_paise",
-                          F.explode(keys).alias("key"))
-    return rows.join(wanted, ["vendor_code", "key"])
+    return _with_keys(credits).join(_wanted(requests), ["vendor_code", "key"])
 
 
 def matching_units(requests: DataFrame, credits: DataFrame, invoices: DataFrame, max_size: int | None = None,
-                   salts: int = 1, subsets: DataFrame | None = None) -> DataFrame:
+                   salts: int | None = None, subsets: DataFrame | None = None) -> DataFrame:
     """Every (credit, set) option of each request, credits alike in all that matters counted as one row.
 
     Alike means same amount, date and narration words: ``n`` says how many options a row stands for, and
-    the row names one of them. An amount shared by very many credits so yields at most 250 rows per
-    distinct date and narration, and never a row per pair.
+    the row names one of them. Credits are counted before they meet the requests. An amount shared by very
+    many credits so ships few rows per task, and yields at most 250 options per distinct date and
+    narration, never a row per pair.
     """
-    wanted = requested_credits(requests, credits).withColumn("__b", narration_tokens("narration"))
-    groups = wanted.groupBy(*REQUEST, "amount_paise", "transaction_date", "__b").agg(
+    counted = _with_keys(credits).withColumn("__b", narration_tokens("narration")).groupBy(
+        "vendor_code", "key", "amount_paise", "transaction_date", "__b").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("transaction_id", "utr_number")).alias("credit"))
+    groups = counted.join(_wanted(requests), ["vendor_code", "key"]).drop("key")
     if subsets is None:
         groups = cut_lineage(groups)
         subsets = find_subsets(groups.select("vendor_code", "amount_paise"), invoices, max_size, salts)
@@ -107,7 +115,7 @@ def decide(scored: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
 
 
 def match_requests(requests: DataFrame, credits: DataFrame, invoices: DataFrame,
-                   tolerance_days: int = TOLERANCE_DAYS, max_size: int | None = None, salts: int = 1,
+                   tolerance_days: int = TOLERANCE_DAYS, max_size: int | None = None, salts: int | None = None,
                    subsets: DataFrame | None = None) -> DataFrame:
     """``requests`` rows with the verdict of their request; one without any option is NO_MATCH."""
     units = matching_units(requests, credits, invoices, max_size, salts, subsets)

@@ -5,8 +5,9 @@ Sizes are worked out level by level with joins. Members of a set are taken in as
 rest is smaller than twice the next member. Negative and zero nets come first in that order, which keeps
 the rule exact for them too. The last member is found by an equi-join on the remaining amount.
 
-Work per vendor grows with (distinct amounts x open invoices): that is the problem itself. It is spread
-over tasks by salting the vendor, and nothing per vendor is ever gathered in one task.
+Work per vendor grows with (distinct amounts x open invoices): that is the problem itself. A vendor with
+many open invoices is salted in proportion to them, so its work is spread over many tasks, and nothing per
+vendor is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -19,15 +20,29 @@ from ledgerloom.scale import cut_lineage, first_per_key
 # Fixed value: at most this many sets per amount take part in the decision, the first in search order.
 MAX_SUBSETS = 250
 
+# Open invoices of one vendor per salt.
+ROWS_PER_SALT = 5000
+MAX_SALTS = 1024
+
 _SETS = ("vendor_code", "amount_paise", "path", "members", "dates", "supplier")
 
 
-def _pool(invoices: DataFrame, salts: int) -> DataFrame:
-    return invoices.select(
+def _salts(invoices: DataFrame, salts: int | None) -> DataFrame:
+    """(s_vendor, salts) of the vendors that need more than one salt."""
+    if salts is not None:
+        return invoices.select(F.col("vendor_code").alias("s_vendor")).distinct().withColumn("salts", F.lit(salts))
+    sizes = invoices.groupBy(F.col("vendor_code").alias("s_vendor")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.filter(F.col("n") > ROWS_PER_SALT).select(
+        "s_vendor", F.least(F.lit(MAX_SALTS), F.expr(f"1 + n div {ROWS_PER_SALT}")).cast("int").alias("salts"))
+
+
+def _pool(invoices: DataFrame, salts: DataFrame) -> DataFrame:
+    sized = invoices.join(salts, F.col("vendor_code") == F.col("s_vendor"), "left")
+    return sized.select(
         F.col("vendor_code").alias("p_vendor"), F.col("net_paise").alias("p_net"),
         F.col("invoice_number").alias("p_no"), F.col("document_date").alias("p_date"),
         F.col("supplier_legal_name").alias("p_supplier"),
-        F.pmod(F.xxhash64("document_id"), F.lit(salts)).cast("int").alias("p_salt"))
+        F.pmod(F.xxhash64("document_id"), F.coalesce("salts", F.lit(1))).cast("int").alias("p_salt"))
 
 
 def _after_last() -> Column:
@@ -41,9 +56,10 @@ def _extended() -> list[Column]:
             F.when(F.size("members") == 0, F.col("p_supplier")).alias("supplier"), member.alias("last")]
 
 
-def _start(targets: DataFrame) -> DataFrame:
-    return targets.select("vendor_code", "amount_paise").distinct().select(
-        "vendor_code", "amount_paise", F.col("amount_paise").alias("rest"),
+def _start(targets: DataFrame, salts: DataFrame) -> DataFrame:
+    return targets.select("vendor_code", "amount_paise").distinct().join(
+        salts, F.col("vendor_code") == F.col("s_vendor"), "left").select(
+        F.coalesce("salts", F.lit(1)).alias("salts"), "vendor_code", "amount_paise", F.col("amount_paise").alias("rest"),
         F.expr("cast(array() AS array<struct<net:bigint,no:string>>)").alias("path"),
         F.expr("cast(array() AS array<string>)").alias("members"),
         F.expr("cast(array() AS array<date>)").alias("dates"),
@@ -56,15 +72,14 @@ def _close(state: DataFrame, pool: DataFrame) -> DataFrame:
     return hit.select("vendor_code", "amount_paise", *_extended()[:4])
 
 
-def _grow(state: DataFrame, pool: DataFrame, salts: int) -> DataFrame:
-    salted = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) if salts > 1 else \
-        state.withColumn("salt", F.lit(0))
+def _grow(state: DataFrame, pool: DataFrame) -> DataFrame:
+    salted = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     more = salted.join(pool, (F.col("vendor_code") == F.col("p_vendor")) & (F.col("salt") == F.col("p_salt"))
                        & _after_last() & (2 * F.col("p_net") <= F.col("rest")))
-    return more.select("vendor_code", "amount_paise", (F.col("rest") - F.col("p_net")).alias("rest"), *_extended())
+    return more.select("salts", "vendor_code", "amount_paise", (F.col("rest") - F.col("p_net")).alias("rest"), *_extended())
 
 
-def find_subsets(targets: DataFrame, invoices: DataFrame, max_size: int | None = None, salts: int = 1,
+def find_subsets(targets: DataFrame, invoices: DataFrame, max_size: int | None = None, salts: int | None = None,
                  cap: int | None = MAX_SUBSETS) -> DataFrame:
     """Sets per (vendor_code, amount_paise) of ``targets``, the first ``cap`` in search order.
 
@@ -72,9 +87,11 @@ def find_subsets(targets: DataFrame, invoices: DataFrame, max_size: int | None =
     path, the members with their nets in search order. ``cap=None`` keeps all sets.
     ``max_size=None`` goes on until no partial set is left; with a bound the result is complete only for
     sets up to that size. Partial sets are written to the checkpoint folder level by level: each feeds both
-    the sets it closes and the next level, and is computed once.
+    the sets it closes and the next level, and is computed once. ``salts`` fixes the salts per vendor; by
+    default they follow from the vendor's open invoices.
     """
-    pool, start = _pool(invoices, salts), _start(targets)
+    spread = _salts(invoices, salts)
+    pool, start = _pool(invoices, spread), _start(targets, spread)
     if max_size != 1:
         start = cut_lineage(start)
     found = start.filter("amount_paise = 0").select(*_SETS)
@@ -84,7 +101,7 @@ def find_subsets(targets: DataFrame, invoices: DataFrame, max_size: int | None =
         found = found.unionByName(_close(state, pool))
         if max_size is not None and size >= max_size:
             break
-        state = cut_lineage(_grow(state, pool, salts))
+        state = cut_lineage(_grow(state, pool))
         if max_size is None and state.isEmpty():
             break
         size += 1

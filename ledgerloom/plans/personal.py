@@ -36,8 +36,11 @@ def _(fx):
     return found.select("doc_id", "v.name", "v.value")
 
 
+_BUCKET = "doc_order div 4096"
+
+
 def _runs(fx):
-    return pii.with_spans(fx.pii_text().selectExpr("concat('run_', doc_id % 7) AS run_id", "doc_id AS doc_order", "text"))
+    return fx.pii_text().selectExpr("concat('run_', doc_id % 7) AS run_id", "doc_id AS doc_order", "text")
 
 
 _VAULT = """,
@@ -49,7 +52,7 @@ vault AS (SELECT run_id, entity, value, '[' || CASE entity WHEN 'BANK_ACCOUNT' T
 
 @query("h20_run_tokens", needs=["pii_text"], sql=_SPANS + _VAULT + " SELECT run_id, entity, value, token FROM vault")
 def _(fx):
-    return pii.run_vault(pii.text_findings(_runs(fx)), F.expr("doc_order div 4096"))
+    return pii.run_vault(pii.text_findings(pii.with_spans(_runs(fx))), F.expr(_BUCKET))
 
 
 @query("h21_tokenized_text", needs=["pii_text"], sql=_SPANS + _VAULT + """,
@@ -57,16 +60,13 @@ r AS (SELECT doc_id, string_agg(gaps[i] || coalesce(token, sp.value), '' ORDER B
   LEFT JOIN vault v ON v.run_id = 'run_' || doc_id % 7 AND v.entity = sp.entity AND v.value = sp.value GROUP BY 1)
 SELECT 'run_' || doc_id % 7 AS run_id, doc_id AS doc_order, coalesce(body || gaps[len(gaps)], text) AS text FROM h0 LEFT JOIN r USING (doc_id)""")
 def _(fx):
-    spans = _runs(fx)
-    return pii.tokenize_text(spans, pii.run_vault(pii.text_findings(spans), F.expr("doc_order div 4096")))
+    return pii.tokenize_run(_runs(fx), F.expr(_BUCKET))[0]
 
 
 @query("h20_rehydrated_text", needs=["pii_text"], sql="""
 SELECT 'run_' || doc_id % 7 AS run_id, doc_id AS doc_order, text FROM pii_text""")
 def _(fx):
-    spans = _runs(fx)
-    vault = pii.run_vault(pii.text_findings(spans), F.expr("doc_order div 4096"))
-    return pii.rehydrate_text(pii.tokenize_text(spans, vault), vault)
+    return pii.rehydrate_text(*pii.tokenize_run(_runs(fx), F.expr(_BUCKET)))
 
 
 @query("h19_masked_documents", needs=["inv"], sql="""
@@ -87,4 +87,4 @@ SELECT run_id, entity, value, '[' || CASE entity WHEN 'BANK_ACCOUNT' THEN 'ACCOU
   row_number() OVER (PARTITION BY run_id, entity ORDER BY first) || ']' AS token FROM d""")
 def _(fx):
     docs = checks.with_document(fx.documents_json()).selectExpr("vendor_code AS run_id", "k AS doc_order", "doc")
-    return pii.run_vault(pii.document_findings(docs), F.expr("doc_order div 4096"))
+    return pii.run_vault(pii.document_findings(docs), F.expr(_BUCKET))
