@@ -60,7 +60,8 @@ def _(fx):
 
 
 @query("i2_fan_in_seal", sql="""
-SELECT user_id::varchar AS batch_id, 'sealed' AS outcome, count(*) AS inputs, max(user_id % 2) AS shortfall FROM events GROUP BY user_id""")
+SELECT user_id::varchar AS batch_id, 'sealed' AS outcome, count(*) AS inputs, max(user_id % 2) AS shortfall FROM events GROUP BY user_id
+HAVING max(user_id % 2) = 0 OR max(ts) + INTERVAL 30 SECOND <= (SELECT max(ts) FROM events)""")
 def _(fx):
     e = StreamFixtures(fx, "events").table("events").selectExpr("cast(user_id AS string) AS batch_id", "cast(ts AS timestamp) AS event_time")
     totals = fx.table("events").groupBy(F.col("user_id").cast("string").alias("batch_id")).agg(
