@@ -117,11 +117,14 @@ def run_vault(findings: DataFrame, bucket: Column) -> DataFrame:
         F.lit("["), "label", F.lit("_TOKEN_"), F.col("n").cast("string"), F.lit("]")).alias("token"))
 
 
-def tokenize_text(spans: DataFrame, findings: DataFrame, vault: DataFrame) -> DataFrame:
-    """Texts with every found identifier replaced by its run token: (run_id, doc_order, text)."""
+def tokenize_text(texts: DataFrame, findings: DataFrame, vault: DataFrame) -> DataFrame:
+    """Texts with every found identifier replaced by its run token: (run_id, doc_order, text).
+
+    The tokens join the bare texts; the pieces are cut afterwards and do not cross the shuffle.
+    """
     tokens = findings.join(vault, ["run_id", "entity", "value"]).groupBy("run_id", "doc_order").agg(
         F.map_from_entries(F.collect_list(F.struct("i", "token"))).alias("tokens"))
-    return spans.join(tokens, ["run_id", "doc_order"], "left").select(
+    return with_spans(texts.join(tokens, ["run_id", "doc_order"], "left")).select(
         "run_id", "doc_order", _rebuilt("coalesce(try_element_at(tokens, i), s.value)").alias("text"))
 
 
@@ -131,10 +134,9 @@ def tokenize_run(texts: DataFrame, bucket: Column) -> tuple[DataFrame, DataFrame
     The findings are few and narrow next to the texts; they are written out once, so that the texts are
     searched once for them and once for the replacement.
     """
-    spans = with_spans(texts)
-    findings = cut_lineage(text_findings(spans))
+    findings = cut_lineage(text_findings(with_spans(texts)))
     vault = run_vault(findings, bucket)
-    return tokenize_text(spans, findings, vault), vault
+    return tokenize_text(texts, findings, vault), vault
 
 
 def rehydrate_text(texts: DataFrame, vault: DataFrame) -> DataFrame:
