@@ -28,7 +28,7 @@ from ledgerloom.llm.shared import fold, stored
 
 ALPHA = 0.1
 MU = 300.0
-BITS = 10  # of the filter for each entry
+BITS = 11  # of the filter for each entry
 HASHES = 7
 SEGMENT_BYTES = 24 << 20  # text that one segment's n-grams come from
 FLUSH_TOKENS = 3_000_000
@@ -70,19 +70,30 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> U64(33)) % U64(segments)).astype(np.int64)
 
 
-def _positions(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> Iterator[np.ndarray]:
+def _start(keys: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+    """The hash of an entry: its upper half picks a block of the segment, then nine bits pick each place in the block."""
     with np.errstate(over="ignore"):
-        a = mix(keys + np.asarray(level, dtype=U64) * U64(0x9FB21C651E98DF25))
-        b = mix(a) | U64(1)
-        for i in range(HASHES):
-            yield (a + U64(i) * b) % np.asarray(size, dtype=U64)
+        return mix(keys + np.asarray(level, dtype=U64) * U64(0x9FB21C651E98DF25))
+
+
+def _block(hashed: np.ndarray, blocks: np.ndarray | int) -> np.ndarray:
+    """First bit of the block of a hash, of a number of blocks below 2**32."""
+    return ((((hashed >> U64(32)) * np.asarray(blocks, dtype=U64)) >> U64(32)) << U64(9)).astype(np.int64)
+
+
+def _inner(hashed: np.ndarray) -> Iterator[np.ndarray]:
+    """The places in a block of 512 bits, one cache line."""
+    with np.errstate(over="ignore"):
+        more = mix(hashed + U64(0x632BE59BD9B4E019))
+    for i in range(HASHES):
+        yield ((more >> U64(9 * i)) & U64(511)).astype(np.int64)
 
 
 class Filter:
     """Segments of a log-frequency Bloom filter, laid out one after the other."""
 
     def __init__(self, bits: dict[int, tuple[int, bytes]], segments: int):
-        self.segments, self.size, self.offset = segments, np.ones(segments, dtype=np.int64), np.zeros(segments, np.int64)
+        self.segments, self.size, self.offset = segments, np.full(segments, 512, dtype=np.int64), np.zeros(segments, np.int64)
         parts, at = [], 0
         for s, (size, raw) in sorted(bits.items()):
             self.size[s], self.offset[s] = size, at
@@ -97,21 +108,16 @@ class Filter:
         out = np.zeros(len(keys), dtype=np.int64)
         seg = segment_of(keys, self.segments)
         alive = np.flatnonzero(self.held[seg])
+        blocks, offset = (self.size[seg[alive]] >> 9).astype(U64), self.offset[seg[alive]]
         j = 1
         while len(alive):
-            size, offset = self.size[seg[alive]].astype(U64), self.offset[seg[alive]]
-            for i in range(HASHES):
-                if not len(alive):
-                    break
-                if i == 0:
-                    with np.errstate(over="ignore"):
-                        a = mix(keys[alive] + U64(j) * U64(0x9FB21C651E98DF25))
-                        b = mix(a) | U64(1)
-                with np.errstate(over="ignore"):
-                    at = ((a + U64(i) * b) % size).astype(np.int64) + offset
-                ok = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                if not ok.all():
-                    alive, size, offset, a, b = alive[ok], size[ok], offset[ok], a[ok], b[ok]
+            hashed = _start(keys[alive], j)
+            line = _block(hashed, blocks) + offset
+            found = np.ones(len(alive), dtype=bool)
+            for inner in _inner(hashed):
+                inner += line
+                found &= (self.bits[inner >> 3] >> (inner & 7).astype(np.uint8)) & 1 == 1
+            alive, blocks, offset = alive[found], blocks[found], offset[found]
             out[alive] = j
             j += 1
         return out
@@ -122,10 +128,12 @@ def build_bits(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     level = np.searchsorted(LEVELS, counts, side="right")
     entry = np.repeat(keys, level)
     number = np.arange(len(entry)) - np.repeat(np.cumsum(level) - level, level) + 1
-    size = max(64, BITS * len(entry))
+    size = (1 + BITS * len(entry) // 512) * 512
     bits = np.zeros(size, dtype=bool)
-    for at in _positions(entry, number, size):
-        bits[at.astype(np.int64)] = True
+    hashed = _start(entry, number)
+    line = _block(hashed, size >> 9)
+    for inner in _inner(hashed):
+        bits[line + inner] = True
     return size, np.packbits(bits, bitorder="little").tobytes()
 
 
