@@ -28,10 +28,10 @@ from ledgerloom.llm.shared import fold, stored
 
 ALPHA = 0.1
 MU = 300.0
-BITS = 11  # of the filter for each entry
-HASHES = 7
+BITS = 9  # of the filter for each entry
+HASHES = 6
 SEGMENT_BYTES = 24 << 20  # text that one segment's n-grams come from
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 1_500_000
 BROADCAST_MB = 256
 END, START = U64(0x5DEECE66D1234567), U64(0x2545F4914F6CDD1D)
 _GROWTH = 1.2
@@ -199,7 +199,7 @@ def _segment(table: pa.Table) -> pa.Table:
         "bits": pa.array([bits], pa.binary()), "words": pa.array([words[real].tobytes()], pa.binary()),
         "counts": pa.array([n_words[real].tobytes()], pa.binary()),
         "tokens": pa.array([int(n_words[real].sum())], pa.int64()), "types": pa.array([int(real.sum())], pa.int64()),
-        "bytes": pa.array([len(bits) + 16 * len(words)], pa.int64())})
+        "bytes": pa.array([len(bits) + 12 * len(words)], pa.int64())})
 
 
 _COUNTED = "segment int, kind int, keys binary, counts binary"
@@ -262,11 +262,19 @@ def _score(held, total_tokens: int, total_types: int, alpha: float, mu: float, f
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"
 
 
-def _model(rows: list, number: int):
-    words = np.concatenate([np.frombuffer(r["words"], dtype=U64) for r in rows] or [np.empty(0, U64)])
-    counts = np.concatenate([np.frombuffer(r["counts"], dtype=np.int64) for r in rows] or [np.empty(0, np.int64)])
-    order = np.argsort(words)
-    return Filter({r["segment"]: (r["size"], bytes(r["bits"])) for r in rows}, number), words[order], counts[order]
+def _model(segments: DataFrame, number: int):
+    """The filter of these segments and their exact word counts, fetched one partition at a time."""
+    bits, words, counts = {}, [np.empty(0, U64)], [np.empty(0, np.uint32)]
+    for r in segments.select("segment", "size", "bits", "words", "counts").toLocalIterator():
+        bits[r["segment"]] = (r["size"], r["bits"])
+        words.append(np.frombuffer(r["words"], dtype=U64))
+        exact = np.frombuffer(r["counts"], dtype=np.int64)
+        counts.append(exact.astype(np.uint32) if not len(exact) or exact.max() < 1 << 32 else exact)
+    model = Filter(bits, number)
+    bits.clear()
+    known, number_of = np.concatenate(words), np.concatenate(counts)
+    order = np.argsort(known)
+    return model, known[order], number_of[order]
 
 
 def score(docs: DataFrame, segments: DataFrame, number: int, alpha: float = ALPHA, mu: float = MU,
@@ -290,7 +298,7 @@ def score(docs: DataFrame, segments: DataFrame, number: int, alpha: float = ALPH
                        F.lit(0.0).alias("base_score"), F.lit(b"").alias("levels"))
     for i, group in enumerate(groups):
         final = i == len(groups) - 1
-        held = spark.sparkContext.broadcast(_model(segments.filter(F.col("segment").isin(group)).collect(), number))
+        held = spark.sparkContext.broadcast(_model(segments.filter(F.col("segment").isin(group)), number))
         rows = rows.mapInArrow(_score(held, tokens, types, alpha, mu, final),
                                _SCORED + (", score double" if final else ", levels binary, text string"))
         if not final:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import lmscore
+from ledgerloom.llm import jaccard, lmscore, tokenfile
+from ledgerloom.llm.shared import seen_by_workers
 from ledgerloom.session import prepare
 
 _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,7 +16,7 @@ _SQL: dict[str, str] = {}
 
 def _query(name: str, sql: str | None = None):
     def register(plan):
-        _PLANS[name] = lambda spark, sf_dir: plan(prepare(spark), sf_dir)
+        _PLANS[name] = lambda spark, sf_dir: plan(seen_by_workers(prepare(spark)), sf_dir)
         if sql:
             _SQL[name] = sql
         return plan
@@ -31,6 +32,17 @@ def _op1(spark, sf_dir):
     return lmscore.score_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query("op7_jaccard_join")
+def _op7(spark, sf_dir):
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_token_files")
+def _op9(spark, sf_dir):
+    import public_tokenizers
+    return tokenfile.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_PLANS)
 
