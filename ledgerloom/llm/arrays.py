@@ -67,9 +67,11 @@ class Texts:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of all words, and for each text the number of the first word (one more entry at the end)."""
-        inside = IS_WORD[self.data]
+    def words(self, of: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all words, and for each text the number of the first word (one more entry at the end).
+
+        ``of``: which bytes words are made of."""
+        inside = of[self.data]
         filled = self.offsets[:-1] < self.offsets[1:]
         before = np.empty_like(inside)
         before[1:] = inside[:-1]

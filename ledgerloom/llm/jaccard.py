@@ -5,8 +5,9 @@ into groups of similar ones (equal minimum hash; a group holds about ``GROUP_TOK
 The token-group matrix holds the tokens of each group's union; a group needs to be looked at by a document only if their
 overlap can reach the threshold. Two filters bound it:
 
-* every pair above the threshold shares one of the first ``n - ceil(t n) + 1`` shingles of both sets in one common order
-  (rare first), so that only these tokens go into the distributed matrix; two groups meet if they share one;
+* every pair above the threshold shares ``k`` of the first ``n - ceil(t n) + k`` shingles of both sets in one common order
+  (rare first), with ``k = 1 + n / EXTRA`` of the smaller set, so that only these tokens go into the distributed matrix; two
+  groups meet if they share as many as the smallest ``k`` of their documents;
 * when two groups meet, documents of one whose overlap with the union of the other is below ``t n`` are left out, and
   the groups are opened only if both sides have documents left.
 
@@ -38,7 +39,8 @@ from ledgerloom.llm.shared import if_small, stored
 SKETCH_BITS = 20
 SLICES = 16
 GROUP_TOKENS = 500_000
-ACTIVE_ROWS = 500_000  # (doc_id, group) rows that may be broadcast
+EXTRA = 20  # a twentieth of a set more goes into the matrix, and so many tokens more must be common
+ACTIVE_ROWS = 500_000  # rows of a few numbers that may be broadcast
 
 
 def shingle_sets(texts, width: int) -> list[np.ndarray]:
@@ -109,7 +111,7 @@ def _describing(held, width: int, percent: int):
                         prefix.append(None)
                         continue
                     need = -(-percent * len(s) // 100)
-                    take = len(s) - need + 1
+                    take = len(s) - need + 1 + len(s) // EXTRA
                     order = np.lexsort((s, counts[_bucket(s)]))[:take]
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     key.append(int(mix(s).min() >> U64(1)))
@@ -208,36 +210,40 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return stored(rows.mapInArrow(_describing(held, width, percent), _DESCRIBED), "described")
 
 
-def links_of(docs: DataFrame, described: DataFrame, width: int, percent: int) -> DataFrame:
+def links_of(docs: DataFrame, described: DataFrame, percent: int, width: int) -> DataFrame:
     """Links (a, b) between representatives of different sets, enough to connect all that links connect."""
-    first = F.min(F.struct("doc_id", "key", "n_shingles", "prefix")).alias("r")
-    reps = (described.filter("digest is not null and doc_id is not null").groupBy("digest").agg(first)
-            .select(F.col("r.doc_id").alias("rep"), F.col("r.key").alias("key"), F.col("r.n_shingles").alias("n"),
-                    F.col("r.prefix").alias("prefix")))
-    reps = stored(reps, "representatives")
-    weight = reps.groupBy("key").agg(F.sum("n").alias("weight"))
+    classes = stored(described.filter("digest is not null and doc_id is not null").groupBy("digest", "key", "n_shingles")
+                     .agg(F.min("doc_id").alias("rep")), "classes")
+    weight = classes.groupBy("key").agg(F.sum("n_shingles").alias("weight"))
     part = F.pmod(F.xxhash64("rep"), (F.col("weight") / GROUP_TOKENS).cast("long") + 1)
-    grouped = stored(reps.join(weight, "key").select("rep", "prefix", F.xxhash64("key", part).alias("group")), "grouped")
-
-    postings = grouped.select("group", F.explode("prefix").alias("token")).repartition("token")
+    grouped = stored(classes.join(weight, "key").select(
+        "digest", "rep", F.shiftrightunsigned(F.xxhash64("key", part), 20).alias("group"),
+        (1 + F.floor(F.col("n_shingles") / EXTRA)).alias("least")), "grouped")
+    n_classes = grouped.count()
+    groups = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.min("least").alias("least"))
+
+    first = grouped.select("digest", F.col("rep").alias("doc_id"), "group")
+    postings = (described.select("digest", "doc_id", "prefix").join(if_small(first, n_classes, ACTIVE_ROWS), ["digest", "doc_id"])
+                .select("group", F.explode("prefix").alias("token")).repartition("token"))
     matrix = postings.dropDuplicates(["token", "group"])
-    several = matrix.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least < most")
+    several = matrix.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
     shared = stored(matrix.join(several.select("token"), "token"), "matrix")
     crossing = (shared.alias("x").join(shared.alias("y"), "token").filter("x.group < y.group")
-                .select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct())
-    inner = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1").select(
-        F.col("group").alias("g"), F.col("group").alias("h"))
+                .groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("h")).agg(F.count(F.lit(1)).alias("common")))
+    crossing = (crossing.join(groups.select(F.col("group").alias("g"), F.col("least").alias("lg")), "g")
+                .join(groups.select(F.col("group").alias("h"), F.col("least").alias("lh")), "h")
+                .filter(F.col("common") >= F.least("lg", "lh")).select("g", "h"))
+    inner = groups.filter("docs > 1").select(F.col("group").alias("g"), F.col("group").alias("h"))
     cells = stored(crossing.union(inner).withColumn("cell", F.xxhash64("g", "h")), "cells")
-    places = cells.select("cell", F.col("g").alias("group")).union(
-        cells.filter("g <> h").select("cell", F.col("h").alias("group")))
+    places = stored(cells.select("cell", F.col("g").alias("group")).union(
+        cells.filter("g <> h").select("cell", F.col("h").alias("group"))), "places")
 
     active = stored(grouped.select("rep", "group").join(places.select("group").distinct(), "group", "left_semi"), "active")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     chosen = texts.join(if_small(active, active.count(), ACTIVE_ROWS), "rep")
-    sets = stored(chosen.select("rep", "group", "text").mapInArrow(_setting(width), "rep long, group long, tokens binary"),
-                  "sets")
-    return (places.join(sets, "group").filter("octet_length(tokens) > 0").select("cell", "group", "rep", "tokens")
-            .groupBy("cell").applyInArrow(_comparing(percent), "a long, b long"))
+    sets = chosen.select("rep", "group", "text").mapInArrow(_setting(width), "rep long, group long, tokens binary")
+    return (sets.filter("octet_length(tokens) > 0").join(if_small(places, places.count(), ACTIVE_ROWS), "group")
+            .select("cell", "group", "rep", "tokens").groupBy("cell").applyInArrow(_comparing(percent), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -246,7 +252,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     Two documents link when 100 * intersection >= percent * union of their sets of ``width``-word shingles.
     """
     described = describe(docs, width, percent)
-    joined = connected(links_of(docs, described, width, percent))
+    joined = connected(links_of(docs, described, percent, width))
     classes = described.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("found"))

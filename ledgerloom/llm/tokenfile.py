@@ -35,7 +35,7 @@ BLOCK_IDS = 1 << 20
 PARTITION_BYTES = 32 << 20  # of ids, for one task that codes blocks
 CACHE_UNITS = 1_500_000  # of a worker; beyond it the cache starts anew
 _SPACE = 0x20
-_ODD_UNIT = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_UNIT = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Units:
