@@ -261,11 +261,18 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest doc_id stays.
+    """One document of each component: the one with the smallest doc_id.
 
-    Rows without a doc_id stay if no other document has their set; of rows with equal doc_id all stay.
+    Of rows with equal doc_id and text one stays, so of rows without a doc_id one for each text.
     """
     found = jaccard_components(docs, width, percent)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept
+    gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    kept = docs.join(if_small(gone, gone.count(), ACTIVE_ROWS), "doc_id", "left_anti")
+    again = stored(kept.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    n = again.count()
+    if not n:
+        return kept
+    once = kept.join(if_small(again, n, ACTIVE_ROWS), kept.doc_id.eqNullSafe(again["__id"]), "left_anti")
+    several = kept.join(if_small(again, n, ACTIVE_ROWS), kept.doc_id.eqNullSafe(again["__id"]), "left_semi")
+    return once.union(several.withColumn("__text", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__text"])
+                      .drop("__text"))
