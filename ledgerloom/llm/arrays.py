@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20  # text handled at once; bounds the memory of a task, not what it handles
+CHUNK_BYTES = 1 << 20  # text handled at once; bounds the memory of a task, not what it handles
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.session import checkpoint_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+BATCH_ROWS = 2000  # rows of a batch for Python, which are whole texts
 SMALL_ROWS = 200_000  # rows of a few fixed-size columns that may be broadcast
 
 
@@ -42,8 +43,9 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def seen_by_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this library from where it lies, wherever the session was started."""
+    """Let Python workers import this library from where it lies, and get texts in batches of bounded rows."""
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
