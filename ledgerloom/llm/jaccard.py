@@ -6,10 +6,10 @@ The token-group matrix holds the tokens of each group's union; a group needs to
 overlap can reach the threshold. Two filters bound it:
 
 * every pair above the threshold shares ``k`` of the first ``n - ceil(t n) + k`` shingles of both sets in one common order
-  (rare first), with ``k = 1 + n / EXTRA`` of the smaller set, so that only these tokens go into the distributed matrix; two
-  groups meet if they share as many as the smallest ``k`` of their documents;
-* when two groups meet, documents of one whose overlap with the union of the other is below ``t n`` are left out, and
-  the groups are opened only if both sides have documents left.
+  (rare first), with ``k = 1 + n / EXTRA`` of the smaller set, so that only these tokens go into the distributed matrix; a
+  document looks at a group if it shares ``k`` of them with the group's union, with the smallest ``n`` that a partner can have;
+* where documents of two groups look at each other, those whose overlap with the union of the others is below ``t n`` are left
+  out, and the groups are opened only if both sides have documents left.
 
 Opened groups are compared exactly. Within them one link suffices to join what it connects: documents already connected
 aren't compared again, so that many near copies don't cost all their pairs.
@@ -38,7 +38,7 @@ from ledgerloom.llm.shared import if_small, stored
 
 SKETCH_BITS = 20
 SLICES = 16
-GROUP_TOKENS = 500_000
+GROUP_TOKENS = 1_500_000
 EXTRA = 20  # a twentieth of a set more goes into the matrix, and so many tokens more must be common
 ACTIVE_ROWS = 500_000  # rows of a few numbers that may be broadcast
 
@@ -112,10 +112,11 @@ def _describing(held, width: int, percent: int):
                         continue
                     need = -(-percent * len(s) // 100)
                     take = len(s) - need + 1 + len(s) // EXTRA
-                    order = np.lexsort((s, counts[_bucket(s)]))[:take]
+                    order = np.lexsort((s, counts[_bucket(s)]))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    key.append(int(mix(s).min() >> U64(1)))
-                    prefix.append(s[order].view(np.int64))
+                    prefix.append(s[order[:take]].view(np.int64))
+                    # passages that many documents share would make groups of unlike documents
+                    key.append(int(mix(s[order[:(len(s) + 1) // 2]]).min() >> U64(1)))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(part.schema.get_field_index("doc_id")),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array(digest, pa.binary()),
@@ -131,7 +132,7 @@ def _setting(width: int):
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 yield pa.RecordBatch.from_pydict({
-                    **{c: part.column(part.schema.get_field_index(c)) for c in ("rep", "group")},
+                    "rep": part.column(part.schema.get_field_index("rep")),
                     "tokens": pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())})
     return run
 
@@ -218,32 +219,30 @@ def links_of(docs: DataFrame, described: DataFrame, percent: int, width: int) ->
     part = F.pmod(F.xxhash64("rep"), (F.col("weight") / GROUP_TOKENS).cast("long") + 1)
     grouped = stored(classes.join(weight, "key").select(
         "digest", "rep", F.shiftrightunsigned(F.xxhash64("key", part), 20).alias("group"),
-        (1 + F.floor(F.col("n_shingles") / EXTRA)).alias("least")), "grouped")
+        (1 + F.floor(F.floor(F.col("n_shingles") * percent / 100) / EXTRA)).alias("least")), "grouped")
     n_classes = grouped.count()
-    groups = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.min("least").alias("least"))
 
-    first = grouped.select("digest", F.col("rep").alias("doc_id"), "group")
+    first = grouped.select("digest", F.col("rep").alias("doc_id"), "group", "least")
     postings = (described.select("digest", "doc_id", "prefix").join(if_small(first, n_classes, ACTIVE_ROWS), ["digest", "doc_id"])
-                .select("group", F.explode("prefix").alias("token")).repartition("token"))
-    matrix = postings.dropDuplicates(["token", "group"])
-    several = matrix.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
-    shared = stored(matrix.join(several.select("token"), "token"), "matrix")
-    crossing = (shared.alias("x").join(shared.alias("y"), "token").filter("x.group < y.group")
-                .groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("h")).agg(F.count(F.lit(1)).alias("common")))
-    crossing = (crossing.join(groups.select(F.col("group").alias("g"), F.col("least").alias("lg")), "g")
-                .join(groups.select(F.col("group").alias("h"), F.col("least").alias("lh")), "h")
-                .filter(F.col("common") >= F.least("lg", "lh")).select("g", "h"))
-    inner = groups.filter("docs > 1").select(F.col("group").alias("g"), F.col("group").alias("h"))
-    cells = stored(crossing.union(inner).withColumn("cell", F.xxhash64("g", "h")), "cells")
-    places = stored(cells.select("cell", F.col("g").alias("group")).union(
-        cells.filter("g <> h").select("cell", F.col("h").alias("group"))), "places")
-
-    active = stored(grouped.select("rep", "group").join(places.select("group").distinct(), "group", "left_semi"), "active")
+                .select("doc_id", "group", "least", F.explode("prefix").alias("token")).repartition("token"))
+    several = postings.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
+    shared = stored(postings.join(several.select("token"), "token"), "shared")
+    matrix = shared.select("token", F.col("group").alias("other")).distinct()
+    hits = (shared.join(matrix, "token").filter("group <> other").groupBy("doc_id", "group", "least", "other")
+            .agg(F.count(F.lit(1)).alias("common")).filter("common >= least")
+            .select(F.col("doc_id").alias("rep"), "group", F.xxhash64(F.least("group", "other"), F.greatest("group", "other")).alias("cell")))
+    hits = stored(hits, "hits")
+    met = hits.groupBy("cell").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("cell")
+    own = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1").select("group")
+    opened = stored(hits.join(met, "cell").select("rep", "group", "cell").union(
+        grouped.join(own, "group").select("rep", "group", F.xxhash64("group").alias("cell"))), "opened")
+
+    active = stored(opened.select("rep").distinct(), "active")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     chosen = texts.join(if_small(active, active.count(), ACTIVE_ROWS), "rep")
-    sets = chosen.select("rep", "group", "text").mapInArrow(_setting(width), "rep long, group long, tokens binary")
-    return (sets.filter("octet_length(tokens) > 0").join(if_small(places, places.count(), ACTIVE_ROWS), "group")
-            .select("cell", "group", "rep", "tokens").groupBy("cell").applyInArrow(_comparing(percent), "a long, b long"))
+    sets = chosen.mapInArrow(_setting(width), "rep long, tokens binary").filter("octet_length(tokens) > 0")
+    return (sets.join(if_small(opened, opened.count(), ACTIVE_ROWS), "rep").select("cell", "group", "rep", "tokens")
+            .groupBy("cell").applyInArrow(_comparing(percent), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
