@@ -41,12 +41,13 @@ def document_gate(size: Column, mime: Column, extension: Column, label: Column,
     types = F.create_map(*[x for m, es in ALLOWED_TYPES.items() for x in (F.lit(m), F.array(*map(F.lit, es)))])
     expected = F.try_element_at(types, mime)
     all_ext = [e for es in ALLOWED_TYPES.values() for e in es]
-    wrong_type = expected.isNull() | ~ext.isin(*all_ext) | ~F.array_contains(expected, ext)
-    wrong_class = (label != "invoice") | (confidence < CLASSIFICATION_THRESHOLD)
+    wrong_type = expected.isNull() | F.coalesce(~ext.isin(*all_ext) | ~F.array_contains(expected, ext), F.lit(True))
+    # What is not known fails the gate.
+    wrong_class = F.coalesce((label != "invoice") | (confidence < CLASSIFICATION_THRESHOLD), F.lit(True))
     return (F.when(size > max_mb * 1024 * 1024, "FILE_TOO_LARGE")
             .when(wrong_type, "UNSUPPORTED_FILE_TYPE")
             .when(wrong_class, "INVALID_DOCUMENT_CLASSIFICATION")
-            .when((ext == ".pdf") & ~has_anchor, "INVALID_DOCUMENT_CLASSIFICATION"))
+            .when((ext == ".pdf") & ~F.coalesce(has_anchor, F.lit(False)), "INVALID_DOCUMENT_CLASSIFICATION"))
 
 
 def has_anchor_word(text: Column) -> Column:

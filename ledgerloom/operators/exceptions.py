@@ -48,7 +48,7 @@ def tickets_from_dlq(events: DataFrame, topic: str = envelopes.TOPIC_DLQ, value:
         _or(d["human_readable_message"], NO_MESSAGE).alias("human_readable_message"), "flagged_payload")
 
 
-def tickets_from_fatal(parsed: DataFrame, topic: str = envelopes.TOPIC_COMPLETED, value: str = "value") -> DataFrame:
+def tickets_from_fatal(parsed: DataFrame, topic: str = envelopes.TOPIC_FATAL, value: str = "value") -> DataFrame:
     """Ticket rows from completed events the ledger refused."""
     bad = parsed.filter("error_code IS NOT NULL")
     return bad.select(
@@ -79,6 +79,6 @@ def move_tickets(tickets: DataFrame, moves: DataFrame) -> DataFrame:
     return (tickets.join(moves, "ticket_id", "left")
             .withColumn("allowed_next", allowed)
             .withColumn("move_result", F.when(F.col("new_status").isNotNull(), F.when(ok, "allowed").otherwise("rejected")))
-            .withColumn("resolved_by", F.when(done, F.col("moved_by")))
-            .withColumn("resolved_epoch", F.when(done, F.col("moved_epoch")))
+            .withColumn("resolved_by", F.when(done, F.col("moved_by")).otherwise(F.col("resolved_by")))
+            .withColumn("resolved_epoch", F.when(done, F.col("moved_epoch")).otherwise(F.col("resolved_epoch")))
             .withColumn("status", F.when(ok, F.col("new_status")).otherwise(F.col("status"))))

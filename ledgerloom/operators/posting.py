@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import envelopes
 from ledgerloom.functions.money import is_rupee_string, paise_to_rupees, rupees_to_paise
 from ledgerloom.operators.matching import MATCHED
-from ledgerloom.scale import first_per_key
+from ledgerloom.scale import cut_lineage, first_per_key
 
 # Accounts of the two lines, outcomes and error codes.
 DEBIT_ACCOUNT = ("LIABILITY", "Accounts Payable - ")
@@ -59,19 +59,42 @@ def proof_rows(proofs: DataFrame, invoices: DataFrame) -> DataFrame:
         (F.col("n") == F.size("matched_invoices")) & (F.col("total") == F.col("proof_paise"))).drop("n", "total")
 
 
+def _accepted(rows: DataFrame) -> DataFrame:
+    """proof_id, __bad: proofs accepted in ``__order``, each unless an accepted earlier one has an invoice of it.
+
+    Every round accepts the proofs that are first for all their invoices and refuses those that share an invoice with
+    them. The rounds follow the longest chain of proofs that wait for each other, not their number.
+    """
+    marked = rows.groupBy("proof_id").agg(F.bool_or(F.col("__taken").isNotNull()).alias("__bad"))
+    done = marked.filter("__bad")
+    open_rows = cut_lineage(rows.join(done, "proof_id", "left_anti").select("proof_id", "document_id", "__order"))
+    settled = [done]
+    while not open_rows.isEmpty():
+        first = open_rows.groupBy("document_id").agg(F.min("__order").alias("__first"))
+        seen = open_rows.join(first, "document_id")
+        won = seen.groupBy("proof_id").agg(F.bool_and(F.col("__first") == F.col("__order")).alias("won")).filter("won")
+        claimed = open_rows.join(won, "proof_id", "left_semi").select("document_id").distinct().withColumn("hit", F.lit(True))
+        judged = cut_lineage(open_rows.join(claimed, "document_id", "left").join(won, "proof_id", "left").groupBy("proof_id").agg(
+            F.when(F.bool_or("won"), False).when(F.bool_or("hit"), True).alias("__bad")))
+        settled.append(judged.filter("__bad IS NOT NULL"))
+        open_rows = cut_lineage(open_rows.join(settled[-1], "proof_id", "left_anti"))
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def post_matches(proofs: DataFrame, invoices: DataFrame, reconciliations: DataFrame,
                  order: Column) -> tuple[DataFrame, DataFrame]:
     """(reconciliation rows, proof statuses): each proof is posted whole or not at all.
 
     A proof is a duplicate when any of its invoices is reconciled already or belongs to an earlier proof by
-    ``order`` in the same set of proofs.
+    ``order`` that is posted; an earlier proof that is refused blocks nothing.
     """
-    rows = proof_rows(proofs.withColumn("__order", order), invoices)
+    rows = proof_rows(proofs.withColumn("__order", F.struct(order.alias("o"), "proof_id")), invoices)
     taken = reconciliations.select("document_id").distinct().withColumn("__taken", F.lit(True))
-    earliest = rows.groupBy("document_id").agg(F.min("__order").alias("__first"))
-    judged = rows.join(taken, "document_id", "left").join(earliest, "document_id")
-    bad = F.bool_or(F.col("__taken").isNotNull() | (F.col("__first") < F.col("__order")))
-    verdict = judged.groupBy("proof_id").agg(bad.alias("__bad"))
+    judged = cut_lineage(rows.join(taken, "document_id", "left"))
+    verdict = _accepted(judged)
     statuses = proofs.join(verdict, "proof_id", "left").withColumn(
         "posting_status", F.when(F.col("__bad").isNull(), "PREREQUISITE_FAILED").when(F.col("__bad"), DUPLICATE)
         .otherwise("LEDGER_COMMITTED")).drop("__bad")
@@ -95,19 +118,34 @@ def completed_events(reconciliations: DataFrame) -> DataFrame:
 def parse_completed(events: DataFrame, value: str = "value") -> DataFrame:
     """Completed events parsed and judged: ``error_code`` is NULL for a record that can be posted.
 
-    Explicit debit and credit amounts each override the total.
+    Explicit debit and credit amounts each override the total, a null too. Texts must be texts: the typed parse
+    turns numbers into texts, so the kinds come from a VARIANT parse.
     """
-    e = events.withColumn("e", F.explode(F.array(F.from_json(F.col(value), envelopes.COMPLETED_SCHEMA))))
+    both = F.struct(F.from_json(F.col(value), envelopes.COMPLETED_SCHEMA).alias("e"), F.try_parse_json(F.col(value)).alias("v"))
+    e = events.withColumn("__parsed", F.explode(F.array(both))).withColumns({
+        "e": F.col("__parsed.e"), "v": F.col("__parsed.v")}).drop("__parsed")
     d = F.col("e.data")
-    debit = F.coalesce(d["debit_amount"], d["total_reconciled_amount"])
-    credit = F.coalesce(d["credit_amount"], d["total_reconciled_amount"])
+
+    def part(path: str) -> Column:
+        return F.try_variant_get(F.col("v"), path, "variant")
+
+    def is_kind(path: str, kind: str) -> Column:
+        return F.coalesce(F.schema_of_variant(part(path)) == kind, F.lit(False))
+
+    def amount(name: str) -> Column:
+        explicit_null = F.coalesce(F.is_variant_null(part(f"$.data.{name}")), F.lit(False))
+        return F.when(~explicit_null, F.coalesce(d[name], d["total_reconciled_amount"]))
+
+    debit, credit = amount("debit_amount"), amount("credit_amount")
+    texts = [is_kind(p, "STRING") for p in ("$.id", "$.source", "$.data.vendor_code", "$.data.bank_utr_number")]
+    wrong_kind = ~(texts[0] & texts[1] & texts[2] & texts[3] & is_kind("$.data.matched_invoices", "ARRAY<STRING>"))
 
     def blank(c: Column) -> Column:
         return F.coalesce(c, F.lit("")) == ""
 
     listed = d["matched_invoices"]
     bad_list = listed.isNull() | (F.size(listed) == 0) | F.exists(listed, lambda x: F.coalesce(x, F.lit("")) == "")
-    malformed = (blank(F.col("e.id")) | blank(F.col("e.source")) | blank(d["vendor_code"]) | bad_list
+    malformed = (wrong_kind | blank(F.col("e.id")) | blank(F.col("e.source")) | blank(d["vendor_code"]) | bad_list
                  | blank(d["bank_utr_number"]) | debit.isNull() | credit.isNull())
     debit_paise, credit_paise = rupees_to_paise(debit), rupees_to_paise(credit)
     code = (F.when(malformed, MALFORMED).when(debit_paise.isNull() | credit_paise.isNull(), BAD_AMOUNT)
@@ -151,7 +189,7 @@ def fatal_events(parsed: DataFrame, value: str = "value") -> DataFrame:
                     F.struct("event_id", "vendor_code", "debit_paise", "credit_paise").alias("details"))
     metadata = F.struct(F.lit("layer5_ledger_writer").alias("source"), F.col("error_code").alias("error"))
     return parsed.filter("error_code IS NOT NULL").select(
-        F.lit(envelopes.TOPIC_FATAL).alias("topic"), F.col("vendor_code").alias("key"),
+        F.lit(envelopes.TOPIC_FATAL).alias("topic"), F.col("error_code").alias("key"),
         envelopes.cloud_event(envelopes.FATAL, envelopes.event_id(F.col(value), prefix="fatal_"), data,
                               metadata=metadata).alias("value"))
 

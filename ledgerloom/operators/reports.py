@@ -247,8 +247,8 @@ def relay_result(outbox: DataFrame, results: DataFrame, now_epoch: int) -> DataF
     failed = ~F.col("ok") & (F.col("retry_count") < F.col("max_retries"))
     return joined.withColumns({
         "status": F.when(F.col("ok"), "PUBLISHED").when(failed, "FAILED").otherwise(F.col("status")),
-        "published_epoch": F.when(F.col("ok"), F.lit(now_epoch).cast("long")),
-        "last_error": F.when(failed, F.col("error")),
+        "published_epoch": F.when(F.col("ok"), F.lit(now_epoch).cast("long")).otherwise(F.col("published_epoch")),
+        "last_error": F.when(failed, F.col("error")).otherwise(F.col("last_error")),
         "available_epoch": F.when(failed, F.lit(now_epoch + RETRY_DELAY_SECONDS).cast("long")).otherwise(F.col("available_epoch")),
         "retry_count": F.col("retry_count") + F.when(failed, 1).otherwise(0)}).drop("ok", "error")
 
@@ -264,7 +264,7 @@ def expected_feed(invoices: DataFrame, bucket: Column, drop_last: int = 0) -> Da
     order = [F.col("invoice_number")]
     placed = ordinal_from_end(invoices.filter("net_paise > 0"), ["vendor_code"], bucket, order, "__from_end")
     kept = placed.filter(F.col("__from_end") > drop_last).withColumnRenamed("__from_end_fwd", "idx").drop("__from_end")
-    utr = F.lpad((F.lit(FIRST_UTR) + F.col("idx")).cast("string"), 12, "0")
+    utr = (F.lit(FIRST_UTR) + F.col("idx")).cast("string")  # twelve digits or more
     day = expected_bank_date(F.col("document_date"))
     number = F.col("idx").cast("string")
     short = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)

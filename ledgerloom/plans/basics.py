@@ -115,11 +115,11 @@ def _(fx):
 
 
 @query("c15_onboarded_vendors", needs=["settle"], sql="""
-SELECT vendor_code IN (SELECT 'VEND_' || lpad(c_custkey::varchar, 6, '0') FROM customer WHERE c_acctbal >= 0) AS onboarded,
+SELECT vendor_code IN (SELECT 'VEND_' || lpad(c_custkey::varchar, greatest(6, length(c_custkey::varchar))::int, '0') FROM customer WHERE c_acctbal >= 0) AS onboarded,
   count(*) AS n, sum(amount_paise)::bigint AS amount_paise FROM settle GROUP BY 1""")
 def _(fx):
     vendors = fx.table("customer").filter("c_acctbal >= 0").selectExpr(
-        "concat('VEND_', lpad(cast(c_custkey AS string), 6, '0')) AS vendor_code")
+        "concat('VEND_', lpad(cast(c_custkey AS string), greatest(6, length(cast(c_custkey AS string))), '0')) AS vendor_code")
     kept, rejected = reads.onboarded_only(fx.settlements(), vendors)
     return kept.withColumn("onboarded", F.lit(True)).unionByName(rejected.withColumn("onboarded", F.lit(False))).groupBy(
         "onboarded").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_paise").alias("amount_paise"))

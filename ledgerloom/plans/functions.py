@@ -250,22 +250,25 @@ def _(fx):
 @query("b9_document_gate", sql="""
 t AS (SELECT page_id, length(html) * 1024 AS size, CASE WHEN page_id % 17 = 3 THEN 'image/gif' ELSE
     ['application/pdf', 'image/jpeg', 'image/png', 'application/pdf'][page_id % 4 + 1] END AS mime,
-  ['.PDF', '.jpg', '.jpeg', '.pdf'][page_id % 4 + 1] AS ext, CASE WHEN page_id % 9 = 0 THEN 'other' ELSE 'invoice' END AS label,
-  (page_id % 100) / 100 AS confidence, regexp_matches(html, '(?i)(invoice|tax|amount due|total|balance)') AS anchor FROM pages)
+  ['.PDF', '.jpg', '.jpeg', '.pdf'][page_id % 4 + 1] AS ext, CASE WHEN page_id % 9 = 0 THEN 'other' WHEN page_id % 23 <> 5 THEN 'invoice' END AS label,
+  CASE WHEN page_id % 29 <> 3 THEN (page_id % 100) / 100 END AS confidence,
+  CASE WHEN page_id % 31 <> 7 THEN regexp_matches(html, '(?i)(invoice|tax|amount due|total|balance)') END AS anchor FROM pages)
 SELECT page_id, CASE WHEN size > 1048576 * 1 THEN 'FILE_TOO_LARGE'
   WHEN page_id % 17 = 3 OR page_id % 4 = 2 THEN 'UNSUPPORTED_FILE_TYPE'
-  WHEN label <> 'invoice' OR confidence < 0.8 THEN 'INVALID_DOCUMENT_CLASSIFICATION'
-  WHEN lower(ext) = '.pdf' AND NOT anchor THEN 'INVALID_DOCUMENT_CLASSIFICATION' END AS error_code FROM t""")
+  WHEN label IS NULL OR confidence IS NULL OR label <> 'invoice' OR confidence < 0.8 THEN 'INVALID_DOCUMENT_CLASSIFICATION'
+  WHEN lower(ext) = '.pdf' AND anchor IS NOT TRUE THEN 'INVALID_DOCUMENT_CLASSIFICATION' END AS error_code FROM t""")
 def _(fx):
     rows = fx.table("pages").selectExpr(
         "page_id", "length(html) * 1024 AS size", "html",
         "CASE WHEN page_id % 17 = 3 THEN 'image/gif' ELSE element_at(array('application/pdf', 'image/jpeg', 'image/png',"
         " 'application/pdf'), cast(page_id % 4 + 1 AS int)) END AS mime",
         "element_at(array('.PDF', '.jpg', '.jpeg', '.pdf'), cast(page_id % 4 + 1 AS int)) AS ext",
-        "CASE WHEN page_id % 9 = 0 THEN 'other' ELSE 'invoice' END AS label", "(page_id % 100) / 100 AS confidence")
+        "CASE WHEN page_id % 9 = 0 THEN 'other' WHEN page_id % 23 <> 5 THEN 'invoice' END AS label",
+        "CASE WHEN page_id % 29 <> 3 THEN (page_id % 100) / 100 END AS confidence",
+        "CASE WHEN page_id % 31 <> 7 THEN html END AS searched")
     return rows.select("page_id", labels.document_gate(
         F.col("size"), F.col("mime"), F.col("ext"), F.col("label"), F.col("confidence"),
-        labels.has_anchor_word(F.col("html")), max_mb=1).alias("error_code"))
+        labels.has_anchor_word(F.col("searched")), max_mb=1).alias("error_code"))
 
 
 @query("b11_quality_route", sql="""

@@ -81,7 +81,7 @@ def _(fx):
 @query("h20_document_tokens", needs=["inv"], sql="""
 f AS (SELECT vendor_code AS run_id, k, unnest([{'p': 0, 'e': 'IN_PAN', 'v': 'ABCDE' || lpad((k % 10000)::varchar, 4, '0') || 'F'},
   {'p': 1, 'e': 'IN_GSTIN', 'v': CASE WHEN k % 2 = 0 THEN '27ABCDE' || lpad((k % 10000)::varchar, 4, '0') || 'F1Z5' END},
-  {'p': 4, 'e': 'BANK_ACCOUNT', 'v': (50100000000000 + k)::varchar}, {'p': 5, 'e': 'IN_IFSC', 'v': 'HDFC0' || lpad(custkey::varchar, 6, '0')}]) AS x FROM inv),
+  {'p': 4, 'e': 'BANK_ACCOUNT', 'v': (50100000000000 + k)::varchar}, {'p': 5, 'e': 'IN_IFSC', 'v': 'HDFC0' || lpad(custkey::varchar, greatest(6, length(custkey::varchar))::int, '0')}]) AS x FROM inv),
 d AS (SELECT run_id, x.e AS entity, x.v AS value, min((k, x.p)) AS first FROM f WHERE x.v IS NOT NULL GROUP BY 1, 2, 3)
 SELECT run_id, entity, value, '[' || CASE entity WHEN 'BANK_ACCOUNT' THEN 'ACCOUNT' ELSE entity[4:] END || '_TOKEN_' ||
   row_number() OVER (PARTITION BY run_id, entity ORDER BY first) || ']' AS token FROM d""")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import envelopes, money
 from ledgerloom.operators import exceptions, posting, reads
 from ledgerloom.plans.registry import query
+from ledgerloom.scale import previous_value
+from ledgerloom.sources.fixtures import KEY_BUCKET
 
 
 def _nets(fx):
@@ -76,6 +78,26 @@ def _(fx):
     return statuses.select("proof_id", "posting_status")
 
 
+@query("k6_contested_posting", needs=["inv", "recs"], sql="""
+o AS (SELECT *, grand_total_paise - tds_deduction_paise AS n, lead(document_id) OVER w AS next_id,
+    lead(grand_total_paise - tds_deduction_paise) OVER w AS next_n FROM inv WINDOW w AS (PARTITION BY custkey ORDER BY k)),
+p AS (SELECT custkey, k, document_id AS a, coalesce(next_id, document_id) AS b, row_number() OVER (PARTITION BY custkey ORDER BY k % 5, k) AS turn FROM o),
+run AS (SELECT custkey, 0 AS turn, []::varchar[] AS used, NULL::bigint AS k, false AS posted FROM (SELECT DISTINCT custkey FROM p)
+  UNION ALL SELECT p.custkey, p.turn::int, CASE WHEN x.free THEN run.used || [p.a, p.b] ELSE run.used END, p.k, x.free
+  FROM run JOIN p ON p.custkey = run.custkey AND p.turn = run.turn + 1, LATERAL (SELECT NOT list_contains(run.used, p.a) AND NOT list_contains(run.used, p.b)
+    AND p.a NOT IN (SELECT document_id FROM recs) AND p.b NOT IN (SELECT document_id FROM recs) AS free) x)
+SELECT 'pc_' || k AS proof_id, CASE WHEN posted THEN 'LEDGER_COMMITTED' ELSE 'DUPLICATE_EVENT' END AS posting_status FROM run WHERE k IS NOT NULL""")
+def _(fx):
+    """Each invoice with the next of its customer is one proof, so that every proof contends with its neighbours."""
+    inv, keys = _nets(fx), ["custkey"]
+    after = previous_value(inv, keys, -F.expr(f"k div {KEY_BUCKET}"), [-F.col("k")], F.struct("invoice_number", "net_paise"), "after")
+    proofs = after.selectExpr(
+        "concat('pc_', k) AS proof_id", "k", "vendor_code", "CASE WHEN after IS NULL THEN array(invoice_number) ELSE array(invoice_number, after.invoice_number) END AS matched_invoices",
+        "concat('U', k) AS matched_utr", "concat('pout_', k) AS payout_id", "net_paise + coalesce(after.net_paise, 0) AS proof_paise")
+    _, statuses = posting.post_matches(proofs, inv, fx.reconciliations(), F.struct(F.expr("k % 5").alias("m"), F.col("k").alias("k")))
+    return statuses.select("proof_id", "posting_status")
+
+
 @query("h24_completed_events", needs=["inv", "recs"], sql=_PROOFS + """
 SELECT 'reconciliation.completed.events' AS topic, vendor_code AS key,
   '{"specversion":"1.0","type":"invoice.reconciled","source":"/layer2/agent","id":"evt_' || sha256(m[2] || '|' || 'U' || custkey) ||
@@ -101,11 +123,16 @@ def _completed(fx):
                     F.col("debit").alias("debit_amount"))
     text = broken.select("k", F.to_json(F.struct(F.lit("/layer2/agent").alias("source"),
                                                  F.col("idempotency_event_id").alias("id"), data.alias("data"))).alias("value"))
+    # numbers where texts belong, an explicit null amount, and an amount as a number, which is allowed
+    text = text.withColumn("value", F.expr("""CASE k % 20 WHEN 6 THEN regexp_replace(value, '"vendor_code":"[^"]*"', '"vendor_code":77')
+      WHEN 7 THEN regexp_replace(value, '"bank_utr_number":"[^"]*"', '"bank_utr_number":123') WHEN 8 THEN regexp_replace(value, '"matched_invoices":."[^"]*".', '"matched_invoices":[55]')
+      WHEN 9 THEN replace(value, '}}', ',"debit_amount":null}}')
+      WHEN 10 THEN regexp_replace(value, '"total_reconciled_amount":"([0-9.]+)"', '"total_reconciled_amount":$1') ELSE value END"""))
     return text.unionByName(text.filter("k % 7 = 0"))
 
 
 _PARSED = """
-pe AS (SELECT *, CASE WHEN utr_number IS NULL OR k % 20 IN (1, 2, 3) THEN 'MALFORMED_PAYLOAD' WHEN k % 20 = 4 THEN 'INVALID_PAISE_CASTING'
+pe AS (SELECT *, CASE WHEN utr_number IS NULL OR k % 20 IN (1, 2, 3, 6, 7, 8, 9) THEN 'MALFORMED_PAYLOAD' WHEN k % 20 = 4 THEN 'INVALID_PAISE_CASTING'
   WHEN k % 20 = 5 THEN 'ORPHANED_DEBIT_CREDIT_MISMATCH' END AS error_code FROM recs),
 good AS (SELECT * FROM pe WHERE error_code IS NULL AND k % 9 <> 0)
 """
@@ -160,11 +187,14 @@ def _(fx):
 
 
 @query("a9_fatal_side_output", needs=["recs"], sql=_PARSED + """
-SELECT error_code, count(*) AS n FROM pe WHERE error_code IS NOT NULL GROUP BY 1""")
+SELECT 'ledger.fatal.dlq.events' AS topic, error_code AS key, error_code, idempotency_event_id AS event_id, true AS whole
+FROM pe WHERE error_code IS NOT NULL""")
 def _(fx):
     parsed = posting.parse_completed(_completed(fx).dropDuplicates(["value"]))
-    return posting.fatal_events(parsed).groupBy(F.get_json_object("value", "$.data.error_code").alias("error_code")).agg(
-        F.count(F.lit(1)).alias("n"))
+    part = lambda path: F.get_json_object("value", path)
+    return posting.fatal_events(parsed).select(
+        "topic", "key", part("$.data.error_code").alias("error_code"), part("$.data.details.event_id").alias("event_id"),
+        (F.get_json_object(part("$.data.original_event"), "$.id") == part("$.data.details.event_id")).alias("whole"))
 
 
 def _reviews(fx):
@@ -198,7 +228,7 @@ def _(fx):
 @query("g2_tickets_both_sources", needs=["open_inv", "recs"], sql=_PARSED.rstrip() + "," + _TICKETS + """
 SELECT source_topic, exception_reason, count(*) AS n, sum(variance)::bigint AS variance_paise FROM (
   SELECT 'reconciliation.dlq.events' AS source_topic, reason AS exception_reason, CASE WHEN k % 4 = 0 THEN k * 100 + 50 END AS variance FROM rv
-  UNION ALL SELECT 'reconciliation.completed.events', error_code, CASE WHEN error_code LIKE 'ORPHANED%' THEN 900 - net_settled_amount_paise END
+  UNION ALL SELECT 'ledger.fatal.dlq.events', error_code, CASE WHEN error_code LIKE 'ORPHANED%' THEN 900 - net_settled_amount_paise END
   FROM pe WHERE error_code IS NOT NULL) GROUP BY 1, 2""")
 def _(fx):
     fatal = exceptions.tickets_from_fatal(posting.parse_completed(_completed(fx)))
@@ -213,13 +243,14 @@ m AS (SELECT *, CASE WHEN k % 5 <> 4 THEN ['OPEN', 'IN_REVIEW', 'RESOLVED', 'CLO
 j AS (SELECT *, coalesce((status = 'OPEN' AND new_status = 'IN_REVIEW') OR (status = 'IN_REVIEW' AND new_status IN ('RESOLVED', 'CLOSED')), false) AS ok FROM m)
 SELECT ticket_id, CASE WHEN ok THEN new_status ELSE status END AS status,
   CASE WHEN new_status IS NOT NULL THEN CASE WHEN ok THEN 'allowed' ELSE 'rejected' END END AS move_result,
-  CASE WHEN ok AND new_status IN ('RESOLVED', 'CLOSED') THEN 'user_' || k END AS resolved_by FROM j""")
+  CASE WHEN ok AND new_status IN ('RESOLVED', 'CLOSED') THEN 'user_' || k ELSE resolved_by END AS resolved_by,
+  CASE WHEN ok AND new_status IN ('RESOLVED', 'CLOSED') THEN created_epoch + 60 ELSE resolved_epoch END AS resolved_epoch FROM j""")
 def _(fx):
     t = fx.tickets()
     moves = t.filter("k % 5 <> 4").selectExpr(
         "ticket_id", "element_at(array('OPEN', 'IN_REVIEW', 'RESOLVED', 'CLOSED'), cast(k div 4 % 4 + 1 AS int)) AS new_status",
         "concat('user_', k) AS moved_by", "created_epoch + 60 AS moved_epoch")
-    return exceptions.move_tickets(t, moves).select("ticket_id", "status", "move_result", "resolved_by")
+    return exceptions.move_tickets(t, moves).select("ticket_id", "status", "move_result", "resolved_by", "resolved_epoch")
 
 
 @query("b18_exception_guard", needs=["open_inv"], sql="""

@@ -175,7 +175,8 @@ def _outbox(fx):
     return fx.invoices().selectExpr(
         "k AS outbox_id", "concat('evt_', k) AS event_id", "element_at(array('PENDING', 'PUBLISHED', 'FAILED'), cast(k % 3 + 1 AS int)) AS status",
         "k % 4 AS retry_count", "3L AS max_retries", "cast(unix_date(document_date) AS bigint) * 86400 AS created_epoch",
-        "cast(unix_date(document_date) AS bigint) * 86400 + k % 100 AS available_epoch")
+        "cast(unix_date(document_date) AS bigint) * 86400 + k % 100 AS available_epoch",
+        "CASE WHEN k % 3 = 1 THEN k + 5 END AS published_epoch", "CASE WHEN k % 3 = 2 OR k % 4 > 1 THEN concat('earlier ', k) END AS last_error")
 
 
 @query("f3_due_outbox", needs=["inv"], sql="""
@@ -187,19 +188,22 @@ def _(fx):
 @query("a8_outbox_relay", needs=["inv"], sql="""
 SELECT k AS outbox_id, CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN 'PUBLISHED' WHEN k % 3 = 0 AND k % 4 < 3 THEN 'FAILED' ELSE ['PENDING', 'PUBLISHED', 'FAILED'][k % 3 + 1] END AS status,
   k % 4 + CASE WHEN k % 3 = 0 AND k % 2 <> 0 AND k % 4 < 3 THEN 1 ELSE 0 END AS retry_count,
-  CASE WHEN k % 3 = 0 AND k % 2 <> 0 AND k % 4 < 3 THEN 1000000030 ELSE day_no * 86400 + k % 100 END AS available_epoch FROM inv""")
+  CASE WHEN k % 3 = 0 AND k % 2 <> 0 AND k % 4 < 3 THEN 1000000030 ELSE day_no * 86400 + k % 100 END AS available_epoch,
+  CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN 1000000000 WHEN k % 3 = 1 THEN k + 5 END AS published_epoch,
+  CASE WHEN k % 3 = 0 AND k % 2 <> 0 AND k % 4 < 3 THEN 'broker away' WHEN k % 3 = 2 OR k % 4 > 1 THEN 'earlier ' || k END AS last_error FROM inv""")
 def _(fx):
     outbox = _outbox(fx)
     results = outbox.filter("status = 'PENDING'").selectExpr("outbox_id", "outbox_id % 2 = 0 AS ok", "'broker away' AS error")
-    return reports.relay_result(outbox, results, 1_000_000_000).select("outbox_id", "status", "retry_count", "available_epoch")
+    return reports.relay_result(outbox, results, 1_000_000_000).select(
+        "outbox_id", "status", "retry_count", "available_epoch", "published_epoch", "last_error")
 
 
 @query("k9_e3_e4_e5_expected_feed", needs=["open_inv"], sql="""
 o AS (SELECT *, grand_total_paise - tds_deduction_paise AS net, row_number() OVER w AS idx, count(*) OVER (PARTITION BY vendor_code) AS n
   FROM open_inv WHERE grand_total_paise > tds_deduction_paise WINDOW w AS (PARTITION BY vendor_code ORDER BY invoice_number))
-SELECT vendor_code, invoice_number, lpad((300000000001 + idx)::varchar, 12, '0') AS utr, 'pout_e2e_' || lpad(idx::varchar, 4, '0') AS payout_id,
+SELECT vendor_code, invoice_number, (300000000001 + idx)::varchar AS utr, 'pout_e2e_' || lpad(idx::varchar, greatest(4, length(idx::varchar))::int, '0') AS payout_id,
   (document_date + 2)::varchar AS transaction_date, net AS amount_paise, sum(net) OVER (PARTITION BY vendor_code ORDER BY invoice_number)::bigint AS closing_balance_paise,
-  'CREDIT/IMPS/' || lpad((300000000001 + idx)::varchar, 12, '0') || '/' || upper(supplier_legal_name) || '/' || invoice_number AS bank_narration
+  'CREDIT/IMPS/' || (300000000001 + idx)::varchar || '/' || upper(supplier_legal_name) || '/' || invoice_number AS bank_narration
 FROM o WHERE idx <= n - 2""")
 def _(fx):
     invoices = fx.open_invoices(named=True).withColumn("net_paise", reads.net_paise())

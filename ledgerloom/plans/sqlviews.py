@@ -5,15 +5,15 @@ from __future__ import annotations
 VIEWS: dict[str, tuple[list[str], str]] = {
     "inv": ([], """
 SELECT o_orderkey AS k, o_custkey AS custkey, o_orderkey::varchar AS document_id,
-  'VEND_' || lpad(o_custkey::varchar, 6, '0') AS vendor_code,
-  'INV-' || lpad(o_orderkey::varchar, 8, '0') AS invoice_number,
+  'VEND_' || lpad(o_custkey::varchar, greatest(6, length(o_custkey::varchar))::int, '0') AS vendor_code,
+  'INV-' || lpad(o_orderkey::varchar, greatest(8, length(o_orderkey::varchar))::int, '0') AS invoice_number,
   o_orderdate::date AS document_date,
   round(o_totalprice * 100)::bigint AS grand_total_paise,
   round(o_totalprice * 100)::bigint // 50 AS tds_deduction_paise,
   CASE WHEN o_orderstatus = 'P' THEN 'EXCEPTION_FLAGGED' ELSE 'VALIDATED' END AS processing_status,
   (floor(o_totalprice / 50000)::bigint + 1) * 1000000 AS coarse_net_paise,
   datediff('day', date '1970-01-01', o_orderdate::date)::bigint AS day_no,
-  CASE WHEN o_orderkey % 13 <> 0 THEN lpad((300000000001 + o_orderkey)::varchar, 12, '0') END AS utr
+  CASE WHEN o_orderkey % 13 <> 0 THEN (300000000001 + o_orderkey)::varchar END AS utr
 FROM orders"""),
     "invn": (["inv"], """
 SELECT inv.*, coalesce(p_name || ' Pvt Ltd', 'unknown Pvt Ltd') AS supplier_legal_name
@@ -23,7 +23,7 @@ LEFT JOIN part ON p_partkey = pk"""),
 SELECT k, 'pout_' || k AS payout_id, 'fa_' || k AS fund_account_id,
   grand_total_paise - tds_deduction_paise AS amount_paise,
   CASE WHEN k % 17 = 0 THEN 'failed' ELSE 'processed' END AS status, utr, invoice_number AS reference_id,
-  CASE WHEN k % 3 = 0 THEN 'IMPS/' || lpad((300000000001 + k)::varchar, 12, '0') || '/HDFC/' ||
+  CASE WHEN k % 3 = 0 THEN 'IMPS/' || (300000000001 + k)::varchar || '/HDFC/' ||
       replace(replace(upper(supplier_legal_name), 'WIDGET', 'WIDGIT'), 'PLATE', 'PLAITE')
     ELSE upper(supplier_legal_name) || ' - PAYOUT ' || invoice_number END AS narration,
   (grand_total_paise - tds_deduction_paise) // 100 AS fees_paise,
@@ -58,9 +58,9 @@ SELECT k, batch_id, vendor_code, CASE WHEN k % 31 <> 0 THEN document_id END AS d
   CASE WHEN k % 31 <> 0 THEN invoice_number END AS invoice_number,
   CASE WHEN k % 31 = 0 THEN 'FAILED' ELSE processing_status END AS status,
   CASE WHEN k % 31 = 0 THEN 'extraction failed for ' || invoice_number END AS error_message
-FROM (SELECT *, '00000000-0000-4000-800' || k % 3 || '-' || lpad(custkey::varchar, 12, '0') AS batch_id FROM inv)"""),
+FROM (SELECT *, '00000000-0000-4000-800' || k % 3 || '-' || lpad(custkey::varchar, greatest(12, length(custkey::varchar))::int, '0') AS batch_id FROM inv)"""),
     "batches": (["inv"], """
-SELECT '00000000-0000-4000-800' || k % 3 || '-' || lpad(custkey::varchar, 12, '0') AS batch_id, vendor_code, custkey,
+SELECT '00000000-0000-4000-800' || k % 3 || '-' || lpad(custkey::varchar, greatest(12, length(custkey::varchar))::int, '0') AS batch_id, vendor_code, custkey,
   count(*) AS total_invoices, count(*) FILTER (k % 31 <> 0) AS processed_count,
   count(*) FILTER (k % 31 = 0) AS failed_count,
   CASE WHEN custkey % 7 <> 0 THEN 'COMPLETED' ELSE 'PENDING' END AS status,
@@ -78,6 +78,7 @@ SELECT k, 'tkt_' || k || tag AS ticket_id, vendor_code, [invoice_number] AS flag
   ['NO_MATCH', 'AMBIGUOUS_COLLISION', 'ENTITY_MISMATCH', 'NEGATIVE_NET_SETTLEMENT', 'REASON_UNSPECIFIED']
     [(k + shift) % 5 + 1] AS exception_reason,
   ['OPEN', 'IN_REVIEW', 'RESOLVED', 'CLOSED'][k % 4 + 1] AS status,
+  CASE WHEN k % 4 > 1 THEN 'clerk_' || k % 7 END AS resolved_by, CASE WHEN k % 4 > 1 THEN k + 9 END AS resolved_epoch,
   day_no * 86400 + days * 86400 AS created_epoch
 FROM open_inv, (VALUES ('a', 0, 10, 29), ('b', 2, 20, 58)) v(tag, shift, days, m) WHERE k % m = 0"""),
     "lines": ([], """

@@ -30,8 +30,8 @@ class Fixtures:
             "o_orderkey AS k",
             "o_custkey AS custkey",
             "cast(o_orderkey AS string) AS document_id",
-            "concat('VEND_', lpad(cast(o_custkey AS string), 6, '0')) AS vendor_code",
-            "concat('INV-', lpad(cast(o_orderkey AS string), 8, '0')) AS invoice_number",
+            "concat('VEND_', lpad(cast(o_custkey AS string), greatest(6, length(cast(o_custkey AS string))), '0')) AS vendor_code",
+            "concat('INV-', lpad(cast(o_orderkey AS string), greatest(8, length(cast(o_orderkey AS string))), '0')) AS invoice_number",
             "cast(o_orderdate AS date) AS document_date",
             "cast(round(o_totalprice * 100) AS bigint) AS grand_total_paise",
             "cast(round(o_totalprice * 100) AS bigint) div 50 AS tds_deduction_paise",
@@ -54,12 +54,12 @@ class Fixtures:
 
     @staticmethod
     def _utr() -> Column:
-        return F.expr("CASE WHEN k % 13 <> 0 THEN lpad(cast(300000000001 + k AS string), 12, '0') END")
+        return F.expr("CASE WHEN k % 13 <> 0 THEN cast(300000000001 + k AS string) END")
 
     def settlements(self, named: bool = False, older: bool = True) -> DataFrame:
         """Gateway payouts; with ``older``, every nineteenth also has a version ingested a day before."""
         base = (self.invoices_named() if named else self.invoices()).filter("k % 5 <> 0")
-        narration = ("""CASE WHEN k % 3 = 0 THEN concat('IMPS/', lpad(cast(300000000001 + k AS string), 12, '0'),
+        narration = ("""CASE WHEN k % 3 = 0 THEN concat('IMPS/', cast(300000000001 + k AS string),
                      '/HDFC/', replace(replace(upper(supplier_legal_name), 'WIDGET', 'WIDGIT'), 'PLATE', 'PLAITE'))
                      ELSE concat(upper(supplier_legal_name), ' - PAYOUT ', invoice_number) END"""
                      if named else "cast(NULL AS string)")
@@ -107,7 +107,7 @@ class Fixtures:
 
     @staticmethod
     def _batch_id() -> Column:
-        return F.expr("concat('00000000-0000-4000-800', k % 3, '-', lpad(cast(custkey AS string), 12, '0'))")
+        return F.expr("concat('00000000-0000-4000-800', k % 3, '-', lpad(cast(custkey AS string), greatest(12, length(cast(custkey AS string))), '0'))")
 
     def items(self) -> DataFrame:
         """Batch items: three batches per vendor, rows numbered from 0 in key order."""
@@ -154,6 +154,8 @@ class Fixtures:
                 "array(invoice_number) AS flagged_invoice_ids",
                 "element_at(array('NO_MATCH', 'AMBIGUOUS_COLLISION', 'ENTITY_MISMATCH', 'NEGATIVE_NET_SETTLEMENT',"
                 f" 'REASON_UNSPECIFIED'), cast((k + {shift}) % 5 + 1 AS int)) AS exception_reason",
+                "CASE WHEN k % 4 > 1 THEN concat('clerk_', k % 7) END AS resolved_by",
+                "CASE WHEN k % 4 > 1 THEN k + 9 END AS resolved_epoch",
                 "element_at(array('OPEN', 'IN_REVIEW', 'RESOLVED', 'CLOSED'), cast(k % 4 + 1 AS int)) AS status",
                 f"cast(unix_date(document_date) AS bigint) * 86400 + {days} * 86400 AS created_epoch")
 
@@ -207,8 +209,8 @@ class Fixtures:
                      F.expr("CASE WHEN k % 6 = 0 THEN 'CRN' ELSE 'INV' END").alias("document_type_code"),
                      F.col("document_date").cast("string").alias("document_date")).alias("reference_data"),
             F.struct(F.lit("HDFC").alias("bank_name"),
-                     F.expr("lpad(cast(50100000000000 + k AS string), 14, '0')").alias("account_number"),
-                     F.expr("concat('HDFC0', lpad(cast(custkey AS string), 6, '0'))").alias("ifsc")
+                     F.expr("cast(50100000000000 + k AS string)").alias("account_number"),
+                     F.expr("concat('HDFC0', lpad(cast(custkey AS string), greatest(6, length(cast(custkey AS string))), '0'))").alias("ifsc")
                      ).alias("banking_details"),
             F.coalesce("line_items", F.expr("array()").cast(
                 "array<struct<line_number:int,description:string,quantity:bigint,unit:string,unit_price_paise:bigint,"
