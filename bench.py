@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINES = (
     "c1_unmatched_credits", "c2_open_invoices", "c7_b20_anchor_and_target", "a3_bank_ingest", "c18_invoice_gate",
-    "b6_b7_b8_h27_extraction", "h11_h12_fuzzy_verdict", "h13_h14_waterfall", "c9_k1_subsets_up_to_three",
+    "b6_b7_b8_h27_extraction", "h11_h12_fuzzy_verdict", "h13_h14_waterfall", "c9_k1_subsets",
     "k3_k4_b17_b21_fast_path", "k6_c14_posting", "h32_g1_ledger_lines", "c13_d9_headers_with_lines",
     "k7_h26_tickets_from_review", "e1_e2_page_groups", "h18_masked_text", "h21_tokenized_text", "d5_batch_funnel",
     "d6_d7_d8_kpis", "d14_telemetry_fold", "k9_e3_e4_e5_expected_feed", "i4_a6_ledger_stream",

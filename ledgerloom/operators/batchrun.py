@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import matching
 from ledgerloom.operators.reads import with_anchor
-from ledgerloom.operators.subsets import find_subsets, first_in_search_order
+from ledgerloom.operators.subsets import find_subsets
 from ledgerloom.scale import cut_lineage
 
 # Terminal states of an invoice in a run.
@@ -68,7 +68,7 @@ def reconcile_in_order(invoices: DataFrame, settlements: DataFrame, credits: Dat
     asked = cut_lineage(matching.request_of(with_anchor(invoices, settlements)))
     credits = cut_lineage(credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "narration", "amount_paise"))
     targets = matching.requested_credits(asked, credits).select("vendor_code", "amount_paise").distinct()
-    subsets = cut_lineage(find_subsets(targets, asked, max_size, salts, cap=None))
+    subsets = cut_lineage(find_subsets(targets, asked, max_size, salts))
     components = connected(_option_edges(asked, credits, subsets))
     node = F.concat_ws("|", F.lit("inv"), "vendor_code", "invoice_number")
     waiting = cut_lineage(asked.withColumn("node", node).join(components, "node").drop("node"))
@@ -84,7 +84,7 @@ def reconcile_in_order(invoices: DataFrame, settlements: DataFrame, credits: Dat
             free_credits = credits.join(posted.select("vendor_code", F.col("utr").alias("utr_number")).distinct(),
                                         ["vendor_code", "utr_number"], "left_anti")
         judged = cut_lineage(matching.settle(matching.match_requests(
-            waiting, free_credits, asked, tolerance_days, subsets=first_in_search_order(free_sets))))
+            waiting, free_credits, asked, tolerance_days, subsets=free_sets)))
         can = F.col("committable") & F.col("matched_utr").isNotNull()
         first = judged.filter(can).groupBy("component").agg(F.min("run_order").alias("first_order"))
         placed = cut_lineage(judged.withColumn("__can", can).join(first, "component", "left"))

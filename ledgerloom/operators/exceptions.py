@@ -19,11 +19,18 @@ def _or(c: Column, default: str) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
 
 
+def _id(c: Column, payload: Column) -> Column:
+    """The event's id; an event without one is told apart by its text."""
+    return F.coalesce(F.nullif(c, F.lit("")), F.concat(F.lit(NO_ID + "-"), F.sha2(F.coalesce(payload, F.lit("")), 256)))
+
+
 def exception_events(reviews: DataFrame) -> DataFrame:
     """Dead-letter events for invoices that go to review; a blank reason becomes the unspecified one.
 
-    ``reviews``: vendor_code, document_id, invoice_number, utr, review_reason, variance, message.
+    ``reviews``: vendor_code, document_id, invoice_number, utr, review_reason, variance, message; with a ``run_id``, the same
+    problem can be raised again by a later run, without one it is raised once.
     """
+    run = [F.col("run_id")] if "run_id" in reviews.columns else []
     reason = _or(F.trim("review_reason"), NO_REASON)
     data = F.struct("vendor_code", F.array("invoice_number").alias("flagged_invoices"), F.col("utr").alias("bank_utr_number"),
                     reason.alias("exception_reason"), F.col("variance").alias("variance_delta"),
@@ -31,7 +38,7 @@ def exception_events(reviews: DataFrame) -> DataFrame:
                     F.struct(F.lit("layer2_agent").alias("source"), reason.alias("error")).alias("metadata"))
     return reviews.select(
         F.lit(envelopes.TOPIC_DLQ).alias("topic"), F.col("vendor_code").alias("key"),
-        envelopes.cloud_event(envelopes.EXCEPTION, envelopes.event_id(F.col("document_id"), reason), data).alias("value"))
+        envelopes.cloud_event(envelopes.EXCEPTION, envelopes.event_id(F.col("document_id"), reason, *run), data).alias("value"))
 
 
 def tickets_from_dlq(events: DataFrame, topic: str = envelopes.TOPIC_DLQ, value: str = "value") -> DataFrame:
@@ -40,7 +47,7 @@ def tickets_from_dlq(events: DataFrame, topic: str = envelopes.TOPIC_DLQ, value:
                       F.explode(F.array(F.from_json(F.col(value), envelopes.DLQ_SCHEMA))).alias("e"))
     d = F.col("e.data")
     return e.select(
-        _or(F.col("e.id"), NO_ID).alias("source_event_id"), F.lit(topic).alias("source_topic"),
+        _id(F.col("e.id"), F.col("flagged_payload")).alias("source_event_id"), F.lit(topic).alias("source_topic"),
         _or(d["vendor_code"], UNKNOWN_VENDOR).alias("vendor_code"), d["bank_utr_number"].alias("bank_utr_number"),
         F.coalesce(d["flagged_invoices"], F.array().cast("array<string>")).alias("flagged_invoice_ids"),
         _or(d["exception_reason"], NO_REASON).alias("exception_reason"),
@@ -52,7 +59,7 @@ def tickets_from_fatal(parsed: DataFrame, topic: str = envelopes.TOPIC_FATAL, va
     """Ticket rows from completed events the ledger refused."""
     bad = parsed.filter("error_code IS NOT NULL")
     return bad.select(
-        _or(F.col("event_id"), NO_ID).alias("source_event_id"), F.lit(topic).alias("source_topic"),
+        _id(F.col("event_id"), F.col(value)).alias("source_event_id"), F.lit(topic).alias("source_topic"),
         _or(F.col("vendor_code"), UNKNOWN_VENDOR).alias("vendor_code"), F.col("utr_number").alias("bank_utr_number"),
         F.coalesce("matched_invoice_ids", F.array().cast("array<string>")).alias("flagged_invoice_ids"),
         F.col("error_code").alias("exception_reason"),
@@ -76,9 +83,13 @@ def move_tickets(tickets: DataFrame, moves: DataFrame) -> DataFrame:
     allowed = F.coalesce(F.try_element_at(table, F.col("status")), F.array().cast("array<string>"))
     ok = F.array_contains(allowed, F.col("new_status"))
     done = ok & F.col("new_status").isin(*TERMINAL)
+
+    def kept(name: str) -> Column:
+        return F.col(name) if name in tickets.columns else F.lit(None)
+
     return (tickets.join(moves, "ticket_id", "left")
             .withColumn("allowed_next", allowed)
             .withColumn("move_result", F.when(F.col("new_status").isNotNull(), F.when(ok, "allowed").otherwise("rejected")))
-            .withColumn("resolved_by", F.when(done, F.col("moved_by")).otherwise(F.col("resolved_by")))
-            .withColumn("resolved_epoch", F.when(done, F.col("moved_epoch")).otherwise(F.col("resolved_epoch")))
+            .withColumn("resolved_by", F.when(done, F.col("moved_by")).otherwise(kept("resolved_by")))
+            .withColumn("resolved_epoch", F.when(done, F.col("moved_epoch")).otherwise(kept("resolved_epoch")))
             .withColumn("status", F.when(ok, F.col("new_status")).otherwise(F.col("status"))))

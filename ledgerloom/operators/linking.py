@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import MATCH_THRESHOLD, narration_tokens, source_tokens, token_set_match
-from ledgerloom.operators.reads import TOP_SETTLEMENTS, newest_narrated_settlements
 
 # Verdicts.
 RESOLVED, MISMATCH = "ENTITY_RESOLVED", "ENTITY_MISMATCH"
@@ -29,17 +28,17 @@ def fuzzy_verdict(pairs: DataFrame, left: str, right: str, threshold: float = MA
         "normalized_source": F.array_join(left, " "), "normalized_target": F.array_join(right, " ")})
 
 
-def best_settlement(invoices: DataFrame, settlements: DataFrame, threshold: float = MATCH_THRESHOLD,
-                    newest: int = TOP_SETTLEMENTS) -> DataFrame:
-    """Best-scoring settlement per (vendor, supplier name) among the vendor's newest narrated ones.
+def best_settlement(invoices: DataFrame, settlements: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """Best-scoring settlement per (vendor, supplier name) among all narrated ones of the vendor.
 
-    Only distinct names meet the at most ``newest`` settlements of their vendor; the newest wins a tie.
+    Only distinct names meet the distinct narrations of their vendor, each as its newest settlement; the newest wins a tie.
     Rows: vendor_code, supplier_legal_name, fuzzy_payout_id, fuzzy_utr, fuzzy_amount_paise, fuzzy_score.
     """
     names = invoices.select("vendor_code", "supplier_legal_name").distinct().withColumn(
         "__a", source_tokens("supplier_legal_name"))
-    targets = newest_narrated_settlements(settlements, newest).select(
-        "vendor_code", "payout_id", "utr", "amount_paise", "ingested_epoch", narration_tokens("narration").alias("__b"))
+    narrated = settlements.filter("utr IS NOT NULL AND narration <> ''").withColumn("__b", narration_tokens("narration"))
+    newest = F.max(F.struct("ingested_epoch", "payout_id", "utr", "amount_paise")).alias("s")
+    targets = narrated.groupBy("vendor_code", "__b").agg(newest).select("vendor_code", "__b", "s.*")
     scored = score_distinct_pairs(names.join(targets, "vendor_code"), "__a", "__b").filter(F.col("score") >= threshold)
     best = scored.groupBy("vendor_code", "supplier_legal_name").agg(F.max_by(
         F.struct("payout_id", "utr", "amount_paise", "score"),

@@ -58,8 +58,8 @@ def matching_units(requests: DataFrame, credits: DataFrame, invoices: DataFrame,
 
     Alike means same amount, date and narration words: ``n`` says how many options a row stands for, and
     the row names one of them. Credits are counted before they meet the requests. An amount shared by very
-    many credits so ships few rows per task, and yields at most 250 options per distinct date and
-    narration, never a row per pair.
+    many credits so ships few rows per task, and yields one row per set, date and
+    narration, never a row per pair of credit and request.
     """
     counted = _with_keys(credits).withColumn("__b", narration_tokens("narration")).groupBy(
         "vendor_code", "key", "amount_paise", "transaction_date", "__b").agg(

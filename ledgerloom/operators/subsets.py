@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.scale import cut_lineage, first_per_key
 
-# Fixed value: at most this many sets per amount take part in the decision, the first in search order.
+# Fixed value: a common bound of sets per amount, the first in search order; used only where a caller asks for it.
 MAX_SUBSETS = 250
 
 # Open invoices of one vendor per salt.
 ROWS_PER_SALT = 5000
-MAX_SALTS = 1024
 
 _SETS = ("vendor_code", "amount_paise", "path", "members", "dates", "supplier")
 
@@ -33,7 +32,7 @@ def _salts(invoices: DataFrame, salts: int | None) -> DataFrame:
         return invoices.select(F.col("vendor_code").alias("s_vendor")).distinct().withColumn("salts", F.lit(salts))
     sizes = invoices.groupBy(F.col("vendor_code").alias("s_vendor")).agg(F.count(F.lit(1)).alias("n"))
     return sizes.filter(F.col("n") > ROWS_PER_SALT).select(
-        "s_vendor", F.least(F.lit(MAX_SALTS), F.expr(f"1 + n div {ROWS_PER_SALT}")).cast("int").alias("salts"))
+        "s_vendor", F.expr(f"1 + n div {ROWS_PER_SALT}").cast("int").alias("salts"))
 
 
 def _pool(invoices: DataFrame, salts: DataFrame) -> DataFrame:
@@ -80,20 +79,21 @@ def _grow(state: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def find_subsets(targets: DataFrame, invoices: DataFrame, max_size: int | None = None, salts: int | None = None,
-                 cap: int | None = MAX_SUBSETS) -> DataFrame:
-    """Sets per (vendor_code, amount_paise) of ``targets``, the first ``cap`` in search order.
+                 cap: int | None = None) -> DataFrame:
+    """Sets per (vendor_code, amount_paise) of ``targets``; with ``cap``, the first so many in search order.
 
     Columns: vendor_code, amount_paise, size, members (sorted), dates, supplier (single-member sets only) and
-    path, the members with their nets in search order. ``cap=None`` keeps all sets.
+    path, the members with their nets in search order.
     ``max_size=None`` goes on until no partial set is left; with a bound the result is complete only for
     sets up to that size. Partial sets are written to the checkpoint folder level by level: each feeds both
     the sets it closes and the next level, and is computed once. ``salts`` fixes the salts per vendor; by
     default they follow from the vendor's open invoices.
     """
     spread = _salts(invoices, salts)
+    # Both are read once for every level.
     pool, start = _pool(invoices, spread), _start(targets, spread)
     if max_size != 1:
-        start = cut_lineage(start)
+        pool, start = cut_lineage(pool), cut_lineage(start)
     found = start.filter("amount_paise = 0").select(*_SETS)
     state = start.filter("amount_paise <> 0")
     size = 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import linking, matching, reads
-from ledgerloom.operators.subsets import find_subsets
+from ledgerloom.operators.subsets import MAX_SUBSETS, find_subsets
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.textsql import narration_sql, score_sql, source_sql
 
@@ -19,9 +19,9 @@ def _credits(fx, coarse=False):
     return reads.unmatched_credits(fx.bank(named=True, coarse=coarse), fx.reconciliations())
 
 
-def subsets_sql(net: str, amount: str, max_size: int | None = None) -> str:
+def subsets_sql(net: str, amount: str, cap: int | None = None) -> str:
     """CTE ``subs`` with every set of open invoices adding up to a credit amount, by recursion."""
-    bound = f" AND len(s.path) < {max_size}" if max_size else ""
+    first = f" QUALIFY row_number() OVER (PARTITION BY vendor_code, amount ORDER BY path) <= {cap}" if cap else ""
     return f"""
 pool AS (SELECT vendor_code, invoice_number AS no, {net} AS net, document_date, supplier_legal_name FROM open_inv),
 target AS (SELECT DISTINCT vendor_code, {amount} AS amount FROM credits),
@@ -33,35 +33,35 @@ step AS (
     list_append(s.dates, p.document_date), CASE WHEN len(s.path) = 0 THEN p.supplier_legal_name END
   FROM step s JOIN pool p ON p.vendor_code = s.vendor_code
     AND (len(s.path) = 0 OR (p.net, p.no) > (s.path[-1].net, s.path[-1].no)) AND (p.net = s.rest OR 2 * p.net <= s.rest)
-  WHERE s.rest <> 0{bound}),
+  WHERE s.rest <> 0),
 subs AS (SELECT vendor_code, amount, path, dates, supplier, list_sort(list_transform(path, lambda m: m.no)) AS members
-  FROM step WHERE rest = 0 QUALIFY row_number() OVER (PARTITION BY vendor_code, amount ORDER BY path) <= 250)"""
+  FROM step WHERE rest = 0{first})"""
 
 
-@query("c9_k1_subsets_up_to_three", needs=["open_inv", "credits"], sql=subsets_sql(
-    "grand_total_paise - tds_deduction_paise", "amount_paise", 3) + """
+@query("c9_k1_subsets", needs=["open_inv", "credits"], sql=subsets_sql(
+    "grand_total_paise - tds_deduction_paise", "amount_paise") + """
 SELECT vendor_code, amount AS amount_paise, len(members)::int AS size, array_to_string(members, ',') AS members FROM subs""")
 def _(fx):
-    return find_subsets(_credits(fx), _pool(fx), max_size=3).select(
+    return find_subsets(_credits(fx), _pool(fx)).select(
         "vendor_code", "amount_paise", "size", F.array_join("members", ",").alias("members"))
 
 
 @query("f6_k1_subsets_any_size", needs=["open_inv", "credits"], sql=subsets_sql(
-    "coarse_net_paise", "coarse_amount_paise") + """
+    "coarse_net_paise", "coarse_amount_paise", MAX_SUBSETS) + """
 SELECT vendor_code, amount AS amount_paise, len(members)::int AS size, array_to_string(members, ',') AS members FROM subs""")
 def _(fx):
-    return find_subsets(_credits(fx, True), _pool(fx, True), salts=2).select(
+    return find_subsets(_credits(fx, True), _pool(fx, True), salts=2, cap=MAX_SUBSETS).select(
         "vendor_code", "amount_paise", "size", F.array_join("members", ",").alias("members"))
 
 
 @query("d17_collision_statistics", needs=["open_inv", "credits"], sql=subsets_sql(
-    "coarse_net_paise", "coarse_amount_paise", 2) + """,
+    "coarse_net_paise", "coarse_amount_paise") + """,
 n AS (SELECT vendor_code, amount, count(*) AS subsets FROM subs GROUP BY 1, 2)
 SELECT coalesce(subsets, 0) AS subsets, count(*) AS credits FROM credits LEFT JOIN n
   ON n.vendor_code = credits.vendor_code AND n.amount = coarse_amount_paise GROUP BY 1""")
 def _(fx):
     credits = _credits(fx, True)
-    n = find_subsets(credits, _pool(fx, True), max_size=2).groupBy("vendor_code", "amount_paise").agg(
+    n = find_subsets(credits, _pool(fx, True)).groupBy("vendor_code", "amount_paise").agg(
         F.count(F.lit(1)).alias("subsets"))
     return credits.join(n, ["vendor_code", "amount_paise"], "left").groupBy(
         F.coalesce("subsets", F.lit(0)).alias("subsets")).agg(F.count(F.lit(1)).alias("credits"))
@@ -109,7 +109,7 @@ req AS (SELECT DISTINCT vendor_code, rutr, rpaise FROM ask)"""
 
 
 @query("k2_e8_c11_three_phases", needs=["open_inv", "credits"], sql=subsets_sql(
-    "coarse_net_paise", "coarse_amount_paise", 2) + """,
+    "coarse_net_paise", "coarse_amount_paise") + """,
 cr AS (SELECT *, coarse_amount_paise AS amt FROM credits),
 req AS (SELECT DISTINCT vendor_code, NULL::varchar AS rutr, coarse_net_paise AS rpaise FROM open_inv),
 """ + _DECIDE + """
@@ -119,13 +119,13 @@ def _(fx):
     pool = _pool(fx, True)
     requests = pool.select("vendor_code", F.lit(None).cast("string").alias("request_utr"),
                            F.col("net_paise").alias("request_paise")).distinct()
-    return matching.match_requests(requests, _credits(fx, True), pool, max_size=2).select(
+    return matching.match_requests(requests, _credits(fx, True), pool).select(
         "vendor_code", "request_paise", "subset_status", "phase", "options",
         F.array_join("matched_invoices", ",").alias("matched_invoices"), "transaction_id")
 
 
 @query("k3_k4_b17_b21_fast_path", needs=["open_inv", "credits", "settle"], sql=subsets_sql(
-    "grand_total_paise - tds_deduction_paise", "amount_paise", 3) + """,
+    "grand_total_paise - tds_deduction_paise", "amount_paise") + """,
 cr AS (SELECT *, amount_paise AS amt FROM credits),
 """ + asked_sql("grand_total_paise - tds_deduction_paise") + "," + _DECIDE + """
 SELECT ask.document_id, ask.invoice_number, anchor_payout_id, phase::int AS phase, f.utr AS matched_utr, proof_paise,
@@ -135,16 +135,15 @@ SELECT ask.document_id, ask.invoice_number, anchor_payout_id, phase::int AS phas
 FROM ask JOIN final f ON f.vendor_code = ask.vendor_code AND f.rutr IS NOT DISTINCT FROM ask.rutr
   AND f.rpaise IS NOT DISTINCT FROM ask.rpaise""")
 def _(fx):
-    return matching.fast_path(_pool(fx), fx.settlements(named=True), _credits(fx), max_size=3).select(
+    return matching.fast_path(_pool(fx), fx.settlements(named=True), _credits(fx)).select(
         "document_id", "invoice_number", "anchor_payout_id", "phase", "matched_utr", "proof_paise", "committable",
         "subset_status")
 
 
 _FUZZY = f"""
-top20 AS (SELECT * FROM settle WHERE utr IS NOT NULL AND narration <> '' QUALIFY row_number() OVER (
-  PARTITION BY vendor_code ORDER BY ingested_epoch DESC, payout_id DESC) <= 20),
+narrated AS (SELECT * FROM settle WHERE utr IS NOT NULL AND narration <> ''),
 fp AS (SELECT DISTINCT o.vendor_code, o.supplier_legal_name, t.payout_id, t.utr, t.amount_paise, t.ingested_epoch, t.narration
-  FROM (SELECT DISTINCT vendor_code, supplier_legal_name FROM {{names}}) o JOIN top20 t USING (vendor_code)),
+  FROM (SELECT DISTINCT vendor_code, supplier_legal_name FROM {{names}}) o JOIN narrated t USING (vendor_code)),
 fpr AS (SELECT DISTINCT {{{{'s': supplier_legal_name, 'n': narration}}}} AS id, {source_sql('supplier_legal_name')} AS a,
   {narration_sql('narration')} AS b FROM fp),
 {score_sql('fpr', 'f_').replace('{', '{{').replace('}', '}}')},
@@ -161,7 +160,7 @@ def _(fx):
 
 
 @query("k5_b18_b19_exception_resolution", needs=["open_inv", "credits", "settle"], sql=subsets_sql(
-    "grand_total_paise - tds_deduction_paise", "amount_paise", 2) + """,
+    "grand_total_paise - tds_deduction_paise", "amount_paise") + """,
 cr AS (SELECT *, amount_paise AS amt FROM credits),
 """ + _BEST + """,
 unres AS (SELECT o.* FROM open_inv o LEFT JOIN best b ON b.vendor_code = o.vendor_code AND b.reference_id = o.invoice_number
@@ -181,7 +180,7 @@ def _(fx):
     pool, settlements = _pool(fx), fx.settlements(named=True)
     unresolved = reads.with_anchor(pool, settlements).filter("anchor_utr IS NULL").withColumn(
         "subset_status", F.lit(matching.NO_MATCH))
-    return matching.resolve_exceptions(unresolved, settlements, _credits(fx), pool, max_size=2).select(
+    return matching.resolve_exceptions(unresolved, settlements, _credits(fx), pool).select(
         "document_id", "fuzzy_payout_id", "committable", "fuzzy_status", "review_reason")
 
 
@@ -197,5 +196,5 @@ def _(fx):
 @query("j1_tools_one_pass")
 def _(fx):
     from ledgerloom.tools import reconcile_snapshot
-    _, outcomes = reconcile_snapshot(_pool(fx), fx.settlements(named=True), _credits(fx), fx.reconciliations(), max_size=3)
+    _, outcomes = reconcile_snapshot(_pool(fx), fx.settlements(named=True), _credits(fx), fx.reconciliations())
     return outcomes.select("document_id", "terminal", "utr", "review_reason")

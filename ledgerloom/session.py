@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Checkpoints go once nothing refers to them; set when the session is built.
+STATIC_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
 # Streaming state is kept on disk (RocksDB), so that state size is not bound by executor heap.
 STREAMING_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -29,7 +32,7 @@ def build_session(app_name: str = "ledgerloom", master: str | None = None, **con
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **STREAMING_CONF}.items():
+    for key, value in {**RUNTIME_CONF, **STREAMING_CONF, **STATIC_CONF}.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -15,6 +15,7 @@ from ledgerloom.sources.events import poison_events
 
 # Grace for late members of a batch, life of the live log after its last event, age of a stale run.
 GRACE_SECONDS = 30
+FORGET_SECONDS = 7 * 86400  # how long late members of a sealed batch are still known as late
 LIVE_LOG = "2 hours"
 
 
@@ -43,10 +44,11 @@ class SealProcessor(StatefulProcessor):
     """Counts the members of a batch; seals it when all are there or when the grace after the last one is over.
 
     State per batch is (seen, total, sealed), whatever the number of members. Members after the seal are
-    reported as late and never reopen the batch.
+    reported as late and don't reopen the batch; ``forget_ms`` after it the state is dropped.
     """
 
     grace_ms = GRACE_SECONDS * 1000
+    forget_ms = FORGET_SECONDS * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -68,14 +70,18 @@ class SealProcessor(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         if sealed:
+            self.handle.registerTimer(last_ms + self.forget_ms)
             yield pd.DataFrame({"batch_id": [key[0]], "outcome": ["sealed"], "inputs": [seen], "shortfall": [0]})
         else:
             self.handle.registerTimer(last_ms + self.grace_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         seen, total, sealed = self.state.get()
-        if not sealed:
+        if sealed:
+            self.state.clear()
+        else:
             self.state.update((seen, total, True))
+            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.forget_ms)
             yield pd.DataFrame({"batch_id": [key[0]], "outcome": ["sealed"], "inputs": [seen], "shortfall": [max(0, total - seen)]})
 
     def close(self) -> None:
@@ -103,7 +109,9 @@ def rebuild_inputs(sealed: DataFrame, items: DataFrame, invoices: DataFrame) ->
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema + ", epoch bigint").parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema + ", epoch bigint")
 
 

@@ -56,7 +56,7 @@ def test_subsets_of_any_size(spark, seed, low):
 
 def test_subset_cap_keeps_the_first_in_search_order(spark):
     pool = spark.createDataFrame([invoice(i, 1) for i in range(12)], POOL)
-    got = find_subsets(spark.createDataFrame([("V", 6)], "vendor_code string, amount_paise bigint"), pool).collect()
+    got = find_subsets(spark.createDataFrame([("V", 6)], "vendor_code string, amount_paise bigint"), pool, cap=250).collect()
     want = list(itertools.islice(itertools.combinations([f"INV-{i:04d}" for i in range(12)], 6), 250))
     assert sorted(tuple(r.members) for r in got) == sorted(want)
 
@@ -152,3 +152,9 @@ def test_posting_twice_changes_nothing(spark):
     lines = posting.ledger_lines(posting.new_records(events, spark.createDataFrame([], "event_id string")))
     assert lines.count() == 4
     assert lines.selectExpr("sum(CASE entry_type WHEN 'DEBIT' THEN amount_paise ELSE -amount_paise END) AS d").first().d == 0
+
+
+def test_no_set_is_lost_without_a_cap(spark):
+    pool = spark.createDataFrame([invoice(i, 1) for i in range(12)], POOL)
+    got = find_subsets(spark.createDataFrame([("V", 6)], "vendor_code string, amount_paise bigint"), pool).collect()
+    assert len({tuple(r.members) for r in got}) == len(got) == 924
