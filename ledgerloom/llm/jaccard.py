@@ -1,7 +1,8 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents are sets of distinct word shingles. Equal sets are one class with one representative. Representatives are put
-into groups of similar ones (equal minimum hash; a group holds about ``GROUP_TOKENS`` shingles, larger ones are split).
+into groups of similar ones: those with an equal minimum hash, then groups with most of their rare tokens in common are made
+one, so that a family of near copies is one group. A group holds about ``GROUP_TOKENS`` shingles; larger ones are split by hash.
 The token-group matrix holds the tokens of each group's union; a group needs to be looked at by a document only if their
 overlap can reach the threshold. Two filters bound it:
 
@@ -40,6 +41,7 @@ SKETCH_BITS = 20
 SLICES = 16
 GROUP_TOKENS = 1_500_000
 EXTRA = 20  # a twentieth of a set more goes into the matrix, and so many tokens more must be common
+ALIKE = 1.5  # times as many tokens as a document needs to look at a group make two groups one
 ACTIVE_ROWS = 500_000  # rows of a few numbers that may be broadcast
 
 
@@ -211,26 +213,41 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return stored(rows.mapInArrow(_describing(held, width, percent), _DESCRIBED), "described")
 
 
-def links_of(docs: DataFrame, described: DataFrame, percent: int, width: int) -> DataFrame:
+def _split(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` (rep, n, least, and the label) with ``group``: the label, split by hash where it has many shingles."""
+    weight = rows.groupBy(label).agg(F.sum("n").alias("weight"))
+    part = F.pmod(F.xxhash64("rep"), (F.col("weight") / GROUP_TOKENS).cast("long") + 1)
+    return rows.join(weight, label).withColumn("group", F.shiftrightunsigned(F.xxhash64(label, part), 20)).drop("weight")
+
+
+def links_of(docs: DataFrame, described: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between representatives of different sets, enough to connect all that links connect."""
+    least = 1 + F.floor(F.floor(F.col("n_shingles") * percent / 100) / EXTRA)
     classes = stored(described.filter("digest is not null and doc_id is not null").groupBy("digest", "key", "n_shingles")
-                     .agg(F.min("doc_id").alias("rep")), "classes")
-    weight = classes.groupBy("key").agg(F.sum("n_shingles").alias("weight"))
-    part = F.pmod(F.xxhash64("rep"), (F.col("weight") / GROUP_TOKENS).cast("long") + 1)
-    grouped = stored(classes.join(weight, "key").select(
-        "digest", "rep", F.shiftrightunsigned(F.xxhash64("key", part), 20).alias("group"),
-        (1 + F.floor(F.floor(F.col("n_shingles") * percent / 100) / EXTRA)).alias("least")), "grouped")
-    n_classes = grouped.count()
-
-    first = grouped.select("digest", F.col("rep").alias("doc_id"), "group", "least")
-    postings = (described.select("digest", "doc_id", "prefix").join(if_small(first, n_classes, ACTIVE_ROWS), ["digest", "doc_id"])
-                .select("doc_id", "group", "least", F.explode("prefix").alias("token")).repartition("token"))
+                     .agg(F.min("doc_id").alias("rep")).withColumn("least", least).withColumnRenamed("n_shingles", "n"), "classes")
+    hashed = stored(_split(classes, "key").drop("key"), "hashed")
+    first = hashed.select("digest", F.col("rep").alias("doc_id"), "group", "least")
+    postings = (described.select("digest", "doc_id", "prefix").join(if_small(first, hashed.count(), ACTIVE_ROWS), ["digest", "doc_id"])
+                .select(F.col("doc_id").alias("rep"), "group", "least", F.explode("prefix").alias("token")).repartition("token"))
     several = postings.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
     shared = stored(postings.join(several.select("token"), "token"), "shared")
-    matrix = shared.select("token", F.col("group").alias("other")).distinct()
-    hits = (shared.join(matrix, "token").filter("group <> other").groupBy("doc_id", "group", "least", "other")
+
+    # Groups with most of their matrix tokens in common become one.
+    matrix = shared.select("token", "group", "least").groupBy("token", "group").agg(F.min("least").alias("least"))
+    alike = (matrix.alias("x").join(matrix.alias("y"), "token").filter("x.group < y.group")
+             .groupBy(F.col("x.group").alias("a"), F.col("y.group").alias("b"))
+             .agg(F.count(F.lit(1)).alias("common"), F.least(F.min("x.least"), F.min("y.least")).alias("least"))
+             .filter(F.col("common") >= ALIKE * F.col("least")).select("a", "b"))
+    merged = connected(alike)
+    labelled = hashed.join(merged, hashed.group == merged.node, "left").select(
+        "rep", "n", "least", F.coalesce("component", "group").alias("label"))
+    grouped = stored(_split(labelled, "label").select("rep", "group"), "grouped")
+
+    sides = stored(shared.drop("group").join(grouped, "rep"), "sides")
+    matrix = sides.select("token", F.col("group").alias("other")).distinct()
+    hits = (sides.join(matrix, "token").filter("group <> other").groupBy("rep", "group", "least", "other")
             .agg(F.count(F.lit(1)).alias("common")).filter("common >= least")
-            .select(F.col("doc_id").alias("rep"), "group", F.xxhash64(F.least("group", "other"), F.greatest("group", "other")).alias("cell")))
+            .select("rep", "group", F.xxhash64(F.least("group", "other"), F.greatest("group", "other")).alias("cell")))
     hits = stored(hits, "hits")
     met = hits.groupBy("cell").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("cell")
     own = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1").select("group")
@@ -251,7 +268,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     Two documents link when 100 * intersection >= percent * union of their sets of ``width``-word shingles.
     """
     described = describe(docs, width, percent)
-    joined = connected(links_of(docs, described, percent, width))
+    joined = connected(links_of(docs, described, width, percent))
     classes = described.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("found"))
