@@ -6,6 +6,7 @@ a hash of any byte span is the difference of two prefix sums, so that words, pre
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,16 @@ U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (the finalizer of splitmix64)."""
     with np.errstate(over="ignore"):
@@ -111,6 +122,8 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         part = batch.slice(start, stop - start)
         yield part, Texts(part.column(part.schema.get_field_index(column)))
         start = stop
+    del texts
+    release()
 
 
 def sum_by(ids: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:

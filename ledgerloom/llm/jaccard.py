@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.arrays import U64, chunks, mix
+from ledgerloom.llm.arrays import U64, chunks, mix, release
 from ledgerloom.llm.components import connected
 from ledgerloom.llm.shared import if_small, stored
 
@@ -201,6 +201,7 @@ def _comparing(percent: int):
                 if len(names) < 2:
                     return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         links = spanning_links(sets, percent)
+        release()
         return pa.table({"a": pa.array([int(reps[i]) for i, _ in links], pa.int64()),
                          "b": pa.array([int(reps[j]) for _, j in links], pa.int64())})
     return run

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.arrays import U64, chunks, mix, sum_by
+from ledgerloom.llm.arrays import U64, chunks, mix, release, sum_by
 from ledgerloom.llm.shared import fold, stored
 
 ALPHA = 0.1
@@ -194,6 +194,7 @@ def _segment(table: pa.Table) -> pa.Table:
     (words, n_words), (pairs, n_pairs) = merged
     size, bits = build_bits(np.concatenate([words, pairs]), np.concatenate([n_words, n_pairs]))
     real = words != START
+    release()
     return pa.table({
         "segment": pa.array([table.column("segment")[0].as_py()], pa.int32()), "size": pa.array([size], pa.int64()),
         "bits": pa.array([bits], pa.binary()), "words": pa.array([words[real].tobytes()], pa.binary()),

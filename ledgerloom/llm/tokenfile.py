@@ -50,8 +50,8 @@ class Units:
 
     def clear(self) -> None:
         self.keys = np.empty(0, dtype=U64)
-        self.start = np.empty(0, dtype=np.int64)
-        self.count = np.empty(0, dtype=np.int64)  # -1: not independent
+        self.start = np.empty(0, dtype=np.uint32)
+        self.count = np.empty(0, dtype=np.int32)  # -1: not independent
         self.ids = np.empty(0, dtype=np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
@@ -84,13 +84,13 @@ class Units:
         count = np.array([-1 if f is None else len(f) for f in found], dtype=np.int64)
         new = np.concatenate([np.empty(0, np.uint32), *[f for f in found if f is not None]])
         size = np.maximum(count, 0)
-        start = len(self.ids) + np.cumsum(size) - size
+        start = (len(self.ids) + np.cumsum(size) - size).astype(np.uint32)
         self.ids = np.concatenate([self.ids, new])
         all_keys = np.concatenate([self.keys, keys])
         order = np.argsort(all_keys, kind="stable")
         self.keys = all_keys[order]
         self.start = np.concatenate([self.start, start])[order]
-        self.count = np.concatenate([self.count, count])[order]
+        self.count = np.concatenate([self.count, count.astype(np.int32)])[order]
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 where it is new."""
@@ -150,7 +150,7 @@ def ids_of(texts, units: Units, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         raw = texts.data.tobytes()
         units.learn(unique[new], [raw[start[i]:end[i]].decode("utf-8", "replace") for i in example[new]])
     at = units.look_up(unique)[place]
-    count = units.count[at]
+    count = units.count[at].astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     odd = np.unique(doc[count < 0])
     count = np.where(count < 0, 0, count)
@@ -161,7 +161,7 @@ def ids_of(texts, units: Units, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     # ids of the units, then room for the end id of each text
     total = np.concatenate([[0], np.cumsum(count)])
     per_doc = total[first[1:]] - total[first[:-1]]
-    source = np.repeat(units.start[at] - total[:-1], count) + np.arange(total[-1])
+    source = np.repeat(units.start[at].astype(np.int64) - total[:-1], count) + np.arange(total[-1])
     flat = units.ids[source] if len(source) else np.empty(0, dtype=np.uint32)
     if len(odd):
         raw = texts.data.tobytes()
@@ -233,7 +233,7 @@ def _coding(freq: np.ndarray, block_ids: int):
             for doc, n, raw in zip(batch.column("doc_id"), batch.column("n"), batch.column("ids")):
                 docs.append(doc.as_py())
                 lengths.append(n.as_py())
-                ids.append(_ids(raw.as_buffer(), lengths[-1]))
+                ids.append(_ids(raw.as_buffer(), lengths[-1]).copy())  # else the whole batch stays
                 held += lengths[-1]
                 if held >= block_ids:
                     yield block()
