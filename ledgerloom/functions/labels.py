@@ -103,15 +103,20 @@ def _has(text: Column, *parts: str) -> Column:
     return hit
 
 
+# Sentences shown to people, with the invoice before, between or after the parts.
+AMBIGUOUS_TEXT = ("Ambiguous settlement for ", " — routed to the Maker/Checker queue to prevent misallocation.")
+SUPPLIER_TEXT = ("Supplier details for ", " could not be fully confirmed — parked for manual review.")
+REVIEW_TEXT = (" requires manual review (", ").")
+CLEARED_TEXT = ("Perfect match found — ", " cleared against Bank UTR ", " for ", ".")
+
+
 def exception_text(reason: Column, invoice: Column) -> Column:
     r = F.upper(F.coalesce(reason, F.lit("")))
     return (F.when(_has(r, "NO_MATCH", "AMBIGUOUS", "COLLISION"), F.concat(
-                F.lit("Ambiguous settlement for "), invoice,
-                F.lit(" — routed to the Maker/Checker queue to prevent misallocation.")))
+                F.lit(AMBIGUOUS_TEXT[0]), invoice, F.lit(AMBIGUOUS_TEXT[1])))
             .when(_has(r, "ENTITY", "ALIAS", "MISMATCH"), F.concat(
-                F.lit("Supplier details for "), invoice,
-                F.lit(" could not be fully confirmed — parked for manual review.")))
-            .otherwise(F.concat(invoice, F.lit(" requires manual review ("), reason, F.lit(")."))))
+                F.lit(SUPPLIER_TEXT[0]), invoice, F.lit(SUPPLIER_TEXT[1])))
+            .otherwise(F.concat(invoice, F.lit(REVIEW_TEXT[0]), reason, F.lit(REVIEW_TEXT[1]))))
 
 
 def reason_tone(reason: Column) -> Column:
@@ -129,8 +134,8 @@ def status_tone(status: Column) -> Column:
 
 
 def cleared_text(invoice: Column, utr: Column, paise: Column) -> Column:
-    return F.concat(F.lit("Perfect match found — "), invoice, F.lit(" cleared against Bank UTR "), utr, F.lit(" for "),
-                    format_inr(paise), F.lit("."))
+    return F.concat(F.lit(CLEARED_TEXT[0]), invoice, F.lit(CLEARED_TEXT[1]), utr, F.lit(CLEARED_TEXT[2]),
+                    format_inr(paise), F.lit(CLEARED_TEXT[3]))
 
 
 def capped_error(text: Column) -> Column:

@@ -17,6 +17,9 @@ DETERMINISTIC_MARKS = ("Deterministic fallback:", "Groq invocation failed")
 ALIAS_TOOL = "run_fuzzy_text_linker_tool"
 FEED_SIZE = 12
 OUTBOX_SIZE = 10
+# Parts of log lines that other steps look for.
+NO_MODEL, PROVEN = "never invoked", "-> SUBSET_MATCHED"
+
 RETRY_DELAY_SECONDS = 30
 FIRST_UTR = 300000000001
 
@@ -125,7 +128,7 @@ def telemetry_fold(events: DataFrame) -> DataFrame:
     order = F.struct("ts_us", "event_id")
     seen = events.dropDuplicates(["event_id"])
     quiet = (F.col("stage") == "deterministic") & (
-        F.col("detail").contains("never invoked") | F.col("detail").contains("-> SUBSET_MATCHED"))
+        F.col("detail").contains(NO_MODEL) | F.col("detail").contains(PROVEN))
     llm = F.when(F.col("stage") == "agent", True).when(quiet, False)
     folded = seen.groupBy("batch_id", "invoice").agg(
         F.max_by(llm, F.when(llm.isNotNull(), order)).alias("llm"),
@@ -179,11 +182,11 @@ def event_lines(outcomes: DataFrame) -> DataFrame:
         F.lit(" :: "), F.left("subset_message", F.lit(SUBSET_MESSAGE_CAP)))).otherwise("")
     detail = F.coalesce(F.nullif(F.left("terminal_detail", F.lit(TERMINAL_DETAIL_CAP)), F.lit("")), F.col("terminal"))
     head = F.array_compact(F.array(
-        line("started", F.lit("Sub-graph dispatched (Map leaf)")),
+        line("started", F.lit("Run of this invoice begins")),
         F.when(F.coalesce("subset_status", F.lit("")) != "", line("deterministic", F.concat(
             F.lit("run_subset_sum_matching_tool -> "), "subset_status", message))),
-        F.when(F.col("path") == "fast_path", line("deterministic", F.lit("Deterministic fast-path — Groq LLM never invoked")))
-        .when(F.col("llm_invoked"), line("agent", F.lit("ReAct agent invoked (tool-bound Groq)")))))
+        F.when(F.col("path") == "fast_path", line("deterministic", F.lit("Settled by rules, model never invoked")))
+        .when(F.col("llm_invoked"), line("agent", F.lit("Tool agent takes over")))))
     tools = F.transform("tool_calls", lambda t: line("tool_called", t))
     end = F.array(line("terminal", detail, F.col("terminal"), F.col("terminal_utr")))
     return outcomes.select("invoice_number", F.posexplode(F.concat(head, tools, end)).alias("line_no", "l")).select(
@@ -193,12 +196,12 @@ def event_lines(outcomes: DataFrame) -> DataFrame:
 def case_narrative(rows: DataFrame) -> DataFrame:
     """Reviewer's text per unresolved invoice: what was tried, with which UTR and target."""
     target = F.when(F.col("target_paise").isNotNull(), F.concat(
-        F.lit("Deterministic net target used: Rs."), F.call_function("div", F.col("target_paise"), F.lit(100)).cast("string"),
+        F.lit("Wanted net amount: Rs."), F.call_function("div", F.col("target_paise"), F.lit(100)).cast("string"),
         F.lit("."), F.lpad((F.col("target_paise") % 100).cast("string"), 2, "0"), F.lit(".")))
     return rows.withColumn("narrative", F.concat_ws(
-        "\n", F.concat(F.lit("Deterministic pre-node outcome for "), "invoice_number", F.lit(": run_subset_sum_matching_tool returned "),
+        "\n", F.concat(F.lit("Rules on "), "invoice_number", F.lit(": matching says "),
                        "subset_status", F.lit(".")),
-        F.when(F.col("anchor_utr").isNotNull(), F.concat(F.lit("UTR attempted by the pre-node: "), "anchor_utr", F.lit("."))),
+        F.when(F.col("anchor_utr").isNotNull(), F.concat(F.lit("Tried with UTR "), "anchor_utr", F.lit("."))),
         target))
 
 
@@ -208,7 +211,7 @@ def alias_notices(events: DataFrame) -> DataFrame:
     """One notice per (batch, invoice) whose supplier name was linked, the newest event of each."""
     used = events.filter((F.col("stage") == "tool_called") & F.lower("detail").contains(ALIAS_TOOL))
     return used.groupBy("batch_id", "invoice_number").agg(F.max("ts").alias("ts")).withColumn("title", F.concat(
-        F.lit("Supplier alias variance auto-resolved for "), "invoice_number", F.lit(" — matched to the settlement payout.")))
+        F.lit("Supplier name linked for "), "invoice_number", F.lit(": a payout names it.")))
 
 
 def audit_feed(rows: DataFrame, events: DataFrame, size: int = FEED_SIZE) -> DataFrame:
@@ -217,8 +220,8 @@ def audit_feed(rows: DataFrame, events: DataFrame, size: int = FEED_SIZE) -> Dat
     review = _set("exception_reason")
     title = F.when(cleared, cleared_text(F.col("invoice_number"), F.col("utr_number"), F.col("net_settled_amount_paise"))).when(
         review, exception_text(F.col("exception_reason"), F.coalesce("invoice_number", F.lit(""))))
-    detail = F.when(cleared, F.lit("Posted to the General Ledger — double-entry balanced to ₹0.00.")).when(
-        review & F.col("net_paise").isNotNull(), F.concat(format_inr("net_paise"), F.lit(" held pending resolution.")))
+    detail = F.when(cleared, F.lit("In the ledger, debit equals credit.")).when(
+        review & F.col("net_paise").isNotNull(), F.concat(format_inr("net_paise"), F.lit(" waits for a decision.")))
     outcomes = rows.filter(cleared | review).select(
         "batch_id", F.lit(1).alias("section"), F.col("row_number").alias("rank"), "invoice_number",
         F.when(cleared, "success").otherwise("pending").alias("tone"), title.alias("title"), detail.alias("detail"))

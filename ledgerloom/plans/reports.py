@@ -122,10 +122,10 @@ def _(fx):
 o AS (SELECT invoice_number, k, CASE WHEN k % 5 <> 0 THEN 'NO_MATCH' END AS ss, CASE WHEN k % 3 = 0 THEN repeat('m', 250) END AS sm,
   CASE WHEN k % 2 = 0 THEN 'fast_path' ELSE 'agent' END AS path, k % 4 = 1 AS llm, CASE WHEN k % 4 = 1 THEN ['a', 'b'] ELSE [] END AS tools,
   CASE WHEN k % 6 = 0 THEN repeat('d', 300) WHEN k % 6 = 1 THEN '' END AS td, CASE WHEN k % 2 = 0 THEN 'U' || k END AS utr FROM inv),
-l AS (SELECT invoice_number, list_filter([{'s': 'started', 'd': 'Sub-graph dispatched (Map leaf)'},
+l AS (SELECT invoice_number, list_filter([{'s': 'started', 'd': 'Run of this invoice begins'},
   CASE WHEN ss IS NOT NULL THEN {'s': 'deterministic', 'd': 'run_subset_sum_matching_tool -> ' || ss || coalesce(' :: ' || sm[:200], '')} END,
-  CASE WHEN path = 'fast_path' THEN {'s': 'deterministic', 'd': 'Deterministic fast-path — Groq LLM never invoked'}
-    WHEN llm THEN {'s': 'agent', 'd': 'ReAct agent invoked (tool-bound Groq)'} END], lambda x: x IS NOT NULL)
+  CASE WHEN path = 'fast_path' THEN {'s': 'deterministic', 'd': 'Settled by rules, model never invoked'}
+    WHEN llm THEN {'s': 'agent', 'd': 'Tool agent takes over'} END], lambda x: x IS NOT NULL)
   || list_transform(tools, lambda t: {'s': 'tool_called', 'd': t}) || [{'s': 'terminal', 'd': coalesce(nullif(td[:240], ''), 'EXCEPTION_ROUTED')}] AS x, utr FROM o)
 SELECT invoice_number, (i - 1)::int AS line_no, e.s AS stage, e.d AS detail, CASE WHEN e.s = 'terminal' THEN 'EXCEPTION_ROUTED' END AS terminal_status,
   CASE WHEN e.s = 'terminal' THEN utr END AS utr FROM (SELECT invoice_number, utr, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM l)""")
@@ -142,8 +142,8 @@ best AS (SELECT * FROM settle WHERE status = 'processed' QUALIFY row_number() OV
   PARTITION BY vendor_code, reference_id ORDER BY ingested_epoch DESC, payout_id DESC) = 1),
 t AS (SELECT o.invoice_number, b.utr, CASE WHEN b.utr IS NOT NULL AND b.amount_paise <> 0 THEN b.amount_paise ELSE greatest(0, grand_total_paise - tds_deduction_paise) END AS p
   FROM open_inv o LEFT JOIN best b ON b.vendor_code = o.vendor_code AND b.reference_id = o.invoice_number)
-SELECT invoice_number, 'Deterministic pre-node outcome for ' || invoice_number || ': run_subset_sum_matching_tool returned NO_MATCH.' ||
-  coalesce(chr(10) || 'UTR attempted by the pre-node: ' || utr || '.', '') || chr(10) || 'Deterministic net target used: Rs.' || (p // 100) || '.' || lpad((p % 100)::varchar, 2, '0') || '.' AS narrative FROM t""")
+SELECT invoice_number, 'Rules on ' || invoice_number || ': matching says NO_MATCH.' ||
+  coalesce(chr(10) || 'Tried with UTR ' || utr || '.', '') || chr(10) || 'Wanted net amount: Rs.' || (p // 100) || '.' || lpad((p % 100)::varchar, 2, '0') || '.' AS narrative FROM t""")
 def _(fx):
     invoices = fx.open_invoices().withColumn("net_paise", reads.net_paise())
     rows = reads.with_anchor(invoices, fx.settlements()).withColumn("subset_status", F.lit("NO_MATCH"))
