@@ -84,12 +84,11 @@ def round_pivotal(units: DataFrame) -> DataFrame:
     done: list[DataFrame] = []
     if most is None:
         return units.select("key", F.lit(0).alias("extra")).limit(0)
-    joined = rows.join(F.broadcast(counts) if counts.count() <= 200_000 else counts,
+    joined = rows.join(if_small(counts, counts.count()),
                        rows.source.eqNullSafe(counts.source) & (rows["class"] == counts["class"])).select(
         rows.key, rows.source, rows.size, rows.p, rows["class"], "n")
     groups = F.floor((F.col("n") + FAN_IN - 1) / FAN_IN)
     level = joined.withColumn("slot", F.pmod(F.xxhash64("key"), groups))
-    spans = 1  # classes that meet in one group
     while True:
         grouped = level.groupBy("source", "class", "slot").agg(F.sort_array(F.collect_list(F.struct("size", "key", "p"))).alias("all"))
         start = F.struct(F.struct(F.get("all", F.lit(0))["key"].alias("key"), F.get("all", F.lit(0))["size"].alias("size"),
@@ -105,7 +104,6 @@ def round_pivotal(units: DataFrame) -> DataFrame:
             level = rest.withColumn("slot", F.floor(F.col("slot") / FAN_IN))
         elif facts[1] > facts[2]:
             level = rest.withColumn("class", F.floor(F.col("class") / FAN_IN).cast("int"))
-            spans *= FAN_IN
         else:  # one unit for each source is left
             lone = rest.select("key", F.when(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(ONE)) < F.col("p"), 1).otherwise(0).alias("extra"))
             out = lone

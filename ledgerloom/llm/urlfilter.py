@@ -63,7 +63,7 @@ def links(pages: DataFrame) -> DataFrame:
 def _domain_links(hosts: DataFrame) -> DataFrame:
     """Links between a host and the host above it, in both directions."""
     up = (hosts.select(F.explode(_domains(F.col("host"))).alias("src")).distinct()
-          .withColumn("dst", F.substring_index("src", ".", -1)).withColumn("dst", F.expr("substr(src, instr(src, '.') + 1)"))
+          .withColumn("dst", F.expr("substr(src, instr(src, '.') + 1)"))
           .filter("instr(src, '.') > 0 and instr(dst, '.') > 0"))
     return up.union(up.select("dst", "src")).withColumn("weight", F.lit(1).cast("long"))
 
