@@ -42,6 +42,7 @@ SLICES = 16
 GROUP_TOKENS = 1_500_000
 EXTRA = 20  # a twentieth of a set more goes into the matrix, and so many tokens more must be common
 ALIKE = 1.5  # times as many tokens as a document needs to look at a group make two groups one
+ROUNDS = 2  # times that rows of the matrix which can't count are left out; any number gives the same links
 ACTIVE_ROWS = 500_000  # rows of a few numbers that may be broadcast
 
 
@@ -214,11 +215,40 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return stored(rows.mapInArrow(_describing(held, width, percent), _DESCRIBED), "described")
 
 
-def _split(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` (rep, n, least, and the label) with ``group``: the label, split by hash where it has many shingles."""
-    weight = rows.groupBy(label).agg(F.sum("n").alias("weight"))
+def _split(rows: DataFrame) -> DataFrame:
+    """``rows`` (rep, n, key) with ``group``: the key, split by hash where it has many shingles."""
+    weight = rows.groupBy("key").agg(F.sum("n").alias("weight"))
     part = F.pmod(F.xxhash64("rep"), (F.col("weight") / GROUP_TOKENS).cast("long") + 1)
-    return rows.join(weight, label).withColumn("group", F.shiftrightunsigned(F.xxhash64(label, part), 20)).drop("weight")
+    return rows.join(weight, "key").withColumn("group", F.shiftrightunsigned(F.xxhash64("key", part), 20)).drop("weight")
+
+
+def _merge(hashed: DataFrame, merged: DataFrame) -> DataFrame:
+    """rep, group after components of alike groups (node, component) have become one group each.
+
+    Components with many shingles are dealt to several groups, but never the documents of one group before: tokens that only
+    these have in common are not in the matrix.
+    """
+    weights = hashed.groupBy("group").agg(F.sum("n").alias("weight"))
+    nodes = merged.join(weights, merged.node == weights.group).select("node", "component", "weight")
+    totals = nodes.groupBy("component").agg(F.sum("weight").alias("total"))
+    part = F.pmod(F.xxhash64("node"), (F.col("total") / GROUP_TOKENS).cast("long") + 1)
+    placed = nodes.join(totals, "component").select(
+        F.col("node").alias("group"), F.shiftrightunsigned(F.xxhash64("component", part), 20).alias("placed"))
+    return hashed.join(placed, "group", "left").select("rep", F.coalesce("placed", "group").alias("group"))
+
+
+def _lasting(rows: DataFrame) -> DataFrame:
+    """``rows`` (token, rep, group, least) that can count: tokens of several groups, in documents that have ``least`` of them.
+
+    No link between groups is lost: both documents have ``least`` tokens in common, which are tokens of both groups. Words
+    that documents share by chance go, which are most of the rows.
+    """
+    for _ in range(ROUNDS):
+        several = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
+        rows = rows.join(several.select("token"), "token")
+        enough = rows.groupBy("rep").agg(F.countDistinct("token").alias("have"), F.min("least").alias("fewest"))
+        rows = rows.join(enough.filter("have >= fewest").select("rep"), "rep")
+    return rows
 
 
 def links_of(docs: DataFrame, described: DataFrame, width: int, percent: int) -> DataFrame:
@@ -226,25 +256,24 @@ def links_of(docs: DataFrame, described: DataFrame, width: int, percent: int) ->
     least = 1 + F.floor(F.floor(F.col("n_shingles") * percent / 100) / EXTRA)
     classes = stored(described.filter("digest is not null and doc_id is not null").groupBy("digest", "key", "n_shingles")
                      .agg(F.min("doc_id").alias("rep")).withColumn("least", least).withColumnRenamed("n_shingles", "n"), "classes")
-    hashed = stored(_split(classes, "key").drop("key"), "hashed")
+    hashed = stored(_split(classes).drop("key"), "hashed")
     first = hashed.select("digest", F.col("rep").alias("doc_id"), "group", "least")
     postings = (described.select("digest", "doc_id", "prefix").join(if_small(first, hashed.count(), ACTIVE_ROWS), ["digest", "doc_id"])
                 .select(F.col("doc_id").alias("rep"), "group", "least", F.explode("prefix").alias("token")).repartition("token"))
     several = postings.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
     shared = stored(postings.join(several.select("token"), "token"), "shared")
 
+    shared = stored(_lasting(shared), "lasting")
+
     # Groups with most of their matrix tokens in common become one.
     matrix = shared.select("token", "group", "least").groupBy("token", "group").agg(F.min("least").alias("least"))
     alike = (matrix.alias("x").join(matrix.alias("y"), "token").filter("x.group < y.group")
              .groupBy(F.col("x.group").alias("a"), F.col("y.group").alias("b"))
              .agg(F.count(F.lit(1)).alias("common"), F.least(F.min("x.least"), F.min("y.least")).alias("least"))
              .filter(F.col("common") >= ALIKE * F.col("least")).select("a", "b"))
-    merged = connected(alike)
-    labelled = hashed.join(merged, hashed.group == merged.node, "left").select(
-        "rep", "n", "least", F.coalesce("component", "group").alias("label"))
-    grouped = stored(_split(labelled, "label").select("rep", "group"), "grouped")
+    grouped = stored(_merge(hashed, connected(alike)), "grouped")
 
-    sides = stored(shared.drop("group").join(grouped, "rep"), "sides")
+    sides = stored(_lasting(shared.drop("group").join(grouped, "rep")), "sides")
     matrix = sides.select("token", F.col("group").alias("other")).distinct()
     hits = (sides.join(matrix, "token").filter("group <> other").groupBy("rep", "group", "least", "other")
             .agg(F.count(F.lit(1)).alias("common")).filter("common >= least")
