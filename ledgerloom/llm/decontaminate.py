@@ -4,7 +4,8 @@ Texts become templates: digit runs, units after them and names (capitalised word
 placeholders, everything else is lower-cased words. A benchmark item is its windows of ``WIDTH`` template words. Documents
 that share a window with an item are found by a hash join; those are then matched in full: an item is in a document if
 ``SHARE`` percent of its windows are, and if its slots are filled consistently, that is each value of a slot in the item
-stands for one value in the document. So a question with other numbers or names is caught, and a text that only has the
+stands for one value in the document. Windows are aligned by place (place in the document - place in the item), at all their
+places in the document, and one consistent alignment is enough. So a question with other numbers or names is caught, and a text that only has the
 same shape with contradicting values is not.
 
 Windows of documents are taken at every ``step``-th word in the search. ``step`` is the length of the shortest run of
@@ -96,22 +97,91 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
              .join(if_small(items, n_items, 20_000), "item_id"))
     n_windows = F.size("item_windows")
     matched = F.size(F.filter("item_windows", lambda w: F.array_contains("windows", w)))
-    found = found.withColumn("n_matched", matched).filter(F.col("n_matched") * 100 >= n_windows * SHARE)
-
-    def slots(i: Column) -> Column:
-        """Slot values of item and document in the item's window i, where the document has it."""
-        at = F.array_position("windows", F.get("item_windows", i)).cast("int")
-        pairs_at = F.arrays_zip(F.slice("item_words", i + 1, WIDTH).alias("i"),
-                                F.slice("words", F.greatest(at, F.lit(1)), WIDTH).alias("d"))
-        return F.when(at > 0, F.filter(pairs_at, lambda p: F.substring(p["i"], 1, 1).isin(NAME, NUMBER, UNIT)))
-
-    every = F.transform(F.sequence(F.lit(0), n_windows - 1), slots)
-    values = F.array_distinct(F.flatten(F.filter(every, lambda x: x.isNotNull())))
-    found = found.select("doc_id", "item_id", n_windows.alias("n_windows"), "n_matched", _once(values).alias("slots"))
-    of_item = F.array_distinct(F.transform("slots", lambda p: p["i"]))
-    return (found.filter(F.size(of_item) == F.size("slots"))
-            .select("doc_id", "item_id", "n_windows", "n_matched", F.size("slots").alias("n_slots"),
-                    F.forall("slots", lambda p: p["i"] == p["d"]).alias("verbatim")))
+    found = (found.withColumn("n_matched", matched).filter(F.col("n_matched") * 100 >= n_windows * SHARE)
+             .select("*", _once(_groups()).alias("groups"))
+             .select("*", F.array_max(F.concat(F.array(_by_first_place()), _by_alignment())).alias("best")))
+    return (found.filter("best is not null")
+            .select("doc_id", "item_id", n_windows.alias("n_windows"), F.col("best.n_matched"), F.col("best.n_slots"), F.col("best.verbatim")))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _slots(offset: Column, at: Column) -> Column:
+    """Distinct slot values (i of the item, d of the document) of the item's windows ``at``, ``offset`` places on in the document."""
+    places = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i, i + WIDTH - 1))))
+    pairs = F.transform(places, lambda k: F.struct(F.get("item_words", k).alias("i"), F.get("words", k + offset).alias("d")))
+    return F.array_distinct(F.filter(pairs, lambda p: F.substring(p["i"], 1, 1).isin(NAME, NUMBER, UNIT)))
+
+
+def _consistent(slots: Column) -> Column:
+    """Each value of the item stands for one value of the document."""
+    return F.size(F.array_distinct(F.transform(slots, lambda p: p["i"]))) == F.size(slots)
+
+
+def _result(at: Column, slots: Column) -> Column:
+    return F.struct(F.forall(slots, lambda p: p["i"] == p["d"]).alias("verbatim"), F.size(at).alias("n_matched"),
+                    F.size(slots).alias("n_slots"))
+
+
+def _groups() -> Column:
+    """o, at: for each offset (document place - item place), the item's windows that the document has there."""
+    hits = F.filter(F.sequence(F.lit(0), F.size("windows") - 1), lambda p: F.array_contains("item_windows", F.get("windows", p)))
+    of_item = F.sequence(F.lit(0), F.size("item_windows") - 1)
+    same = F.flatten(F.transform(hits, lambda p: F.transform(
+        F.filter(of_item, lambda i: F.get("item_windows", i) == F.get("windows", p)), lambda i: F.struct((p - i).alias("o"), i.alias("i")))))
+
+    def cut(all_: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(all_) - 1),
+                          lambda k: (k == 0) | (F.get(all_, k)["o"] != F.get(all_, F.greatest(k - 1, F.lit(0)))["o"]))
+        return _let(begins, lambda b: F.transform(b, lambda k, n: F.struct(
+            F.get(all_, k)["o"].alias("o"),
+            F.transform(F.slice(all_, k + 1, F.coalesce(F.get(b, n + 1), F.size(all_)) - k), lambda x: x["i"]).alias("at"))))
+
+    return _let(F.array_sort(same), cut)
+
+
+def _by_first_place() -> Column:
+    """The match with each window at its first place in the document, wherever that is; null if it contradicts itself."""
+    every = F.transform(F.sequence(F.lit(0), F.size("item_windows") - 1), lambda i: F.struct(
+        i.alias("i"), F.array_position("windows", F.get("item_windows", i)).cast("int").alias("p")))
+    there = F.filter(every, lambda x: x["p"] > 0)
+    slots = F.array_distinct(F.flatten(F.transform(there, lambda x: _slots(x["p"] - 1 - x["i"], F.array(x["i"])))))
+    return _let(slots, lambda s: F.when(_consistent(s), _result(there, s)))
+
+
+def _by_alignment() -> Column:
+    """The matches that begin with the windows at one offset.
+
+    All windows at that offset must be consistent. Windows that it lacks are taken from other offsets, the nearest first, and
+    from each offset all of them or none: passages between the parts of a copy, and similar passages elsewhere, do no harm.
+    Only offsets with as many windows as the longest run of a match has at least can begin one.
+    """
+    n = F.size("item_windows")
+    need = F.ceil(n * SHARE / 100).cast("int")
+    longest = F.ceil(need / (F.floor((n - need) / (WIDTH - 1)) + 1))
+
+    def more(acc: Column, group: Column) -> Column:
+        new = F.array_except(group["at"], acc["at"])
+        merged = lambda at: F.array_distinct(F.concat(acc["slots"], _slots(group["o"], at)))
+        return _let(new, lambda at: F.when(F.size(at) == 0, acc).otherwise(_let(merged(at), lambda s: F.when(
+            _consistent(s), F.struct(F.concat(acc["at"], at).alias("at"), s.alias("slots"))).otherwise(acc))))
+
+    def whole(group: Column, slots: Column) -> Column:
+        alone = F.struct(group["at"].alias("at"), slots.alias("slots"))
+        others = F.array_sort(F.transform(
+            F.filter("groups", lambda g: (g["o"] != group["o"]) & (F.size(F.array_except(g["at"], group["at"])) > 0)),
+            lambda g: F.struct(F.abs(g["o"] - group["o"]).alias("far"), g["o"].alias("o"), g["at"].alias("at"))))
+        return F.when(F.size(group["at"]) == n, F.array(alone)).otherwise(F.array(alone, F.aggregate(others, alone, more)))
+
+    def match(group: Column) -> Column:
+        return _let(_slots(group["o"], group["at"]), lambda s: F.when(_consistent(s), F.transform(
+            F.filter(whole(group, s), lambda x: F.size(x["at"]) >= need), lambda x: _result(x["at"], x["slots"]))))
+
+    begin = F.filter("groups", lambda g: F.size(g["at"]) >= longest)
+    return F.flatten(F.filter(F.transform(begin, match), lambda x: x.isNotNull()))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

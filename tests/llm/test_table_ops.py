@@ -34,6 +34,26 @@ def test_leaks(spark, make):
     assert decontaminate.leaks(make([], DOCS), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_align_at_every_place(spark, make):
+    """Items that repeat a window, a similar passage before or after the copy, a copy in two parts, and contradictions."""
+    row = "What comes next in the sequence 2 4 8 16 32 64 128"
+    item = ("A train leaves the northern station at 9 and covers 60 miles before it stops for 5 minutes at the old bridge where "
+            "12 people get on and 4 people leave so how many of them are left when it arrives at the harbour at 11")
+    renamed = item.replace("at 9", "at 7").replace("60", "85").replace("12", "31").replace("at 11", "at 10")
+    false = " ".join(item.replace("60", "70").replace("12", "15").replace("at 9", "at 3").split()[:24])
+    parts = " ".join(renamed.split()[:20]) + " we think " + " ".join(renamed.split()[20:])
+    sums = "Add up the numbers in this row 3 3 5 5 7 7"
+    rows = [(1, f"So. {row}? Yes.", "", "", 0), (2, row.replace("8 16", "9 27"), "", "", 0), (3, f"{false}. No: {renamed}?", "", "", 0),
+            (4, f"{renamed}. And {false}", "", "", 0), (5, f"{false}. {parts}.", "", "", 0), (6, sums.replace("3 3 5 5", "4 6 5 5"), "", "", 0),
+            (7, f"{false}.", "", "", 0), (8, f"{renamed}. No: {item}.", "", "", 0), (9, "1 2 3 4 5 6 7 8 9 " * 400, "", "", 0),
+            (10, item.replace("12 people", "12 men").replace("4 people", "9 men"), "", "", 0), (11, sums.replace("3 3 5 5", "4 4 6 6"), "", "", 0)]
+    bench = spark.createDataFrame([(1, row), (2, item), (3, sums)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_matched, r.verbatim) for r in decontaminate.leaks(make(rows, DOCS), bench).collect()}
+    n = len(item.split()) - 4
+    assert got == {(1, 1): (9, 9, True), (2, 1): (9, 9, False), (3, 2): (n, n, False), (4, 2): (n, n, False), (5, 2): (n, n - 4, False),
+                   (8, 2): (n, n, True), (11, 3): (9, 9, False)}
+
+
 def test_leaks_find_all_verbatim_items(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     plain = lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
