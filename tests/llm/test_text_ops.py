@@ -202,6 +202,30 @@ def test_restoring_disguised_words():
     assert disguised(texts) == [(1, b"1d10t"), (4, b"x" * 9), (2, b"stupid")]
 
 
+def test_all_forms_of_disguise(spark, make):
+    """Toxic words with one separator, doubled letters or set apart in pieces are found; their clean counterparts are not."""
+    rng = random.Random(6)
+    plain = ["well", "known", "good", "book", "the", "and", "rest", "list", "a", "b", "to", "see", "all", "is", "it", "as", "part",
+             "of", "long", "term", "still", "open", "door", "small", "town", "letter", "plan"]
+    bad = ["idiot", "stupid", "moron", "scum"]
+    rows, labels = [], []
+    for i in range(1200):
+        words = [rng.choice(plain) for _ in range(40)]
+        if i % 4 == 0:
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(i % 4 == 0)))
+    model = toxicity.learn(make(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    shown = ["id-iot", "stu.pid", "st..upid", "st.up.id", "stu pid", "st up id", "stuupid", "mor on", "mo_ron", "s c u m", "s cu m", "id iot",
+             "scuum", "st-up1d"]
+    docs = [f"the small town {x} and the long list {x} to see" for x in shown]
+    clean = [f"the small town {x} and the long list {x} to see" for x in (
+        "well-known", "a b", "good book", "all is well", "long-term", "as is", "to see it", "still open", "a.b", "it is a list")]
+    got = model.score(Texts(pa.array(docs + clean)))
+    assert [x for x, g in zip(shown, got) if g < 0.5] == [] and (got[len(docs):] < 0.5).all()
+
+
 def test_toxicity(spark, make):
     rng = random.Random(4)
     plain = [f"{a}{b}" for a in ("than", "ers", "ing", "ous", "ent") for b in ("re", "on", "al", "st", "er")]
