@@ -1,7 +1,8 @@
 """Whole-batch text handling with numpy, for the operators that work on Arrow batches.
 
 Texts of a batch lie one after the other in one byte buffer. Words are found and hashed for the whole buffer at once;
-a hash of any byte span is the difference of two prefix sums, so that words, prefixes and word runs cost the same.
+a hash of a short byte span is the difference of two prefix sums, so that words and prefixes cost the same; spans beyond
+32 bytes are hashed by blocks.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_LONG_SPAN = 32  # bytes; a polynomial modulo 2^64 loses bits on longer regular strings (Thue-Morse words)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -74,6 +76,7 @@ class Texts:
                      else np.empty(0, dtype=np.uint8))
         self.offsets = raw - first if size else np.zeros(1, dtype=np.int64)
         self._sums: np.ndarray | None = None
+        self._padded: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -102,7 +105,26 @@ class Texts:
                 each *= _power(_BASE, len(self.data))
                 np.cumsum(each, out=self._sums[1:])
             spans = (self._sums[ends] - self._sums[starts]) * _power(_INVERSE, len(self.data) + 1)[starts]
-            return mix(spans + (ends - starts).astype(U64) * U64(_ODD))
+            out = mix(spans + (ends - starts).astype(U64) * U64(_ODD))
+            long = np.flatnonzero(ends - starts > _LONG_SPAN)
+            if len(long):
+                out[long] = self._long_hashes(starts[long], ends[long], lower)
+            return out
+
+    def _long_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+        """Hashes of long spans: blocks of 8 bytes, each mixed with its place in the span, added up."""
+        if self._padded is None:
+            self._padded = np.concatenate([_LOWER[self.data] if lower else self.data, np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=self._padded, strides=(1,))
+        blocks = (ends - starts + 7) // 8
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        at = np.repeat(starts, blocks) + 8 * place
+        left = np.minimum(np.repeat(ends, blocks) - at, 8).astype(U64)
+        found = eight[at] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * left))
+        with np.errstate(over="ignore"):
+            total = np.add.reduceat(mix(found ^ mix((place + 1).astype(U64) * U64(_ODD))), first)
+            return mix(total + (ends - starts).astype(U64) * U64(_ODD))
 
 
 def hash_of(text: str | bytes) -> int:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import (decontaminate, jaccard, linededup, lmscore, mixing, sharding, tokenfile, topk, toxicity,
-                            urlfilter)
+from ledgerloom.llm import (alignment, decontaminate, jaccard, languages, linededup, lmscore, mixing, sharding, tokenfile,
+                            topk, toxicity, urlfilter, whitening)
 from ledgerloom.llm.shared import seen_by_workers
 from ledgerloom.session import prepare
 
@@ -84,6 +84,23 @@ def _op10(spark, sf_dir):
         "doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
+@_query("op11_languages")
+def _op11(spark, sf_dir):
+    return languages.predict_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_whitening")
+def _op12(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op13_alignment")
+def _op13(spark, sf_dir):
+    import public_tokenizers
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                     public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_PLANS)
 
