@@ -1,20 +1,32 @@
 """Reconciliation of whole batches with the result of processing invoices one at a time, in order.
 
-Each commit takes its credit and its invoices out of the pool, so later invoices see fewer options. Only
-invoices that share an option can influence each other. They are put in one component (connected through
-amounts), and every round settles, in all components at once, each component's invoices up to its first
-commit. Rounds are as many as the commits of the busiest component; no component is gathered in a task.
+Each commit takes its credit and its invoices out of the pool, so later invoices see fewer options. An invoice can be
+settled on the present pool once no earlier one can change what it sees, whatever that one's verdict will be. Every round
+judges all waiting invoices on the present pool and settles all that are safe:
+
+* in a component (invoices connected through options) nothing changes before its first commit; from there on every invoice
+  may change what its options take: their credits and the members of the sets that hold it;
+* an invoice is safe if no such earlier invoice may take a credit or a member of its options, or the invoice itself;
+* a safe commit waits while an earlier invoice that isn't settled for sure still looks at what it takes.
+
+Contests that don't touch each other are settled in the same round, also inside one component, and so are runs of invoices
+that can't commit; the number of rounds follows the longest chain of contests that wait for each other. Options are kept
+by request, amount and set, never by pair of invoices. Outcomes of a round are files that no later round rewrites.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import narration_tokens, source_tokens
 from ledgerloom.operators import matching
+from ledgerloom.operators.linking import score_distinct_pairs
 from ledgerloom.operators.reads import with_anchor
 from ledgerloom.operators.subsets import find_subsets
-from ledgerloom.scale import cut_lineage
+from ledgerloom.scale import spread_nulls, written
 
 # Terminal states of an invoice in a run.
 LEDGER_COMMITTED, ALREADY_COMMITTED, UNRESOLVED = "LEDGER_COMMITTED", "ALREADY_COMMITTED", "EXCEPTION_ROUTED"
@@ -23,84 +35,155 @@ LEDGER_COMMITTED, ALREADY_COMMITTED, UNRESOLVED = "LEDGER_COMMITTED", "ALREADY_C
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for bipartite ``edges`` (node, hub): smallest node label reachable.
 
-    Labels spread node to hub to node until none changes; both directions are pre-aggregated minima.
+    Labels go from node to hub to node as pre-aggregated minima, then each node takes the label of its label, so that
+    rounds follow the logarithm of the longest path.
     """
-    edges = cut_lineage(edges.distinct())
-    labels = cut_lineage(edges.select("node").distinct().withColumn("component", F.col("node")))
+    edges = written(edges.distinct())
+    labels = written(edges.select("node").distinct().withColumn("component", F.col("node")))
     while True:
         hubs = edges.join(labels, "node").groupBy("hub").agg(F.min("component").alias("component"))
         lower = edges.join(hubs, "hub").groupBy("node").agg(F.min("component").alias("lower"))
-        new = cut_lineage(labels.join(lower, "node").select(
+        spread = written(labels.join(lower, "node").select(
             "node", F.least("component", "lower").alias("component"), (F.col("lower") < F.col("component")).alias("moved")))
-        labels = new.drop("moved")
-        if new.filter("moved").isEmpty():
-            return labels
-
-
-def _option_edges(asked: DataFrame, credits: DataFrame, subsets: DataFrame) -> DataFrame:
-    """Invoices and the (vendor, amount) or (vendor, UTR) they share an option through."""
-    wanted = matching.requested_credits(asked, credits)
-
-    def hub(kind: str, column: str):
-        return F.concat_ws("|", F.lit(kind), F.col("vendor_code"), F.col(column).cast("string"))
-
-    def node(column: str):
-        return F.concat_ws("|", F.lit("inv"), F.col("vendor_code"), F.col(column))
-
-    asks = asked.filter("request_utr IS NOT NULL").select(node("invoice_number").alias("node"), hub("utr", "request_utr").alias("hub")).unionByName(
-        asked.filter("request_utr IS NULL").select(node("invoice_number").alias("node"), hub("amt", "request_paise").alias("hub")))
-    members = subsets.select("vendor_code", "amount_paise", F.explode("members").alias("m")).select(
-        node("m").alias("node"), hub("amt", "amount_paise").alias("hub"))
-    # Credits with a UTR tie it to their amount: taking the UTR takes all of them.
-    ties = wanted.filter("utr_number IS NOT NULL").select(hub("utr", "utr_number").alias("node"), hub("amt", "amount_paise").alias("hub"))
-    self_utr = wanted.filter("utr_number IS NOT NULL").select(hub("utr", "utr_number").alias("node"), hub("utr", "utr_number").alias("hub"))
-    return asks.unionByName(members).unionByName(ties).unionByName(self_utr)
+        if spread.filter("moved").isEmpty():
+            return spread.select("node", "component")
+        # The label of the label, once for each label in use.
+        above = spread.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        labels = written(spread.join(above, "component").select("node", F.least("component", "next").alias("component")))
+
+
+def _named(kind: str, *columns: str) -> Column:
+    return F.concat_ws("|", F.lit(kind), *[F.col(c).cast("string") for c in columns])
+
+
+class _Options:
+    """What requests look at, in tables whose sizes add up: request to amount and UTR, amount to set, set to member."""
+
+    def __init__(self, asked: DataFrame, credits: DataFrame, subsets: DataFrame):
+        wanted = matching.requested_credits(asked, credits).withColumn("q", matching.request_key())
+        self.amounts = written(wanted.select("q", _named("amt", "vendor_code", "amount_paise").alias("a")).distinct())
+        self.utrs = written(wanted.filter("utr_number IS NOT NULL").select(
+            "q", _named("utr", "vendor_code", "utr_number").alias("r")).distinct())
+        sets = subsets.select(_named("amt", "vendor_code", "amount_paise").alias("a"), "vendor_code", F.to_json("path").alias("path"),
+                              F.explode("members").alias("m"))
+        self.sets = written(sets.select("a", F.concat_ws("|", "a", "path").alias("s"), _named("inv", "vendor_code", "m").alias("r")))
+        self.members = written(self.sets.select("a", "r").distinct())
+
+    def links(self) -> DataFrame:
+        """Edges (node, hub) that connect invoices through options."""
+        asks = self.amounts.select(F.col("q").alias("node"), F.col("a").alias("hub"))
+        shared = self.utrs.select(F.col("q").alias("node"), F.col("r").alias("hub"))
+        return asks.unionByName(shared).unionByName(self.members.select(F.col("r").alias("node"), F.col("a").alias("hub")))
+
+    def places(self, asked: DataFrame) -> DataFrame:
+        """(own, q, s): the sets of its request that hold an invoice; only those can it commit."""
+        return asked.join(self.amounts, "q").select("own", "q", "a").join(
+            self.sets.withColumnRenamed("r", "own"), ["own", "a"]).select("own", "q", "s")
+
+
+def _least(rows: DataFrame, key: str, value: str = "first") -> DataFrame:
+    return rows.groupBy(key).agg(F.min(value).alias(value))
+
+
+def _first_takers(options: _Options, places: DataFrame, takers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first of ``takers`` (own, run_order) that may take something of each request's options; and each member."""
+    able = places.join(takers.select("own", F.col("run_order").alias("first")), "own")
+    members = _least(options.sets.join(_least(able, "s"), "s"), "r")
+    by_amount = _least(options.members.join(members, "r"), "a")
+    utrs = _least(options.utrs.join(_least(able, "q"), "q"), "r")
+    requests = options.amounts.join(by_amount, "a").select("q", "first").unionByName(
+        options.utrs.join(utrs, "r").select("q", "first"))
+    return _least(requests, "q"), members.select(F.col("r").alias("own"), F.col("first").alias("own_first"))
+
+
+def _first_viewers(options: _Options, viewers: DataFrame) -> DataFrame:
+    """(r, first): the first of ``viewers`` (own, q, run_order) that looks at each credit and member."""
+    requests = _least(viewers.select("q", F.col("run_order").alias("first")), "q")
+    members = options.members.join(_least(options.amounts.join(requests, "q"), "a"), "a").select("r", "first")
+    utrs = options.utrs.join(requests, "q").select("r", "first")
+    return _least(members.unionByName(utrs).unionByName(viewers.select(F.col("own").alias("r"), F.col("run_order").alias("first"))), "r")
+
+
+def _safe(options: _Options, places: DataFrame, judged: DataFrame) -> DataFrame:
+    """``judged`` with ``settled``: whether the verdict on the present pool is final."""
+    commits = judged.filter("__can")
+    opening = commits.groupBy("component").agg(F.min("run_order").alias("opening"))
+    placed = judged.join(opening, "component", "left")
+    takers = placed.filter("run_order >= opening").select("own", "run_order")
+    by_request, by_member = _first_takers(options, places, takers)
+    seen = placed.withColumn("key", spread_nulls(F.col("q"), F.col("own"))).join(
+        by_request.select(F.col("q").alias("key"), "first"), "key", "left").join(by_member, "own", "left").drop("key", "opening")
+    late = F.least("first", "own_first")
+    seen = written(seen.withColumn("safe", late.isNull() | (F.col("run_order") <= late)).drop("first", "own_first"))
+    # A commit waits for earlier invoices that may have to look again, or may wait themselves.
+    viewers = _first_viewers(options, seen.filter("NOT safe OR __can"))
+    taken = F.concat(F.transform("matched_invoices", lambda m: F.concat_ws("|", F.lit("inv"), F.col("vendor_code"), m)),
+                     F.array(_named("utr", "vendor_code", "matched_utr")))
+    waits = seen.filter("safe AND __can").select("own", "run_order", F.explode(taken).alias("r")).join(viewers, "r").filter(
+        "first < run_order").select("own").distinct().withColumn("waits", F.lit(True))
+    return seen.join(waits, "own", "left").withColumn("settled", F.col("safe") & F.col("waits").isNull()).drop("safe", "waits")
 
 
 def reconcile_in_order(invoices: DataFrame, settlements: DataFrame, credits: DataFrame,
                        tolerance_days: int = matching.TOLERANCE_DAYS, max_size: int | None = None,
-                       salts: int | None = None) -> tuple[DataFrame, DataFrame]:
+                       salts: int | None = None, rounds: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(outcomes, posted) of open ``invoices`` taken in ``run_order``, a sortable column without ties.
 
     Outcomes: document_id, terminal, subset_status, phase, utr. Posted: one row per invoice cleared, with
     the UTR and the document that committed it. A proof without a UTR cannot be posted and goes to review.
+    ``rounds`` is given the number of invoices left after each round.
     """
-    asked = cut_lineage(matching.request_of(with_anchor(invoices, settlements)))
-    credits = cut_lineage(credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "narration", "amount_paise"))
+    named = matching.request_of(with_anchor(invoices, settlements)).withColumns({
+        "own": _named("inv", "vendor_code", "invoice_number"), "q": matching.request_key()})
+    asked = written(named)
+    credits = written(credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "amount_paise",
+                                     narration_tokens("narration").alias(matching.WORDS)))
     targets = matching.requested_credits(asked, credits).select("vendor_code", "amount_paise").distinct()
-    subsets = cut_lineage(find_subsets(targets, asked, max_size, salts))
-    components = connected(_option_edges(asked, credits, subsets))
-    node = F.concat_ws("|", F.lit("inv"), "vendor_code", "invoice_number")
-    waiting = cut_lineage(asked.withColumn("node", node).join(components, "node").drop("node"))
-
-    outcomes, posted = None, None
+    subsets = written(find_subsets(targets, asked, max_size, salts).withColumn(matching.NAME_WORDS, source_tokens("supplier")))
+    # Names are compared once; later rounds see fewer options, never new ones.
+    every = matching.named_units(matching.matching_units(asked, credits, asked, subsets=subsets)).select(matching.NAME_WORDS, matching.WORDS)
+    scores = written(score_distinct_pairs(every.distinct(), matching.NAME_WORDS, matching.WORDS).select(
+        matching.NAME_WORDS, matching.WORDS, "score"))
+    options = _Options(asked, credits, subsets)
+    places = written(options.places(asked.filter("q IS NOT NULL")))
+    asks = asked.filter("q IS NOT NULL").select(F.col("own").alias("node"), F.concat_ws("|", F.lit("req"), "q").alias("hub")).unionByName(
+        asked.filter("q IS NOT NULL").select(F.col("q").alias("node"), F.concat_ws("|", F.lit("req"), "q").alias("hub")))
+    components = connected(asks.unionByName(options.links()))
+    waiting = written(asked.join(components.withColumnRenamed("node", "own"), "own", "left").withColumn(
+        "component", F.coalesce("component", "own")))
+
+    outcomes: list[DataFrame] = []
+    cleared: list[DataFrame] = []
     while not waiting.isEmpty():
         free_sets, free_credits = subsets, credits
-        if posted is not None:
-            used = subsets.withColumn("m", F.explode("members")).join(
+        if cleared:
+            posted = reduce(DataFrame.unionByName, cleared)
+            used = subsets.select("vendor_code", "amount_paise", "path", F.explode("members").alias("m")).join(
                 posted.select("vendor_code", F.col("invoice_number").alias("m")), ["vendor_code", "m"]).select(
                 "vendor_code", "amount_paise", "path").distinct()
             free_sets = subsets.join(used, ["vendor_code", "amount_paise", "path"], "left_anti")
             free_credits = credits.join(posted.select("vendor_code", F.col("utr").alias("utr_number")).distinct(),
                                         ["vendor_code", "utr_number"], "left_anti")
-        judged = cut_lineage(matching.settle(matching.match_requests(
-            waiting, free_credits, asked, tolerance_days, subsets=free_sets)))
-        can = F.col("committable") & F.col("matched_utr").isNotNull()
-        first = judged.filter(can).groupBy("component").agg(F.min("run_order").alias("first_order"))
-        placed = cut_lineage(judged.withColumn("__can", can).join(first, "component", "left"))
-        settled = placed.filter("first_order IS NULL OR run_order <= first_order")
-        commits = settled.filter("__can")
-        done = settled.select(
-            "document_id", F.when(F.col("__can"), LEDGER_COMMITTED).otherwise(UNRESOLVED).alias("terminal"), "subset_status", "phase",
-            F.when(F.col("__can"), F.col("matched_utr")).alias("utr"))
-        cleared = commits.select("vendor_code", F.explode("matched_invoices").alias("invoice_number"), F.col("matched_utr").alias("utr"),
-                                 F.col("document_id").alias("committed_by"), "anchor_payout_id")
-        rest = placed.filter("run_order > first_order").join(
-            cleared.select("vendor_code", "invoice_number").withColumn("__gone", F.lit(True)), ["vendor_code", "invoice_number"], "left")
-        gone = rest.filter("__gone").select("document_id", F.lit(ALREADY_COMMITTED).alias("terminal"), F.lit(None).cast("string").alias("subset_status"),
-                                            F.lit(None).cast("int").alias("phase"), F.lit(None).cast("string").alias("utr"))
-        round_out = done.unionByName(gone)
-        outcomes = cut_lineage(round_out if outcomes is None else outcomes.unionByName(round_out))
-        posted = cut_lineage(cleared if posted is None else posted.unionByName(cleared))
-        waiting = cut_lineage(rest.filter("__gone IS NULL").select(*waiting.columns))
-    return outcomes, posted
+        judged = matching.settle(matching.match_requests(waiting, free_credits, asked, tolerance_days, subsets=free_sets, scores=scores))
+        judged = written(judged.withColumn("__can", F.col("committable") & F.col("matched_utr").isNotNull()))
+        placed = written(_safe(options, places, judged))
+        commits = written(placed.filter("settled AND __can").select(
+            "vendor_code", F.explode("matched_invoices").alias("invoice_number"), F.col("matched_utr").alias("utr"),
+            F.col("document_id").alias("committed_by"), "anchor_payout_id"))
+        # A verdict is final, or a commit of this round took the invoice, or it waits on.
+        gone = commits.select("vendor_code", "invoice_number").withColumn("__gone", F.lit(True))
+        after = written(placed.join(gone, ["vendor_code", "invoice_number"], "left").withColumn("terminal", (
+            F.when(F.col("settled") & F.col("__can"), LEDGER_COMMITTED).when(F.col("settled"), UNRESOLVED).when(F.col("__gone"), ALREADY_COMMITTED))))
+        seen = F.col("settled")
+        outcomes.append(after.filter("terminal IS NOT NULL").select(
+            "document_id", "terminal", F.when(seen, F.col("subset_status")).alias("subset_status"), F.when(seen, F.col("phase")).alias("phase"),
+            F.when(F.col("terminal") == LEDGER_COMMITTED, F.col("matched_utr")).alias("utr")))
+        cleared.append(commits)
+        waiting = after.filter("terminal IS NULL").select(*waiting.columns)
+        if rounds is not None:
+            rounds.append(waiting.count())
+    if not outcomes:
+        spark = invoices.sparkSession
+        return (spark.createDataFrame([], "document_id string, terminal string, subset_status string, phase int, utr string"),
+                spark.createDataFrame([], "vendor_code string, invoice_number string, utr string, committed_by string, anchor_payout_id string"))
+    return reduce(DataFrame.unionByName, outcomes), reduce(DataFrame.unionByName, cleared)

@@ -19,6 +19,9 @@ TOLERANCE_DAYS = 7
 
 REQUEST = ["vendor_code", "request_utr", "request_paise"]
 
+# Columns of a name's and a narration's words, for callers that match many times and find them once.
+NAME_WORDS, WORDS = "__a", "__b"
+
 
 def request_of(invoices: DataFrame) -> DataFrame:
     """The request an invoice makes: the anchored UTR, or else its target amount."""
@@ -32,12 +35,18 @@ def _key(utr: str, paise: str) -> Column:
     return F.coalesce(F.concat(F.lit("utr:"), F.col(utr)), F.concat(F.lit("paise:"), F.col(paise).cast("string")))
 
 
+def request_key() -> Column:
+    """Name of a request of a vendor, for rows that carry one; NULL when it asks for nothing."""
+    key = _key("request_utr", "request_paise")
+    return F.when(key.isNotNull(), F.concat_ws("|", "vendor_code", key))
+
+
 def _with_keys(credits: DataFrame) -> DataFrame:
     """Each credit under the keys it answers to: its UTR and its amount."""
     keys = F.array_compact(F.array(F.concat(F.lit("utr:"), F.col("utr_number")),
                                    F.concat(F.lit("paise:"), F.col("amount_paise").cast("string"))))
-    return credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "narration", "amount_paise",
-                          F.explode(keys).alias("key"))
+    return credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "amount_paise",
+                          *[c for c in ("narration", WORDS) if c in credits.columns], F.explode(keys).alias("key"))
 
 
 def _wanted(requests: DataFrame) -> DataFrame:
@@ -61,7 +70,8 @@ def matching_units(requests: DataFrame, credits: DataFrame, invoices: DataFrame,
     many credits so ships few rows per task, and yields one row per set, date and
     narration, never a row per pair of credit and request.
     """
-    counted = _with_keys(credits).withColumn("__b", narration_tokens("narration")).groupBy(
+    keyed = _with_keys(credits)
+    counted = (keyed if WORDS in credits.columns else keyed.withColumn(WORDS, narration_tokens("narration"))).groupBy(
         "vendor_code", "key", "amount_paise", "transaction_date", "__b").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("transaction_id", "utr_number")).alias("credit"))
     groups = counted.join(_wanted(requests), ["vendor_code", "key"]).drop("key")
@@ -71,14 +81,23 @@ def matching_units(requests: DataFrame, credits: DataFrame, invoices: DataFrame,
     return groups.join(subsets, ["vendor_code", "amount_paise"])
 
 
+def named_units(units: DataFrame) -> DataFrame:
+    """Options of one member, with the words of its supplier's name."""
+    single = units.filter("size = 1")
+    return single if NAME_WORDS in units.columns else single.withColumn(NAME_WORDS, source_tokens("supplier"))
+
+
 def scored_units(units: DataFrame, tolerance_days: int = TOLERANCE_DAYS,
-                 threshold: float = MATCH_THRESHOLD) -> DataFrame:
-    """Options with ``score`` (0 below the threshold and for larger sets) and ``delta`` (NULL beyond the tolerance)."""
+                 threshold: float = MATCH_THRESHOLD, scores: DataFrame | None = None) -> DataFrame:
+    """Options with ``score`` (0 below the threshold and for larger sets) and ``delta`` (NULL beyond the tolerance).
+
+    ``scores``: the score of each pair of words (name, narration), if they are known from an earlier call."""
     gap = F.array_min(F.transform(F.array_compact("dates"), lambda d: days_apart(F.col("transaction_date"), d)))
-    single = units.filter("size = 1").withColumn("__a", source_tokens("supplier"))
-    scored = score_distinct_pairs(single, "__a", "__b").drop("__a", "phonetic")
-    rest = units.filter("size <> 1").withColumn("score", F.lit(0.0))
-    return scored.unionByName(rest).withColumns({
+    single = named_units(units)
+    scored = (score_distinct_pairs(single, NAME_WORDS, WORDS).drop("phonetic") if scores is None
+              else single.join(scores, [NAME_WORDS, WORDS], "left"))
+    rest = units.filter("size <> 1").drop(NAME_WORDS).withColumn("score", F.lit(0.0))
+    return scored.drop(NAME_WORDS).unionByName(rest).withColumns({
         "score": F.when(F.col("score") >= threshold, F.col("score")).otherwise(F.lit(0.0)),
         "delta": F.when(gap <= tolerance_days, gap)})
 
@@ -116,10 +135,10 @@ def decide(scored: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
 
 def match_requests(requests: DataFrame, credits: DataFrame, invoices: DataFrame,
                    tolerance_days: int = TOLERANCE_DAYS, max_size: int | None = None, salts: int | None = None,
-                   subsets: DataFrame | None = None) -> DataFrame:
+                   subsets: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
     """``requests`` rows with the verdict of their request; one without any option is NO_MATCH."""
     units = matching_units(requests, credits, invoices, max_size, salts, subsets)
-    verdicts = decide(scored_units(units, tolerance_days)).withColumn(
+    verdicts = decide(scored_units(units, tolerance_days, scores=scores)).withColumn(
         "key", _key("request_utr", "request_paise")).drop("request_utr", "request_paise")
     # A request for nothing gets a key of its own row, so that such rows do not meet in one partition.
     row = F.col("document_id" if "document_id" in requests.columns else "vendor_code")

@@ -82,8 +82,8 @@ def _settled_pairs(fx):
 
 
 @query("h9_h10_token_synonyms", needs=["settle"], sql=f"""
-pr AS (SELECT DISTINCT unnest({source_sql('supplier_legal_name')}) AS x,
-    unnest({narration_sql('narration')}) AS y {_SETTLED_PAIR}),
+ws AS (SELECT DISTINCT {source_sql('supplier_legal_name')} AS a, {narration_sql('narration')} AS b {_SETTLED_PAIR}),
+pr AS (SELECT DISTINCT x, unnest(b) AS y FROM (SELECT unnest(a) AS x, b FROM ws)),
 tk AS (SELECT x AS t FROM pr WHERE x IS NOT NULL UNION SELECT y FROM pr WHERE y IS NOT NULL),
 {codes_sql('tk')},
 cc AS (SELECT t, sdx AS s, nys AS n FROM code)
@@ -93,8 +93,8 @@ SELECT pr.x AS left_word, pr.y AS right_word, levenshtein(pr.x, pr.y) <= 2 AS ne
     WHEN {EDIT.format(x='a', y='b')} THEN 'edit' END AS method
 FROM pr JOIN cc a ON a.t = pr.x JOIN cc b ON b.t = pr.y""")
 def _(fx):
-    pairs = _settled_pairs(fx).select(F.explode(F.arrays_zip("a", "b")).alias("p")).select(
-        F.col("p.a").alias("left_word"), F.col("p.b").alias("right_word")).filter(
+    words = _settled_pairs(fx).select("a", "b").distinct()  # every word of a name with every word of its narration
+    pairs = words.select(F.explode("a").alias("left_word"), "b").select("left_word", F.explode("b").alias("right_word")).filter(
         "left_word IS NOT NULL AND right_word IS NOT NULL").distinct()
     return pairs.select("left_word", "right_word",
                         text.edit_within(F.col("left_word"), F.col("right_word")).alias("near"),
@@ -272,20 +272,26 @@ def _(fx):
 
 
 @query("b11_quality_route", sql="""
-SELECT vec_id, CASE WHEN (embedding[1]::double + 0.5) * 200 >= 100 AND (embedding[2]::double + 0.5) * 140 >= 70 THEN 'fast' ELSE 'fallback' END AS route
-FROM embeddings""")
+t AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::double)::bigint) AS x FROM embeddings)
+SELECT vec_id, CASE WHEN list_sum(list_transform(x, lambda c: abs(c))) / 16.0 >= 100 AND len(list_filter(x, lambda c: c > 0)) * 100 / 46.0 >= 70
+  THEN 'fast' ELSE 'fallback' END AS route FROM t""")
 def _(fx):
-    v = fx.table("embeddings")
-    return v.select("vec_id", labels.quality_route(
-        (F.col("embedding")[0].cast("double") + 0.5) * 200, (F.col("embedding")[1].cast("double") + 0.5) * 140).alias("route"))
+    """Sharpness and confidence of a page from all components of its vector."""
+    x = fx.table("embeddings").select("vec_id", F.expr("transform(embedding, c -> floor(256 * cast(c AS double)))").alias("x"))
+    sharp = F.aggregate("x", F.lit(0).cast("bigint"), lambda acc, c: acc + F.abs(c)) / 16.0
+    sure = F.size(F.filter("x", lambda c: c > 0)) * 100 / 46.0
+    return x.select("vec_id", labels.quality_route(sharp, sure).alias("route"))
+
+
+_CLASSES = tuple(f"class_{i}" for i in range(64))
 
 
 @query("h31_softmax_label", sql="""
-t AS (SELECT vec_id, embedding[1]::double AS a, embedding[2]::double AS b, embedding[3]::double AS c FROM embeddings)
-SELECT vec_id, CASE WHEN a >= b AND a >= c THEN 'invoice' WHEN b >= c THEN 'bank_statement' ELSE 'other' END AS label,
-  round(1.0 / (exp(a - greatest(a, b, c)) + exp(b - greatest(a, b, c)) + exp(c - greatest(a, b, c))), 6) AS confidence FROM t""")
+t AS (SELECT vec_id, embedding AS e, list_max(embedding) AS top FROM embeddings)
+SELECT vec_id, 'class_' || (list_position(e, top) - 1) AS label,
+  round(1.0 / list_sum(list_transform(e, lambda c: exp(c::double - top::double))), 6) AS confidence FROM t""")
 def _(fx):
-    top = fx.table("embeddings").select("vec_id", labels.softmax_label(F.slice("embedding", 1, 3)).alias("p"))
+    top = fx.table("embeddings").select("vec_id", labels.softmax_label(F.col("embedding"), _CLASSES).alias("p"))
     return top.select("vec_id", "p.label", F.round("p.confidence", 6).alias("confidence"))
 
 

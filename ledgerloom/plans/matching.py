@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import linking, matching, reads
-from ledgerloom.operators.subsets import MAX_SUBSETS, find_subsets
+from ledgerloom.operators.subsets import MAX_SUBSETS, count_subsets, find_subsets
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.textsql import narration_sql, score_sql, source_sql
 
@@ -61,10 +61,9 @@ SELECT coalesce(subsets, 0) AS subsets, count(*) AS credits FROM credits LEFT JO
   ON n.vendor_code = credits.vendor_code AND n.amount = coarse_amount_paise GROUP BY 1""")
 def _(fx):
     credits = _credits(fx, True)
-    n = find_subsets(credits, _pool(fx, True)).groupBy("vendor_code", "amount_paise").agg(
-        F.count(F.lit(1)).alias("subsets"))
+    n = count_subsets(credits, _pool(fx, True))
     return credits.join(n, ["vendor_code", "amount_paise"], "left").groupBy(
-        F.coalesce("subsets", F.lit(0)).alias("subsets")).agg(F.count(F.lit(1)).alias("credits"))
+        F.coalesce(F.col("subsets").cast("bigint"), F.lit(0)).alias("subsets")).agg(F.count(F.lit(1)).alias("credits"))
 
 
 # Options of each request, scored and dated; then the decision. ``req`` is (vendor_code, rutr, rpaise).
@@ -184,15 +183,63 @@ def _(fx):
         "document_id", "fuzzy_payout_id", "committable", "fuzzy_status", "review_reason")
 
 
-@query("k8_batch_in_order")
-def _(fx):
+# One invoice of each vendor after the other: what is taken so far, and the verdict on the options left.
+_IN_ORDER = """,
+opts AS (SELECT vendor_code, rutr, rpaise, list({'utr': utr_number, 'm': members, 'score': score, 'near': near}) AS o
+  FROM u2 GROUP BY vendor_code, rutr, rpaise),
+line AS (SELECT ask.vendor_code, ask.document_id, ask.invoice_number, coalesce(o, []) AS o,
+    row_number() OVER (PARTITION BY ask.vendor_code ORDER BY i.row_number, ask.document_id) AS n
+  FROM ask JOIN items i ON i.k = ask.k LEFT JOIN opts ON opts.vendor_code = ask.vendor_code
+    AND opts.rutr IS NOT DISTINCT FROM ask.rutr AND opts.rpaise IS NOT DISTINCT FROM ask.rpaise),
+run AS (
+  SELECT DISTINCT vendor_code, 0::bigint AS n, []::varchar[] AS utrs, []::varchar[] AS gone, NULL::varchar AS document_id,
+    NULL::varchar AS terminal, NULL::varchar AS subset_status, NULL::int AS phase, NULL::varchar AS utr FROM line
+  UNION ALL
+  SELECT vendor_code, n, CASE WHEN commits THEN list_append(utrs, win.utr) ELSE utrs END,
+    CASE WHEN commits THEN list_concat(gone, win.m) ELSE gone END, document_id,
+    CASE WHEN cleared THEN 'ALREADY_COMMITTED' WHEN commits THEN 'LEDGER_COMMITTED' ELSE 'EXCEPTION_ROUTED' END,
+    CASE WHEN cleared THEN NULL WHEN len(free) = 0 OR (phase IS NOT NULL AND NOT member) THEN 'NO_MATCH'
+      WHEN phase IS NULL THEN 'AMBIGUOUS_COLLISION' ELSE 'SUBSET_MATCHED' END,
+    CASE WHEN cleared THEN NULL ELSE phase END, CASE WHEN commits THEN win.utr END
+  FROM (SELECT *, NOT cleared AND member AND win.utr IS NOT NULL AS commits
+  FROM (SELECT *, coalesce(list_contains(win.m, invoice_number), false) AS member
+  FROM (SELECT *, CASE phase WHEN 1 THEN free[1] WHEN 2 THEN best[1] WHEN 3 THEN closest[1] END AS win
+  FROM (SELECT *, CASE WHEN len(free) = 1 THEN 1 WHEN top >= 0.85 AND len(best) = 1 THEN 2 WHEN len(closest) = 1 THEN 3 END AS phase
+  FROM (SELECT *, list_filter(free, lambda x: x.score = top) AS best, list_filter(free, lambda x: x.near = low) AS closest
+  FROM (SELECT *, list_max(list_transform(free, lambda x: x.score)) AS top, list_min(list_transform(free, lambda x: x.near)) AS low
+  FROM (SELECT l.vendor_code, l.n, r.utrs, r.gone, l.document_id, l.invoice_number,
+      list_contains(r.gone, l.invoice_number) AS cleared,
+      list_filter(l.o, lambda x: NOT list_has_any(x.m, r.gone) AND NOT coalesce(list_contains(r.utrs, x.utr), false)) AS free
+    FROM run r JOIN line l ON l.vendor_code = r.vendor_code AND l.n = r.n + 1))))))))
+SELECT document_id, terminal, subset_status, phase, utr FROM run WHERE n > 0"""
+
+
+def in_order_sql(net: str, amount: str) -> str:
+    return (subsets_sql(net, amount) + f""",
+cr AS (SELECT *, {amount} AS amt FROM credits),
+""" + asked_sql(net) + "," + _DECIDE + _IN_ORDER)
+
+
+def _in_order(fx, coarse: bool):
     from ledgerloom.operators.batchrun import reconcile_in_order
     order = fx.items().select(F.col("k"), "row_number", "batch_id")
-    pool = _pool(fx).join(order, "k").withColumn("run_order", F.struct("row_number", "document_id"))
-    outcomes, _ = reconcile_in_order(pool, fx.settlements(named=True), _credits(fx))
+    pool = _pool(fx, coarse).join(order, "k").withColumn("run_order", F.struct("row_number", "document_id"))
+    outcomes, _ = reconcile_in_order(pool, fx.settlements(named=True), _credits(fx, coarse))
     return outcomes.select("document_id", "terminal", "subset_status", "phase", "utr")
 
 
+@query("k8_batch_in_order", needs=["open_inv", "credits", "settle", "items"],
+       sql=in_order_sql("grand_total_paise - tds_deduction_paise", "amount_paise"))
+def _(fx):
+    return _in_order(fx, False)
+
+
+@query("k8_batch_in_order_collisions", needs=["open_inv", "credits", "settle", "items"],
+       sql=in_order_sql("coarse_net_paise", "coarse_amount_paise"))
+def _(fx):
+    return _in_order(fx, True)
+
+
 @query("j1_tools_one_pass")
 def _(fx):
     from ledgerloom.tools import reconcile_snapshot

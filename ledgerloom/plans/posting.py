@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import envelopes, money
 from ledgerloom.operators import exceptions, posting, reads
 from ledgerloom.plans.registry import query
-from ledgerloom.scale import previous_value
+from ledgerloom.scale import ordinal, previous_value
 from ledgerloom.sources.fixtures import KEY_BUCKET
 
 
@@ -43,24 +43,27 @@ def _(fx):
 
 
 def _proofs(fx):
-    """One proof per open invoice pair (k, k + 15) of a vendor bucket; every fifth total is wrong, every 13th lacks a UTR."""
-    inv = _nets(fx).filter("k % 5 <> 4").selectExpr(
-        "concat('proof_', custkey, '_', k % 2) AS proof_id", "vendor_code", "custkey", "k % 2 AS half", "invoice_number", "net_paise")
-    pick = inv.groupBy("proof_id", "vendor_code", "custkey", "half").agg(
-        F.min(F.struct("invoice_number", "net_paise")).alias("lo"), F.max(F.struct("invoice_number", "net_paise")).alias("hi"))
-    return pick.selectExpr(
-        "proof_id", "vendor_code", "array_distinct(array(lo.invoice_number, hi.invoice_number)) AS matched_invoices",
+    """One proof for every two neighbouring invoices of a vendor, and for one that is left over.
+
+    Of every fifth vendor the total is wrong, of every 13th the UTR is missing."""
+    inv = ordinal(_nets(fx), ["custkey"], F.expr(f"k div {KEY_BUCKET}"), [F.col("k")], "place").withColumn(
+        "half", F.expr("(place - 1) div 2"))
+    both = inv.groupBy("vendor_code", "custkey", "half").agg(
+        F.array_sort(F.collect_list("invoice_number")).alias("matched_invoices"), F.sum("net_paise").alias("total"))
+    return both.selectExpr(
+        "concat('proof_', custkey, '_', half) AS proof_id", "vendor_code", "matched_invoices",
         "CASE WHEN custkey % 13 <> 0 THEN concat('U', custkey) END AS matched_utr", "concat('pout_', custkey) AS payout_id",
-        "CASE WHEN lo.invoice_number = hi.invoice_number THEN lo.net_paise ELSE lo.net_paise + hi.net_paise END"
-        " + CASE WHEN custkey % 5 = 0 THEN 1 ELSE 0 END AS proof_paise")
+        "total + CASE WHEN custkey % 5 = 0 THEN 1 ELSE 0 END AS proof_paise")
 
 
 _PROOFS = """
-pk AS (SELECT vendor_code, custkey, k % 2 AS half, min((invoice_number, document_id, n, k)) AS lo, max((invoice_number, document_id, n, k)) AS hi
-  FROM (SELECT *, grand_total_paise - tds_deduction_paise AS n FROM inv WHERE k % 5 <> 4) GROUP BY 1, 2, 3),
-pf AS (SELECT *, 'proof_' || custkey || '_' || half AS proof_id, CASE WHEN custkey % 13 = 0 OR custkey % 5 = 0 THEN 'PREREQUISITE_FAILED'
-  WHEN lo[2] IN (SELECT document_id FROM recs) OR hi[2] IN (SELECT document_id FROM recs) THEN 'DUPLICATE_EVENT' ELSE 'LEDGER_COMMITTED' END AS status FROM pk),
-pd AS (SELECT proof_id, vendor_code, custkey, unnest(CASE WHEN lo[1] = hi[1] THEN [lo] ELSE [lo, hi] END) AS m FROM pf WHERE status = 'LEDGER_COMMITTED')
+pk AS (SELECT *, (row_number() OVER (PARTITION BY custkey ORDER BY k) - 1) // 2 AS half FROM inv),
+pf AS (SELECT vendor_code, custkey, 'proof_' || custkey || '_' || half AS proof_id,
+    list((invoice_number, document_id, grand_total_paise - tds_deduction_paise)) AS ms,
+    CASE WHEN custkey % 13 = 0 OR custkey % 5 = 0 THEN 'PREREQUISITE_FAILED'
+      WHEN bool_or(document_id IN (SELECT document_id FROM recs)) THEN 'DUPLICATE_EVENT' ELSE 'LEDGER_COMMITTED' END AS status
+  FROM pk GROUP BY vendor_code, custkey, half),
+pd AS (SELECT proof_id, vendor_code, custkey, unnest(ms) AS m FROM pf WHERE status = 'LEDGER_COMMITTED')
 """
 
 

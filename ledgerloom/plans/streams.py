@@ -14,6 +14,7 @@ from ledgerloom.session import STREAMING_CONF, checkpoint_dir
 from ledgerloom.sources.events import extracted_events, open_envelopes
 from ledgerloom.sources.fixtures import Fixtures
 from ledgerloom.streaming import jobs
+from ledgerloom.streaming.keystore import read_committed
 
 
 class StreamFixtures(Fixtures):
@@ -59,14 +60,25 @@ def _(fx):
     return _to_table(fx, jobs.dedupe_events(twice, "60 days")).select(F.col("event_id").cast("long"), "batch_id")
 
 
-@query("i2_fan_in_seal", sql="""
-SELECT user_id::varchar AS batch_id, 'sealed' AS outcome, count(*) AS inputs, max(user_id % 2) AS shortfall FROM events GROUP BY user_id
-HAVING max(user_id % 2) = 0 OR max(ts) + INTERVAL 30 SECOND <= (SELECT max(ts) FROM events)""")
+@query("i2_fan_in_seal", needs=["items", "batches"], sql="""
+e AS (SELECT batch_id, count(*) AS n FROM items JOIN batches USING (batch_id) WHERE custkey % 4 <> 0 AND k % 10 <> 0 GROUP BY 1),
+b AS (SELECT batch_id, total_invoices AS total, custkey, coalesce(n, 0) AS n FROM batches LEFT JOIN e USING (batch_id)),
+f AS (SELECT batch_id, count(*) AS found FROM items JOIN inv USING (document_id) GROUP BY 1),
+g AS (SELECT b.*, CASE WHEN n > 0 THEN n ELSE coalesce(found, 0) END AS inputs FROM b LEFT JOIN f USING (batch_id))
+SELECT batch_id, inputs, greatest(total - inputs, 0) AS shortfall, CASE WHEN inputs > 0 THEN 'SEALED' ELSE 'PARTIAL' END AS run_status,
+  n = 0 AND inputs > 0 AS rebuilt FROM g""")
 def _(fx):
-    e = StreamFixtures(fx, "events").table("events").selectExpr("cast(user_id AS string) AS batch_id", "cast(ts AS timestamp) AS event_time")
-    totals = fx.table("events").groupBy(F.col("user_id").cast("string").alias("batch_id")).agg(
-        (F.count(F.lit(1)) + F.max(F.col("user_id") % 2)).alias("total_invoices"))
-    return _to_table(fx, jobs.seal_batches(e, totals))
+    """Members of batches arrive, but for every tenth one and for all of every fourth vendor; those are taken from the tables."""
+    items = StreamFixtures(fx, "orders").invoices().withColumn("batch_id", fx._batch_id())
+    last = F.timestamp_seconds(F.lit(4_000_000_000))  # the clock goes on after the last event, so that every grace ends
+    arrives = F.array(F.when(F.expr("custkey % 4 <> 0 AND k % 10 <> 0"), F.col("batch_id")),
+                      F.when(F.col("k") == fx.invoices().agg(F.max("k")).first()[0], F.lit("clock")))
+    events = items.select("k", F.explode(F.array_compact(arrives)).alias("batch_id")).select(
+        "batch_id", F.when(F.col("batch_id") == "clock", last).otherwise(F.timestamp_seconds(F.col("k") * 60)).alias("event_time"))
+    batches = fx.batches().select("batch_id", "total_invoices", F.timestamp_seconds(F.lit(0)).alias("opened"))
+    clock = fx.spark.createDataFrame([("clock", 10)], "batch_id string, total_invoices bigint").withColumn("opened", F.lit(None).cast("timestamp"))
+    sealed = _to_table(fx, jobs.seal_batches(events, batches.unionByName(clock), opened="opened"))
+    return jobs.close_sealed(sealed, fx.items(), fx.invoices())
 
 
 @query("i3_single_runs", sql="""
@@ -84,19 +96,19 @@ def _(fx):
     recs = StreamFixtures(fx, "orders").reconciliations()
     events = posting.completed_events(recs).withColumn("value", F.explode(F.array("value", "value")))
     out = _through(fx, events, jobs.ledger_sink)
-    return fx.spark.read.parquet(f"{out}/lines").select("batch_id", "entry_type", "amount_paise", "utr_number")
+    return read_committed(fx.spark, out, "lines", "batch_id string, entry_type string, amount_paise bigint, utr_number string").drop("epoch")
 
 
 @query("i5_a7_ticket_stream", needs=["inv"], sql="""
-SELECT vendor_code, invoice_number AS flagged, 'NO_MATCH' AS exception_reason FROM inv WHERE k % 6 = 0""")
+SELECT vendor_code, invoice_number AS flagged, 'NO_MATCH' AS exception_reason FROM inv""")
 def _(fx):
     from ledgerloom.operators.exceptions import exception_events
-    reviews = StreamFixtures(fx, "orders").invoices().filter("k % 6 = 0").selectExpr(
+    reviews = StreamFixtures(fx, "orders").invoices().selectExpr(
         "vendor_code", "document_id", "invoice_number", "cast(NULL AS string) AS utr", "'NO_MATCH' AS review_reason",
         "cast(NULL AS string) AS variance", "cast(NULL AS string) AS message")
     events = exception_events(reviews).withColumn("value", F.explode(F.array("value", "value")))
     out = _through(fx, events, jobs.ticket_sink)
-    return fx.spark.read.parquet(f"{out}/tickets").select(
+    return read_committed(fx.spark, out, "tickets", "vendor_code string, flagged_invoice_ids array<string>, exception_reason string").select(
         "vendor_code", F.array_join("flagged_invoice_ids", ",").alias("flagged"), "exception_reason")
 
 
@@ -137,18 +149,20 @@ def _(fx):
 
 
 @query("i9_run_lifecycle", sql="""
-t AS (SELECT user_id::varchar AS batch_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'claim' WHEN 'click' THEN 'start' ELSE 'close' END AS kind,
-  CASE WHEN event_id % 2 = 0 THEN 'COMPLETED' ELSE 'PARTIAL' END AS result FROM events
-  WHERE event_type IN ('signup', 'click') OR (event_type = 'purchase' AND event_id % 40 = 0)),
+t AS (SELECT user_id::varchar AS batch_id, event_id AS seq, CASE WHEN event_type = 'signup' THEN 'claim' WHEN event_type IN ('click', 'view') THEN 'start' ELSE 'close' END AS kind,
+  CASE WHEN event_type = 'error' THEN 'PARTIAL' ELSE 'COMPLETED' END AS result FROM events),
 c AS (SELECT batch_id, min(seq) AS claimed_seq FROM t WHERE kind = 'claim' GROUP BY 1),
-x AS (SELECT c.*, (SELECT min(seq) FROM t WHERE t.batch_id = c.batch_id AND kind = 'close' AND seq >= claimed_seq) AS closed_seq FROM c),
-y AS (SELECT x.*, (SELECT max(seq) FROM t WHERE t.batch_id = x.batch_id AND kind = 'start' AND seq >= claimed_seq AND (closed_seq IS NULL OR seq < closed_seq)) AS started_seq FROM x)
-SELECT batch_id, claimed_seq, started_seq, closed_seq, CASE WHEN closed_seq IS NOT NULL THEN CASE WHEN closed_seq % 2 = 0 THEN 'COMPLETED' ELSE 'PARTIAL' END
-  WHEN started_seq IS NOT NULL THEN 'RUNNING' ELSE 'SEALED' END AS status FROM y""")
+d AS (SELECT batch_id, min(seq) AS closed_seq, arg_min(result, seq) AS result FROM t JOIN c USING (batch_id) WHERE kind = 'close' AND seq >= claimed_seq GROUP BY 1),
+x AS (SELECT * FROM c LEFT JOIN d USING (batch_id)),
+y AS (SELECT batch_id, max(seq) AS started_seq FROM t JOIN x USING (batch_id)
+  WHERE kind = 'start' AND seq >= claimed_seq AND (closed_seq IS NULL OR seq < closed_seq) GROUP BY 1)
+SELECT batch_id, claimed_seq, started_seq, closed_seq, coalesce(result, CASE WHEN started_seq IS NOT NULL THEN 'RUNNING' ELSE 'SEALED' END) AS status
+FROM x LEFT JOIN y USING (batch_id)""")
 def _(fx):
-    log = fx.table("events").filter("event_type IN ('signup', 'click') OR (event_type = 'purchase' AND event_id % 40 = 0)").selectExpr(
-        "cast(user_id AS string) AS batch_id", "event_id AS seq", "CASE event_type WHEN 'signup' THEN 'claim' WHEN 'click' THEN 'start' ELSE 'close' END AS kind",
-        "CASE WHEN event_id % 2 = 0 THEN 'COMPLETED' ELSE 'PARTIAL' END AS result")
+    log = fx.table("events").selectExpr(
+        "cast(user_id AS string) AS batch_id", "event_id AS seq",
+        "CASE WHEN event_type = 'signup' THEN 'claim' WHEN event_type IN ('click', 'view') THEN 'start' ELSE 'close' END AS kind",
+        "CASE WHEN event_type = 'error' THEN 'PARTIAL' ELSE 'COMPLETED' END AS result")
     return jobs.run_lifecycle(log)
 
 

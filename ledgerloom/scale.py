@@ -7,6 +7,7 @@ small totals table is scanned per key, and rows are windowed inside (key, bucket
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,3 +92,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as files of the shared folder and go on from them.
+
+    For loops: a checkpoint hands what the optimizer knows of its columns on to the next round, where it piles up; files
+    hold data and sizes alone.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

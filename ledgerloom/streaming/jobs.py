@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerloom.operators import exceptions, posting
 from ledgerloom.sources.events import poison_events
+from ledgerloom.streaming.keystore import KeyStore
 
 # Grace for late members of a batch, life of the live log after its last event, age of a stale run.
 GRACE_SECONDS = 30
@@ -43,7 +43,8 @@ def partial_counts(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class SealProcessor(StatefulProcessor):
     """Counts the members of a batch; seals it when all are there or when the grace after the last one is over.
 
-    State per batch is (seen, total, sealed), whatever the number of members. Members after the seal are
+    State per batch is (seen, total, sealed), whatever the number of members. Batches known at the start come as initial
+    state with a timer of their own, so that one nothing arrives for is sealed too. Members after the seal are
     reported as late and don't reopen the batch; ``forget_ms`` after it the state is dropped.
     """
 
@@ -54,6 +55,10 @@ class SealProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("batch", "seen bigint, total bigint, sealed boolean")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.state.update((0, int(initialState["total"].iloc[0]), False))
+        self.handle.registerTimer(int(initialState["opened"].iloc[0].timestamp() * 1000) + self.grace_ms)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seen, total, sealed = self.state.get() if self.state.exists() else (0, 0, False)
         fresh, last_ms = 0, 0
@@ -88,31 +93,43 @@ class SealProcessor(StatefulProcessor):
         pass
 
 
-def seal_batches(events: DataFrame, batches: DataFrame, watermark: str = "0 seconds") -> DataFrame:
+def seal_batches(events: DataFrame, batches: DataFrame, watermark: str = "0 seconds", opened: str | None = None) -> DataFrame:
     """Seal and late rows (batch_id, outcome, inputs, shortfall) for deduplicated events of known batches.
 
-    ``events``: batch_id, event_time. ``batches``: batch_id, total_invoices; a static table.
+    ``events``: batch_id, event_time. ``batches``: batch_id, total_invoices; a static table. With ``opened``, its column of
+    the time a batch was completed at, batches that the stream starts with are sealed after the grace even if nothing
+    arrives for them: their inputs are 0, and :func:`close_sealed` takes them from the tables.
     """
     joined = events.join(batches.select("batch_id", F.col("total_invoices").alias("total")), "batch_id").select(
         "batch_id", "total", "event_time")
     counted = joined.mapInPandas(partial_counts, "batch_id string, n bigint, total bigint, event_time timestamp")
+    known = None
+    if opened:
+        known = batches.select("batch_id", F.col("total_invoices").alias("total"), F.col(opened).alias("opened")).filter(
+            "opened IS NOT NULL").groupBy("batch_id")
     return counted.withWatermark("event_time", watermark).groupBy("batch_id").transformWithStateInPandas(
-        SealProcessor(), "batch_id string, outcome string, inputs bigint, shortfall bigint", "append", "eventTime")
+        SealProcessor(), "batch_id string, outcome string, inputs bigint, shortfall bigint", "append", "eventTime", known)
 
 
 def rebuild_inputs(sealed: DataFrame, items: DataFrame, invoices: DataFrame) -> DataFrame:
     """Inputs of sealed batches nothing arrived for, from the stored tables."""
     from ledgerloom.operators.reads import batch_run_list
-    return batch_run_list(items, invoices).join(sealed.filter("inputs = 0").select("batch_id"), "batch_id", "left_semi")
+    lost = sealed.filter("outcome = 'sealed' AND inputs = 0").select("batch_id")
+    return batch_run_list(items, invoices).join(lost, "batch_id", "left_semi")
+
 
+def close_sealed(sealed: DataFrame, items: DataFrame, invoices: DataFrame) -> DataFrame:
+    """How each sealed batch goes on: batch_id, inputs, shortfall, run_status, rebuilt.
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema + ", epoch bigint").parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema + ", epoch bigint")
+    A batch nothing arrived for runs on what the tables hold; if that is nothing either, it is closed as PARTIAL with its
+    whole number as shortfall.
+    """
+    found = rebuild_inputs(sealed, items, invoices).groupBy("batch_id").agg(F.count(F.lit(1)).alias("found"))
+    total = F.col("inputs") + F.col("shortfall")
+    inputs = F.when(F.col("inputs") > 0, F.col("inputs")).otherwise(F.coalesce("found", F.lit(0)))
+    return sealed.filter("outcome = 'sealed'").join(found, "batch_id", "left").select(
+        "batch_id", inputs.alias("inputs"), F.greatest(total - inputs, F.lit(0)).alias("shortfall"),
+        F.when(inputs > 0, "SEALED").otherwise("PARTIAL").alias("run_status"), ((F.col("inputs") == 0) & (inputs > 0)).alias("rebuilt"))
 
 
 def _write(df: DataFrame, path: str, epoch: int) -> None:
@@ -121,35 +138,43 @@ def _write(df: DataFrame, path: str, epoch: int) -> None:
 
 
 def ledger_sink(root: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body for completed events: keys, headers, lines, tickets and fatal events under ``root``.
+    """``foreachBatch`` body for completed events: headers, lines, tickets and fatal events under ``root``.
 
-    The processed keys go last and commit the epoch; readers take the epochs that have keys. Event ids of
-    earlier epochs are dropped, a repeated epoch overwrites its own folders, so a replay changes nothing.
+    Keys of earlier epochs are looked up in a :class:`KeyStore`, whose manifest commits the epoch after all its folders
+    are written; readers go through ``read_committed``. A committed epoch that is delivered again is left alone, a
+    broken one overwrites its own folders.
     """
     def run(events: DataFrame, epoch: int) -> None:
-        spark = events.sparkSession
+        store = KeyStore(events.sparkSession, root)
+        if store.is_committed(epoch):
+            return
         parsed = posting.parse_completed(events.select("value")).persist()
-        keys = read_or_empty(spark, f"{root}/keys", "event_id string").filter(F.col("epoch") < epoch)
+        keys = store.seen(parsed.filter("event_id IS NOT NULL").select("event_id")).persist()
         records = posting.new_records(parsed, keys).persist()
         _write(posting.ledger_headers(records), f"{root}/headers", epoch)
         _write(posting.ledger_lines(records), f"{root}/lines", epoch)
         _write(exceptions.new_tickets(exceptions.tickets_from_fatal(parsed), keys), f"{root}/tickets", epoch)
         _write(posting.fatal_events(parsed), f"{root}/fatal", epoch)
-        handled = records.select("event_id").unionByName(parsed.filter("error_code IS NOT NULL AND event_id IS NOT NULL").select("event_id").distinct())
-        _write(handled, f"{root}/keys", epoch)
-        records.unpersist()
-        parsed.unpersist()
+        fatal = parsed.filter("error_code IS NOT NULL AND event_id IS NOT NULL").select("event_id").join(keys, "event_id", "left_anti")
+        store.commit(epoch, records.select("event_id").unionByName(fatal))
+        for df in (records, keys, parsed):
+            df.unpersist()
     return run
 
 
 def ticket_sink(root: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body for dead-letter events: one ticket per event id."""
+    """``foreachBatch`` body for dead-letter events: one ticket per event id, committed as in :func:`ledger_sink`."""
     def run(events: DataFrame, epoch: int) -> None:
-        keys = read_or_empty(events.sparkSession, f"{root}/keys", "event_id string").filter(F.col("epoch") < epoch)
-        tickets = exceptions.new_tickets(exceptions.tickets_from_dlq(events), keys).persist()
+        store = KeyStore(events.sparkSession, root)
+        if store.is_committed(epoch):
+            return
+        read = exceptions.tickets_from_dlq(events).persist()
+        keys = store.seen(read.select(F.col("source_event_id").alias("event_id")).filter("event_id IS NOT NULL")).persist()
+        tickets = exceptions.new_tickets(read, keys).persist()
         _write(tickets, f"{root}/tickets", epoch)
-        _write(tickets.select(F.col("source_event_id").alias("event_id")), f"{root}/keys", epoch)
-        tickets.unpersist()
+        store.commit(epoch, tickets.select(F.col("source_event_id").alias("event_id")))
+        for df in (tickets, keys, read):
+            df.unpersist()
     return run
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import math
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import matching, posting, reads
 from ledgerloom.operators.batchrun import connected, reconcile_in_order
-from ledgerloom.operators.subsets import find_subsets
+from ledgerloom.operators.subsets import count_subsets, find_subsets, moves_of
 
 POOL = "document_id string, vendor_code string, invoice_number string, supplier_legal_name string, document_date date, net_paise bigint"
 CREDITS = "vendor_code string, transaction_id string, utr_number string, transaction_date date, narration string, amount_paise bigint"
@@ -106,7 +107,7 @@ def by_hand_in_order(pool, credits, anchors):
         utr = anchors.get(inv[2])
         mine = [c for c in open_credits if (c[2] == utr if utr else c[5] == inv[5])]
         options = [(c, s) for c in mine for s in sets_by_hand(c[5], open_pool)]
-        if len(options) == 1 and inv[2] in options[0][1]:
+        if len(options) == 1 and inv[2] in options[0][1] and options[0][0][2]:
             c, s = options[0]
             out[inv[0]] = "LEDGER_COMMITTED"
             open_credits = [x for x in open_credits if x[2] != c[2]]
@@ -158,3 +159,100 @@ def test_no_set_is_lost_without_a_cap(spark):
     pool = spark.createDataFrame([invoice(i, 1) for i in range(12)], POOL)
     got = find_subsets(spark.createDataFrame([("V", 6)], "vendor_code string, amount_paise bigint"), pool).collect()
     assert len({tuple(r.members) for r in got}) == len(got) == 924
+
+
+TARGETS = "vendor_code string, amount_paise bigint"
+
+
+@pytest.mark.parametrize("seed,low", [(5, 1), (6, 0), (7, -3)])
+def test_counts_equal_the_listed_sets(spark, seed, low):
+    rng = random.Random(seed)
+    pool = [invoice(i, rng.randint(low, 9), vendor=f"V{i % 3}") for i in range(24)]
+    targets = spark.createDataFrame([(f"V{v}", t) for v in range(4) for t in range(-2, 25)], TARGETS)
+    invoices = spark.createDataFrame(pool, POOL)
+    got = {(r.vendor_code, r.amount_paise): int(r.subsets) for r in count_subsets(targets, invoices, salts=2).collect()}
+    listed = {}
+    for r in find_subsets(targets, invoices).collect():
+        listed[r.vendor_code, r.amount_paise] = listed.get((r.vendor_code, r.amount_paise), 0) + 1
+    for vendor in range(4):
+        for t in range(-2, 25):
+            want = len(sets_by_hand(t, [p for p in pool if p[1] == f"V{vendor}"])) if t >= 0 else 0
+            assert got.get((f"V{vendor}", t), 0) == listed.get((f"V{vendor}", t), 0) == want
+
+
+def test_many_equal_nets_are_counted_not_listed(spark):
+    pool = spark.createDataFrame([invoice(i, 7) for i in range(40)] + [invoice(90 + i, 1000 + i) for i in range(5)], POOL)
+    got = {r.amount_paise: int(r.subsets) for r in count_subsets(spark.createDataFrame(
+        [("V", 7 * k) for k in range(42)] + [("V", 1000 + 70), ("V", 2001 + 7), ("V", 5)], TARGETS), pool).collect()}
+    assert all(got[7 * k] == math.comb(40, k) for k in range(41)) and 7 * 41 not in got and 5 not in got
+    assert got[1070] == math.comb(40, 10) and got[2008] == 40
+
+
+def test_choices_of_many_equal_nets(spark):
+    """Nearly all of many equal nets: beginnings that can't be completed are never made."""
+    pool = spark.createDataFrame([invoice(i, 7) for i in range(24)] + [invoice(50, 1), invoice(51, 2)], POOL)
+    got = find_subsets(spark.createDataFrame([("V", 7 * 24), ("V", 7 * 23 + 3), ("V", 7 * 22)], TARGETS), pool).collect()
+    sizes = sorted((r.amount_paise, r.size) for r in got)
+    assert sizes == [(154, 22)] * math.comb(24, 22) + [(164, 25)] * 24 + [(168, 24)]
+    assert len({tuple(r.members) for r in got}) == len(got)
+    assert all(len(r.dates) == r.size == len(r.path) and sum(m.net for m in r.path) == r.amount_paise for r in got)
+    capped = find_subsets(spark.createDataFrame([("V", 7 * 12)], TARGETS), pool, cap=30).collect()
+    want = list(itertools.islice(itertools.combinations([f"INV-{i:04d}" for i in range(24)], 12), 30))
+    assert sorted(tuple(r.members) for r in capped) == sorted(want)
+
+
+def test_halves_meet_for_every_number_of_moves(spark):
+    pool = spark.createDataFrame([invoice(i, 2 ** i) for i in range(9)], POOL)
+    targets = spark.createDataFrame([("V", t) for t in range(1, 512)], TARGETS)
+    got = {r.amount_paise: [m.net for m in r.moves] for r in moves_of(targets, pool, salts=3).collect()}
+    assert all(got[t] == [2 ** i for i in range(9) if t >> i & 1] for t in range(1, 512))
+    some = moves_of(targets, pool, max_moves=4).collect()
+    assert len(some) == sum(1 for t in range(1, 512) if bin(t).count("1") <= 4)
+
+
+def test_contests_of_one_component_settle_together(spark):
+    """Pairs of one net each share a credit with a set of both: every contest commits once, all in the same rounds."""
+    taken = []
+    for contests in (3, 12):
+        pool = [invoice(2 * c + j, 1000 + c, "Zenith Foods", day=-100) for c in range(contests) for j in range(2)]
+        credits = [credit(c, 2 * (1000 + c), "x", day=300) for c in range(contests)]
+        # An amount that many sets add up to connects all of them; nobody asks for it but the last invoice.
+        pool.append(invoice(900, 1000 + 1001, "Last", day=-100))
+        credits.append(credit(900, 1000 + 1001, "x", day=300))
+        anchors = {f"INV-{2 * c + j:04d}": f"u{c}" for c in range(contests) for j in range(2)}
+        settle = [("V", f"p{no}", no, utr, 1, "", "processed", 0, 0, 1) for no, utr in anchors.items()]
+        rounds = []
+        outcomes, _ = reconcile_in_order(
+            spark.createDataFrame(pool, POOL).withColumn("run_order", F.col("invoice_number")), spark.createDataFrame(settle, SETTLE),
+            spark.createDataFrame(credits, CREDITS), max_size=2, rounds=rounds)
+        got = {r.document_id: r.terminal for r in outcomes.collect()}
+        assert [got[f"d{2 * c}"] for c in range(contests)] == ["LEDGER_COMMITTED"] * contests
+        assert [got[f"d{2 * c + 1}"] for c in range(contests)] == ["ALREADY_COMMITTED"] * contests
+        taken.append(len(rounds))
+    assert taken[1] <= taken[0] + 1
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_batch_in_order_with_many_collisions(spark, seed):
+    """Two vendors, few nets, credits without UTR, anchors to each other's credits: equal to one at a time."""
+    rng = random.Random(seed)
+    pool = [invoice(i, rng.choice([2, 3, 4, 6, 7]), "Zenith Foods", day=-100, vendor=f"V{i % 2}") for i in range(16)]
+    credits = [credit(i, rng.choice([2, 3, 5, 6, 13, 14]), vendor=f"V{i % 2}", utr=None if i % 7 == 3 else f"u{i}") for i in range(14)]
+    settle = [(p[1], f"p{p[2]}", p[2], f"u{rng.choice([c for c in range(14) if c % 2 == int(p[1][1])])}", 1, "", "processed", 0, 0, 1)
+              for p in pool if rng.random() < 0.6]
+    outcomes, posted = reconcile_in_order(
+        spark.createDataFrame(pool, POOL).withColumn("run_order", F.col("invoice_number")), spark.createDataFrame(settle, SETTLE),
+        spark.createDataFrame(credits, CREDITS))
+    want = {}
+    for vendor in ("V0", "V1"):
+        anchors = {s[2]: s[3] for s in settle if s[0] == vendor}
+        want.update(by_hand_in_order([p for p in pool if p[1] == vendor], [c for c in credits if c[0] == vendor], anchors))
+    assert {r.document_id: r.terminal for r in outcomes.collect()} == want
+    numbers = [(r.vendor_code, r.invoice_number) for r in posted.collect()]
+    assert len(numbers) == len(set(numbers))
+
+
+def test_labels_jump_along_long_paths(spark):
+    edges = [(f"n{i:03}", f"h{i}") for i in range(60)] + [(f"n{i + 1:03}", f"h{i}") for i in range(60)]
+    got = {r.component for r in connected(spark.createDataFrame(edges, "node string, hub string")).collect()}
+    assert got == {"n000"}

@@ -10,7 +10,7 @@ from ledgerloom.functions import envelopes
 from ledgerloom.operators import exceptions, posting
 from ledgerloom.operators.pages import group_pages, invoice_groups, with_page_signals
 from ledgerloom.sources import files
-from ledgerloom.streaming import jobs
+from ledgerloom.streaming import jobs, keystore
 
 T0 = dt.datetime(2026, 8, 1)
 
@@ -131,3 +131,57 @@ def test_malformed_completed_events(spark):
     got = [r.error_code for r in posting.parse_completed(spark.createDataFrame(rows, "value string")).collect()]
     assert got == [None, "MALFORMED_PAYLOAD", "INVALID_PAISE_CASTING", "ORPHANED_DEBIT_CREDIT_MISMATCH", "MALFORMED_PAYLOAD", None]
     assert envelopes.SPEC_VERSION == "1.0"
+
+
+def test_batches_nothing_arrives_for_are_sealed_and_rebuilt(spark, folder):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    batches = spark.createDataFrame([("full", 2, T0), ("silent", 3, T0), ("empty", 4, T0), ("later", 5, T0 + dt.timedelta(days=9))],
+                                    "batch_id string, total_invoices bigint, opened timestamp")
+    schema = "batch_id string, event_time timestamp"
+
+    def deliver(rows, n):
+        drop(spark.createDataFrame([(b, T0 + dt.timedelta(seconds=s)) for b, s in rows], schema), folder, n)
+        jobs.seal_batches(stream(spark, folder, schema), batches, opened="opened").writeStream.format("parquet").option(
+            "path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{folder}/out")
+
+    rows = lambda df: sorted(tuple(r) for r in df.select("batch_id", "outcome", "inputs", "shortfall").collect())
+    assert rows(deliver([("full", 1), ("full", 2)], 1)) == [("full", "sealed", 2, 0)]
+    sealed = deliver([("full", 100)], 2)
+    assert rows(sealed) == [("empty", "sealed", 0, 4), ("full", "late", 1, 0), ("full", "sealed", 2, 0), ("silent", "sealed", 0, 3)]
+    items = spark.createDataFrame([("silent", i, f"d{i}") for i in range(2)] + [("full", 0, "d9")], "batch_id string, row_number bigint, document_id string")
+    invoices = spark.createDataFrame([(f"d{i}", "V", f"I{i}", "VALIDATED") for i in (0, 1, 9)],
+                                     "document_id string, vendor_code string, invoice_number string, processing_status string")
+    closed = {r.batch_id: (r.inputs, r.shortfall, r.run_status, r.rebuilt) for r in jobs.close_sealed(sealed, items, invoices).collect()}
+    assert closed == {"full": (2, 0, "SEALED", False), "silent": (2, 1, "SEALED", True), "empty": (0, 4, "PARTIAL", False)}
+
+
+def test_torn_epochs_are_not_read_and_are_done_again(spark, folder):
+    sink = jobs.ledger_sink(f"{folder}/out")
+    sink(completed(spark, [1, 2]), 0)
+    lines = "utr_number string, entry_type string"
+    # Epoch 1 breaks off after its lines: no manifest row.
+    posting.ledger_lines(posting.new_records(posting.parse_completed(completed(spark, [3])), spark.createDataFrame([], "event_id string"))).write.parquet(
+        f"{folder}/out/lines/epoch=1")
+    shown = lambda: sorted(r.utr_number for r in keystore.read_committed(spark, f"{folder}/out", "lines", lines).filter("entry_type = 'DEBIT'").collect())
+    assert shown() == ["u1", "u2"] and spark.read.parquet(f"{folder}/out/lines").count() == 6
+    sink(completed(spark, [2, 3, 4]), 1)
+    assert shown() == ["u1", "u2", "u3", "u4"]
+    sink(completed(spark, [9]), 1)  # delivered again: committed epochs stay as they are
+    assert shown() == ["u1", "u2", "u3", "u4"]
+
+
+def test_files_of_an_epoch_do_not_grow_with_history(spark, folder):
+    store, opened = keystore.KeyStore(spark, folder, buckets=4, fan_in=2), []
+    for epoch in range(12):
+        ids = spark.createDataFrame([(f"k{epoch}-{i}",) for i in range(20)], "event_id string")
+        store.commit(epoch, ids)
+        store = keystore.KeyStore(spark, folder, buckets=4, fan_in=2)  # as after a restart
+        assert store.epoch == epoch
+        opened.append(len(store.touched(spark.createDataFrame([("k0-0",)], "event_id string"))))
+        assert max(sum(s.level == level for s in store.segments) for level in range(5)) <= 4
+    assert max(opened) <= 4  # one bucket, at most one run a level
+    asked = spark.createDataFrame([("k0-0",), ("k11-19",), ("k5-7",), ("new",), ("k12-0",)], "event_id string")
+    assert sorted(r[0] for r in store.seen(asked).collect()) == ["k0-0", "k11-19", "k5-7"]
+    assert store.spark.read.parquet(f"{folder}/manifest").count() == keystore.SLOTS

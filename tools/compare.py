@@ -62,7 +62,7 @@ def main():
     from ledgerloom.session import build_session
 
     spark = build_session(master="local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8",
-                          spark__driver__memory="12g")
+                          spark__driver__memory="12g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(args.sf)
     sql, bad = oracle_sql(), 0
