@@ -10,8 +10,8 @@ lower half leaves, so that a set of four moves costs a table of pairs, not of tr
 Rows of j moves are written once and serve as both halves. A lower half is left out when as many nets above its last as
 are still missing already exceed the rest; a row of moves when it exceeds the vendor's largest amount.
 
-Members are filled in last, for rows of moves that are hits, by joins on (vendor, net): every partial choice made there
-is part of a set of the result. Nothing of a vendor is gathered in one task; vendors with many nets are salted.
+Members are filled in last, for rows of moves that are hits, by joins on (vendor, net): at once where all groups are taken
+whole, else move by move, and every partial choice made there is part of a set of the result. Nothing of a vendor is gathered in one task; vendors with many nets are salted.
 
 Counting (``count_subsets``) lists nothing: each group gives a table from sum to number of ways, tables of one vendor are
 merged two by two, and the last two meet in an equi-join on what is left of the amount.
@@ -21,6 +21,8 @@ Defined results: the amount 0 has the empty set alone, a negative amount none; n
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,19 +34,20 @@ MAX_SUBSETS = 250
 # Different nets of one vendor per salt.
 ROWS_PER_SALT = 1000
 
-_MOVES = "array<struct<net:bigint,taken:bigint>>"
 _WAYS = "decimal(38,0)"
 
 
 def _groups(targets: DataFrame, invoices: DataFrame) -> DataFrame:
-    """vendor, net, size: how many open invoices have this net; ``largest``: what a set may still add up to in one half.
+    """vendor, net, size: how many open invoices have this net; ``largest``: what a set may still add up to in one half;
+    ``least``: the vendor's smallest net.
 
     Nets above the vendor's largest amount are left out, counting what negative nets can take off."""
     most = targets.filter("amount_paise > 0").groupBy("vendor_code").agg(F.max("amount_paise").alias("most"))
     groups = invoices.filter("net_paise IS NOT NULL").groupBy("vendor_code", F.col("net_paise").alias("net")).agg(
         F.count(F.lit(1)).alias("size"))
-    below = groups.groupBy("vendor_code").agg(F.sum(F.least(F.col("net") * F.col("size"), F.lit(0))).alias("below"))
-    limit = most.join(below, "vendor_code").select("vendor_code", (F.col("most") - F.col("below")).alias("largest"))
+    below = groups.groupBy("vendor_code").agg(F.sum(F.least(F.col("net") * F.col("size"), F.lit(0))).alias("below"),
+                                              F.min("net").alias("least"))
+    limit = most.join(below, "vendor_code").select("vendor_code", (F.col("most") - F.col("below")).alias("largest"), "least")
     return groups.join(limit, "vendor_code").filter("net <= largest")
 
 
@@ -73,29 +76,30 @@ def _each_salt(rows: DataFrame) -> DataFrame:
 def _rows_of_one(groups: DataFrame) -> DataFrame:
     """Rows of one move."""
     one = groups.withColumn("taken", _taken(1))
-    return one.select("vendor_code", "salts", "largest", F.array(F.struct("net", "taken")).alias("moves"),
+    return one.select("vendor_code", "salts", "largest", "least", F.array(F.struct("net", "taken", "size")).alias("moves"),
                       (F.col("net") * F.col("taken")).alias("sum"), F.col("net").alias("first"), F.col("net").alias("last"))
 
 
-def _longer(rows: DataFrame, one: DataFrame) -> DataFrame:
-    """Rows with one move more, of a larger net."""
+def _longer(rows: DataFrame, one: DataFrame, moves: int) -> DataFrame:
+    """Rows of ``moves`` moves: those of ``rows`` with one more, of a larger net.
+
+    Rows of three or more are halves of sets with at least one move less on the other side."""
+    beside = F.lit(0) if moves < 3 else (moves - 1) * F.greatest("least", F.lit(0))
     move = _salted(one, "moves").select(
         "vendor_code", "salt", F.col("moves").alias("next"), F.col("sum").alias("more"), F.col("last").alias("new"))
     joined = _each_salt(rows.withColumn("keep", F.col("salts"))).join(move, ["vendor_code", "salt"]).filter(
-        (F.col("new") > F.col("last")) & (F.col("sum") + F.col("more") <= F.col("largest")))
-    return joined.select("vendor_code", F.col("keep").alias("salts"), "largest", F.concat("moves", "next").alias("moves"),
+        (F.col("new") > F.col("last")) & (F.col("sum") + F.col("more") + beside <= F.col("largest")))
+    return joined.select("vendor_code", F.col("keep").alias("salts"), "largest", "least", F.concat("moves", "next").alias("moves"),
                          (F.col("sum") + F.col("more")).alias("sum"), "first", F.col("new").alias("last"))
 
 
-def _meet(amounts: DataFrame, lower: DataFrame, upper: DataFrame, missing: int) -> DataFrame:
-    """Hits of a lower half with an upper half of ``missing`` moves, by what the lower half leaves of the amount."""
-    possible = (F.col("last") < 0) | (missing * (F.col("last") + 1) <= F.col("amount_paise") - F.col("sum"))
-    half = _salted(lower, "moves").select("vendor_code", "salt", "moves", "sum", "last")
-    left = amounts.join(half, ["vendor_code", "salt"]).filter(possible).select(
-        "vendor_code", "amount_paise", "moves", "last", (F.col("amount_paise") - F.col("sum")).alias("sum"))
-    right = upper.select("vendor_code", "sum", F.col("moves").alias("rest"), "first")
-    return left.join(right, ["vendor_code", "sum"]).filter("first > last").select(
-        "vendor_code", "amount_paise", F.concat("moves", "rest").alias("moves"))
+def _halves(amounts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows as lower halves of each amount, with what they leave of it: at least as many moves of larger nets are missing."""
+    half = _salted(rows, "moves").select("vendor_code", "salt", "n", "moves", "sum", "last")
+    possible = (F.col("last") < 0) | (F.col("n") * (F.col("last") + 1) <= F.col("amount_paise") - F.col("sum"))
+    return amounts.join(half, ["vendor_code", "salt"]).filter(possible).select(
+        "vendor_code", "amount_paise", (F.col("amount_paise") - F.col("sum")).alias("sum"), F.col("n").alias("j"),
+        F.col("moves").alias("lower"), "last")
 
 
 def moves_of(targets: DataFrame, invoices: DataFrame, max_moves: int | None = None, salts: int | None = None) -> DataFrame:
@@ -104,28 +108,26 @@ def moves_of(targets: DataFrame, invoices: DataFrame, max_moves: int | None = No
     groups = _with_salts(_groups(wanted, invoices), salts)
     one = cut_lineage(_rows_of_one(groups))
     vendors = one.groupBy("vendor_code").agg(F.max("salts").alias("salts"))
-    amounts = cut_lineage(_each_salt(wanted.join(vendors, "vendor_code")))
-
-    def direct(rows: DataFrame) -> DataFrame:
-        return wanted.withColumnRenamed("amount_paise", "sum").join(rows, ["vendor_code", "sum"]).select(
-            "vendor_code", F.col("sum").alias("amount_paise"), "moves")
-
-    found = direct(one)
-    shorter, rows, n = one, one, 1
-    while max_moves is None or n < max_moves:
-        rows = cut_lineage(_longer(rows, one))
+    levels = [one.withColumn("n", F.lit(1))]
+    rows = one
+    while max_moves is None or 2 * len(levels) < max_moves or len(levels) < min(max_moves, 2):
+        rows = cut_lineage(_longer(rows, one, len(levels) + 1))
         if rows.isEmpty():
             break
-        n += 1
-        if n == 2:
-            found = found.unionByName(direct(rows))
-        for lower, moves in ((shorter, 2 * n - 1), (rows, 2 * n)):
-            if moves > 2 and (max_moves is None or moves <= max_moves):
-                found = found.unionByName(_meet(amounts, lower, rows, n))
-        if max_moves is not None and 2 * n >= max_moves:
-            break
-        shorter = rows
-    return found
+        levels.append(rows.withColumn("n", F.lit(len(levels) + 1)))
+    every = reduce(DataFrame.unionByName, levels)
+    amounts = _each_salt(wanted.join(vendors, "vendor_code"))
+    nothing = wanted.select("vendor_code", "amount_paise", F.col("amount_paise").alias("sum"), F.lit(0).alias("j"), F.expr(
+        "cast(array() AS array<struct<net:bigint,taken:bigint,size:bigint>>)").alias("lower"), F.lit(None).cast("bigint").alias("last"))
+    left = nothing.unionByName(_halves(amounts, every)) if len(levels) > 1 else nothing
+    upper = every.select("vendor_code", "sum", "n", "moves", "first")
+    # One and two moves are rows themselves; further on the upper half has as many moves as the lower one, or one more.
+    fits = F.when(F.col("j") == 0, F.col("n") <= 2).otherwise(
+        (F.col("first") > F.col("last")) & ((F.col("n") == F.col("j") + 1) | ((F.col("n") == F.col("j")) & (F.col("n") > 1))))
+    if max_moves is not None:
+        fits = fits & (F.col("n") + F.col("j") <= max_moves)
+    return left.join(upper, ["vendor_code", "sum"]).filter(fits).select(
+        "vendor_code", "amount_paise", F.concat("lower", "moves").alias("moves"))
 
 
 def _choices(hits: DataFrame, invoices: DataFrame, cap: int | None) -> DataFrame:
@@ -170,14 +172,30 @@ def _choices(hits: DataFrame, invoices: DataFrame, cap: int | None) -> DataFrame
     return out
 
 
+def _whole_groups(hits: DataFrame, invoices: DataFrame) -> DataFrame:
+    """The sets of hits that take each of their groups whole: all invoices with these nets."""
+    rows = invoices.select("vendor_code", F.col("net_paise").alias("net"), F.struct(
+        F.col("net_paise").alias("net"), F.col("invoice_number").alias("no"), F.col("document_date").alias("date"),
+        F.col("supplier_legal_name").alias("supplier")).alias("member"))
+    each = hits.select("vendor_code", "amount_paise", "moves", F.explode("moves.net").alias("net")).join(rows, ["vendor_code", "net"])
+    sets = each.groupBy("vendor_code", "amount_paise", "moves").agg(F.array_sort(F.collect_list("member")).alias("all"))
+    return sets.select("vendor_code", "amount_paise", F.transform("all", lambda m: F.struct(m["net"].alias("net"), m["no"].alias("no"))).alias("path"),
+                       F.col("all.date").alias("dates"), F.col("all")[0]["supplier"].alias("supplier"))
+
+
 def _members(hits: DataFrame, invoices: DataFrame, cap: int | None) -> DataFrame:
-    """All sets of the hits, their moves filled in one after the other."""
-    hits = cut_lineage(hits)
-    longest = hits.agg(F.max(F.size("moves"))).first()[0]
+    """All sets of the hits of one move or more."""
+    hits = cut_lineage(hits.withColumn("whole", F.forall("moves", lambda m: m["taken"] == m["size"])))
+    found = _whole_groups(hits.filter("whole"), invoices)
+    parts = hits.filter("NOT whole").drop("whole")
+    longest = parts.agg(F.max(F.size("moves"))).first()[0]
+    return found if longest is None else found.unionByName(_move_by_move(parts, invoices, cap, longest))
+
+
+def _move_by_move(hits: DataFrame, invoices: DataFrame, cap: int | None, longest: int) -> DataFrame:
+    """The sets of hits that choose from a group, their moves filled in one after the other."""
     state = hits.withColumns({"path": F.expr("cast(array() AS array<struct<net:bigint,no:string>>)"),
                               "dates": F.expr("cast(array() AS array<date>)"), "supplier": F.lit(None).cast("string")})
-    if longest is None:
-        return state.drop("moves")
 
     def key(vendor: Column, move: Column) -> Column:
         return F.concat_ws("|", vendor, move["net"].cast("string"), move["taken"].cast("string"))
@@ -206,13 +224,15 @@ def find_subsets(targets: DataFrame, invoices: DataFrame, max_size: int | None =
     ``max_size=None`` finds sets of any size. ``salts`` fixes the salts per vendor; by default they follow from the
     vendor's different nets.
     """
+    invoices = cut_lineage(invoices.select("vendor_code", "net_paise", "invoice_number", "document_date", "supplier_legal_name"))
     hits = moves_of(targets, invoices, max_size, salts)
     if max_size is not None:
         total = F.aggregate("moves", F.lit(0).cast("bigint"), lambda acc, m: acc + m["taken"])
         hits = hits.filter(total <= max_size)
-    nothing = targets.filter("amount_paise = 0").select("vendor_code", "amount_paise").distinct().withColumn(
-        "moves", F.expr(f"cast(array() AS {_MOVES})"))
-    found = _members(hits.unionByName(nothing), invoices, cap)
+    nothing = targets.filter("amount_paise = 0").select("vendor_code", "amount_paise").distinct().withColumns({
+        "path": F.expr("cast(array() AS array<struct<net:bigint,no:string>>)"), "dates": F.expr("cast(array() AS array<date>)"),
+        "supplier": F.lit(None).cast("string")})
+    found = _members(hits, invoices, cap).unionByName(nothing)
     return _shown(first_in_search_order(found, cap)) if cap else _shown(found)
 
 
