@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import rans
-from ledgerloom.llm.arrays import U64, chunks
+from ledgerloom.llm.arrays import chunks
 from ledgerloom.llm.shared import scratch
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
 PARTITION_BYTES = 32 << 20  # of ids, for one task that codes blocks
-CACHE_UNITS = 1_500_000  # of a worker; beyond it the cache starts anew
+CACHE_UNITS = 600_000  # of a worker; beyond it the cache starts anew
 _SPACE = 0x20
 _ODD_UNIT = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -49,7 +49,7 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.empty(0, dtype=U64)
+        self.places: dict[int, int] = {}
         self.start = np.empty(0, dtype=np.uint32)
         self.count = np.empty(0, dtype=np.int32)  # -1: not independent
         self.ids = np.empty(0, dtype=np.uint32)
@@ -86,18 +86,14 @@ class Units:
         size = np.maximum(count, 0)
         start = (len(self.ids) + np.cumsum(size) - size).astype(np.uint32)
         self.ids = np.concatenate([self.ids, new])
-        all_keys = np.concatenate([self.keys, keys])
-        order = np.argsort(all_keys, kind="stable")
-        self.keys = all_keys[order]
-        self.start = np.concatenate([self.start, start])[order]
-        self.count = np.concatenate([self.count, count.astype(np.int32)])[order]
+        self.places.update(zip(keys.tolist(), range(len(self.start), len(self.start) + len(keys))))
+        self.start = np.concatenate([self.start, start])
+        self.count = np.concatenate([self.count, count.astype(np.int32)])
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 where it is new."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
+        get = self.places.get
+        return np.fromiter((get(k, -1) for k in keys.tolist()), dtype=np.int64, count=len(keys))
 
 
 @lru_cache(maxsize=2)
@@ -144,7 +140,7 @@ def ids_of(texts, units: Units, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     unique, example, place = np.unique(keys, return_index=True, return_inverse=True)
     new = np.flatnonzero(units.look_up(unique) < 0)
     if len(new):
-        if len(units.keys) + len(new) > CACHE_UNITS:
+        if len(units.places) + len(new) > CACHE_UNITS:
             units.clear()
             new = np.arange(len(unique))
         raw = texts.data.tobytes()

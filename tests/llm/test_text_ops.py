@@ -256,3 +256,19 @@ def test_toxicity(spark, make):
     none = toxicity.score_documents(docs.limit(5), marks.limit(0)).collect()
     assert [r.score for r in none] == [0.0] * 5
     assert toxicity.score_documents(make([], DOCS), marks).collect() == []
+
+
+def test_long_regular_words_have_their_own_ids():
+    """Thue-Morse words and their complements in one batch: ids are the tokenizer's."""
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    one, other, texts = "a", "b", []
+    for _ in range(13):
+        one, other = one + other, other + one
+        if len(one) >= 1024:
+            texts += [one, other, f"x {one} {other}"]
+    units = tokenfile.Units(path)
+    ids, count = tokenfile.ids_of(Texts(pa.array(texts)), units, 2)
+    cut = np.concatenate([[0], np.cumsum(count)])
+    for i, text in enumerate(texts):
+        assert ids[cut[i]:cut[i + 1] - 1].tolist() == units.tokenizer.encode(text, add_special_tokens=False).ids
