@@ -24,27 +24,31 @@ STRUCTURED_FIELDS = {"pan": "IN_PAN", "gstin": "IN_GSTIN", "account_number": "BA
 COMBINED = r"(?iU)\b(?:" + "|".join(p for p, _, _ in ENTITIES.values()) + r")\b"
 
 
+# A hit has nine letters at least, so that so many hits with their gaps cover what is looked at on either side.
+_SHORTEST = 9
+
+
 def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``gaps`` (text pieces between candidate hits) and ``spans`` (the hits, in order).
 
-    A span is ``struct(start, value, entity)``; entity is NULL for a digit run without an account word
+    A span is ``struct(value, entity)``; entity is NULL for a digit run without an account word
     around it, which stays as it is. One pattern with the entities in score order finds all hits in one
-    pass over the whole text, so at equal starts the higher score wins.
+    pass over the whole text, so at equal starts the higher score wins. What is around a hit is put together from
+    the few hits and gaps beside it, so that the time follows the length of the text and the number of hits.
     """
+    back, ahead = LOOK_BACK // _SHORTEST + 1, LOOK_AHEAD // _SHORTEST + 1
+    before = (f"right(concat(array_join(transform(slice(__near, greatest(i - {back}, 0) + 1, least(i, {back})), q -> concat(q.tail, q.value)), ''),"
+              f" s.tail), {LOOK_BACK})")
+    after = (f"left(concat(s.head, array_join(transform(slice(__near, i + 2, {ahead}), q -> concat(q.value, q.head)), '')), {LOOK_AHEAD})")
     kinds = "CASE " + " ".join(
         f"WHEN s.value RLIKE r'(?i)\\A{p}\\z' THEN '{name}'" for name, (p, _, _) in ENTITIES.items() if name != "BANK_ACCOUNT"
-    ) + (" WHEN exists(array(" + ", ".join(f"'{w}'" for w in ACCOUNT_WORDS) + "), w -> contains(lower(substring("
-         f"{text}, greatest(s.start - {LOOK_BACK}, 0) + 1, s.start - greatest(s.start - {LOOK_BACK}, 0) + length(s.value) + {LOOK_AHEAD})), w))"
-         " THEN 'BANK_ACCOUNT' END")
-    walk = ("aggregate(transform(__hits, (m, i) -> named_struct('m', m, 'g', length(gaps[i]))), "
-            "named_struct('pos', 0, 'out', cast(array() AS array<struct<start:int,value:string>>)), "
-            "(a, x) -> named_struct('pos', a.pos + x.g + length(x.m), 'out', "
-            "array_append(a.out, named_struct('start', a.pos + x.g, 'value', x.m))), a -> a.out)")
+    ) + f" WHEN lower(concat({before}, s.value, {after})) RLIKE '{'|'.join(ACCOUNT_WORDS)}' THEN 'BANK_ACCOUNT' END"
+    near = (f"transform(__hits, (m, i) -> named_struct('value', m, 'tail', right(gaps[i], {LOOK_BACK}), 'head', left(gaps[i + 1], {LOOK_AHEAD})))")
     return (df.withColumn("__hits", F.regexp_extract_all(F.col(text), F.lit(COMBINED), 0))
             .withColumn("gaps", F.split(F.col(text), COMBINED))
-            .withColumn("__walk", F.expr(walk))
-            .withColumn("spans", F.expr(f"transform(__walk, s -> named_struct('start', s.start, 'value', s.value, 'entity', {kinds}))"))
-            .drop("__hits", "__walk"))
+            .withColumn("__near", F.expr(near))
+            .withColumn("spans", F.expr(f"transform(__near, (s, i) -> named_struct('value', s.value, 'entity', {kinds}))"))
+            .drop("__hits", "__near"))
 
 
 def _rebuilt(replacement: str) -> Column:
@@ -60,8 +64,14 @@ def masked_text() -> Column:
 
 def vault_entries() -> Column:
     """``array<struct(name, value)>``: what was masked, numbered per entity in text order."""
-    return F.expr("transform(filter(spans, s -> s.entity IS NOT NULL), (s, i) -> named_struct('name', concat(s.entity, '_', "
-                  "size(filter(slice(filter(spans, t -> t.entity IS NOT NULL), 1, i + 1), t -> t.entity = s.entity))), 'value', s.value))")
+    each = F.transform("spans", lambda s, i: F.struct(i.alias("i"), s["entity"].alias("entity"), s["value"].alias("value")))
+
+    def numbered(entity: str) -> Column:
+        return F.transform(F.filter(each, lambda s: s["entity"] == entity), lambda s, j: F.struct(
+            s["i"].alias("i"), F.concat_ws("_", s["entity"], (j + 1).cast("string")).alias("name"), s["value"].alias("value")))
+
+    by_entity = [numbered(entity) for entity in ENTITIES]
+    return F.transform(F.array_sort(F.concat(*by_entity)), lambda s: F.struct(s["name"].alias("name"), s["value"].alias("value")))
 
 
 def mask_document(body: Column) -> Column:
@@ -97,9 +107,9 @@ def document_findings(docs: DataFrame) -> DataFrame:
 
 
 def text_findings(spans: DataFrame) -> DataFrame:
-    """Found identifiers of texts with ``spans``, with their place ``i`` among the spans."""
+    """Found identifiers of texts with ``spans``, with their place ``i`` among the spans, which is their ``position`` too."""
     return spans.select("run_id", "doc_order", F.posexplode("spans").alias("i", "f")).filter("f.entity IS NOT NULL").select(
-        "run_id", "doc_order", "i", F.col("f.start").alias("position"), F.col("f.entity").alias("entity"), F.col("f.value").alias("value"))
+        "run_id", "doc_order", "i", F.col("i").alias("position"), F.col("f.entity").alias("entity"), F.col("f.value").alias("value"))
 
 
 def run_vault(findings: DataFrame, bucket: Column) -> DataFrame:

@@ -17,18 +17,36 @@ BANK_KEY = ("utr_number", "transaction_date", "amount_paise")
 PAGE_EVENT, BATCH_EVENT, EXTRACTED_EVENT = "batch.page.ingestion", "batch.processing.started", "invoice.extracted"
 
 
+# What a row of each feed has to satisfy.
+SETTLEMENT_RULE = ("length(payout_id) > 0 AND length(status) > 0 AND amount_paise >= 0 AND coalesce(fees_paise, 0) >= 0"
+                   " AND coalesce(tax_paise, 0) >= 0")
+BANK_RULE = ("transaction_date IS NOT NULL AND length(narration) > 0 AND transaction_type IN ('CREDIT', 'DEBIT')"
+             " AND amount_paise >= 0 AND coalesce(closing_balance_paise, 0) >= 0")
+BROKEN_RULE = "RULE"
+
+
 def valid_settlements(feed: DataFrame) -> DataFrame:
     """Rows of a settlement feed that satisfy the payload rules; defaults filled in."""
     filled = feed.withColumns({"currency": F.coalesce("currency", F.lit("INR")),
                                "fees_paise": F.coalesce("fees_paise", F.lit(0).cast("long")),
                                "tax_paise": F.coalesce("tax_paise", F.lit(0).cast("long"))})
-    return filled.filter("length(payout_id) > 0 AND length(status) > 0 AND amount_paise >= 0 AND fees_paise >= 0"
-                         " AND tax_paise >= 0")
+    return filled.filter(SETTLEMENT_RULE)
 
 
 def valid_bank(feed: DataFrame) -> DataFrame:
-    return feed.filter("transaction_date IS NOT NULL AND length(narration) > 0 AND transaction_type IN"
-                       " ('CREDIT', 'DEBIT') AND amount_paise >= 0 AND coalesce(closing_balance_paise, 0) >= 0")
+    return feed.filter(BANK_RULE)
+
+
+def checked(feed: DataFrame, rule: str) -> DataFrame:
+    """A parsed feed with ``problem`` also where a row breaks ``rule``."""
+    broken = ~F.coalesce(F.expr(rule), F.lit(False))
+    return feed.withColumn("problem", F.coalesce("problem", F.when(broken, BROKEN_RULE)))
+
+
+def feed_status(feed: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[Column], row_id: Column) -> DataFrame:
+    """Every row of a checked feed with ``ingest_status``: recorded, duplicate, or rejected where it has a ``problem``."""
+    good = ingest_status(feed.filter("problem IS NULL"), existing, keys, order, row_id)
+    return good.unionByName(feed.filter("problem IS NOT NULL").withColumn("ingest_status", F.lit("rejected")))
 
 
 def _flag_first(feed: DataFrame, keys: Sequence[str], order: Sequence[Column], row_id: Column) -> DataFrame:
@@ -72,9 +90,11 @@ def accepted(feed: DataFrame, existing: DataFrame, keys: Sequence[str], order: S
 
 
 def ingest_summary(statuses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Counts that add up: accepted + duplicates + rejected = total."""
+    status = F.col("ingest_status")
     return statuses.groupBy(*by).agg(
-        F.count_if(F.col("ingest_status") != "duplicate").alias("accepted"),
-        F.count_if(F.col("ingest_status") == "duplicate").alias("duplicates"), F.count(F.lit(1)).alias("total"))
+        F.count_if(~status.isin("duplicate", "rejected")).alias("accepted"), F.count_if(status == "duplicate").alias("duplicates"),
+        F.count_if(status == "rejected").alias("rejected"), F.count(F.lit(1)).alias("total"))
 
 
 def new_events(events: DataFrame, processed_keys: DataFrame, order: Sequence[Column],

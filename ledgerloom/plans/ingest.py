@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ingest
 from ledgerloom.plans.registry import query
+from ledgerloom.session import checkpoint_dir
+from ledgerloom.sources import files
 
 # Each feed is delivered once, and its rows with k % 7 = 0 a second time; every third key is already stored.
 _DELIVERED = "(SELECT *, 1 AS delivery FROM {t} UNION ALL SELECT *, 2 FROM {t} WHERE k % 7 = 0)"
@@ -50,7 +54,7 @@ def _(fx):
 
 
 @query("d11_ingest_summary", needs=["bank"], sql=f"""
-SELECT vendor_code, count(*) FILTER (fresh) AS accepted, count(*) FILTER (NOT fresh) AS duplicates, count(*) AS total
+SELECT vendor_code, count(*) FILTER (fresh) AS accepted, count(*) FILTER (NOT fresh) AS duplicates, 0::bigint AS rejected, count(*) AS total
 FROM (SELECT vendor_code, utr_number IS NULL OR (k % 3 <> 0 AND delivery = 1) AS fresh FROM {_DELIVERED.format(t='bank')})
 GROUP BY 1""")
 def _(fx):
@@ -59,6 +63,45 @@ def _(fx):
     return ingest.ingest_summary(status, ["vendor_code"])
 
 
+# The settlement feed as a file: some lines are no JSON, have a text for an amount, a negative amount, or an array of two.
+_FEED_ROWS = f"""
+fr AS (SELECT payout_id, CASE k % 20 WHEN 1 THEN 'MALFORMED' WHEN 2 THEN 'WRONG_TYPE' WHEN 3 THEN 'RULE' END AS problem, k, delivery
+  FROM {_DELIVERED.format(t='settle')}),
+fs AS (SELECT CASE WHEN problem = 'MALFORMED' THEN NULL ELSE payout_id END AS payout_id, problem, CASE WHEN problem IS NOT NULL THEN 'rejected'
+    WHEN k % 3 = 0 OR delivery = 2 THEN 'duplicate' ELSE 'recorded' END AS ingest_status FROM fr
+  UNION ALL SELECT '', 'RULE', 'rejected' FROM fr WHERE k % 20 = 4)"""
+
+
+def _feed_file(fx):
+    """The feed, written and read again: every element with its status."""
+    fields = ["payout_id", "fund_account_id", "amount_paise", "currency", "status", "utr", "reference_id", "narration", "fees_paise",
+              "tax_paise", "mode", "purpose", "vendor_code", "event_created_at_epoch"]
+    row = F.to_json(F.struct(*fields))
+    other = F.to_json(F.struct(*[F.lit("").alias("payout_id") if c == "payout_id" else F.col(c) for c in fields]))
+    kind = F.col("k") % 20
+    line = (F.when(kind == 1, F.concat(F.lit("{broken "), "payout_id"))
+            .when(kind == 2, F.regexp_replace(row, '"amount_paise":[0-9]+', '"amount_paise":"a lot"'))
+            .when(kind == 3, F.regexp_replace(row, '"amount_paise":', '"amount_paise":-'))
+            .when(kind == 4, F.concat(F.lit("["), row, F.lit(","), other, F.lit("]"))).otherwise(row))
+    path = f"{checkpoint_dir(fx.spark)}/feed-{uuid.uuid4().hex}"
+    _replayed(fx.settlements()).select(line.alias("value")).write.text(path)
+    feed = ingest.checked(files.read_settlements(fx.spark, path), ingest.SETTLEMENT_RULE).withColumn("place", F.monotonically_increasing_id())
+    stored = fx.settlements().filter("k % 3 = 0")
+    return ingest.feed_status(feed, stored, ingest.SETTLEMENT_KEY, [F.col("place")], F.col("place"))
+
+
+@query("a1_a11_feed_file", needs=["settle"], sql=_FEED_ROWS + " SELECT payout_id, problem, ingest_status FROM fs")
+def _(fx):
+    return _feed_file(fx).select("payout_id", "problem", "ingest_status")
+
+
+@query("d11_feed_totals", needs=["settle"], sql=_FEED_ROWS + """
+SELECT count(*) FILTER (ingest_status = 'recorded') AS accepted, count(*) FILTER (ingest_status = 'duplicate') AS duplicates,
+  count(*) FILTER (ingest_status = 'rejected') AS rejected, count(*) AS total FROM fs""")
+def _(fx):
+    return ingest.ingest_summary(_feed_file(fx))
+
+
 @query("c16_new_events", sql="""
 SELECT event_id, user_id FROM events WHERE event_id % 3 <> 0""")
 def _(fx):

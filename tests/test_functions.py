@@ -153,3 +153,33 @@ def test_document_gate(spark):
     df = spark.createDataFrame(rows, "size bigint, mime string, ext string, label string, conf double, anchor boolean")
     got = [r[0] for r in df.select(labels.document_gate(*[F.col(c) for c in df.columns])).collect()]
     assert got == ["FILE_TOO_LARGE", "UNSUPPORTED_FILE_TYPE", "INVALID_DOCUMENT_CLASSIFICATION", "INVALID_DOCUMENT_CLASSIFICATION", None]
+
+
+def test_spans_of_many_hits_take_time_in_proportion(spark):
+    """A text of very many hits, each of which is an account only by a word near it."""
+    import time
+
+    from ledgerloom.functions import pii
+
+    def seconds(n):
+        text = " ".join(f"account no {50100000000000 + i} x" if i % 2 else f"{'filler ' * 14}{70000000000 + i}" for i in range(n))
+        start = time.time()
+        row = pii.with_spans(spark.createDataFrame([(text,)], "text string")).select(
+            F.expr("size(spans)").alias("n"), F.expr("size(filter(spans, s -> s.entity = 'BANK_ACCOUNT'))").alias("accounts"),
+            F.length(pii.masked_text()).alias("length"), F.size(pii.vault_entries()).alias("entries")).first()
+        assert row.n == n and row.accounts == row.entries
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(40_000) < 60
+
+
+def test_words_beside_a_hit_are_found_across_other_hits(spark):
+    from ledgerloom.functions import pii
+    numbers = " ".join(str(700000000 + i) for i in range(20))
+    row = pii.with_spans(spark.createDataFrame([(f"account {numbers} bank",)], "text string")).first()
+    text = f"account {numbers} bank"
+    for i, s in enumerate(row.spans):
+        at = text.index(s.value)
+        around = text[max(at - 80, 0):at + len(s.value) + 30]
+        assert (s.entity == "BANK_ACCOUNT") == ("account" in around or "bank" in around), i

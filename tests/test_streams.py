@@ -110,6 +110,17 @@ def test_file_feeds_and_manifest(spark, folder):
     with open(f"{folder}/array.json", "w") as f:
         f.write('[{"utr_number": null, "amount_paise": 7}, {"utr_number": "u", "amount_paise": 8}]')
     assert files.read_feed_array(spark, f"{folder}/array.json", files.BANK_SCHEMA).count() == 2
+    with open(f"{folder}/bad.json", "w") as f:
+        f.write('[{"utr_number": "a",\n "amount_paise": 7}, {"utr_number": "}{,", "amount_paise": "x"},\n 5, {"amount_paise": 9}]')
+    bad = files.read_feed_array(spark, f"{folder}/bad.json", files.BANK_SCHEMA)
+    assert [(r.utr_number, r.amount_paise, r.problem) for r in bad.collect()] == [
+        ("a", 7, None), ("}{,", None, "WRONG_TYPE"), (None, None, "MALFORMED"), (None, 9, None)]
+    files.quarantine(bad, f"{folder}/quarantine")
+    assert sorted(r.raw for r in spark.read.parquet(f"{folder}/quarantine").collect()) == ['5', '{"amount_paise":"x","utr_number":"}{,"}']
+    with open(f"{folder}/lines.json", "w") as f:
+        f.write('{"payout_id": "p", "amount_paise": 1}\n\nnot json\n[{"payout_id": "q"}, {"payout_id": "r"}]\n"text"\n')
+    assert sorted((r.payout_id or "", r.problem or "") for r in files.read_settlements(spark, f"{folder}/lines.json").collect()) == [
+        ("", "MALFORMED"), ("", "MALFORMED"), ("p", ""), ("q", ""), ("r", "")]
     import os
     os.makedirs(f"{folder}/pages/b1")
     for i in (10, 2, 0):
