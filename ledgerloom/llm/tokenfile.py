@@ -33,7 +33,7 @@ from ledgerloom.llm.shared import scratch
 END_ID = 2
 BLOCK_IDS = 1 << 20
 PARTITION_BYTES = 32 << 20  # of ids, for one task that codes blocks
-CACHE_UNITS = 600_000  # of a worker; beyond it the cache starts anew
+CACHE_UNITS = 1_000_000  # of a worker; beyond it the cache starts anew
 _SPACE = 0x20
 _ODD_UNIT = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -55,37 +55,35 @@ class Units:
         self.ids = np.empty(0, dtype=np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without places of the tokens
+        return np.array(many([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
     def odd(self, unit: str) -> bool:
         return bool(_ODD_UNIT.search(unit)) or any(s in unit for s in self.special)
 
     def learn(self, keys: np.ndarray, units: list[str]) -> None:
         """Tokenize new units: words many at once with a newline between them, units of white space one by one."""
-        found: list[np.ndarray | None] = [None] * len(units)
-        words = []
-        for i, unit in enumerate(units):
-            if self.odd(unit):
+        ids: list[np.ndarray] = []
+        count = np.zeros(len(units), dtype=np.int64)
+        for at in range(0, len(units), 2000):
+            some = units[at:at + 2000]
+            odd = [self.odd(u) for u in some] if self.odd("\n".join(some)) else [False] * len(some)
+            words = [i for i, (u, o) in enumerate(zip(some, odd)) if not o and not u.isspace()]
+            found = self._whole("\n".join([some[i] for i in words])) if words else np.empty(0, dtype=np.uint32)
+            cut = np.flatnonzero(found == self.newline[0])
+            if len(words) == len(some) == len(cut) + 1 and len(self.newline) == 1:  # words alone, the usual case
+                count[at:at + len(some)] = np.diff(np.concatenate([[-1], cut, [len(found)]])) - 1
+                ids.append(np.delete(found, cut))
                 continue
-            if unit.isspace():
-                found[i] = self._whole(unit)
-            else:
-                words.append(i)
-        for at in range(0, len(words), 2000):
-            some = words[at:at + 2000]
-            ids = self._whole("\n".join(units[i] for i in some))
-            cut = np.flatnonzero(ids == self.newline[0])
-            if len(cut) != len(some) - 1 or len(self.newline) != 1:  # a vocabulary without a lone newline
-                for i in some:
-                    found[i] = self._whole(units[i])
-                continue
-            for i, a, b in zip(some, [0, *(cut + 1)], [*cut, len(ids)]):
-                found[i] = ids[a:b]
-        count = np.array([-1 if f is None else len(f) for f in found], dtype=np.int64)
-        new = np.concatenate([np.empty(0, np.uint32), *[f for f in found if f is not None]])
+            joined = len(words) == len(cut) + 1 and len(self.newline) == 1  # else a vocabulary without a lone newline
+            pieces = dict(zip(words, np.split(np.delete(found, cut), cut - np.arange(len(cut))))) if joined else {}
+            for i, unit in enumerate(some):
+                own = np.empty(0, dtype=np.uint32) if odd[i] else pieces[i] if i in pieces else self._whole(unit)
+                count[at + i] = -1 if odd[i] else len(own)
+                ids.append(own)
         size = np.maximum(count, 0)
         start = (len(self.ids) + np.cumsum(size) - size).astype(np.uint32)
-        self.ids = np.concatenate([self.ids, new])
+        self.ids = np.concatenate([self.ids, *ids])
         self.places.update(zip(keys.tolist(), range(len(self.start), len(self.start) + len(keys))))
         self.start = np.concatenate([self.start, start])
         self.count = np.concatenate([self.count, count.astype(np.int32)])
@@ -138,14 +136,17 @@ def ids_of(texts, units: Units, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     start, end, first = unit_spans(texts)
     keys = texts.hashes(start, end, lower=False)
     unique, example, place = np.unique(keys, return_index=True, return_inverse=True)
-    new = np.flatnonzero(units.look_up(unique) < 0)
+    known = units.look_up(unique)
+    new = np.flatnonzero(known < 0)
     if len(new):
         if len(units.places) + len(new) > CACHE_UNITS:
             units.clear()
             new = np.arange(len(unique))
         raw = texts.data.tobytes()
-        units.learn(unique[new], [raw[start[i]:end[i]].decode("utf-8", "replace") for i in example[new]])
-    at = units.look_up(unique)[place]
+        known[new] = np.arange(len(units.start), len(units.start) + len(new))
+        units.learn(unique[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(
+            start[example[new]].tolist(), end[example[new]].tolist())])
+    at = known[place]
     count = units.count[at].astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     odd = np.unique(doc[count < 0])
