@@ -23,6 +23,25 @@ REQUEST = ["vendor_code", "request_utr", "request_paise"]
 NAME_WORDS, WORDS = "__a", "__b"
 
 
+# Why a request isn't asked: a UTR nothing resolved for the invoice, or a target that isn't its own.
+UTR_NOT_RESOLVED, TARGET_DIFFERS = "UTR_NOT_RESOLVED", "TARGET_DIFFERS"
+
+
+def request_guard(requests: DataFrame) -> DataFrame:
+    """``guard_reason`` of requests somebody else made, NULL for one that may be asked.
+
+    A UTR must be the invoice's anchor or the one found by its supplier's name (``fuzzy_utr``, where there is that column); a
+    target must be the anchored amount or the expected net (``target_paise``).
+    """
+    known = [F.col(c) for c in ("anchor_utr", "fuzzy_utr") if c in requests.columns]
+    found = F.lit(False)
+    for utr in known:
+        found = found | F.coalesce((F.col("request_utr") == utr) & (utr != ""), F.lit(False))
+    own = F.coalesce(F.col("request_paise") == F.col("target_paise"), F.lit(False))
+    return requests.withColumn("guard_reason", F.when(F.col("request_utr").isNotNull() & ~found, UTR_NOT_RESOLVED).when(
+        F.col("request_paise").isNotNull() & ~own, TARGET_DIFFERS))
+
+
 def request_of(invoices: DataFrame) -> DataFrame:
     """The request an invoice makes: the anchored UTR, or else its target amount."""
     return invoices.withColumns({

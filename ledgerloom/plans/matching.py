@@ -139,6 +139,19 @@ def _(fx):
         "subset_status")
 
 
+@query("b17_request_guard", needs=["open_inv", "settle"], sql=_BEST + """,
+ask AS (SELECT o.*, b.utr AS anchor, coalesce(nullif(CASE WHEN b.utr IS NOT NULL THEN b.amount_paise END, 0), greatest(0, grand_total_paise - tds_deduction_paise)) AS target
+  FROM open_inv o LEFT JOIN best b ON b.vendor_code = o.vendor_code AND b.reference_id = o.invoice_number)
+SELECT document_id, CASE WHEN k % 5 = 1 THEN 'UTR_NOT_RESOLVED' 
+  WHEN k % 5 = 3 AND k % 2 = 1 THEN 'TARGET_DIFFERS' END AS guard_reason FROM ask""")
+def _(fx):
+    """Requests for an invented UTR, the anchor, another amount by one paisa, the own amount, or nothing."""
+    asked = reads.with_anchor(_pool(fx), fx.settlements(named=True)).withColumns({
+        "request_utr": F.expr("CASE k % 5 WHEN 1 THEN concat('X', k) WHEN 2 THEN anchor_utr END"),
+        "request_paise": F.expr("CASE WHEN k % 5 = 3 THEN target_paise + k % 2 WHEN k % 5 = 4 THEN target_paise END")})
+    return matching.request_guard(asked).select("document_id", "guard_reason")
+
+
 _FUZZY = f"""
 narrated AS (SELECT * FROM settle WHERE utr IS NOT NULL AND narration <> ''),
 fp AS (SELECT DISTINCT o.vendor_code, o.supplier_legal_name, t.payout_id, t.utr, t.amount_paise, t.ingested_epoch, t.narration

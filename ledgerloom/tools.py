@@ -15,13 +15,24 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.deductions import with_waterfall as deduct
 from ledgerloom.operators.exceptions import exception_events
 from ledgerloom.operators.linking import fuzzy_verdict as link_names
-from ledgerloom.operators.matching import MATCHED, fast_path, match_requests as match, resolve_exceptions
+from ledgerloom.operators.matching import MATCHED, fast_path, match_requests, request_guard, resolve_exceptions
 from ledgerloom.operators.posting import completed_events, post_matches
 from ledgerloom.scale import cut_lineage, first_per_key
 
 __all__ = ["link_names", "deduct", "match", "post", "route", "reconcile_snapshot"]
 
 
+REFUSED = "PREREQUISITE_FAILED"  # status of a request that may not be asked
+
+
+def match(requests: DataFrame, credits: DataFrame, invoices: DataFrame, **options) -> DataFrame:
+    """Verdicts of requests with anchor_utr and target_paise; those that fail :func:`request_guard` are refused unasked."""
+    guarded = request_guard(requests)
+    asked = match_requests(guarded.filter("guard_reason IS NULL"), credits, invoices, **options)
+    refused = guarded.filter("guard_reason IS NOT NULL").withColumn("subset_status", F.lit(REFUSED))
+    return asked.unionByName(refused, allowMissingColumns=True)
+
+
 def post(proofs: DataFrame, invoices: DataFrame, reconciliations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reconciliations, completed events, statuses) for proofs, whole or not at all."""
     posted, statuses = post_matches(proofs, invoices, reconciliations, F.col("proof_id"))

@@ -256,3 +256,16 @@ def test_labels_jump_along_long_paths(spark):
     edges = [(f"n{i:03}", f"h{i}") for i in range(60)] + [(f"n{i + 1:03}", f"h{i}") for i in range(60)]
     got = {r.component for r in connected(spark.createDataFrame(edges, "node string, hub string")).collect()}
     assert got == {"n000"}
+
+
+def test_requests_nobody_may_make_are_refused(spark):
+    from ledgerloom.tools import match
+    rows = [("a", "V", "INV-0001", "u1", None, "u1", None, 500), ("b", "V", "INV-0001", "u9", None, "u1", None, 500),
+            ("c", "V", "INV-0001", "u1", None, None, "u1", 500), ("d", "V", "INV-0001", None, 500, None, None, 500),
+            ("e", "V", "INV-0001", None, 501, None, None, 500), ("f", "V", "INV-0001", "", None, "", "", 500)]
+    requests = spark.createDataFrame(rows, "document_id string, vendor_code string, invoice_number string, request_utr string,"
+                                     " request_paise bigint, anchor_utr string, fuzzy_utr string, target_paise bigint")
+    got = match(requests, spark.createDataFrame([credit(1, 500), credit(9, 500)], CREDITS), spark.createDataFrame([invoice(1, 500)], POOL))
+    assert {r.document_id: (r.subset_status, r.guard_reason) for r in got.collect()} == {
+        "a": ("SUBSET_MATCHED", None), "b": ("PREREQUISITE_FAILED", "UTR_NOT_RESOLVED"), "c": ("SUBSET_MATCHED", None),
+        "d": ("AMBIGUOUS_COLLISION", None), "e": ("PREREQUISITE_FAILED", "TARGET_DIFFERS"), "f": ("PREREQUISITE_FAILED", "UTR_NOT_RESOLVED")}
