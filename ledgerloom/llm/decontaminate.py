@@ -186,8 +186,8 @@ def _by_alignment() -> Column:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found; rows are told apart by doc_id and text."""
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    found = leaks(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark).select(
-        F.col("doc_id").alias("__row")).distinct()
+    rows = docs.select(F.struct("*").alias("own"), F.xxhash64("doc_id", "text").alias("row"))
+    found = leaks(rows.select(F.col("row").alias("doc_id"), F.col("own.text").alias("text")), benchmark).select(
+        F.col("doc_id").alias("row")).distinct()
     found = stored(found, "leaking")
-    return rows.join(if_small(found, found.count()), "__row", "left_anti").drop("__row")
+    return rows.join(if_small(found, found.count()), "row", "left_anti").select("own.*")

@@ -141,7 +141,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT)
     counted = counted.filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
                                                   F.col("size").alias("__size"), F.col("copies").alias("__copies"))
     counted = stored(counted, "copies")
-    rows = docs.withColumn("__words", word_count(F.col("text")))
-    return (rows.join(if_small(counted, counted.count(), 500_000), rows.doc_id.eqNullSafe(counted["__id"])
-                      & rows.source.eqNullSafe(counted["__source"]) & (rows["__words"] == counted["__size"]))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns))
+    # The caller's columns travel as one, so that no name of theirs meets one of ours.
+    rows = docs.select(F.struct("*").alias("own"), word_count(F.col("text")).alias("words"))
+    return (rows.join(if_small(counted, counted.count(), 500_000), F.col("own.doc_id").eqNullSafe(F.col("__id"))
+                      & F.col("own.source").eqNullSafe(F.col("__source")) & (F.col("words") == F.col("__size")))
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("own.*"))
