@@ -143,8 +143,14 @@ t AS (SELECT user_id::varchar AS batch_id, ts, CASE WHEN ts - lag(ts) OVER (PART
 s AS (SELECT *, sum(new) OVER (PARTITION BY batch_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS g FROM t)
 SELECT batch_id, count(*) AS events, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, epoch_us(max(ts)) + 7200000000 AS expires_us FROM s GROUP BY batch_id, g""")
 def _(fx):
-    e = fx.table("events").selectExpr("cast(user_id AS string) AS batch_id", "cast(ts AS timestamp) AS ts")
-    return jobs.live_log(e).select("batch_id", "events", F.unix_micros("first_ts").alias("first_us"),
+    """The sessions as a stream writes them once they are over; a clock goes on after the last event, so that all are."""
+    last = fx.table("events").agg(F.max("event_id")).first()[0]
+    own = F.struct(F.col("user_id").cast("string").alias("batch_id"), F.col("ts").cast("timestamp").alias("ts"))
+    clock = F.struct(F.lit("clock").alias("batch_id"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts"))
+    e = StreamFixtures(fx, "events").table("events").select(F.explode(F.array_compact(F.array(
+        own, F.when(F.col("event_id") == last, clock)))).alias("e")).select("e.*")
+    fx.spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    return _to_table(fx, jobs.live_log(e)).filter("batch_id <> 'clock'").select("batch_id", "events", F.unix_micros("first_ts").alias("first_us"),
                                    F.unix_micros("last_ts").alias("last_us"), F.unix_micros("expires").alias("expires_us"))
 
 
@@ -172,7 +178,8 @@ FROM items LEFT JOIN recs USING (k) GROUP BY 1""")
 def _(fx):
     orders = StreamFixtures(fx, "orders")
     recs = fx.reconciliations().select("k", "utr_number", "net_settled_amount_paise")
-    stream = orders.invoices().withColumn("batch_id", fx._batch_id()).join(recs, "k", "left")
+    stream = orders.invoices().withColumn("batch_id", fx._batch_id()).join(recs, "k", "left").withColumn(
+        "event_time", F.col("document_date").cast("timestamp"))
 
     def keep(root):
         return lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")

@@ -203,11 +203,56 @@ def live_log(events: DataFrame, watermark: str = LIVE_LOG) -> DataFrame:
         "batch_id", "events", "first_ts", "last_ts", F.col("w.end").alias("expires"))
 
 
-def live_kpis(outcomes: DataFrame) -> DataFrame:
-    """Running counts and money per batch, for update mode."""
-    return outcomes.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("utr_number").isNotNull()).alias("settled"),
-        F.coalesce(F.sum("net_settled_amount_paise"), F.lit(0).cast("long")).alias("cleared_paise"))
+def partial_kpis(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums per batch within an Arrow chunk, so that a very large batch crosses the shuffle as few rows."""
+    for chunk in chunks:
+        if len(chunk):
+            yield chunk.assign(settled=chunk["utr_number"].notna().astype("int64"), paise=chunk["net_settled_amount_paise"].fillna(0).astype("int64")).groupby(
+                "batch_id", as_index=False).agg(total=("settled", "size"), settled=("settled", "sum"), cleared_paise=("paise", "sum"),
+                                                event_time=("event_time", "max"))
+
+
+class KpiProcessor(StatefulProcessor):
+    """Running counts and money of a batch. The numbers are dropped ``forget_ms`` after the batch's last outcome."""
+
+    forget_ms = FORGET_SECONDS * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("kpis", "total bigint, settled bigint, cleared_paise bigint, last_ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = list(self.state.get()) if self.state.exists() else [0, 0, 0, 0]
+        for chunk in rows:
+            for i, name in enumerate(("total", "settled", "cleared_paise")):
+                now[i] += int(chunk[name].sum())
+            now[3] = max(now[3], int(chunk["event_time"].max().timestamp() * 1000))
+        self.state.update(tuple(now))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        self.handle.registerTimer(now[3] + self.forget_ms)
+        yield pd.DataFrame({"batch_id": [key[0]], "total": [now[0]], "settled": [now[1]], "cleared_paise": [now[2]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"batch_id": [], "total": [], "settled": [], "cleared_paise": []}).astype({
+            "batch_id": "str", "total": "int64", "settled": "int64", "cleared_paise": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def live_kpis(outcomes: DataFrame, watermark: str = "30 days") -> DataFrame:
+    """Running counts and money per batch, for update mode: a row for each batch that something came for.
+
+    ``outcomes``: batch_id, utr_number, net_settled_amount_paise, event_time. State is a few numbers a batch; it is dropped a
+    week after the batch's last outcome, once the watermark has passed that.
+    """
+    schema = "batch_id string, total bigint, settled bigint, cleared_paise bigint"
+    parts = outcomes.select("batch_id", "utr_number", "net_settled_amount_paise", "event_time").mapInPandas(
+        partial_kpis, schema + ", event_time timestamp")
+    return parts.withWatermark("event_time", watermark).groupBy("batch_id").transformWithStateInPandas(
+        KpiProcessor(), schema, "update", "eventTime")
 
 
 def run_lifecycle(transitions: DataFrame) -> DataFrame:
