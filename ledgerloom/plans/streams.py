@@ -11,7 +11,7 @@ from ledgerloom.functions import envelopes
 from ledgerloom.operators import posting, reads, reports
 from ledgerloom.plans.registry import query
 from ledgerloom.session import STREAMING_CONF, checkpoint_dir
-from ledgerloom.sources.events import extracted_events, open_envelopes
+from ledgerloom.sources.events import extracted_events, open_envelopes, page_events
 from ledgerloom.sources.fixtures import Fixtures
 from ledgerloom.streaming import jobs
 from ledgerloom.streaming.keystore import read_committed
@@ -138,6 +138,38 @@ def _(fx):
     return _to_table(fx, open_envelopes(e, envelopes.EXTRACTED_SCHEMA).select("malformed")).groupBy("malformed").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("i6_i7_a4_a5_b12_b13_page_flow", needs=["items"], sql="""
+t AS (SELECT k, row_number AS page_index, CASE WHEN k % 11 = 0 AND k % 10 <> 0 THEN 'no-' || batch_id ELSE batch_id END AS batch_id,
+  CASE WHEN k % 29 = 0 THEN 'malformed' WHEN k % 23 = 0 THEN 'ignored' WHEN k % 10 = 0 THEN 'skipped' WHEN k % 11 = 0 THEN 'batch_not_found'
+    WHEN k % 13 = 0 THEN 'tenant_mismatch' WHEN k % 17 = 0 THEN 'file_not_found' WHEN k % 19 = 0 THEN 'image_decode_failed' ELSE 'process' END AS outcome FROM items)
+SELECT outcome, batch_id, page_index FROM t WHERE outcome NOT IN ('malformed', 'ignored', 'skipped')
+UNION ALL SELECT outcome, CASE WHEN outcome = 'ignored' THEN batch_id END, NULL FROM t, range(2) WHERE outcome IN ('malformed', 'ignored')""")
+def _(fx):
+    """Page events, each delivered twice: some texts are broken, some of another type, some fail a check."""
+    orders, items = StreamFixtures(fx, "orders"), fx.items()
+    pages = orders.invoices().withColumn("own_batch", fx._batch_id()).join(items.select("k", "row_number"), "k").selectExpr(
+        "k", "CASE WHEN k % 11 = 0 AND k % 10 <> 0 THEN concat('no-', own_batch) ELSE own_batch END AS batch_id",
+        "CASE WHEN k % 13 = 0 THEN 'VEND_OTHER' ELSE vendor_code END AS vendor_code", "'scan' AS source_type", "row_number AS page_index",
+        "concat('/pages/', k) AS file_path", "k AS file_size", "concat(own_batch, ':', row_number) AS partition_key",
+        "CASE WHEN k % 3 <> 0 THEN concat('evt_outbox_', k) END AS event_id")
+    events = page_events(pages).withColumn("k", F.get_json_object("value", "$.data.file_size").cast("bigint")).selectExpr(
+        "CASE WHEN k % 29 = 0 THEN concat('{broken', k) WHEN k % 23 = 0 THEN replace(value, 'batch.page.ingestion', 'batch.other') ELSE value END AS value")
+    manifest = fx.invoices().filter("k % 17 <> 0").selectExpr("concat('/pages/', k) AS file_path", "k % 19 <> 0 AS readable")
+    out = _through(fx, events.withColumn("value", F.explode(F.array("value", "value"))),
+                   lambda root: jobs.page_sink(root, fx.batches(), items.filter("k % 10 = 0"), manifest))
+
+    def read(name, schema):
+        return read_committed(fx.spark, out, name, schema)
+
+    part = lambda path: F.get_json_object("value", path)
+    none = F.lit(None).cast("bigint").alias("page_index")
+    return (read("pages", "batch_id string, page_index bigint").select(F.lit("process").alias("outcome"), "batch_id", "page_index")
+            .unionByName(read("poison", "value string").select(part("$.data.error_type").alias("outcome"), part("$.data.batch_id").alias("batch_id"),
+                                                               part("$.data.page_index").cast("bigint").alias("page_index")))
+            .unionByName(read("quarantine", "value string").select(F.lit("malformed").alias("outcome"), F.lit(None).cast("string").alias("batch_id"), none))
+            .unionByName(read("other", "value string, route string").select(F.col("route").alias("outcome"), part("$.data.batch_id").alias("batch_id"), none)))
+
+
 @query("i8_live_log_sessions", sql="""
 t AS (SELECT user_id::varchar AS batch_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY batch_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS g FROM t)

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ledgerloom.operators import exceptions, posting
-from ledgerloom.sources.events import poison_events
+from ledgerloom.functions import envelopes
+from ledgerloom.operators import exceptions, ingest, posting
+from ledgerloom.scale import first_per_key
+from ledgerloom.sources.events import open_envelopes, poison_events, split_malformed
 from ledgerloom.streaming.keystore import KeyStore
 
 # Grace for late members of a batch, life of the live log after its last event, age of a stale run.
@@ -188,6 +190,36 @@ def triage_sink(root: str, triage: Callable[[DataFrame], DataFrame]) -> Callable
     return run
 
 
+def page_sink(root: str, batches: DataFrame, items: DataFrame, manifest: DataFrame) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body for the page topic, one parse for all: pages to extract, poison events, quarantine, other events.
+
+    Texts that are no envelope go to the quarantine as they came, events of other types are passed on with their route. A page
+    event that was handled before, in this epoch or an earlier one, isn't judged again; one without an id is known by its batch
+    and page. ``batches``, ``items`` and ``manifest`` are tables, read as they are when the epoch runs.
+    """
+    def run(events: DataFrame, epoch: int) -> None:
+        store = KeyStore(events.sparkSession, root)
+        if store.is_committed(epoch):
+            return
+        opened = open_envelopes(events.select("value"), envelopes.PAGE_SCHEMA).persist()
+        good, broken = split_malformed(opened)
+        own = F.coalesce(F.nullif(F.col("e.id"), F.lit("")), F.concat_ws(":", "e.data.batch_id", F.col("e.data.page_index").cast("string")))
+        routed = ingest.route_events(good.select("value", own.alias("event_id"), F.col("e.type").alias("type"), "e.data.*"))
+        pages = routed.filter("route = 'page'").drop("route")
+        seen = store.seen(pages.select("event_id")).persist()
+        fresh = first_per_key(pages, ["event_id"], [F.asc("value")]).join(seen, "event_id", "left_anti")
+        judged = ingest.triage_pages(fresh, batches, items, manifest).persist()
+        _write(judged.filter("outcome = 'process'").drop("outcome", "value"), f"{root}/pages", epoch)
+        poison = judged.filter("outcome NOT IN ('process', 'skipped')").withColumn("error_type", F.col("outcome"))
+        _write(poison_events(poison), f"{root}/poison", epoch)
+        _write(broken.select("value"), f"{root}/quarantine", epoch)
+        _write(routed.filter("route <> 'page'").select("value", "type", "route"), f"{root}/other", epoch)
+        store.commit(epoch, judged.select("event_id"))
+        for df in (judged, seen, opened):
+            df.unpersist()
+    return run
+
+
 def failed_pages(poison: DataFrame) -> DataFrame:
     """Failed count per batch over distinct (batch, page), so a redelivered poison event counts once."""
     body = poison.select(F.get_json_object("value", "$.data.batch_id").alias("batch_id"),

@@ -196,3 +196,23 @@ def test_files_of_an_epoch_do_not_grow_with_history(spark, folder):
     asked = spark.createDataFrame([("k0-0",), ("k11-19",), ("k5-7",), ("new",), ("k12-0",)], "event_id string")
     assert sorted(r[0] for r in store.seen(asked).collect()) == ["k0-0", "k11-19", "k5-7"]
     assert store.spark.read.parquet(f"{folder}/manifest").count() == keystore.SLOTS
+
+
+def test_kpis_go_on_over_batches_and_are_dropped_at_last(spark, folder):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "batch_id string, utr_number string, net_settled_amount_paise bigint, event_time timestamp"
+
+    def deliver(rows, n):
+        drop(spark.createDataFrame([(b, u, p, T0 + dt.timedelta(days=d)) for b, u, p, d in rows], schema), folder, n)
+        jobs.live_kpis(stream(spark, folder, schema)).writeStream.outputMode("update").foreachBatch(
+            lambda df, epoch: df.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")).option(
+            "checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+        seen = spark.read.parquet(f"{folder}/out")
+        newest = seen.groupBy("batch_id").agg(F.max_by(F.struct("total", "settled", "cleared_paise"), "epoch").alias("s"))
+        return {r.batch_id: tuple(r.s) for r in newest.collect()}
+
+    assert deliver([("b", "u1", 5, 0), ("b", None, None, 1)], 1) == {"b": (2, 1, 5)}
+    assert deliver([("b", "u2", 7, 2)], 2) == {"b": (3, 2, 12)}
+    assert deliver([("c", "u3", 1, 60)], 3)["c"] == (1, 1, 1)  # the watermark passes the life of b
+    assert deliver([("b", "u4", 9, 61)], 4)["b"] == (1, 1, 9)
