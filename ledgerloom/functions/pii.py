@@ -46,7 +46,7 @@ def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
     near = (f"transform(__hits, (m, i) -> named_struct('value', m, 'tail', right(gaps[i], {LOOK_BACK}), 'head', left(gaps[i + 1], {LOOK_AHEAD})))")
     return (df.withColumn("__hits", F.regexp_extract_all(F.col(text), F.lit(COMBINED), 0))
             .withColumn("gaps", F.split(F.col(text), COMBINED))
-            .withColumn("__near", F.expr(near))
+            .withColumn("__near", F.explode(F.array(F.expr(near))))  # filters aren't pushed below a generator, so hits are found once
             .withColumn("spans", F.expr(f"transform(__near, (s, i) -> named_struct('value', s.value, 'entity', {kinds}))"))
             .drop("__hits", "__near"))
 
