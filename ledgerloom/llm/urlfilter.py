@@ -6,6 +6,7 @@ host without its first label). Personalised PageRank spreads trust along the lin
 distrust against the links from hosts with blocked pages. A host is blocked if distrust is above ``limit`` percent of both.
 
 Masses are whole numbers (``UNITS`` in all) and each share is rounded down, so that the sums don't depend on their order.
+The walks go on until they have settled, however long the chains of links are.
 Pages are counted for each host before anything is joined, so that a host with a third of all pages is one row.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; a null html has no
@@ -21,7 +22,8 @@ from ledgerloom.llm.shared import if_small, stored
 
 UNITS = 1_000_000_000_000
 DAMPING = 0.85
-ROUNDS = 8
+EXACT = 10_000  # the walks end when no mass grows by more than one part in so many
+AT_ONCE = 4  # rounds between two written tables
 LIMIT = 50
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,32 +70,53 @@ def _domain_links(hosts: DataFrame) -> DataFrame:
     return up.union(up.select("dst", "src")).withColumn("weight", F.lit(1).cast("long"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust after ``rounds`` of both walks. ``seeds``: host, good, bad (numbers of pages)."""
+def propagate(edges: DataFrame, seeds: DataFrame, exact: int = EXACT) -> DataFrame:
+    """host, trust, distrust: what both walks come to. ``seeds``: host, good, bad (numbers of pages).
+
+    The walks start from nothing, so that no mass ever shrinks; they go on until no host is new and no mass grows by
+    more than one part in ``exact`` of itself in a round. Both walks of a round are one join: a row of ``moves`` takes
+    trust along a link and distrust against it.
+    """
     total = seeds.agg(F.sum("good"), F.sum("bad")).first()
-    start = stored(seeds.select(
-        "host", (F.floor(F.lit(float(UNITS)) * F.col("good") / F.lit(max(total[0] or 0, 1)))).cast("long").alias("good"),
-        (F.floor(F.lit(float(UNITS)) * F.col("bad") / F.lit(max(total[1] or 0, 1)))).cast("long").alias("bad")), "seeds")
+
+    def given(pages: str, all_pages: int | None) -> Column:
+        whole = F.floor(F.lit(float(UNITS)) * F.col(pages) / F.lit(max(all_pages or 0, 1)))
+        return F.floor(whole * (1 - DAMPING)).cast("long")
+
+    start = stored(seeds.select("host", given("good", total[0]).alias("trust"), given("bad", total[1]).alias("distrust")), "seeds")
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("into"))
-    edges = stored(edges.join(out, "src").join(into, "dst"), "edges")
-    first = start.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    back = start.select("host", F.floor(F.col("good") * (1 - DAMPING)).cast("long").alias("trust"),
-                        F.floor(F.col("bad") * (1 - DAMPING)).cast("long").alias("distrust"))
-    rank = first
-    for i in range(rounds):
-        part = lambda mass, of: F.floor(F.col(mass) * (F.lit(DAMPING) * F.col("weight") / F.col(of))).cast("long")
-        ahead = edges.join(rank.select(F.col("host").alias("src"), "trust"), "src").select(
-            F.col("dst").alias("host"), part("trust", "out").alias("trust"), F.lit(0).cast("long").alias("distrust"))
-        against = edges.join(rank.select(F.col("host").alias("dst"), "distrust"), "dst").select(
-            F.col("src").alias("host"), F.lit(0).cast("long").alias("trust"), part("distrust", "into").alias("distrust"))
-        rank = back.union(ahead).union(against).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if i % 2 or i == rounds - 1:
-            rank = stored(rank, "rank")
-    return rank
-
-
-def judge(pages: DataFrame, rules: DataFrame, rounds: int = ROUNDS, limit: int = LIMIT) -> DataFrame:
+    shares = edges.join(out, "src").join(into, "dst")
+    share = lambda of: F.lit(DAMPING) * F.col("weight") / F.col(of)
+    none = F.lit(0.0)
+    moves = stored(
+        shares.select("src", "dst", share("out").alias("ahead"), none.alias("against"))
+        .union(shares.select("dst", "src", none, share("into")))
+        .groupBy("src", "dst").agg(F.max("ahead").alias("ahead"), F.max("against").alias("against")), "moves")
+    n_hosts = moves.select("dst").distinct().count() + start.count()
+
+    def onward(rank: DataFrame) -> DataFrame:
+        moved = moves.join(if_small(rank.withColumnRenamed("host", "src"), n_hosts), "src").select(
+            F.col("dst").alias("host"), F.floor(F.col("trust") * F.col("ahead")).cast("long").alias("trust"),
+            F.floor(F.col("distrust") * F.col("against")).cast("long").alias("distrust"))
+        return start.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+
+    rank = start
+    while True:
+        before = rank
+        for _ in range(AT_ONCE - 1):
+            before = onward(before)
+        # the last round and what it started from are compared, so both are written as one table
+        last = onward(before)
+        both = stored(last.join(before.select("host", F.col("trust").alias("old_trust"), F.col("distrust").alias("old_distrust")),
+                                "host", "left"), "rank")
+        grows = lambda mass: (F.col(mass) - F.coalesce(f"old_{mass}", F.lit(0))) * exact > F.col(mass)
+        rank = both.select("host", "trust", "distrust")
+        if both.filter(grows("trust") | grows("distrust")).isEmpty():
+            return rank
+
+
+def judge(pages: DataFrame, rules: DataFrame, exact: int = EXACT, limit: int = LIMIT) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust, for each row of ``pages`` (page_id, url, html)."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     rules = rules.withColumn("rule", F.concat(F.lower("host"), "path"))
@@ -106,7 +129,7 @@ def judge(pages: DataFrame, rules: DataFrame, rounds: int = ROUNDS, limit: int =
     seeds = decided.filter("by_rule is not null").groupBy("host").agg(
         F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad"))
     edges = links(rows).union(_domain_links(hosts)).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    rank = propagate(edges, seeds, rounds)
+    rank = propagate(edges, seeds, exact)
     scores = hosts.select("host").join(rank, "host", "left").select(
         "host", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))
     bad = F.col("distrust") * (100 - limit) > F.col("trust") * limit
