@@ -24,6 +24,7 @@ UNITS = 1_000_000_000_000
 DAMPING = 0.85
 EXACT = 10_000  # the walks end when no mass grows by more than one part in so many
 AT_ONCE = 4  # rounds between two written tables
+TASK_ROWS = 1_000_000  # hosts or links for a task of a round at least; larger graphs have as many tasks more
 LIMIT = 50
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,29 +78,33 @@ def propagate(edges: DataFrame, seeds: DataFrame, exact: int = EXACT) -> DataFra
     more than one part in ``exact`` of itself in a round. Both walks of a round are one join: a row of ``moves`` takes
     trust along a link and distrust against it.
     """
-    total = seeds.agg(F.sum("good"), F.sum("bad")).first()
+    total = seeds.agg(F.sum("good"), F.sum("bad"), F.count(F.lit(1))).first()
 
     def given(pages: str, all_pages: int | None) -> Column:
         whole = F.floor(F.lit(float(UNITS)) * F.col(pages) / F.lit(max(all_pages or 0, 1)))
         return F.floor(whole * (1 - DAMPING)).cast("long")
 
-    start = stored(seeds.select("host", given("good", total[0]).alias("trust"), given("bad", total[1]).alias("distrust")), "seeds")
+    start = seeds.select("host", given("good", total[0]).alias("trust"), given("bad", total[1]).alias("distrust"))
+    start = stored(start.coalesce(1 + total[2] // TASK_ROWS), "seeds")
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("into"))
     shares = edges.join(out, "src").join(into, "dst")
     share = lambda of: F.lit(DAMPING) * F.col("weight") / F.col(of)
     none = F.lit(0.0)
+    n_links = edges.count()
     moves = stored(
         shares.select("src", "dst", share("out").alias("ahead"), none.alias("against"))
         .union(shares.select("dst", "src", none, share("into")))
-        .groupBy("src", "dst").agg(F.max("ahead").alias("ahead"), F.max("against").alias("against")), "moves")
+        .groupBy("src", "dst").agg(F.max("ahead").alias("ahead"), F.max("against").alias("against"))
+        .coalesce(1 + n_links // TASK_ROWS), "moves")
     n_hosts = moves.select("dst").distinct().count() + start.count()
 
     def onward(rank: DataFrame) -> DataFrame:
         moved = moves.join(if_small(rank.withColumnRenamed("host", "src"), n_hosts), "src").select(
             F.col("dst").alias("host"), F.floor(F.col("trust") * F.col("ahead")).cast("long").alias("trust"),
             F.floor(F.col("distrust") * F.col("against")).cast("long").alias("distrust"))
-        return start.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        return (start.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+                .coalesce(1 + n_hosts // TASK_ROWS))
 
     rank = start
     while True:
@@ -128,7 +133,7 @@ def judge(pages: DataFrame, rules: DataFrame, exact: int = EXACT, limit: int = L
                .select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.col("won.verdict").alias("by_rule")))
     seeds = decided.filter("by_rule is not null").groupBy("host").agg(
         F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad"))
-    edges = links(rows).union(_domain_links(hosts)).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    edges = stored(links(rows).union(_domain_links(hosts)).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
     rank = propagate(edges, seeds, exact)
     scores = hosts.select("host").join(rank, "host", "left").select(
         "host", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))
