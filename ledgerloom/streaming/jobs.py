@@ -19,6 +19,7 @@ from ledgerloom.streaming.keystore import KeyStore
 GRACE_SECONDS = 30
 FORGET_SECONDS = 7 * 86400  # how long late members of a sealed batch are still known as late
 LIVE_LOG = "2 hours"
+STATE_BUCKETS = 512  # of the state of batches; fixed for the life of a checkpoint
 
 
 def dedupe_events(events: DataFrame, watermark: str = "2 hours", key: str = "event_id", fallback: str = "document_id",
@@ -42,60 +43,104 @@ def partial_counts(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                                                 event_time=("event_time", "max"))
 
 
-class SealProcessor(StatefulProcessor):
-    """Counts the members of a batch; seals it when all are there or when the grace after the last one is over.
+class BucketProcessor(StatefulProcessor):
+    """State of batches, kept by hash bucket: one value holds the numbers of all batches of a bucket, and one timer its next date.
 
-    State per batch is (seen, total, sealed), whatever the number of members. Batches known at the start come as initial
-    state with a timer of their own, so that one nothing arrives for is sealed too. Members after the seal are
-    reported as late and don't reopen the batch; ``forget_ms`` after it the state is dropped.
+    Rows, state and dates of a bucket are handled as columns, so that a call to the state store serves many batches. ``due``
+    is the time at which something happens to a batch, in ms.
     """
 
-    grace_ms = GRACE_SECONDS * 1000
-    forget_ms = FORGET_SECONDS * 1000
+    columns: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("batch", "seen bigint, total bigint, sealed boolean")
+        self.state = handle.getValueState("batches", ", ".join(["batch_id array<string>", *[f"{c} array<bigint>" for c in self.columns]]))
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.state.update((0, int(initialState["total"].iloc[0]), False))
-        self.handle.registerTimer(int(initialState["opened"].iloc[0].timestamp() * 1000) + self.grace_ms)
+    def load(self) -> pd.DataFrame:
+        kept = self.state.get() or [[] for _ in range(len(self.columns) + 1)]
+        return pd.DataFrame({c: pd.Series(list(v), dtype="int64") for c, v in zip(self.columns, kept[1:])}).set_axis(list(kept[0]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen, total, sealed = self.state.get() if self.state.exists() else (0, 0, False)
-        fresh, last_ms = 0, 0
-        for chunk in rows:
-            fresh += int(chunk["n"].sum())
-            total = max(total, int(chunk["total"].max()))
-            last_ms = max(last_ms, int(chunk["event_time"].max().timestamp() * 1000))
-        if sealed:
-            yield pd.DataFrame({"batch_id": [key[0]], "outcome": ["late"], "inputs": [fresh], "shortfall": [0]})
-            return
-        seen += fresh
-        sealed = seen >= total
-        self.state.update((seen, total, sealed))
+    def save(self, now: pd.DataFrame) -> None:
+        """Keep ``now``; the bucket's timer is its first date."""
+        if len(now):
+            self.state.update((now.index.tolist(), *[now[c].tolist() for c in self.columns]))
+            self.handle.registerTimer(int(now["due"].min()))
+        else:
+            self.state.clear()
+
+    def stop_timer(self) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        if sealed:
-            self.handle.registerTimer(last_ms + self.forget_ms)
-            yield pd.DataFrame({"batch_id": [key[0]], "outcome": ["sealed"], "inputs": [seen], "shortfall": [0]})
-        else:
-            self.handle.registerTimer(last_ms + self.grace_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seen, total, sealed = self.state.get()
-        if sealed:
-            self.state.clear()
-        else:
-            self.state.update((seen, total, True))
-            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.forget_ms)
-            yield pd.DataFrame({"batch_id": [key[0]], "outcome": ["sealed"], "inputs": [seen], "shortfall": [max(0, total - seen)]})
+    @staticmethod
+    def fold(chunks: Iterator[pd.DataFrame], **how: str) -> pd.DataFrame:
+        """The rows of a bucket by batch; ``last_ms`` is the time of the last one."""
+        total = None
+        for chunk in chunks:
+            chunk = chunk.assign(last_ms=chunk["event_time"].astype("datetime64[ms]").astype("int64"))[["batch_id", "last_ms", *how]]
+            total = (chunk if total is None else pd.concat([total.reset_index(), chunk])).groupby("batch_id").agg({**how, "last_ms": "max"})
+        return total
 
     def close(self) -> None:
         pass
 
 
-def seal_batches(events: DataFrame, batches: DataFrame, watermark: str = "0 seconds", opened: str | None = None) -> DataFrame:
+def by_bucket(rows: DataFrame, buckets: int):
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("batch_id"), F.lit(buckets)).cast("int")).groupBy("bucket")
+
+
+class SealProcessor(BucketProcessor):
+    """Counts the members of a batch; seals it when all are there or when the grace after the last one is over.
+
+    State per batch is (seen, total, sealed, due), whatever the number of members. Batches known at the start come as initial
+    state with a date of their own, so that one nothing arrives for is sealed too. Members after the seal are
+    reported as late and don't reopen the batch; ``forget_ms`` after it the state is dropped.
+    """
+
+    columns = ("seen", "total", "sealed", "due")
+    grace_ms = GRACE_SECONDS * 1000
+    forget_ms = FORGET_SECONDS * 1000
+
+    @staticmethod
+    def outcome(rows: pd.DataFrame, name: str, inputs: str, shortfall) -> pd.DataFrame:
+        return pd.DataFrame({"batch_id": rows.index, "outcome": name, "inputs": rows[inputs].to_numpy(), "shortfall": shortfall})
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        opened = initialState["opened"].astype("datetime64[ms]").astype("int64")
+        known = pd.DataFrame({"seen": 0, "total": initialState["total"].to_numpy(), "sealed": 0, "due": opened.to_numpy() + self.grace_ms},
+                             index=initialState["batch_id"].tolist())
+        known = known[~known.index.duplicated()]
+        now = self.load()
+        self.stop_timer()
+        self.save(pd.concat([now.drop(known.index, errors="ignore"), known]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh, now = self.fold(rows, n="sum", total="max"), self.load()
+        old = now.reindex(fresh.index, fill_value=0)
+        late = old["sealed"] == 1
+        if late.any():
+            yield self.outcome(fresh[late], "late", "n", 0)
+        fresh, old = fresh[~late], old[~late]
+        changed = pd.DataFrame({"seen": old["seen"] + fresh["n"], "total": old["total"].clip(lower=fresh["total"])})
+        changed["sealed"] = (changed["seen"] >= changed["total"]).astype("int64")
+        changed["due"] = fresh["last_ms"] + self.grace_ms + (self.forget_ms - self.grace_ms) * changed["sealed"]
+        self.stop_timer()
+        self.save(pd.concat([now.drop(changed.index, errors="ignore"), changed]))
+        full = changed[changed["sealed"] == 1]
+        if len(full):
+            yield self.outcome(full, "sealed", "seen", 0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = self.load()
+        over = now["due"] <= timerValues.getCurrentWatermarkInMs()
+        ended = now[over & (now["sealed"] == 0)]
+        sealed = ended.assign(sealed=1, due=ended["due"] + self.forget_ms)
+        self.save(pd.concat([now[~over], sealed]))
+        yield self.outcome(sealed, "sealed", "seen", (sealed["total"] - sealed["seen"]).clip(lower=0).to_numpy())
+
+
+def seal_batches(events: DataFrame, batches: DataFrame, watermark: str = "0 seconds", opened: str | None = None,
+                 buckets: int = STATE_BUCKETS) -> DataFrame:
     """Seal and late rows (batch_id, outcome, inputs, shortfall) for deduplicated events of known batches.
 
     ``events``: batch_id, event_time. ``batches``: batch_id, total_invoices; a static table. With ``opened``, its column of
@@ -107,9 +152,9 @@ def seal_batches(events: DataFrame, batches: DataFrame, watermark: str = "0 seco
     counted = joined.mapInPandas(partial_counts, "batch_id string, n bigint, total bigint, event_time timestamp")
     known = None
     if opened:
-        known = batches.select("batch_id", F.col("total_invoices").alias("total"), F.col(opened).alias("opened")).filter(
-            "opened IS NOT NULL").groupBy("batch_id")
-    return counted.withWatermark("event_time", watermark).groupBy("batch_id").transformWithStateInPandas(
+        known = by_bucket(batches.select("batch_id", F.col("total_invoices").alias("total"), F.col(opened).alias("opened")).filter(
+            "opened IS NOT NULL"), buckets)
+    return by_bucket(counted.withWatermark("event_time", watermark), buckets).transformWithStateInPandas(
         SealProcessor(), "batch_id string, outcome string, inputs bigint, shortfall bigint", "append", "eventTime", known)
 
 
@@ -244,37 +289,29 @@ def partial_kpis(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                                 event_time=("event_time", "max"))
 
 
-class KpiProcessor(StatefulProcessor):
+class KpiProcessor(BucketProcessor):
     """Running counts and money of a batch. The numbers are dropped ``forget_ms`` after the batch's last outcome."""
 
+    columns = ("total", "settled", "cleared_paise", "due")
     forget_ms = FORGET_SECONDS * 1000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("kpis", "total bigint, settled bigint, cleared_paise bigint, last_ms bigint")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = list(self.state.get()) if self.state.exists() else [0, 0, 0, 0]
-        for chunk in rows:
-            for i, name in enumerate(("total", "settled", "cleared_paise")):
-                now[i] += int(chunk[name].sum())
-            now[3] = max(now[3], int(chunk["event_time"].max().timestamp() * 1000))
-        self.state.update(tuple(now))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        self.handle.registerTimer(now[3] + self.forget_ms)
-        yield pd.DataFrame({"batch_id": [key[0]], "total": [now[0]], "settled": [now[1]], "cleared_paise": [now[2]]})
+        fresh, now = self.fold(rows, total="sum", settled="sum", cleared_paise="sum"), self.load()
+        old = now.reindex(fresh.index, fill_value=0)
+        changed = pd.DataFrame({c: old[c] + fresh[c] for c in self.columns[:3]})
+        changed["due"] = old["due"].clip(lower=fresh["last_ms"] + self.forget_ms)
+        self.stop_timer()
+        self.save(pd.concat([now.drop(changed.index, errors="ignore"), changed]))
+        yield changed.drop(columns="due").rename_axis("batch_id").reset_index()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        now = self.load()
+        self.save(now[now["due"] > timerValues.getCurrentWatermarkInMs()])
         yield pd.DataFrame({"batch_id": [], "total": [], "settled": [], "cleared_paise": []}).astype({
             "batch_id": "str", "total": "int64", "settled": "int64", "cleared_paise": "int64"})
 
-    def close(self) -> None:
-        pass
-
 
-def live_kpis(outcomes: DataFrame, watermark: str = "30 days") -> DataFrame:
+def live_kpis(outcomes: DataFrame, watermark: str = "30 days", buckets: int = STATE_BUCKETS) -> DataFrame:
     """Running counts and money per batch, for update mode: a row for each batch that something came for.
 
     ``outcomes``: batch_id, utr_number, net_settled_amount_paise, event_time. State is a few numbers a batch; it is dropped a
@@ -283,7 +320,7 @@ def live_kpis(outcomes: DataFrame, watermark: str = "30 days") -> DataFrame:
     schema = "batch_id string, total bigint, settled bigint, cleared_paise bigint"
     parts = outcomes.select("batch_id", "utr_number", "net_settled_amount_paise", "event_time").mapInPandas(
         partial_kpis, schema + ", event_time timestamp")
-    return parts.withWatermark("event_time", watermark).groupBy("batch_id").transformWithStateInPandas(
+    return by_bucket(parts.withWatermark("event_time", watermark), buckets).transformWithStateInPandas(
         KpiProcessor(), schema, "update", "eventTime")
 
 

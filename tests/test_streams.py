@@ -216,3 +216,36 @@ def test_kpis_go_on_over_batches_and_are_dropped_at_last(spark, folder):
     assert deliver([("b", "u2", 7, 2)], 2) == {"b": (3, 2, 12)}
     assert deliver([("c", "u3", 1, 60)], 3)["c"] == (1, 1, 1)  # the watermark passes the life of b
     assert deliver([("b", "u4", 9, 61)], 4)["b"] == (1, 1, 9)
+
+
+def test_batches_of_one_bucket_share_state_and_keep_their_own_dates(spark, folder):
+    """State rows follow the buckets, not the batches; each batch is sealed, late, forgotten and summed as if it were alone."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    batches = spark.range(3000).selectExpr("concat('b', id) AS batch_id", "2L AS total_invoices", "timestamp_seconds(1785542400 + id % 7) AS opened")
+    events = batches.selectExpr("batch_id", "cast(substr(batch_id, 2) AS bigint) AS i").selectExpr(
+        "batch_id", "explode(array_repeat(0, cast(i % 3 AS int)))", "timestamp_seconds(1785542400 + i % 3) AS event_time").select("batch_id", "event_time")
+    schema, rows = "batch_id string, event_time timestamp", []
+
+    def deliver(df, n):
+        drop(df, folder, n)
+        q = jobs.seal_batches(stream(spark, folder, schema), batches, opened="opened", buckets=2).writeStream.format("parquet").option(
+            "path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows.append(max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress))
+        got = spark.read.parquet(f"{folder}/out").groupBy("outcome", "inputs", "shortfall").count().collect()
+        return {tuple(r)[:3]: r[3] for r in got}
+
+    assert deliver(events, 1) == {("sealed", 2, 0): 1000}
+    end = spark.createDataFrame([("b2", T0 + dt.timedelta(seconds=100)), ("b5", T0 + dt.timedelta(seconds=100))], schema)
+    assert deliver(end, 2) == {("sealed", 2, 0): 1000, ("late", 1, 0): 2, ("sealed", 1, 1): 1000, ("sealed", 0, 2): 1000}
+    paid = events.selectExpr("batch_id", "'u' AS utr_number", "5L AS net_settled_amount_paise", "event_time")
+    drop(paid, f"{folder}/k", 1)
+    q = jobs.live_kpis(stream(spark, f"{folder}/k", paid.schema), buckets=2).writeStream.outputMode("update").foreachBatch(
+        lambda df, epoch: df.write.mode("append").parquet(f"{folder}/kpis")).option("checkpointLocation", f"{folder}/k/cp").trigger(
+        availableNow=True).start()
+    q.awaitTermination()
+    rows.append(max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress))
+    got = spark.read.parquet(f"{folder}/kpis").groupBy("total", "settled", "cleared_paise").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 5, 1000), (2, 2, 10, 1000)]
+    assert max(rows) <= 12  # value, timer and its index of two buckets, not of 3,000 batches
