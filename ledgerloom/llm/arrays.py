@@ -8,7 +8,7 @@ a hash of a short byte span is the difference of two prefix sums, so that words
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,22 @@ def release() -> None:
         _trim(0)
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(owner: str, clear: Callable[[], None]) -> None:
+    """Say that ``owner`` keeps things in this worker, which ``clear`` drops; what others kept goes now.
+
+    Workers live on from one operator to the next: without this the caches of all stages of a pipeline add up.
+    """
+    others = [name for name in _kept if name != owner]
+    for name in others:
+        _kept.pop(name)()
+    if others:
+        release()
+    _kept[owner] = clear
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (the finalizer of splitmix64)."""
     with np.errstate(over="ignore"):

@@ -1,10 +1,10 @@
 """Toxicity of documents: disguised words are restored, then words and word beginnings are weighed.
 
-Learned here, from labelled rows outside the held-out fold, at most ``SAMPLE`` of them (those with the smallest hash of doc_id):
-a character model of the words (for the Viterbi decoding), weights of features, and a logistic curve. Features are whole
-words and their first 4, 5 and 6 bytes, by hash; a feature's weight is the lower bound of its log odds, and it is kept if that is
+Learned here, from all labelled rows outside the held-out fold: a character model of the words (for the Viterbi decoding),
+weights of features, and a logistic curve. Features are whole words and their first 4, 5 and 6 bytes, by hash; a feature's weight is the lower bound of its log odds, and it is kept if that is
 clear (at most ``FEATURES``, the clearest). A document is described by its largest weight, the number of words with a
-weight, and the sum of those; the curve over these is fitted on a quarter of the sample that the weights haven't seen.
+weight, and the sum of those; the curve over these is fitted on the quarter of the labelled rows that the weights haven't seen,
+with its sums added up in the tasks.
 Labels and ids decide only which rows are learned from.
 
 Defined results: a null text is empty and gets the score of a text without known words; a null doc_id is in the fold of an empty
@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.arrays import U64, Texts, chunks, sum_by
+from ledgerloom.llm.arrays import U64, Texts, chunks, keep_only, sum_by
 from ledgerloom.llm.deobfuscate import CharModel, disguised, doubtful, one_word, pieces, reading, restore, trigrams
 from ledgerloom.llm.shared import fold, stored
 
-SAMPLE = 20_000
 FEATURES = 50_000
 PREFIXES = (4, 5, 6)
 CLEAR = 1.0  # least lower bound of log odds
@@ -47,6 +46,7 @@ def _hashes(texts: Texts, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=4)
 def _decoder(grams: tuple):
+    keep_only("toxicity", _decoder.cache_clear)
     model = CharModel(dict(grams))
     cached = lru_cache(maxsize=100_000)
     return (cached(lambda word: restore(word, model)), cached(lambda word: reading(word, model)),
@@ -167,28 +167,44 @@ def _describing(held):
     return run
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton's method, with a small penalty on all but the constant."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
+def curve_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What a Newton step needs of these rows: gradient and curvature of the likelihood at ``w``, in one array."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.concatenate([x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).reshape(-1)])
+
+
+def fit_curve(sums, size: int, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton's method, with a small penalty on all but the constant; ``sums`` gives :func:`curve_sums`."""
+    w = np.zeros(size)
+    penalty = np.full(size, ridge)
     penalty[0] = 1e-3
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        total = sums(w)
+        step = np.linalg.solve(total[size:].reshape(size, size) + np.diag(penalty), total[:size] - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE) -> Model:
-    """Learn from the labelled rows whose fold is not 0."""
+def _summing(w: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(w) * (len(w) + 1))
+        for batch in batches:
+            y, *x = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
+            total += curve_sums(np.stack(x, axis=1), y, w)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "v": pa.array(total)})
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
+    """Learn from all labelled rows whose fold is not 0."""
     spark = docs.sparkSession
     rows = (labels.filter("toxic is not null and doc_id is not null").filter(fold(F.col("doc_id"), folds) != 0)
             .groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-            .withColumn("h", F.xxhash64("doc_id", F.lit(8))).orderBy("h", "doc_id").limit(sample))
-    rows = stored(rows.select("doc_id", "toxic", (F.pmod("h", F.lit(4)) == 0).alias("later")), "labelled")
-    texts = stored(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id"), "labelled-texts")  # at most ``sample`` rows
+            .withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(4)) == 0))
+    rows = stored(rows, "labelled")  # its size decides how the texts are joined
+    texts = stored(docs.select("doc_id", "text").join(rows, "doc_id"), "labelled-texts")
     early, later = texts.filter("not later").select("text", "toxic"), texts.filter("later").select("text", "toxic")
     grams = tuple((r["gram"], r["n"]) for r in early.select("text").mapInArrow(_counting_letters, "gram string, n long")
                   .groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").collect())  # three of 28 signs: bounded
@@ -206,10 +222,14 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMP
     order = np.argsort(keys)
     model = Model(grams, keys[order], np.array([r["weight"] for r in clear])[order])
     held = spark.sparkContext.broadcast(model)
-    shown = later.mapInArrow(_describing(held), "toxic boolean, x0 double, x1 double, x2 double, x3 double").collect()
-    if shown:
-        x, y = np.array([r[1:] for r in shown]), np.array([r[0] for r in shown], dtype=float)
-        model.curve = fit_curve(x, y)
+    shown = stored(later.mapInArrow(_describing(held), "toxic boolean, x0 double, x1 double, x2 double, x3 double"), "described")
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        found = shown.mapInArrow(_summing(w), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+        return np.array([r["v"] for r in found])
+
+    if not shown.isEmpty():
+        model.curve = fit_curve(sums, 4)
     return model
 
 

@@ -272,3 +272,40 @@ def test_long_regular_words_have_their_own_ids():
     cut = np.concatenate([[0], np.cumsum(count)])
     for i, text in enumerate(texts):
         assert ids[cut[i]:cut[i + 1] - 1].tolist() == units.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, make):
+    """A toxic word that only the labelled rows with the largest hashes have is learned among more than 20,000."""
+    order = [r[0] for r in spark.range(26_000).filter("crc32(cast(cast(id AS string) AS binary)) % 5 <> 0").selectExpr(
+        "id", "xxhash64(id, 8) AS h").orderBy("h").collect()]
+    rare = set(order[-200:])
+    assert len(order) > 20_200
+    plain = ["the", "small", "town", "has", "open", "doors", "and", "long", "plans", "for", "rest"]
+    rows = [(i, " ".join([plain[i % 11], plain[i % 7], "scumbag" if i in rare else plain[i % 5]]), "en", "s", 1) for i in order]
+    labels = [(i, 1, int(i in rare)) for i in order]
+    model = toxicity.learn(make(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = model.score(Texts(pa.array(["the small scumbag town", "the small open town"])))
+    assert got[0] >= 0.5 > got[1]
+
+
+def test_segments_are_built_in_pieces(monkeypatch):
+    """Bits of a segment don't depend on how many keys are set at once; counts of keys add up."""
+    rng = np.random.default_rng(3)
+    keys, counts = rng.integers(1, 1 << 62, 5000).astype(np.uint64), rng.integers(1, 1000, 5000)
+    whole = lmscore.build_bits(keys, counts)
+    monkeypatch.setattr(lmscore, "BUILD_KEYS", 777)
+    assert lmscore.build_bits(keys, counts) == whole
+    unique, total = lmscore.merged_counts([keys, keys[:10]], [counts.astype(np.uint32), counts[:10].astype(np.uint32)])
+    want = dict(zip(keys.tolist(), counts.tolist()))
+    assert all(n == want[k] * (2 if k in set(keys[:10].tolist()) else 1) for k, n in zip(unique.tolist(), total.tolist())) and len(unique) == len(want)
+
+
+def test_a_worker_keeps_what_one_operator_cached():
+    from ledgerloom.llm import arrays
+    gone = []
+    arrays.keep_only("a", lambda: gone.append("a"))
+    arrays.keep_only("a", lambda: gone.append("a"))
+    assert gone == []
+    arrays.keep_only("b", lambda: gone.append("b"))
+    assert gone == ["a"]
+    arrays._kept.clear()
