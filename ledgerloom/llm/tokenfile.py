@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import rans
-from ledgerloom.llm.arrays import chunks
+from ledgerloom.llm.arrays import U64, chunks, keep_only
 from ledgerloom.llm.shared import scratch
 
 END_ID = 2
@@ -49,7 +49,8 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[int, int] = {}
+        self.keys = np.empty(0, dtype=U64)  # in order; a dictionary of as many numbers takes eight times the memory
+        self.places = np.empty(0, dtype=np.uint32)
         self.start = np.empty(0, dtype=np.uint32)
         self.count = np.empty(0, dtype=np.int32)  # -1: not independent
         self.ids = np.empty(0, dtype=np.uint32)
@@ -84,14 +85,19 @@ class Units:
         size = np.maximum(count, 0)
         start = (len(self.ids) + np.cumsum(size) - size).astype(np.uint32)
         self.ids = np.concatenate([self.ids, *ids])
-        self.places.update(zip(keys.tolist(), range(len(self.start), len(self.start) + len(keys))))
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.places = np.insert(self.places, at, (len(self.start) + order).astype(np.uint32))
         self.start = np.concatenate([self.start, start])
         self.count = np.concatenate([self.count, count.astype(np.int32)])
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 where it is new."""
-        get = self.places.get
-        return np.fromiter((get(k, -1) for k in keys.tolist()), dtype=np.int64, count=len(keys))
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.places[at].astype(np.int64), -1)
 
 
 @lru_cache(maxsize=2)
@@ -139,7 +145,7 @@ def ids_of(texts, units: Units, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     known = units.look_up(unique)
     new = np.flatnonzero(known < 0)
     if len(new):
-        if len(units.places) + len(new) > CACHE_UNITS:
+        if len(units.keys) + len(new) > CACHE_UNITS:
             units.clear()
             new = np.arange(len(unique))
         raw = texts.data.tobytes()
@@ -177,6 +183,7 @@ def ids_of(texts, units: Units, end_id: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _tokenizing(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("tokenfile", _units.cache_clear)
         units = _units(path)
         kind = "<u2" if max(units.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
