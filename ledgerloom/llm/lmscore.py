@@ -32,6 +32,7 @@ BITS = 9  # of the filter for each entry
 HASHES = 6
 SEGMENT_BYTES = 24 << 20  # text that one segment's n-grams come from
 FLUSH_TOKENS = 1_500_000
+BUILD_KEYS = 500_000  # whose entries are set at once
 BROADCAST_MB = 256
 END, START = U64(0x5DEECE66D1234567), U64(0x2545F4914F6CDD1D)
 _GROWTH = 1.2
@@ -125,18 +126,31 @@ class Filter:
 
 def build_bits(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     """The bits of one segment: (number of bits, packed bits)."""
-    level = np.searchsorted(LEVELS, counts, side="right")
-    entry = np.repeat(keys, level)
-    number = np.arange(len(entry)) - np.repeat(np.cumsum(level) - level, level) + 1
-    size = (1 + BITS * len(entry) // 512) * 512
+    levels = np.searchsorted(LEVELS, counts, side="right").astype(np.uint8)
+    size = (1 + BITS * int(levels.sum(dtype=np.int64)) // 512) * 512
     bits = np.zeros(size, dtype=bool)
-    hashed = _start(entry, number)
-    line = _block(hashed, size >> 9)
-    for inner in _inner(hashed):
-        bits[line + inner] = True
+    for at in range(0, len(keys), BUILD_KEYS):  # entries of some keys at once, so that the bits are the largest array
+        level = levels[at:at + BUILD_KEYS].astype(np.int64)
+        entry = np.repeat(keys[at:at + BUILD_KEYS], level)
+        number = np.arange(len(entry)) - np.repeat(np.cumsum(level) - level, level) + 1
+        hashed = _start(entry, number)
+        line = _block(hashed, size >> 9)
+        for inner in _inner(hashed):
+            bits[line + inner] = True
     return size, np.packbits(bits, bitorder="little").tobytes()
 
 
+def merged_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of the counts of each."""
+    if not keys:
+        return np.empty(0, U64), np.empty(0, np.int64)
+    flat = np.concatenate(keys)
+    order = np.argsort(flat)
+    flat = flat[order]
+    new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    return flat[new], np.add.reduceat(np.concatenate(counts)[order], new, dtype=np.int64)
+
+
 def lower_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, LEVELS[np.maximum(level, 1) - 1], 0).astype(np.float64)
 
@@ -184,13 +198,11 @@ def _segment(table: pa.Table) -> pa.Table:
     merged = []
     for kind in (0, 1):
         rows = np.flatnonzero(kinds == kind)
-        keys = [np.frombuffer(table.column("keys")[int(r)].as_py(), dtype=U64) for r in rows]
-        counts = [np.frombuffer(table.column("counts")[int(r)].as_py(), dtype=np.uint32) for r in rows]
-        if not keys:
-            merged.append((np.empty(0, U64), np.empty(0, np.int64)))
-            continue
-        unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-        merged.append((unique, sum_by(place, np.concatenate(counts), len(unique)).astype(np.int64)))
+        keys = [np.frombuffer(table.column("keys")[int(r)].as_buffer(), dtype=U64) for r in rows]
+        counts = [np.frombuffer(table.column("counts")[int(r)].as_buffer(), dtype=np.uint32) for r in rows]
+        merged.append(merged_counts(keys, counts))
+        del keys, counts
+        release()
     (words, n_words), (pairs, n_pairs) = merged
     size, bits = build_bits(np.concatenate([words, pairs]), np.concatenate([n_words, n_pairs]))
     real = words != START
