@@ -271,3 +271,24 @@ def test_requests_nobody_may_make_are_refused(spark):
     assert {r.document_id: (r.subset_status, r.guard_reason) for r in got.collect()} == {
         "a": ("SUBSET_MATCHED", None), "b": ("PREREQUISITE_FAILED", "UTR_NOT_RESOLVED"), "c": ("SUBSET_MATCHED", None),
         "d": ("AMBIGUOUS_COLLISION", None), "e": ("PREREQUISITE_FAILED", "TARGET_DIFFERS"), "f": ("PREREQUISITE_FAILED", "UTR_NOT_RESOLVED")}
+
+
+def test_small_vendors_are_folded_without_rounds(spark):
+    """Folded, in rounds, or one vendor each: the same outcomes and postings; names, dates and missing UTRs decide too."""
+    rng = random.Random(31)
+    names = ["Zenith Foods", "Blue Widget Works", "Acme Plate"]
+    pool = [invoice(i, rng.choice([2, 3, 4, 6]), rng.choice(names), day=rng.randint(-9, 9), vendor="V0" if i < 9 else "V1") for i in range(14)]
+    credits = [credit(i, rng.choice([2, 3, 5, 6, 9]), rng.choice(names).upper(), day=rng.randint(-9, 9), vendor=f"V{i % 2}",
+                      utr=None if i % 6 == 3 else f"u{i}") for i in range(12)]
+    settle = [(p[1], f"p{p[2]}", p[2], f"u{rng.choice([c for c in range(12) if c % 2 == int(p[1][1])])}", 1, "", "processed", 0, 0, 1)
+              for p in pool if rng.random() < 0.4]
+    results, taken = [], []
+    for bounds in ({}, {"fold_looks": 0}, {"fold_looks": 60, "fold_options": 10 ** 6}):
+        rounds = []
+        outcomes, posted = reconcile_in_order(
+            spark.createDataFrame(pool, POOL).withColumn("run_order", F.col("invoice_number")), spark.createDataFrame(settle, SETTLE),
+            spark.createDataFrame(credits, CREDITS), rounds=rounds, **bounds)
+        results.append((sorted(map(str, outcomes.collect())), sorted(map(str, posted.collect()))))
+        taken.append(len(rounds))
+    assert results[0] == results[1] == results[2] and len(results[0][0]) == 14 and results[0][1]
+    assert taken[0] == 0 < taken[1]
