@@ -49,3 +49,10 @@ def test_hot_key_replay(spark):
     assert ingest.accepted(feed, none, ["payout_id"], [F.col("n")]).count() == 2001
     status = ingest.ingest_status(feed, none, ["payout_id"], [F.col("n")], F.col("n"))
     assert ingest.ingest_summary(status).first().asDict() == {"accepted": 2001, "duplicates": 999, "total": 3000}
+
+
+def test_documents_are_parsed_once(spark):
+    """What extraction results are read for more than once comes from files, not from one more parse of each document."""
+    from ledgerloom.plans.registry import queries
+    rows = queries()["a15_k10_record_extractions"](spark, "/root/testdata/sf0.001")
+    assert "from_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
