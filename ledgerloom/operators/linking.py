@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import (EDIT_MAX_DISTANCE, EDIT_MIN_LENGTH, MATCH_THRESHOLD, PREFIX_MIN_LENGTH, narration_tokens,
                                         nysiis_code, soundex_code, source_tokens, token_set_match, token_synonym)
-from ledgerloom.scale import cut_lineage
+from ledgerloom.scale import written
 
 # Verdicts.
 RESOLVED, MISMATCH = "ENTITY_RESOLVED", "ENTITY_MISMATCH"
@@ -88,9 +88,9 @@ def _possible_pairs(names: DataFrame, targets: DataFrame, threshold: float) -> D
     near = threshold - 0.0001  # scores are rounded to four places
     sized = lambda df, words: df.select("vendor_code", words).distinct().withColumn(f"{words}n", F.size(F.array_distinct(words)))
     left, right = sized(names, "__a"), sized(targets, "__b")
-    a_words = cut_lineage(left.select("*", F.explode(F.array_distinct("__a")).alias("a")))
-    b_words = cut_lineage(right.select("*", F.explode(F.array_distinct("__b")).alias("b")))
-    alike = cut_lineage(synonyms(a_words.select("a").distinct(), b_words.select("b").distinct()))
+    a_words = written(left.select("*", F.explode(F.array_distinct("__a")).alias("a")))
+    b_words = written(right.select("*", F.explode(F.array_distinct("__b")).alias("b")))
+    alike = written(synonyms(a_words.select("a").distinct(), b_words.select("b").distinct()))
     in_b = b_words.groupBy("vendor_code", "b").agg(F.count(F.lit(1)).alias("rows"))
     in_a = a_words.groupBy("vendor_code", "a").agg(F.count(F.lit(1)).alias("rows"))
     reach = (a_words.select("vendor_code", "a").distinct().join(alike, "a").join(in_b, ["vendor_code", "b"])

@@ -11,7 +11,7 @@ from ledgerloom.functions.text import MATCH_THRESHOLD, narration_tokens, source_
 from ledgerloom.operators.linking import MISMATCH, RESOLVED, best_settlement, score_distinct_pairs
 from ledgerloom.operators.reads import with_anchor
 from ledgerloom.operators.subsets import find_subsets
-from ledgerloom.scale import cut_lineage, spread_nulls
+from ledgerloom.scale import spread_nulls, written
 
 # Outcomes of a matching request, and the default date tolerance.
 MATCHED, NO_MATCH, AMBIGUOUS = "SUBSET_MATCHED", "NO_MATCH", "AMBIGUOUS_COLLISION"
@@ -95,7 +95,7 @@ def matching_units(requests: DataFrame, credits: DataFrame, invoices: DataFrame,
         F.count(F.lit(1)).alias("n"), F.min(F.struct("transaction_id", "utr_number")).alias("credit"))
     groups = counted.join(_wanted(requests), ["vendor_code", "key"]).drop("key")
     if subsets is None:
-        groups = cut_lineage(groups)
+        groups = written(groups)
         subsets = find_subsets(groups.select("vendor_code", "amount_paise"), invoices, max_size, salts)
     return groups.join(subsets, ["vendor_code", "amount_paise"])
 
@@ -195,7 +195,7 @@ def resolve_exceptions(unresolved: DataFrame, settlements: DataFrame, credits: D
         "proof_paise", "committable", "request_utr", "request_paise")]
     first = unresolved.select(*keep, F.col("subset_status").alias("first_status"))
     # Links feed both the requests and the result; the residue is small, and is linked once.
-    linked = cut_lineage(first.join(best_settlement(first, settlements), ["vendor_code", "supplier_legal_name"], "left"))
+    linked = written(first.join(best_settlement(first, settlements), ["vendor_code", "supplier_legal_name"], "left"))
     asked = linked.withColumns({"request_utr": F.col("fuzzy_utr"), "request_paise": F.lit(None).cast("long")})
     done = settle(match_requests(asked, credits, pool, **options)).withColumns({
         "subset_status": F.when(F.col("fuzzy_utr").isNull(), F.col("first_status")).otherwise(F.col("subset_status")),

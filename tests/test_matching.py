@@ -292,3 +292,14 @@ def test_small_vendors_are_folded_without_rounds(spark):
         taken.append(len(rounds))
     assert results[0] == results[1] == results[2] and len(results[0][0]) == 14 and results[0][1]
     assert taken[0] == 0 < taken[1]
+
+
+def test_named_invoices_are_derived_once(spark):
+    """Invoices, settlements and bank lines of a query read the names from one table of files."""
+    from ledgerloom.sources.fixtures import Fixtures
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    plain = fx.invoices_named()
+    fx.share_names()
+    shared = fx.invoices_named()
+    assert "Join" not in shared._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, shared.collect())) == sorted(map(str, plain.collect())) and shared.columns == plain.columns
