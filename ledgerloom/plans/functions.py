@@ -186,7 +186,7 @@ e AS (SELECT *, CASE WHEN lines_sub IS NULL THEN 'No line items found in invoice
 
 @query("h15_h16_h17_checksum", needs=["invn", "lines"], sql=_DOC_SQL + " SELECT document_id, errors FROM e")
 def _(fx):
-    docs = checks.with_document(fx.documents_json())
+    docs = checks.with_document(fx.documents_json(), parts=checks.NUMBER_PARTS)
     return docs.select("document_id", F.array_join(checks.checksum_errors(F.col("doc")), " | ").alias("errors"))
 
 

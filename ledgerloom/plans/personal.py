@@ -86,5 +86,5 @@ d AS (SELECT run_id, x.e AS entity, x.v AS value, min((k, x.p)) AS first FROM f
 SELECT run_id, entity, value, '[' || CASE entity WHEN 'BANK_ACCOUNT' THEN 'ACCOUNT' ELSE entity[4:] END || '_TOKEN_' ||
   row_number() OVER (PARTITION BY run_id, entity ORDER BY first) || ']' AS token FROM d""")
 def _(fx):
-    docs = checks.with_document(fx.documents_json()).selectExpr("vendor_code AS run_id", "k AS doc_order", "doc")
+    docs = checks.with_document(fx.documents_json(), parts=checks.PARTY_PARTS).selectExpr("vendor_code AS run_id", "k AS doc_order", "doc")
     return pii.run_vault(pii.document_findings(docs), F.expr(_BUCKET))

@@ -122,6 +122,32 @@ def test_document_checks(spark, changes, checksum, schema):
     assert (row.c, row.s) == (checksum, schema)
 
 
+def test_integer_checks_agree_with_exact_ones(spark):
+    """Plain documents are passed by integer arithmetic; the same document with ``plain`` unset goes through the exact checks."""
+    lines = [("2", "1000", "2000"), (2, 1000, 2000), (" 2", "+1000", 2000), ("2.0", 1000, "2000.00"), (1, 3_000_000_000, 3_000_000_000),
+             (2, 1000, 2001), (2, 1500, "3000\x7f"), ("2\x08", 1000, 2000), (-2, -1000, 2000), ("two", 1000, 2000), (2, "", 2000),
+             (2, 10 ** 17, 2 * 10 ** 17), (None, 1000, 2000), (2.5, 800, 2000), (..., 1000, 0)]
+    raw = spark.createDataFrame([(json.dumps(document(line_items__0__quantity=q, line_items__0__unit_price_paise=p,
+                                                      line_items__0__taxable_value_paise=t), ensure_ascii=False),) for q, p, t in lines], "raw_text string")
+    docs = checks.with_document(raw).coalesce(1)
+    fast, exact = (docs.select(checks.checksum_errors(d).alias("c"), checks.schema_errors(d).alias("s")).collect() for d in (
+        F.col("doc"), F.col("doc").withField("plain", F.lit(False))))
+    assert fast == exact and fast[1].c == [] and fast[1].s == [] and fast[5].c
+
+
+def test_parts_of_a_document(spark):
+    """Only the named parts are read; a search for suspect numbers has no second alternative to try at every place of a text."""
+    raw = spark.createDataFrame([(json.dumps(document()),)], "raw_text string")
+    doc = checks.with_document(raw, parts=checks.PARTY_PARTS).first().doc
+    assert set(doc.body.asDict()) == set(checks.PARTY_PARTS) and doc.body.supplier_details.pan
+    whole = checks.with_document(raw).first().doc
+    assert doc.body.supplier_details == whole.body.supplier_details and whole.plain
+    texts = ['{"a": null}', '{"a":-1.5}', '{"a":1E3}', '{"a" :1}', '{"a":1}', '{"a":"null 1.5"}']
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(
+        F.col("t").rlike(checks.SUSPECT_NUMBER)).collect()] == [True, True, True, True, False, False]
+    assert not checks.SUSPECT_NUMBER.startswith('":')
+
+
 def test_document_text_that_is_no_json(spark):
     raw = spark.createDataFrame([("sorry, no invoice",), ("```json\n" + json.dumps(document()) + "\n```",), ("```\n{}\n```",)], "raw_text string")
     rows = checks.with_document(raw).select(checks.schema_errors(F.col("doc")).alias("s")).collect()
