@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.scale import previous_value, running_sum
+from ledgerloom.scale import previous_value, running_sum, written
 
 # What a page is recognised by. Free text, so words and case are Unicode-aware.
 INVOICE_WORD = r"(?iuU)\b(invoice|bill\s+to)\b"
@@ -92,6 +94,27 @@ def page_text_from_words(words: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.avg(F.when(kept, F.col("confidence"))), F.lit(0.0)).alias("mean_confidence"))
 
 
+def page_text_from_lists(pages: DataFrame, keys: list[str], words: str = "words") -> DataFrame:
+    """As :func:`page_text_from_words`, for rows that hold an array of (position, word, confidence).
+
+    A page that came as one row is put together in that row, so that only keys cross the shuffle; the words of pages in several
+    rows meet. A null or empty array has no words, hence no page.
+    """
+    repeated = written(pages.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(
+        *[F.col(k).alias(f"__{k}") for k in keys]))  # its size decides how it is joined
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    # Filters aren't pushed below a generator, so the words of a row are made once.
+    alone = pages.join(repeated, same, "left_anti").select(*keys, F.explode(F.array(words)).alias("__words")).filter(F.size("__words") > 0)
+    kept = F.sort_array(F.transform(F.filter("__words", lambda w: w["confidence"] > 0), lambda w: F.struct(
+        w["position"].alias("position"), w["word"].alias("word"), w["confidence"].alias("confidence"))))
+    total = F.aggregate("__kept", F.lit(0.0), lambda acc, w: acc + w["confidence"])
+    alone = alone.select(*keys, F.explode(F.array(kept)).alias("__kept")).select(
+        *keys, F.array_join(F.transform("__kept", lambda w: w["word"]), " ").alias("text"),
+        F.when(F.size("__kept") > 0, total / F.size("__kept")).otherwise(0.0).alias("mean_confidence"))
+    several = pages.join(repeated, same, "left_semi").select(*keys, F.inline(words))
+    return alone.unionByName(page_text_from_words(several, keys))
+
+
 def page_number(path: Column) -> Column:
     """Page index in a file name ``page_<n>.jpg``."""
     return F.regexp_extract(path, r"page_(\d+)\.[A-Za-z]+\z", 1).try_cast("bigint")

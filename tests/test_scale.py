@@ -56,3 +56,15 @@ def test_documents_are_parsed_once(spark):
     from ledgerloom.plans.registry import queries
     rows = queries()["a15_k10_record_extractions"](spark, "/root/testdata/sf0.001")
     assert "from_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_page_text_from_lists(spark):
+    """Pages of one row need no shuffle of their words; pages in several rows, and those without a key, are put together."""
+    from ledgerloom.operators import pages
+    word = "array<struct<position int, word string, confidence double>>"
+    lists = [(1, [(1, "b", 9.0), (0, "a", 5.0), (2, "x", 0.0)]), (2, [(1, "d", 1.0)]), (2, [(0, "c", 2.0)]), (2, []), (3, [(0, "z", -1.0)]),
+             (4, None), (5, []), (None, [(1, "f", 3.0)]), (None, [(0, "e", 4.0)])]
+    df = spark.createDataFrame(lists, f"id int, words {word}")
+    got = {tuple(r) for r in pages.page_text_from_lists(df, ["id"]).collect()}
+    assert got == {(1, "a b", 7.0), (2, "c d", 1.5), (3, "", 0.0), (None, "e f", 3.5)}
+    assert got == {tuple(r) for r in pages.page_text_from_words(df.select("id", F.inline("words")), ["id"]).collect()}
