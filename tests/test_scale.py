@@ -68,3 +68,10 @@ def test_page_text_from_lists(spark):
     got = {tuple(r) for r in pages.page_text_from_lists(df, ["id"]).collect()}
     assert got == {(1, "a b", 7.0), (2, "c d", 1.5), (3, "", 0.0), (None, "e f", 3.5)}
     assert got == {tuple(r) for r in pages.page_text_from_words(df.select("id", F.inline("words")), ["id"]).collect()}
+
+
+def test_feed_is_parsed_once(spark):
+    """The status of a feed looks at its rows three times; what it reads then is files of parsed rows."""
+    import __spark_entry__ as entry
+    status = entry.queries()["a1_a11_feed_file"](spark, "/root/testdata/sf0.001")
+    assert "from_json" not in status._jdf.queryExecution().optimizedPlan().toString()
