@@ -23,6 +23,19 @@ def test_a_refused_proof_blocks_nothing(spark):
     assert sorted(r.document_id for r in posted.collect()) == ["d2", "d3", "d4"]
 
 
+def test_chains_of_contests_go_through_files(spark):
+    """Each proof contends with its neighbours; what rounds hand on are files, no row checkpoints."""
+    n = 7
+    invoices = spark.createDataFrame([("V", f"I{i}", f"d{i}", 10) for i in range(n + 1)], INVOICE)
+    proofs = spark.createDataFrame([(f"p{i}", "V", [f"I{i}", f"I{i + 1}"], f"u{i}", 20, "x") for i in range(n)], PROOF)
+    _, statuses = posting.post_matches(proofs, invoices, spark.createDataFrame([], "document_id string"), F.col("proof_id"))
+    assert {r.proof_id for r in statuses.filter("posting_status = 'LEDGER_COMMITTED'").collect()} == {"p0", "p2", "p4", "p6"}
+    assert statuses.count() == n
+    assert "checkpoint" not in str(statuses._jdf.queryExecution().optimizedPlan().toString()).lower()
+    leaves = statuses._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("|")
+    assert leaves.count("LogicalRDD") <= 1  # the given proofs
+
+
 def test_untouched_outbox_rows_and_tickets_keep_what_they_have(spark):
     outbox = spark.createDataFrame([(1, "PUBLISHED", 0, 3, 5, 77, None), (2, "FAILED", 3, 3, 5, None, "old"), (3, "PENDING", 0, 3, 5, None, "old")],
                                    "outbox_id long, status string, retry_count int, max_retries int, available_epoch long, published_epoch long, last_error string")
