@@ -41,11 +41,16 @@ class CharModel:
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
         self.context: dict[str, int] = {}
+        self.costs: dict[str, float] = {}  # three of 28 signs: bounded
         for gram, n in counts.items():
             self.context[gram[:2]] = self.context.get(gram[:2], 0) + n
 
     def cost(self, before: str, char: str) -> float:
-        return -math.log((self.counts.get(before + char, 0) + 0.05) / (self.context.get(before, 0) + 0.05 * 28))
+        found = self.costs.get(before + char)
+        if found is None:
+            found = self.costs[before + char] = -math.log(
+                (self.counts.get(before + char, 0) + 0.05) / (self.context.get(before, 0) + 0.05 * 28))
+        return found
 
 
 def plain(char: str) -> str:

@@ -31,6 +31,8 @@ FEATURES = 50_000
 PREFIXES = (4, 5, 6)
 CLEAR = 1.0  # least lower bound of log odds
 LEAST = 3  # toxic documents with a feature
+MARKS, MOST_MARKS = 16, 1 << 27  # bits for each labelled id in the filter before the join, and in all
+_MARK_BLOCK = 8 * 4096  # bits of a row of ``bitmap_construct_agg``
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -197,14 +199,32 @@ def _summing(w: np.ndarray):
     return run
 
 
+def labelled_only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``rows``, and one in ``MARKS`` of the others: a filter before a shuffle.
+
+    Each id of ``rows`` sets a bit; the filter has a bounded number of bits and may let more pass, but holds none back that is in
+    ``rows``.
+    """
+    blocks = min(MARKS * rows.count(), MOST_MARKS) // _MARK_BLOCK + 1
+    place = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.lit(blocks * _MARK_BLOCK)) + 1).alias("place")
+    marks = rows.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("marks"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))) != 0
+    return docs.join(F.broadcast(marks), (F.bitmap_bucket_number(place) == F.col("bucket")) & known, "left_semi")
+
+
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     """Learn from all labelled rows whose fold is not 0."""
     spark = docs.sparkSession
     rows = (labels.filter("toxic is not null and doc_id is not null").filter(fold(F.col("doc_id"), folds) != 0)
             .groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
             .withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(4)) == 0))
-    rows = stored(rows, "labelled")  # its size decides how the texts are joined
-    texts = stored(docs.select("doc_id", "text").join(rows, "doc_id"), "labelled-texts")
+    rows = stored(rows, "labelled")
+    # only texts that may have a label cross the shuffle
+    texts = labelled_only(docs.select("doc_id", "text"), rows)
+    texts = stored(texts.join(rows.hint("merge"), "doc_id"), "labelled-texts")
     early, later = texts.filter("not later").select("text", "toxic"), texts.filter("later").select("text", "toxic")
     grams = tuple((r["gram"], r["n"]) for r in early.select("text").mapInArrow(_counting_letters, "gram string, n long")
                   .groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").collect())  # three of 28 signs: bounded

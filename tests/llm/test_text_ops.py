@@ -288,6 +288,19 @@ def test_toxicity_learns_from_all_labelled_rows(spark, make):
     assert got[0] >= 0.5 > got[1]
 
 
+def test_texts_without_a_label_stay_out_of_the_shuffle(spark, monkeypatch):
+    """The filter before the join of texts and labels loses no labelled row and lets few others pass, whatever its bound."""
+    docs = spark.range(-5000, 15000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    docs = docs.union(docs.limit(3)).union(spark.sql("SELECT cast(NULL AS bigint), 'none'"))
+    rows = spark.range(0, 15000, 3).selectExpr("cast(id AS int) AS doc_id", "id % 2 = 0 AS toxic")
+    for bound, most in ((1 << 27, 2500), (1, 20003)):
+        monkeypatch.setattr(toxicity, "MOST_MARKS", bound)
+        passed = toxicity.labelled_only(docs, rows)
+        kept = {r.doc_id for r in passed.collect()}
+        assert kept >= set(range(0, 15000, 3)) and len(kept) <= 5000 + most
+    assert toxicity.labelled_only(docs, rows.limit(0)).count() == 0
+
+
 def test_segments_are_built_in_pieces(monkeypatch):
     """Bits of a segment don't depend on how many keys are set at once; counts of keys add up."""
     rng = np.random.default_rng(3)
