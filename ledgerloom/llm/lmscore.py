@@ -3,8 +3,8 @@
 Counts are quantised to levels; an n-gram of level L is stored as L entries (n-gram, 1) .. (n-gram, L) in a Bloom
 filter. A count is read back by probing (n-gram, 1), (n-gram, 2), ... until one is missing. The filter is cut into
 segments by n-gram hash. Each segment is built by one task from the counts of its n-grams, and holds a bounded number of
-entries. Segments are broadcast together, up to ``broadcast_mb`` at once; if there are more, texts are scored in several
-passes, each of which handles the tokens whose context lies in its segments, and the sums are added.
+entries. Segments are broadcast in parts that the driver fetches one after the other, up to ``broadcast_mb`` for one pass
+over the texts; if there are more, texts are scored in several passes, each of which handles the tokens whose context lies in its segments, and the sums are added.
 
 Smoothing is a bigram model over an add-``alpha`` unigram model,
 ``p(w | h) = (c(h w) + mu p(w)) / (c(h) + mu)``. Stored counts are lower bounds of their level and the context count is
@@ -34,6 +34,7 @@ SEGMENT_BYTES = 24 << 20  # text that one segment's n-grams come from
 FLUSH_TOKENS = 1_500_000
 BUILD_KEYS = 500_000  # whose entries are set at once
 BROADCAST_MB = 256
+PART_MB = 48  # of a broadcast; the driver holds no more than one at once
 END, START = U64(0x5DEECE66D1234567), U64(0x2545F4914F6CDD1D)
 _GROWTH = 1.2
 
@@ -227,10 +228,18 @@ def train(docs: DataFrame) -> tuple[DataFrame, int]:
     return stored(counted.groupBy("segment").applyInArrow(_segment, _SEGMENTS), "lm-segments"), segments
 
 
-def _score(held, total_tokens: int, total_types: int, alpha: float, mu: float, final: bool):
+def _level(parts: list, keys: np.ndarray) -> np.ndarray:
+    """Level of each key, 0 where no part holds its segment; a segment is in one part."""
+    out = np.zeros(len(keys), dtype=np.int64)
+    for model, _, _ in parts:
+        out += model.level(keys)
+    return out
+
+
+def _score(held: list, total_tokens: int, total_types: int, alpha: float, mu: float, final: bool):
     """One pass over the texts: add what the broadcast segments know to each token's levels (of word, context and pair)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words, counts = held.value
+        parts = [x.value for x in held]
         scale = total_tokens + alpha * (total_types + 1)
         for batch in batches:
             for part, texts in chunks(batch, "text"):
@@ -238,17 +247,19 @@ def _score(held, total_tokens: int, total_types: int, alpha: float, mu: float, f
                 n = len(texts)
                 column = {c: part.column(part.schema.get_field_index(c)) for c in part.schema.names}
                 unique, place = np.unique(token, return_inverse=True)
-                exact = np.zeros(len(unique))
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, unique), len(words) - 1)
-                    found = words[at] == unique
-                    exact[found] = counts[at[found]]
-                mine = model.held[segment_of(unique, model.segments)]
+                exact, mine = np.zeros(len(unique)), np.zeros(len(unique), dtype=bool)
+                for model, words, counts in parts:
+                    here = np.flatnonzero(model.held[segment_of(unique, model.segments)])
+                    mine[here] = True
+                    if len(words):
+                        at = np.minimum(np.searchsorted(words, unique[here]), len(words) - 1)
+                        found = words[at] == unique[here]
+                        exact[here[found]] = counts[at[found]]
                 base = np.where(mine, np.log10((exact + alpha) / scale), 0.0)[place]
                 known = ((exact > 0) & mine)[place]
                 grams, gram = np.unique(pair(context, token), return_inverse=True)
                 heads, head = np.unique(context, return_inverse=True)
-                levels = np.stack([model.level(unique)[place], model.level(heads)[head], model.level(grams)[gram]], axis=1)
+                levels = np.stack([_level(parts, unique)[place], _level(parts, heads)[head], _level(parts, grams)[gram]], axis=1)
                 before = b"".join(column["levels"].to_pylist())
                 if before:
                     levels = np.maximum(levels, np.frombuffer(before, dtype=np.uint8).reshape(-1, 3))
@@ -290,6 +301,24 @@ def _model(segments: DataFrame, number: int):
     return model, known[order], number_of[order]
 
 
+def _broadcast(segments: DataFrame, number: int):
+    held = segments.sparkSession.sparkContext.broadcast(_model(segments, number))
+    release()
+    return held
+
+
+def _packed(rows: list, limit: int) -> list[list]:
+    """Runs of ``rows`` of at most ``limit`` bytes; a larger row is a run of its own."""
+    out, room = [[]], limit
+    for r in rows:
+        if out[-1] and r["bytes"] > room:
+            out.append([])
+            room = limit
+        out[-1].append(r)
+        room -= r["bytes"]
+    return out
+
+
 def score(docs: DataFrame, segments: DataFrame, number: int, alpha: float = ALPHA, mu: float = MU,
           broadcast_mb: int = BROADCAST_MB) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text, held_out): one pass for each ``broadcast_mb`` of filter.
@@ -299,24 +328,18 @@ def score(docs: DataFrame, segments: DataFrame, number: int, alpha: float = ALPH
     spark = docs.sparkSession
     sizes = segments.select("segment", "bytes", "tokens", "types").orderBy("segment").collect()  # a row per segment
     tokens, types = sum(r["tokens"] for r in sizes), sum(r["types"] for r in sizes)
-    groups: list[list[int]] = [[]]
-    room = broadcast_mb << 20
-    for r in sizes:
-        if groups[-1] and r["bytes"] > room:
-            groups.append([])
-            room = broadcast_mb << 20
-        groups[-1].append(r["segment"])
-        room -= r["bytes"]
+    groups = [_packed(group, PART_MB << 20) for group in _packed(sizes, broadcast_mb << 20)]
     rows = docs.select(F.col("doc_id").cast("long"), "held_out", "text", F.lit(0).cast("long").alias("n_known"),
                        F.lit(0.0).alias("base_score"), F.lit(b"").alias("levels"))
     for i, group in enumerate(groups):
         final = i == len(groups) - 1
-        held = spark.sparkContext.broadcast(_model(segments.filter(F.col("segment").isin(group)), number))
+        held = [_broadcast(segments.filter(F.col("segment").isin([r["segment"] for r in part])), number) for part in group]
         rows = rows.mapInArrow(_score(held, tokens, types, alpha, mu, final),
                                _SCORED + (", score double" if final else ", levels binary, text string"))
         if not final:
             rows = stored(rows, "lm-pass")
-            held.unpersist()
+            for x in held:
+                x.unpersist()
     return rows.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 

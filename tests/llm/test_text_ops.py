@@ -67,6 +67,21 @@ def test_lm_in_passes_is_the_same(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_in_parts_is_the_same(spark, monkeypatch):
+    """The driver holds one part of the model at once, and texts are still scored in one pass."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit(False).alias("held_out"))
+    monkeypatch.setattr(lmscore, "SEGMENT_BYTES", 100_000)
+    segments, n = lmscore.train(rows)
+    made, model = [], lmscore._model
+    monkeypatch.setattr(lmscore, "_model", lambda some, number: made.append(some.count()) or model(some, number))
+    one = {r.doc_id: r for r in lmscore.score(rows, segments, n).collect()}
+    assert made == [segments.count()]
+    monkeypatch.setattr(lmscore, "PART_MB", 0)
+    scored = lmscore.score(rows, segments, n)
+    assert made[1:] == [1] * segments.count() and n > 4
+    assert {r.doc_id: r for r in scored.collect()} == one
+
+
 def test_lm_filter_levels():
     keys = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.array([1 + i % 700 for i in range(4000)])
