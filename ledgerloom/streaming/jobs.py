@@ -184,6 +184,16 @@ def _write(df: DataFrame, path: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    """Write what an epoch reads more than once to files, in place of those of the epoch before, and go on from them.
+
+    A cached partition is read whole by one task, however large its rows are; files are read in splits of bounded size, and of
+    them only the columns that are used.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ledger_sink(root: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body for completed events: headers, lines, tickets and fatal events under ``root``.
 
@@ -246,22 +256,21 @@ def page_sink(root: str, batches: DataFrame, items: DataFrame, manifest: DataFra
         store = KeyStore(events.sparkSession, root)
         if store.is_committed(epoch):
             return
-        opened = open_envelopes(events.select("value"), envelopes.PAGE_SCHEMA).persist()
+        opened = _staged(open_envelopes(events.select("value"), envelopes.PAGE_SCHEMA), f"{root}/staged/opened")
         good, broken = split_malformed(opened)
         own = F.coalesce(F.nullif(F.col("e.id"), F.lit("")), F.concat_ws(":", "e.data.batch_id", F.col("e.data.page_index").cast("string")))
         routed = ingest.route_events(good.select("value", own.alias("event_id"), F.col("e.type").alias("type"), "e.data.*"))
         pages = routed.filter("route = 'page'").drop("route")
         seen = store.seen(pages.select("event_id")).persist()
         fresh = first_per_key(pages, ["event_id"], [F.asc("value")]).join(seen, "event_id", "left_anti")
-        judged = ingest.triage_pages(fresh, batches, items, manifest).persist()
+        judged = _staged(ingest.triage_pages(fresh, batches, items, manifest), f"{root}/staged/judged")
         _write(judged.filter("outcome = 'process'").drop("outcome", "value"), f"{root}/pages", epoch)
         poison = judged.filter("outcome NOT IN ('process', 'skipped')").withColumn("error_type", F.col("outcome"))
         _write(poison_events(poison), f"{root}/poison", epoch)
         _write(broken.select("value"), f"{root}/quarantine", epoch)
         _write(routed.filter("route <> 'page'").select("value", "type", "route"), f"{root}/other", epoch)
         store.commit(epoch, judged.select("event_id"))
-        for df in (judged, seen, opened):
-            df.unpersist()
+        seen.unpersist()
     return run
 
 

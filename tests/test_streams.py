@@ -249,3 +249,27 @@ def test_batches_of_one_bucket_share_state_and_keep_their_own_dates(spark, folde
     got = spark.read.parquet(f"{folder}/kpis").groupBy("total", "settled", "cleared_paise").count().collect()
     assert sorted(tuple(r) for r in got) == [(1, 1, 5, 1000), (2, 2, 10, 1000)]
     assert max(rows) <= 12  # value, timer and its index of two buckets, not of 3,000 batches
+
+
+def test_page_sink_hands_on_in_files(spark, tmp_path):
+    """Parsed events are in files of the newest epoch, not in cached partitions that one task reads whole."""
+    from ledgerloom.sources.events import page_events
+    from ledgerloom.streaming.keystore import read_committed
+
+    root = str(tmp_path)
+    batches = spark.createDataFrame([("b", "V")], "batch_id string, vendor_code string")
+    items = spark.createDataFrame([("b", 1)], "batch_id string, row_number bigint")
+    manifest = spark.createDataFrame([("/p", True)], "file_path string, readable boolean")
+    sink = jobs.page_sink(root, batches, items, manifest)
+    for epoch, pages in enumerate(([0, 1], [0, 2, 3])):
+        events = page_events(spark.createDataFrame(
+            [("b", "V", "scan", p, "/p" if p != 3 else "/none", 1, "b", f"evt_outbox_{p}") for p in pages],
+            "batch_id string, vendor_code string, source_type string, page_index bigint, file_path string, file_size bigint,"
+            " partition_key string, event_id string")).select("value")
+        sink(events.union(events).union(spark.createDataFrame([("{broken",)], "value string")), epoch)
+        assert spark.read.parquet(f"{root}/staged/opened").count() == 2 * len(pages) + 1
+    done = read_committed(spark, root, "pages", "batch_id string, page_index bigint")
+    assert sorted(r.page_index for r in done.collect()) == [0, 2]
+    assert [r.epoch for r in read_committed(spark, root, "poison", "value string").collect()] == [1]
+    assert read_committed(spark, root, "quarantine", "value string").count() == 2
+    assert spark.read.parquet(f"{root}/staged/judged").count() == 2
