@@ -166,6 +166,28 @@ def test_jaccard_nulls_repeats_and_one_of_each(make):
     assert jaccard.jaccard_components(make([], DOCS)).collect() == []
 
 
+def test_components_end_with_the_last_change(spark, monkeypatch):
+    from ledgerloom.llm import components
+
+    files, keep = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: files.append(name) or keep(df, name))
+
+    def found(links):
+        files.clear()
+        return {r.node: r.component for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+
+    assert found([(5, 1), (1, 7), (9, 8), (9, 8), (3, 3)]) == {1: 1, 5: 1, 7: 1, 8: 8, 9: 8} and len(files) == 1
+    assert found([]) == {} and len(files) == 1
+    rng = random.Random(3)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in range(400):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert found(links) == root
+
+
 def test_rans_round_trip_and_checkpoints():
     rng = np.random.default_rng(1)
     ids = np.minimum(rng.geometric(0.01, 50_000), 999)
