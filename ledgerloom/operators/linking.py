@@ -13,14 +13,18 @@ from ledgerloom.scale import written
 RESOLVED, MISMATCH = "ENTITY_RESOLVED", "ENTITY_MISMATCH"
 
 
+def distinct_scores(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """``score`` and ``phonetic`` of each distinct pair of token arrays."""
+    distinct = pairs.select(left, right).distinct().withColumn("__m", token_set_match(left, right))
+    return distinct.select(left, right, F.col("__m.score").alias("score"), F.col("__m.phonetic").alias("phonetic"))
+
+
 def score_distinct_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """``score`` and ``phonetic`` for rows with two token arrays; each distinct pair is scored once.
 
     Names repeat far more often than rows, and the score is by far the dearest expression.
     """
-    distinct = pairs.select(left, right).distinct().withColumn("__m", token_set_match(left, right))
-    scored = distinct.select(left, right, F.col("__m.score").alias("score"), F.col("__m.phonetic").alias("phonetic"))
-    return pairs.join(scored, [left, right])
+    return pairs.join(distinct_scores(pairs, left, right), [left, right])
 
 
 def fuzzy_verdict(pairs: DataFrame, left: str, right: str, threshold: float = MATCH_THRESHOLD) -> DataFrame:
@@ -79,17 +83,32 @@ def synonyms(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.filter(token_synonym("a", "b").isNotNull())
 
 
-def _possible_pairs(names: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
-    """(vendor_code, __a, __b) that can score ``threshold``, by the rarest word of one side.
+def _near(threshold: float) -> float:
+    return threshold - 0.0001  # scores are rounded to four places
+
+
+def _words(words: str) -> Column:
+    """How many different words there are."""
+    return F.size(F.array_distinct(words))
+
+
+def _fitting_sizes(names: DataFrame, narrated: DataFrame, threshold: float) -> list[tuple[int, int]]:
+    """(words of a name, words of a narration) that occur and can score ``threshold``: as many pairs as there are lengths."""
+    a_sizes, b_sizes = ([r[0] for r in df.select(_words(c)).distinct().collect()] for df, c in ((names, "__a"), (narrated, "__b")))
+    return [(a, b) for a in a_sizes for b in b_sizes if a is not None and b is not None and min(a, b) >= _near(threshold) * max(a, b)]
+
+
+def _possible_pairs(names: DataFrame, targets: DataFrame, threshold: float, fitting: list[tuple[int, int]]) -> DataFrame:
+    """(vendor_code, __a, __b) that can score ``threshold``, by the rarest word of one side; sizes as :func:`_fitting_sizes` has them.
 
     With a score above 0 all words of the smaller side are found on the other: as they are, or as synonyms if the sides have
     equally many. So the rarest word of the smaller side leads to all its partners, and no vendor's names meet all its narrations.
     """
-    near = threshold - 0.0001  # scores are rounded to four places
-    sized = lambda df, words: df.select("vendor_code", words).distinct().withColumn(f"{words}n", F.size(F.array_distinct(words)))
+    near = _near(threshold)
+    sized = lambda df, words: df.select("vendor_code", words).distinct().withColumn(f"{words}n", _words(words))
     left, right = sized(names, "__a"), sized(targets, "__b")
-    a_words = written(left.select("*", F.explode(F.array_distinct("__a")).alias("a")))
-    b_words = written(right.select("*", F.explode(F.array_distinct("__b")).alias("b")))
+    a_words = written(left.filter(F.col("__an").isin([a for a, _ in fitting])).select("*", F.explode(F.array_distinct("__a")).alias("a")))
+    b_words = written(right.filter(F.col("__bn").isin([b for _, b in fitting])).select("*", F.explode(F.array_distinct("__b")).alias("b")))
     alike = written(synonyms(a_words.select("a").distinct(), b_words.select("b").distinct()))
     in_b = b_words.groupBy("vendor_code", "b").agg(F.count(F.lit(1)).alias("rows"))
     in_a = a_words.groupBy("vendor_code", "a").agg(F.count(F.lit(1)).alias("rows"))
@@ -104,7 +123,10 @@ def _possible_pairs(names: DataFrame, targets: DataFrame, threshold: float) -> D
     pair = ("vendor_code", "__a", "__b")
     from_a = (rarest(a_words, "a", "__a", reach).join(alike, "a").join(b_words, ["vendor_code", "b"])
               .filter(f"__an <= __bn AND __an >= {near} * __bn").select(*pair))
-    from_b = (rarest(b_words, "b", "__b", in_a.withColumnRenamed("a", "b")).join(a_words.withColumnRenamed("a", "b"), ["vendor_code", "b"])
+    # Only narrations of fewer words than some name are the smaller side.
+    shorter = [b for a, b in fitting if b < a]
+    from_b = (rarest(b_words.filter(F.col("__bn").isin(shorter)), "b", "__b", in_a.withColumnRenamed("a", "b"))
+              .join(a_words.withColumnRenamed("a", "b"), ["vendor_code", "b"])
               .filter(f"__bn < __an AND __bn >= {near} * __an").select(*pair))
     wordless = left.filter("__an = 0").join(right.filter("__bn = 0"), "vendor_code").select(*pair)
     return from_a.union(from_b).union(wordless).distinct()
@@ -119,12 +141,15 @@ def best_settlement(invoices: DataFrame, settlements: DataFrame, threshold: floa
     """
     if threshold <= 0:
         raise ValueError("a threshold of 0 would link every name to every narration")
-    names = invoices.select("vendor_code", "supplier_legal_name").distinct().withColumn(
-        "__a", source_tokens("supplier_legal_name"))
+    names = written(invoices.select("vendor_code", "supplier_legal_name").distinct().withColumn(
+        "__a", source_tokens("supplier_legal_name")))
     narrated = settlements.filter("utr IS NOT NULL AND narration <> ''").withColumn("__b", narration_tokens("narration"))
     newest = F.max(F.struct("ingested_epoch", "payout_id", "utr", "amount_paise")).alias("s")
-    targets = narrated.groupBy("vendor_code", "__b").agg(newest).select("vendor_code", "__b", "s.*")
-    pairs = score_distinct_pairs(_possible_pairs(names, targets, threshold), "__a", "__b").filter(F.col("score") >= threshold)
+    # Narrations of a length that no name can match are left out before anything is shipped.
+    fitting = _fitting_sizes(names, narrated, threshold)
+    targets = written(narrated.filter(_words("__b").isin([b for _, b in fitting])).groupBy("vendor_code", "__b").agg(newest).select(
+        "vendor_code", "__b", "s.*"))
+    pairs = score_distinct_pairs(_possible_pairs(names, targets, threshold, fitting), "__a", "__b").filter(F.col("score") >= threshold)
     scored = pairs.join(names, ["vendor_code", "__a"]).join(targets, ["vendor_code", "__b"])
     best = scored.groupBy("vendor_code", "supplier_legal_name").agg(F.max_by(
         F.struct("payout_id", "utr", "amount_paise", "score"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.dates import days_apart
 from ledgerloom.functions.labels import exception_reason
 from ledgerloom.functions.text import MATCH_THRESHOLD, narration_tokens, source_tokens
-from ledgerloom.operators.linking import MISMATCH, RESOLVED, best_settlement, score_distinct_pairs
+from ledgerloom.operators.linking import MISMATCH, RESOLVED, best_settlement, distinct_scores, score_distinct_pairs
 from ledgerloom.operators.reads import with_anchor
 from ledgerloom.operators.subsets import find_subsets
 from ledgerloom.scale import spread_nulls, written
@@ -60,24 +60,18 @@ def request_key() -> Column:
     return F.when(key.isNotNull(), F.concat_ws("|", "vendor_code", key))
 
 
-def _with_keys(credits: DataFrame) -> DataFrame:
-    """Each credit under the keys it answers to: its UTR and its amount."""
-    keys = F.array_compact(F.array(F.concat(F.lit("utr:"), F.col("utr_number")),
-                                   F.concat(F.lit("paise:"), F.col("amount_paise").cast("string"))))
-    return credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "amount_paise",
-                          *[c for c in ("narration", WORDS) if c in credits.columns], F.explode(keys).alias("key"))
-
-
-def _wanted(requests: DataFrame) -> DataFrame:
-    return requests.select(*REQUEST, _key("request_utr", "request_paise").alias("key")).filter("key IS NOT NULL").distinct()
-
-
 def requested_credits(requests: DataFrame, credits: DataFrame) -> DataFrame:
     """Credits of each distinct request: those with its UTR, whatever the amount; or those with its amount.
 
-    A credit answers under up to two keys, so one join over one read of each side serves both kinds.
+    Each kind is an equi-join of its own on the columns as they are, and falls away where no request can be of that kind.
     """
-    return _with_keys(credits).join(_wanted(requests), ["vendor_code", "key"])
+    rows = credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "amount_paise",
+                          *[c for c in ("narration", WORDS) if c in credits.columns])
+    wanted = requests.select(*REQUEST)
+    by_utr = wanted.filter("request_utr IS NOT NULL").distinct().withColumn("utr_number", F.col("request_utr"))
+    by_amount = wanted.filter("request_utr IS NULL AND request_paise IS NOT NULL").distinct().withColumn(
+        "amount_paise", F.col("request_paise"))
+    return rows.join(by_utr, ["vendor_code", "utr_number"]).unionByName(rows.join(by_amount, ["vendor_code", "amount_paise"]))
 
 
 def matching_units(requests: DataFrame, credits: DataFrame, invoices: DataFrame, max_size: int | None = None,
@@ -85,15 +79,14 @@ def matching_units(requests: DataFrame, credits: DataFrame, invoices: DataFrame,
     """Every (credit, set) option of each request, credits alike in all that matters counted as one row.
 
     Alike means same amount, date and narration words: ``n`` says how many options a row stands for, and
-    the row names one of them. Credits are counted before they meet the requests. An amount shared by very
-    many credits so ships few rows per task, and yields one row per set, date and
-    narration, never a row per pair of credit and request.
+    the row names one of them. Credits nobody asks for are left out before the others are counted, which happens before
+    they are shipped: an amount shared by very many credits yields few rows per task, and one row per set, date and narration.
     """
-    keyed = _with_keys(credits)
-    counted = (keyed if WORDS in credits.columns else keyed.withColumn(WORDS, narration_tokens("narration"))).groupBy(
-        "vendor_code", "key", "amount_paise", "transaction_date", "__b").agg(
+    if WORDS not in credits.columns:
+        credits = written(credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "amount_paise",
+                                         narration_tokens("narration").alias(WORDS)))
+    groups = requested_credits(requests, credits).groupBy(*REQUEST, "amount_paise", "transaction_date", WORDS).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("transaction_id", "utr_number")).alias("credit"))
-    groups = counted.join(_wanted(requests), ["vendor_code", "key"]).drop("key")
     if subsets is None:
         groups = written(groups)
         subsets = find_subsets(groups.select("vendor_code", "amount_paise"), invoices, max_size, salts)
@@ -157,6 +150,11 @@ def match_requests(requests: DataFrame, credits: DataFrame, invoices: DataFrame,
                    subsets: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
     """``requests`` rows with the verdict of their request; one without any option is NO_MATCH."""
     units = matching_units(requests, credits, invoices, max_size, salts, subsets)
+    if scores is None:
+        words = F.when(F.col("size") == 1, source_tokens("supplier"))
+        units = written((units if NAME_WORDS in units.columns else units.withColumn(NAME_WORDS, words)).drop("path", "supplier"))
+        # From files the size of the scores is known: few of them are broadcast, and no options shipped to them.
+        scores = written(distinct_scores(named_units(units), NAME_WORDS, WORDS).drop("phonetic"))
     verdicts = decide(scored_units(units, tolerance_days, scores=scores)).withColumn(
         "key", _key("request_utr", "request_paise")).drop("request_utr", "request_paise")
     # A request for nothing gets a key of its own row, so that such rows do not meet in one partition.
@@ -179,7 +177,7 @@ def fast_path(invoices: DataFrame, settlements: DataFrame, credits: DataFrame, p
 
     ``committable`` invoices carry a proof naming them; all others go to :func:`resolve_exceptions`.
     """
-    asked = request_of(with_anchor(invoices, settlements))
+    asked = written(request_of(with_anchor(invoices, settlements)))
     return settle(match_requests(asked, credits, pool if pool is not None else invoices, **options))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import envelopes
@@ -54,9 +54,9 @@ def proof_rows(proofs: DataFrame, invoices: DataFrame) -> DataFrame:
     wanted = proofs.filter("matched_utr IS NOT NULL").withColumn("invoice_number", F.explode("matched_invoices"))
     rows = wanted.join(invoices.select("vendor_code", "invoice_number", "document_id", "net_paise"),
                        ["vendor_code", "invoice_number"])
-    complete = rows.groupBy("proof_id").agg(F.count(F.lit(1)).alias("n"), F.sum("net_paise").alias("total"))
-    return rows.join(complete, "proof_id").filter(
-        (F.col("n") == F.size("matched_invoices")) & (F.col("total") == F.col("proof_paise"))).drop("n", "total")
+    proof = Window.partitionBy("proof_id")
+    complete = rows.withColumns({"n": F.count(F.lit(1)).over(proof), "total": F.sum("net_paise").over(proof)})
+    return complete.filter((F.col("n") == F.size("matched_invoices")) & (F.col("total") == F.col("proof_paise"))).drop("n", "total")
 
 
 def _accepted(rows: DataFrame) -> DataFrame:

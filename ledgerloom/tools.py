@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.deductions import with_waterfall as deduct
+from ledgerloom.functions.text import narration_tokens
 from ledgerloom.operators.exceptions import exception_events
 from ledgerloom.operators.linking import fuzzy_verdict as link_names
-from ledgerloom.operators.matching import MATCHED, fast_path, match_requests, request_guard, resolve_exceptions
+from ledgerloom.operators.matching import MATCHED, WORDS, fast_path, match_requests, request_guard, resolve_exceptions
 from ledgerloom.operators.posting import completed_events, post_matches
-from ledgerloom.scale import cut_lineage, first_per_key
+from ledgerloom.scale import first_per_key, written
 
 __all__ = ["link_names", "deduct", "match", "post", "route", "reconcile_snapshot"]
 
@@ -53,15 +54,22 @@ def reconcile_snapshot(invoices: DataFrame, settlements: DataFrame, credits: Dat
     document id stands; the others stay open for the next pass. Use ``reconcile_in_order`` for the result
     of strictly one invoice after the other.
     """
-    first = cut_lineage(fast_path(invoices, settlements, credits, **options))
-    again = cut_lineage(resolve_exceptions(first.filter("NOT committable"), settlements, credits, invoices, **options))
+    # Each step reads what it needs from files: derived once, and only the columns that are used.
+    invoices = written(invoices.select("document_id", "vendor_code", "invoice_number", "document_date", "supplier_legal_name", "net_paise"))
+    credits = written(credits.select("vendor_code", "transaction_id", "utr_number", "transaction_date", "amount_paise",
+                                     narration_tokens("narration").alias(WORDS)))
+    bare = settlements.withColumns({"narration": F.lit(None).cast("string"), "fees_paise": F.lit(0), "tax_paise": F.lit(0)})
     keep = ["vendor_code", "document_id", "matched_invoices", "matched_utr", "proof_paise"]
+    first = written(fast_path(invoices, bare, credits, **options).select(
+        *keep, "invoice_number", "supplier_legal_name", "anchor_payout_id", "subset_status", "committable"))
+    again = written(resolve_exceptions(first.filter("NOT committable"), settlements, credits, invoices, **options).select(
+        *keep, "anchor_payout_id", "fuzzy_payout_id", "committable", "review_reason"))
     claims = first.filter("committable").select(*keep, F.col("anchor_payout_id").alias("payout_id")).unionByName(
         again.filter("committable").select(*keep, F.coalesce("anchor_payout_id", "fuzzy_payout_id").alias("payout_id")))
     proofs = first_per_key(claims.filter("matched_utr IS NOT NULL"), ["vendor_code", "matched_utr"], [F.asc("document_id")]).withColumnRenamed(
         "document_id", "proof_id")
     posted, _ = post_matches(proofs, invoices, reconciliations, F.col("proof_id"))
-    posted = cut_lineage(posted)
+    posted = written(posted)
     cleared = posted.select("document_id", F.col("utr_number").alias("utr"))
     # A proof by a credit without a UTR cannot be posted; a person has to look at it.
     no_utr = first.filter("committable AND matched_utr IS NULL").select("document_id", F.lit("REASON_UNSPECIFIED").alias("review_reason"))

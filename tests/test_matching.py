@@ -303,3 +303,41 @@ def test_named_invoices_are_derived_once(spark):
     shared = fx.invoices_named()
     assert "Join" not in shared._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, shared.collect())) == sorted(map(str, plain.collect())) and shared.columns == plain.columns
+
+
+def test_snapshot_ships_what_it_uses(spark, monkeypatch):
+    """Columns that decide nothing are in no step's files, rows are not kept as checkpoints, and the outcomes are right."""
+    from pyspark.sql import DataFrame
+
+    from ledgerloom import scale, tools
+    from ledgerloom.operators import linking, matching, posting, subsets
+    pool = [invoice(1, 500), invoice(2, 300), invoice(3, 200), invoice(4, 700, "Zenith Foods"), invoice(5, 900)]
+    credits = [credit(1, 500), credit(2, 500, "NEFT/2/HDFC/OTHERS"), credit(3, 700, "NEFT/3/HDFC/ZENITH FOODS"), credit(5, 900, utr=None)]
+    paid = [("V", "p1", "INV-0001", "u1", 500, "ACME TOOLS", "processed", 0, 0, 1),
+            ("V", "p4", "INV-0009", "u3", 700, "NEFT/3/HDFC/ZENITH FOODS", "processed", 0, 0, 2)]
+    files = []
+
+    def noted(df):
+        files.append(df.columns)
+        return scale.written(df)
+
+    for module in (tools, linking, matching, posting, subsets):
+        monkeypatch.setattr(module, "written", noted)
+    monkeypatch.setattr(DataFrame, "checkpoint", None)
+    posted, outcomes = tools.reconcile_snapshot(
+        spark.createDataFrame(pool, POOL).withColumn("scan", F.lit("x" * 100)), spark.createDataFrame(paid, SETTLE),
+        spark.createDataFrame(credits, CREDITS), spark.createDataFrame([], "document_id string"))
+    got = {r.document_id: (r.terminal, r.utr, r.review_reason) for r in outcomes.collect()}
+    assert got["d1"] == ("LEDGER_COMMITTED", "u1", None) and got["d4"] == ("LEDGER_COMMITTED", "u3", None)
+    assert got["d5"] == ("EXCEPTION_ROUTED", None, "REASON_UNSPECIFIED") and len(got) == 5
+    assert {(r.document_id, r.payout_id) for r in posted.collect()} == {("d1", "p1"), ("d4", None)}
+    assert not any({"scan", "narration", "path"} & set(f) for f in files if "sum" not in f)
+
+
+def test_lengths_no_name_can_match_are_left_out(spark):
+    from ledgerloom.operators import linking
+    names = spark.createDataFrame([(["a", "b"],), ([],), (None,)], "__a array<string>")
+    told = spark.createDataFrame([(["a"],), (["a", "b", "b"],), (["a", "b", "c"],), ([],)], "__b array<string>")
+    assert sorted(linking._fitting_sizes(names, told, 0.85)) == [(0, 0), (2, 2)]
+    assert (7, 6) in linking._fitting_sizes(spark.createDataFrame([(list("abcdefg"),)], "__a array<string>"),
+                                            spark.createDataFrame([(list("abcdef"),)], "__b array<string>"), 0.85)

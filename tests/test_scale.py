@@ -1,5 +1,7 @@
 """The bucket-wise helpers give what the plain window gives, also with one very hot key."""
 
+import time
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -75,3 +77,19 @@ def test_feed_is_parsed_once(spark):
     import __spark_entry__ as entry
     status = entry.queries()["a1_a11_feed_file"](spark, "/root/testdata/sf0.001")
     assert "from_json" not in status._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shuffles_go_with_the_write(spark):
+    """What a step shuffled is off the disks when its files are there, and the caller's setting is as before."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {p for p in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in p and p.endswith(".data")}
+    before = shuffles()
+    rows = scale.written(spark.range(50_000).groupBy((F.col("id") % 7_000).alias("k")).agg(F.count(F.lit(1)).alias("n")))
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert (rows.count(), rows.agg(F.sum("n")).first()[0]) == (7_000, 50_000)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(key, None) in (None, "false")
