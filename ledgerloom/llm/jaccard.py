@@ -2,7 +2,7 @@
 
 Documents are sets of distinct word shingles. Equal sets are one class with one representative. Representatives are put
 into groups of similar ones: those with an equal minimum hash, then groups with most of their rare tokens in common are made
-one, so that a family of near copies is one group. A group holds about ``GROUP_TOKENS`` shingles; larger ones are split by hash.
+one, and families with the small groups that can have links to them, so that a family of near copies is one group. A group holds about ``GROUP_TOKENS`` shingles; larger ones are split by hash.
 The token-group matrix holds the tokens of each group's union; a group needs to be looked at by a document only if their
 overlap can reach the threshold. Two filters bound it:
 
@@ -42,6 +42,7 @@ SLICES = 16
 GROUP_TOKENS = 1_500_000
 EXTRA = 20  # a twentieth of a set more goes into the matrix, and so many tokens more must be common
 ALIKE = 1.5  # times as many tokens as a document needs to look at a group make two groups one
+FAMILY = 10  # times as many documents make a group a family for another one
 ROUNDS = 2  # times that rows of the matrix which can't count are left out; any number gives the same links
 ACTIVE_ROWS = 500_000  # rows of a few numbers that may be broadcast
 
@@ -237,6 +238,26 @@ def _merge(hashed: DataFrame, merged: DataFrame) -> DataFrame:
     return hashed.join(placed, "group", "left").select("rep", F.coalesce("placed", "group").alias("group"))
 
 
+def _alike(shared: DataFrame, hashed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of groups to be made one: those with most of their matrix tokens in common, and a family of near copies with
+    each much smaller group that can have a link to it.
+
+    A group beside a family would be looked at by every document of the family, and there can be as many of them as
+    the family has documents; within one group a document that is connected isn't compared again."""
+    matrix = shared.groupBy("token", "group").agg(F.min("least").alias("least"))
+    common = (matrix.alias("x").join(matrix.alias("y"), "token").filter("x.group < y.group")
+              .groupBy(F.col("x.group").alias("a"), F.col("y.group").alias("b"))
+              .agg(F.count(F.lit(1)).alias("common"), F.min("x.least").alias("a_least"), F.min("y.least").alias("b_least")))
+    most = F.col("common") >= ALIKE * F.least("a_least", "b_least")
+    linked = F.col("common") >= F.greatest("a_least", "b_least")
+    possible = stored(common.filter(most | linked).select("a", "b", most.alias("most")), "alike")
+    sizes = hashed.groupBy("group").agg(F.count(F.lit(1)).alias("docs"))
+    beside = (possible.filter("NOT most").join(sizes.select(F.col("group").alias("a"), F.col("docs").alias("a_docs")), "a")
+              .join(sizes.select(F.col("group").alias("b"), F.col("docs").alias("b_docs")), "b")
+              .filter(F.greatest("a_docs", "b_docs") >= FAMILY * F.least("a_docs", "b_docs")))
+    return possible.filter("most").select("a", "b").union(beside.select("a", "b"))
+
+
 def _lasting(rows: DataFrame) -> DataFrame:
     """``rows`` (token, rep, group, least) that can count: tokens of several groups, in documents that have ``least`` of them.
 
@@ -265,13 +286,7 @@ def links_of(docs: DataFrame, described: DataFrame, width: int, percent: int) ->
 
     shared = stored(_lasting(shared), "lasting")
 
-    # Groups with most of their matrix tokens in common become one.
-    matrix = shared.select("token", "group", "least").groupBy("token", "group").agg(F.min("least").alias("least"))
-    alike = (matrix.alias("x").join(matrix.alias("y"), "token").filter("x.group < y.group")
-             .groupBy(F.col("x.group").alias("a"), F.col("y.group").alias("b"))
-             .agg(F.count(F.lit(1)).alias("common"), F.least(F.min("x.least"), F.min("y.least")).alias("least"))
-             .filter(F.col("common") >= ALIKE * F.col("least")).select("a", "b"))
-    grouped = stored(_merge(hashed, connected(alike)), "grouped")
+    grouped = stored(_merge(hashed, connected(_alike(shared, hashed))), "grouped")
 
     sides = stored(_lasting(shared.drop("group").join(grouped, "rep")), "sides")
     matrix = sides.select("token", F.col("group").alias("other")).distinct()

@@ -153,6 +153,18 @@ def test_jaccard_components(make, width, percent):
     assert {d: r.n_shingles for d, r in got.items()} == {d: len(s) for d, s in sets.items()}
 
 
+def test_jaccard_small_groups_join_their_family(make):
+    """A group that can have links to a family of near copies becomes part of it, so that not every copy looks at it."""
+    def group(number, reps, tokens):
+        return [(t, rep, number, 7) for rep in reps for t in tokens]
+
+    rows = group(1, range(100, 130), range(10)) + group(2, [200], range(8)) + group(3, [300], range(5))
+    rows += group(4, [400], range(50, 58)) + group(5, [500], range(50, 58)) + group(6, [600], range(70, 81)) + group(7, [700], range(70, 81))
+    shared = make(rows, "token long, rep long, group long, least long")
+    got = jaccard._alike(shared, shared.select("rep", "group").distinct())
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (6, 7)]
+
+
 def test_jaccard_nulls_repeats_and_one_of_each(make):
     text = " ".join(f"w{i}" for i in range(20))
     rows = [(5, text, "", "", 0), (3, text, "", "", 0), (3, text, "", "", 0), (None, text, "", "", 0), (None, "other text", "", "", 0),
